@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wirespan.llm import decontaminate, line_dedup
+from wirespan.llm import decontaminate, line_dedup, packing
 from wirespan.llm.common import table
 
 
@@ -16,7 +16,11 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op7_line_dedup": op7_line_dedup, "op10_decontaminate": op10_decontaminate}
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op5_packing": op5_packing, "op7_line_dedup": op7_line_dedup, "op10_decontaminate": op10_decontaminate}
 
 OP7_SQL = r"""
 WITH lines AS (
