@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wirespan.llm import decontaminate, line_dedup, packing
+from wirespan.llm import decontaminate, line_dedup, packing, toxicity
 from wirespan.llm.common import table
 
 
@@ -16,11 +17,22 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def fold_of(n: int):
+    """crc32 of doc_id as text, mod n."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    lexicon = toxicity.learn(docs, labels.where(fold_of(4) != 2))
+    return toxicity.score(docs, lexicon).select("doc_id", (fold_of(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op5_packing": op5_packing, "op7_line_dedup": op7_line_dedup, "op10_decontaminate": op10_decontaminate}
+QUERIES = {"op3_toxicity": op3_toxicity, "op5_packing": op5_packing, "op7_line_dedup": op7_line_dedup, "op10_decontaminate": op10_decontaminate}
 
 OP7_SQL = r"""
 WITH lines AS (
