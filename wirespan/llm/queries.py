@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirespan.llm import decontaminate, line_dedup, packing, toxicity
+from wirespan.llm import decontaminate, language, licenses, line_dedup, packing, quality, toxicity, url_filter
 from wirespan.llm.common import table
 
 
@@ -13,10 +13,31 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(table(spark, sf_dir, "documents"), min_docs=10, keep="none", min_chars=1)
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.predict(docs, language.learn(docs.where(fold_of(5) != 0).select("doc_id", "text", "lang")))
+    return found.select("doc_id", (fold_of(5) == 0).alias("held_out"), "lang_pred", "score", "trusted")
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 def fold_of(n: int):
     """crc32 of doc_id as text, mod n."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
@@ -32,7 +53,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_toxicity": op3_toxicity, "op5_packing": op5_packing, "op7_line_dedup": op7_line_dedup, "op10_decontaminate": op10_decontaminate}
+QUERIES = {"op8_licenses": op8_licenses, "op9_language": op9_language, "op1_url_filter": op1_url_filter, "op2_quality": op2_quality, "op3_toxicity": op3_toxicity, "op5_packing": op5_packing, "op7_line_dedup": op7_line_dedup, "op10_decontaminate": op10_decontaminate}
 
 OP7_SQL = r"""
 WITH lines AS (
@@ -63,4 +84,20 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
-SQL = {"op7_line_dedup": OP7_SQL, "op10_decontaminate": OP10_SQL}
+def _canonical_sql(text: str) -> str:
+    plain = f"regexp_replace(regexp_replace(translate(coalesce({text}, ''), '{line_dedup.UPPER}', '{line_dedup.LOWER}'), '{licenses.OWNER}', '', 'g'), '{licenses.GAP}', ' ', 'g')"
+    equal = ", ".join(f"'{a}': '{b}'" for a, b in licenses.SPELLINGS.items())
+    return f"array_to_string(list_transform(list_filter(string_split({plain}, ' '), lambda w: w <> ''), lambda w: coalesce(MAP {{{equal}}}[w], w)), ' ')"
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+OP8_SQL = f"""
+WITH known(license, text) AS (VALUES {", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in licenses.KNOWN)}),
+digests AS (SELECT sha256({_canonical_sql("text")}) AS digest, min(license) AS license FROM known GROUP BY 1)
+SELECT doc_id, d.digest, license FROM (SELECT doc_id, sha256({_canonical_sql("text")}) AS digest FROM documents) d LEFT JOIN digests k ON d.digest = k.digest
+"""
+
+SQL = {"op8_licenses": OP8_SQL, "op7_line_dedup": OP7_SQL, "op10_decontaminate": OP10_SQL}
