@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirespan.llm import decontaminate, language, licenses, line_dedup, packing, quality, toxicity, url_filter
+from wirespan.llm import decontaminate, language, licenses, line_dedup, packing, quality, substring_dedup, toxicity, url_filter
 from wirespan.llm.common import table
 
 
@@ -49,11 +49,15 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, lexicon).select("doc_id", (fold_of(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op8_licenses": op8_licenses, "op9_language": op9_language, "op1_url_filter": op1_url_filter, "op2_quality": op2_quality, "op3_toxicity": op3_toxicity, "op5_packing": op5_packing, "op7_line_dedup": op7_line_dedup, "op10_decontaminate": op10_decontaminate}
+QUERIES = {"op4_substring_dedup": op4_substring_dedup, "op8_licenses": op8_licenses, "op9_language": op9_language, "op1_url_filter": op1_url_filter, "op2_quality": op2_quality, "op3_toxicity": op3_toxicity, "op5_packing": op5_packing, "op7_line_dedup": op7_line_dedup, "op10_decontaminate": op10_decontaminate}
 
 OP7_SQL = r"""
 WITH lines AS (
@@ -100,4 +104,16 @@ digests AS (SELECT sha256({_canonical_sql("text")}) AS digest, min(license) AS l
 SELECT doc_id, d.digest, license FROM (SELECT doc_id, sha256({_canonical_sql("text")}) AS digest FROM documents) d LEFT JOIN digests k ON d.digest = k.digest
 """
 
-SQL = {"op8_licenses": OP8_SQL, "op7_line_dedup": OP7_SQL, "op10_decontaminate": OP10_SQL}
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+win AS (SELECT doc_id, k, md5(array_to_string(w[k : k + 19], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS k FROM d WHERE len(w) >= 20)),
+later AS (SELECT doc_id, k FROM (SELECT doc_id, k, row_number() OVER (PARTITION BY h ORDER BY doc_id, k) AS r FROM win) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(k, k + 20)) AS p FROM later),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id),
+counts AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN counts USING (doc_id)
+"""
+
+SQL = {"op4_substring_dedup": OP4_SQL, "op8_licenses": OP8_SQL, "op7_line_dedup": OP7_SQL, "op10_decontaminate": OP10_SQL}
