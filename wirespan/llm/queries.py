@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirespan.llm import decontaminate, language, licenses, line_dedup, packing, quality, substring_dedup, toxicity, url_filter
+from wirespan.llm import decontaminate, language, licenses, line_dedup, near_dedup, packing, quality, substring_dedup, toxicity, url_filter
 from wirespan.llm.common import table
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(table(spark, sf_dir, "documents"), min_docs=10, keep="none", min_chars=1)
 
@@ -57,7 +61,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_substring_dedup": op4_substring_dedup, "op8_licenses": op8_licenses, "op9_language": op9_language, "op1_url_filter": op1_url_filter, "op2_quality": op2_quality, "op3_toxicity": op3_toxicity, "op5_packing": op5_packing, "op7_line_dedup": op7_line_dedup, "op10_decontaminate": op10_decontaminate}
+QUERIES = {"op6_near_dedup": op6_near_dedup, "op4_substring_dedup": op4_substring_dedup, "op8_licenses": op8_licenses, "op9_language": op9_language, "op1_url_filter": op1_url_filter, "op2_quality": op2_quality, "op3_toxicity": op3_toxicity, "op5_packing": op5_packing, "op7_line_dedup": op7_line_dedup, "op10_decontaminate": op10_decontaminate}
 
 OP7_SQL = r"""
 WITH lines AS (
