@@ -1,11 +1,51 @@
-"""The corpus pipeline: stages over documents."""
+"""The corpus pipeline: toxic documents go, repeated lines go, one document of each group of
+near-duplicates stays, contaminated documents go, and the rest is packed into sequences."""
 
-STAGES = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from wirespan.llm import decontaminate, line_dedup, near_dedup, packing, toxicity
+from wirespan.llm.common import table, written
+from wirespan.llm.queries import fold_of
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that score 0.3 or more. The lexicon is learned from the labelled documents of
+    the folder, not from what earlier stages kept of them."""
+    labels = table(spark, sf_dir, "labels").where(fold_of(4) != 2)
+    return toxicity.drop_toxic(docs, toxicity.learn(table(spark, sf_dir, "documents"), labels), 0.3)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the lines whose keys ten documents or more have; n_chars counts what is left."""
+    return line_dedup.drop_lines(docs, min_docs=10, keep="none", min_chars=1)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates, that with the least doc_id."""
+    return near_dedup.keep_first(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents of which a twentieth or more stands in the benchmark."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 4096 tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [("toxicity", drop_toxic), ("line dedup", drop_lines), ("near dedup", drop_near_copies), ("decontamination", drop_contaminated), ("packing", pack)]
+
+#: No SQL: classification, similarity and tokens are beyond it. tests/llm/test_pipeline.py has the brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage, over documents. Each stage's result is written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
