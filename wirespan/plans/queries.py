@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wirespan.operators import views
-from wirespan.plans.oracle import over_star
+from wirespan.operators import closure, coverage, lookup, resolve, stamp, verify, views
+from wirespan.operators.verify import signatures
+from wirespan.plans.oracle import VIEW_SQL, over_star
+from wirespan.sources import schema
 from wirespan.sources.design import Design
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,3 +27,151 @@ def _add(name: str, query: Callable[[Design], DataFrame], select: str | None = N
 for _view, _make in views.VIEWS.items():
     _add(_view.removeprefix("v_"), _make, f"SELECT * FROM {_view}", _view)
 _add("conn_arc", views.conn_arc, "SELECT * FROM arcs", "arcs")
+
+
+# --- questions ---------------------------------------------------------------------------------
+NET = 20_000_001
+for _name, _view, _column in (("driver_of_net", "v_driver", "signal_net_id"), ("load_of_net", "v_load", "signal_net_id"), ("attachments_of_net", "v_net_attachment", "net_id"), ("deps_of_net", "v_net_dep", "tgt_net_id"), ("conns_of_net", "v_net_conn", "outer_net_id")):
+    _of = 40_000_003 if _view == "v_net_conn" else NET
+    _add(_name, lambda d, v=_view, c=_column, n=_of: lookup.of_nets(views.VIEWS[v](d), [n], c), f"SELECT * FROM {_view} WHERE {_column} = {_of}", _view)
+
+_add("multi_driven", lookup.multi_driven, "SELECT signal_net_id, count(*) AS n_drivers, count(DISTINCT driver_net_id) AS n_nets FROM v_driver WHERE driver_kind IN ('data', 'control', 'primitive', 'procedure', 'connection', 'connection_expression') GROUP BY 1 HAVING count(*) > 1", "v_driver")
+_add("undriven", coverage.undriven, "SELECT id AS net_id, inst_id, name AS net_name FROM net WHERE id NOT IN (SELECT signal_net_id FROM v_driver)", "v_driver")
+_add("unused", coverage.unused, "SELECT id AS net_id, inst_id, name AS net_name FROM net WHERE id NOT IN (SELECT signal_net_id FROM v_load WHERE signal_net_id IS NOT NULL)", "v_load")
+_add("param_seek", lambda d: lookup.by_parameter(d, "SEG", "BUILDING"), "SELECT inst_id FROM inst_param WHERE name = 'SEG' AND value = 'BUILDING'")
+_add("param_roundtrip", lambda d: signatures(d["inst_param"]), "SELECT inst_id, string_agg(name || '=' || value, ',' ORDER BY ordinal) AS signature FROM inst_param GROUP BY inst_id")
+_add("force_hunt", lookup.forced, "SELECT s.id AS stmt_id, s.inst_id, w.net_id FROM stmt s JOIN stmt_target w ON w.stmt_id = s.id WHERE s.construct = 'force'")
+_TWO = "WITH a AS (SELECT DISTINCT {0}, driver_net_id AS a, signal_net_id AS b FROM v_driver WHERE {0} IS NOT NULL AND driver_net_id IS NOT NULL) SELECT x.* FROM a x JOIN a y ON x.{0} = y.{0} AND x.a = y.b AND x.b = y.a WHERE x.a < x.b"
+for _by in ("stmt", "prim", "conn"):
+    _add(f"{_by}_pairs", lambda d, b=f"{_by}_id": lookup.two_way(d, b), f"SELECT * FROM ({_TWO.format(f'{_by}_id')})", "v_driver")
+
+# --- closures ----------------------------------------------------------------------------------
+_UP = "/*recursive*/+up AS (SELECT id AS node, {0} AS pos FROM tree_node UNION ALL SELECT node, parent_node_id FROM up JOIN tree_node t ON t.id = up.pos WHERE up.pos NOT IN (SELECT id FROM inst)) SELECT node, max(if(pos IN (SELECT id FROM inst), pos, NULL)) AS ancestor FROM up GROUP BY node"
+
+
+def _recursive(select: str, *names: str) -> str:
+    return over_star(select.removeprefix("/*recursive*/"), *names).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+_add("nearest_inst", lookup.nearest_inst)
+SQL["nearest_inst"] = _recursive(_UP.format("parent_node_id"))
+_add("scope_owner", lookup.scope_owner)
+SQL["scope_owner"] = _recursive(_UP.format("id"))
+_add("call_strings", lookup.call_strings)
+SQL["call_strings"] = _recursive("+c AS (SELECT id AS call_site_id, parent_call_site_id AS caller_id, CAST(1 AS BIGINT) AS distance FROM call_site WHERE parent_call_site_id IS NOT NULL UNION ALL SELECT c.call_site_id, p.parent_call_site_id, distance + 1 FROM c JOIN call_site p ON p.id = c.caller_id WHERE p.parent_call_site_id IS NOT NULL) SELECT * FROM c")
+
+
+def _cone(edges: Callable, site: bool = False) -> Callable[[Design], DataFrame]:
+    def run(d: Design) -> DataFrame:
+        if site:
+            tagged = d["net_dep"].where("call_site_id is not null").agg(F.min("call_site_id").alias("call_site_id"))
+            seeds = d["net_dep"].join(tagged, "call_site_id", "left_semi").select("tgt_net_id").distinct()
+            return closure.reached(edges(d, tagged), seeds.select(F.col("tgt_net_id").alias("seed"), F.col("tgt_net_id").alias("node"))).select("seed", "node")
+        seeds = d["net"].where((F.col("name") == "bus") | (F.col("id") == NET)).select(F.col("id").alias("seed"), F.col("id").alias("node"))
+        return closure.reached(edges(d), seeds).select("seed", "node")
+
+    return run
+
+
+_CONE = "+cone AS (SELECT id AS seed, id AS node FROM net WHERE name = 'bus' OR id = 20000001 UNION SELECT c.seed, v.{0} FROM cone c JOIN {1} v ON v.signal_net_id = c.node WHERE v.{0} IS NOT NULL) SELECT seed, node FROM cone"
+_add("cone_in", _cone(closure.fan_in_edges))
+SQL["cone_in"] = _recursive(_CONE.format("driver_net_id", "v_driver"), "v_driver")
+_add("cone_out", _cone(closure.fan_out_edges))
+SQL["cone_out"] = _recursive(_CONE.format("load_net_id", "v_load"), "v_load")
+_add("cone_callsite", _cone(closure.fan_in_edges, site=True))
+SQL["cone_callsite"] = _recursive("+one AS (SELECT min(call_site_id) AS c FROM net_dep), cone AS (SELECT DISTINCT tgt_net_id AS seed, tgt_net_id AS node FROM net_dep, one WHERE call_site_id = c UNION SELECT k.seed, v.driver_net_id FROM cone k JOIN v_driver v ON v.signal_net_id = k.node, one WHERE v.driver_net_id IS NOT NULL AND (v.call_site_id IS NULL OR v.call_site_id = c)) SELECT seed, node FROM cone", "v_driver")
+
+
+# --- paths and references ----------------------------------------------------------------------
+def _paths(d: Design) -> DataFrame:
+    """Every path of four names and more: asked for by its text, answered by its node."""
+    n = d["tree_node"]
+    up = lambda a, p: n.select(F.col("id").alias(f"{a}_id"), F.col("parent_node_id").alias(f"{a}_up"), F.col("name").alias(f"{a}_name"))
+    asked = up("a", 0).join(up("b", 1), F.col("a_up") == F.col("b_id")).join(up("c", 2), F.col("b_up") == F.col("c_id")).join(up("e", 3), F.col("c_up") == F.col("e_id")).where("e_up is null")
+    asked = asked.select(F.concat_ws(".", "e_name", "c_name", "b_name", "a_name").alias("path"))
+    wanted = asked.select(F.col("path").alias("key"), F.lit(None).cast("long").alias("start"), resolve.segments(F.col("path")).alias("names"))
+    return resolve.descend(n.select("id", F.col("parent_node_id").alias("parent"), "name"), wanted).select(F.col("key").alias("path"), F.col("node").alias("node_id"))
+
+
+_add("path_lookup", _paths)
+SQL["path_lookup"] = over_star("SELECT concat_ws('.', e.name, c.name, b.name, a.name) AS path, a.id AS node_id FROM tree_node a JOIN tree_node b ON a.parent_node_id = b.id JOIN tree_node c ON b.parent_node_id = c.id JOIN tree_node e ON c.parent_node_id = e.id WHERE e.parent_node_id IS NULL")
+
+
+def _href(d: Design) -> DataFrame:
+    """References from every customer to the bus of its nation (by the whole path) and to a pin of its own, one in seven of them to nothing."""
+    c = d["tree_node"].where("id >= 1000000 and id < 2000000").select(F.col("id").alias("inst_id"), "name", "parent_node_id")
+    g = d["tree_node"].select(F.col("id").alias("g"), F.col("parent_node_id").alias("n"))
+    i = d["tree_node"].select(F.col("id").alias("i"), F.col("parent_node_id").alias("r"), F.col("name").alias("i_name"))
+    r = d["tree_node"].select(F.col("id").alias("r_id"), F.col("name").alias("r_name"))
+    at = c.join(g, F.col("parent_node_id") == F.col("g")).join(i, F.col("n") == F.col("i")).join(r, F.col("r") == F.col("r_id"))
+    bus = at.select((F.col("inst_id") * 2).alias("id"), "inst_id", F.concat("r_name", F.lit(" . "), "i_name", F.lit(".gen.bus[7:0]")).alias("path"))
+    pin = at.select((F.col("inst_id") * 2 + 1).alias("id"), "inst_id", F.when(F.col("inst_id") % 7 == 0, "no.such").otherwise("/* own */ pin").alias("path"))
+    return resolve.references(bus.unionByName(pin), d)
+
+
+_add("href_resolve", _href)
+SQL["href_resolve"] = over_star("SELECT c.id * 2 AS id, 11 + g.id - 41 AS resolved_inst_id, 40000000 + g.id - 41 AS resolved_net_id FROM tree_node c JOIN tree_node g ON g.id = c.parent_node_id WHERE c.id >= 1000000 AND c.id < 2000000 UNION ALL SELECT c.id * 2 + 1, n.inst_id, n.id FROM tree_node c LEFT JOIN net n ON n.inst_id = c.id AND n.name = 'pin' AND c.id % 7 <> 0 WHERE c.id >= 1000000 AND c.id < 2000000")
+
+
+def _cross(d: Design) -> DataFrame:
+    """Each reference as the source of a dependency into its statement's target, and as the target of one from it."""
+    refs, writes = d["hier_ref"].where("stmt_id is not null"), d["stmt_target"].select(F.col("stmt_id").alias("s"), "net_id")
+    both = refs.join(writes, F.col("stmt_id") == F.col("s"))
+    none = F.lit(None).cast("long")
+    into = both.select(F.col("id").alias("src_hier_ref_id"), none.alias("tgt_hier_ref_id"), none.alias("src_net_id"), F.col("net_id").alias("tgt_net_id"))
+    out = both.select(none.alias("src_hier_ref_id"), F.col("id").alias("tgt_hier_ref_id"), F.col("net_id").alias("src_net_id"), none.alias("tgt_net_id"))
+    return resolve.cross_deps(into.unionByName(out), d["hier_ref"])
+
+
+_add("cross_deps", _cross, "SELECT h.id AS src_hier_ref_id, CAST(NULL AS BIGINT) AS tgt_hier_ref_id, h.resolved_net_id AS src_net_id, w.net_id AS tgt_net_id FROM hier_ref h JOIN stmt_target w USING (stmt_id) UNION ALL SELECT NULL, h.id, w.net_id, h.resolved_net_id FROM hier_ref h JOIN stmt_target w USING (stmt_id) WHERE h.resolved_net_id IS NOT NULL")
+
+
+# --- stamping ----------------------------------------------------------------------------------
+def _occurrences(d: Design) -> DataFrame:
+    real = d["inst"].where("module_id is not null").select(F.col("id").alias("inst_id"), F.col("module_id").alias("group_key"))
+    return real.withColumns({"n_net": F.col("group_key") % 3 + 1, "n_stmt": F.col("group_key") % 2})
+
+
+_OCC = "WITH o AS (SELECT id AS inst_id, module_id AS group_key, module_id % 3 + 1 AS n_net, module_id % 2 AS n_stmt FROM inst WHERE module_id IS NOT NULL), b AS (SELECT *, CAST(coalesce(sum(n_net) OVER w, 0) AS BIGINT) AS base_n_net, CAST(coalesce(sum(n_stmt) OVER w, 0) AS BIGINT) AS base_n_stmt FROM o WINDOW w AS (ORDER BY inst_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) "
+_add("stamp_prefix_sum", lambda d: stamp.bases(_occurrences(d), ["inst_id"], ["n_net", "n_stmt"]))
+SQL["stamp_prefix_sum"] = over_star(f"SELECT * FROM ({_OCC} SELECT * FROM b)")
+
+
+def _stamped(d: Design) -> DataFrame:
+    """Nets of each occurrence of a module's template; net k of a template points to the one before it."""
+    occ = stamp.bases(_occurrences(d), ["inst_id"], ["n_net", "n_stmt"])
+    template = d["module"].select(F.col("id").alias("group_key"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("id") % 3)).alias("idx")).withColumn("prior", F.when(F.col("idx") > 0, F.col("idx") - 1))
+    return stamp.replay(occ, template, "base_n_net", {"prior": "base_n_net"}).select("inst_id", "id", F.col("prior").alias("prior_id"))
+
+
+_add("stamp_replay", _stamped)
+SQL["stamp_replay"] = over_star(f"SELECT * FROM ({_OCC} SELECT inst_id, base_n_net + k + 1 AS id, if(k > 0, base_n_net + k, NULL) AS prior_id FROM (SELECT *, unnest(range(n_net)) AS k FROM b))")
+_add("slot_overlap", lambda d: stamp.slot_pairs(d["stmt_target"], d["assign_operand"]), "SELECT w.stmt_id, w.id AS tgt_id, o.id AS src_id, greatest(w.lo, o.lo) AS lo, least(w.hi, o.hi) AS hi FROM stmt_target w JOIN assign_operand o ON o.stmt_id = w.stmt_id AND NOT coalesce(w.lo > o.hi, false) AND NOT coalesce(o.lo > w.hi, false)")
+_add("duplicate_siblings", lambda d: stamp.duplicate_siblings(d["tree_node"].select(F.col("parent_node_id").alias("parent"), "name")), "SELECT CAST(sum(n - 1) AS BIGINT) AS duplicates FROM (SELECT count(*) AS n FROM tree_node GROUP BY parent_node_id, name)")
+
+# --- rules and metrics -------------------------------------------------------------------------
+_NEAREST = "nearest AS (" + _UP.format("parent_node_id").removeprefix("/*recursive*/+").replace("up AS (", "WITH RECURSIVE up AS (", 1) + ")"
+_SIGNED = "signatures AS (SELECT inst_id, string_agg(name || '=' || value, ',' ORDER BY ordinal) AS signature FROM inst_param GROUP BY inst_id)"
+_RULE_SETS = {
+    "fk_violations": ["K4"], "domain_violations": ["K5", "K6"], "range_violations": ["K7"], "width_violations": ["K55", "K56", "K57"], "window_overlap": ["K58"],
+    "tree_violations": ["K8", "K9", "K10", "K11", "K12", "K13", "K14", "K15", "K16", "K17", "K19", "K20", "K21"],
+    "stmt_violations": ["K24", "K25", "K26", "K27", "K28", "K29", "K30", "K31", "K32", "K33", "K34", "K35", "K36", "K37", "K38", "K39", "K40", "K41"],
+    "dep_violations": ["K42", "K43", "K44", "K45", "K46", "K47", "K48", "K49", "K50", "K51", "K52", "K53", "K54"],
+    "conn_violations": ["K22", "K23", "K59", "K60", "K61"], "meta_violations": ["K1", "K2", "K18", "K62", "K63", "K87"],
+    "count_violations": ["K65", "K66", "K67", "K68", "K69"], "view_violations": ["K70", "K71", "K72", "K73", "K74", "K75", "K76", "K77", "K78", "K79", "K80", "K81", "K82", "K83", "K84", "K85"],
+}
+for _name, _rules in _RULE_SETS.items():
+    QUERIES[_name] = lambda spark, sf_dir, r=_rules: verify.violations(spark, Design.of_star(spark, sf_dir), r)
+    _text = " UNION ALL ".join(f"SELECT '{r}' AS rule, what FROM ({re.sub(r'[{](\w+)[}]', r'\1', verify.RULES[r])})" for r in _rules)
+    SQL[_name] = over_star(f"+{_NEAREST}, {_SIGNED} {_text}", *(v for v in VIEW_SQL if v in _text))
+
+_PCT = "CASE WHEN whole > 0 THEN round(100.0 * part / whole, 2) ELSE 0.0 END AS percent"
+_METRICS = [(f"{t}.{e}", t, f"{e} = 0", f"{e} IS NOT NULL") for t, _, _, e in verify.WINDOWS] + [(f"{t}.map_exact", t, "map_exact = 0", "map_exact IS NOT NULL") for t in ("net_dep", "net_conn")]
+_add("coverage_inexact", coverage.inexact, "SELECT metric, part, whole, " + _PCT + " FROM (" + " UNION ALL ".join(f"SELECT '{m}' AS metric, count(*) FILTER (WHERE {p}) AS part, count(*) AS whole FROM {t} WHERE {w}" for m, t, p, w in _METRICS) + ")")
+_add("coverage_dropped", coverage.dropped, "SELECT metric, part, whole, operands, " + _PCT + " FROM (SELECT 'stmt.dropped' AS metric, count(*) FILTER (WHERE dropped_operand_count > 0) AS part, count(*) AS whole, CAST(sum(dropped_operand_count) AS BIGINT) AS operands FROM stmt)")
+_add("coverage_sourceless", coverage.sourceless, "SELECT metric, part, whole, " + _PCT + " FROM (SELECT 'net_dep.sourceless' AS metric, count(*) FILTER (WHERE src_net_id IS NULL) AS part, count(*) AS whole FROM net_dep)")
+_add("coverage_resolution", coverage.resolution, "SELECT access, count(resolved_net_id) AS resolved, count(*) AS refs FROM hier_ref GROUP BY access")
+_add("coverage_undriven", coverage.undriven_split, "SELECT count(*) AS undriven, count(*) FILTER (WHERE pin) AS root_inputs, count(*) FILTER (WHERE NOT pin) AS internal FROM (SELECT id IN (SELECT inner_net_id FROM term_map k JOIN term e ON e.id = k.term_id JOIN tree_node r ON r.id = e.inst_id WHERE r.node_kind = 'root' AND e.direction IN ('input', 'inout')) AS pin FROM net WHERE id NOT IN (SELECT signal_net_id FROM v_driver WHERE driver_kind <> 'terminal'))", "v_driver")
+_add("expansion_ratio", coverage.expansion, "SELECT occurrences, variants, round(occurrences / variants, 2) AS ratio FROM (SELECT count(*) AS occurrences, count(DISTINCT (module_id, coalesce(param_signature, ''))) AS variants FROM inst WHERE module_id IS NOT NULL)")
+_NAMES = list(schema.TABLES)
+_add("row_counts", lambda d: coverage.row_counts(d, _NAMES), " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS rows FROM {t}" for t in _NAMES))
