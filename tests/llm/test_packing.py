@@ -38,7 +38,7 @@ def test_plan_fills_every_window(targets, totals):
 def test_round_trip(spark):
     from tokenizers import Tokenizer
 
-    texts = ["Hello, World's end 42", None, "", " \t\n", "a" * 5000, "Ünïcödé «quotes» don't 3.14\x0b\x85x y " * 300, "<|endoftext|> x<|startoftext|>", "Σίσυφος ΟΔΟΣ", "é ́x", "it 's"] * 3
+    texts = ["Hello, World's end 42", None, "", " \t\n", "a" * 5000, "Ünïcödé «quotes» don't 3.14\x0b\x85x y " * 300, "<|endoftext|> x<|startoftext|>", "Σίσυφος ΟΔΟΣ", "İstanbul I'LL's 'tis éÉ½²x <|x ŉ ſß ĿÀ\u0301 a\u00a0b\u001cc\x7f", "é ́x", "it 's"] * 3
     docs = spark.createDataFrame([(i, t, f"s{i % 3}" if i % 4 else None, i) for i, t in enumerate(texts)], "doc_id long, text string, source string, task int").repartition(3)
     tok = Tokenizer.from_file(packing.vocabulary())
     want = {i: tok.encode(t or "", add_special_tokens=False).ids + [2] for i, t in enumerate(texts)}

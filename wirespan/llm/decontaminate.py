@@ -29,7 +29,7 @@ WIDTH = 13
 BLOCK_WORDS = 2_000_000
 #: Bytes to blanks or lower case; bytes of characters beyond ASCII stay.
 FOLD = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 DIGEST = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 SPANS = "doc_id long, text_hash long, contaminated boolean, spans array<struct<begin:int,end:int>>, items array<string>"
