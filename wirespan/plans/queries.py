@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirespan.operators import closure, coverage, lookup, resolve, stamp, verify, views
+from wirespan.operators import closure, coverage, extract, lookup, resolve, stamp, verify, views
 from wirespan.operators.verify import signatures
 from wirespan.plans.oracle import VIEW_SQL, over_star
 from wirespan.sources import schema
@@ -175,3 +175,38 @@ _add("coverage_undriven", coverage.undriven_split, "SELECT count(*) AS undriven,
 _add("expansion_ratio", coverage.expansion, "SELECT occurrences, variants, round(occurrences / variants, 2) AS ratio FROM (SELECT count(*) AS occurrences, count(DISTINCT (module_id, coalesce(param_signature, ''))) AS variants FROM inst WHERE module_id IS NOT NULL)")
 _NAMES = list(schema.TABLES)
 _add("row_counts", lambda d: coverage.row_counts(d, _NAMES), " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS rows FROM {t}" for t in _NAMES))
+
+# --- template rows -----------------------------------------------------------------------------
+
+
+
+def _slots(d: Design) -> tuple[DataFrame, DataFrame]:
+    """Targets fill the low or high half of a 32-bit value; one operand in five has no place, others a byte."""
+    t = d["stmt_target"].select("stmt_id", "id", "net_id", "lo", "hi", F.col("is_exact").alias("exact"), (F.col("stmt_id") % 2 * 16).alias("slot_lo"), (F.col("stmt_id") % 2 * 16 + 15).alias("slot_hi"))
+    free = F.col("net_id") % 5 == 0
+    s = d["assign_operand"].select("stmt_id", "id", "net_id", "lo", "hi", F.col("is_exact").alias("exact"), F.when(~free, F.col("ordinal") % 4 * 8).alias("slot_lo"), F.when(~free, F.col("ordinal") % 4 * 8 + 7).alias("slot_hi"))
+    return t, s
+
+
+_add("assign_deps", lambda d: extract.assign_deps(*_slots(d)), """+t AS (SELECT *, stmt_id % 2 * 16 AS a, stmt_id % 2 * 16 + 15 AS b FROM stmt_target),
+s AS (SELECT *, if(net_id % 5 = 0, NULL, ordinal % 4 * 8) AS a, if(net_id % 5 = 0, NULL, ordinal % 4 * 8 + 7) AS b FROM assign_operand),
+m AS (SELECT t.stmt_id, t.id AS tid, s.id AS sid, t.net_id AS tn, t.lo AS tl, t.hi AS th, t.is_exact AS te, s.net_id AS sn, s.lo AS sl, s.hi AS sh, s.is_exact AS se, t.a AS ta, s.a AS sa, greatest(t.a, s.a) AS lo, least(t.b, s.b) AS hi
+  FROM t LEFT JOIN s ON s.stmt_id = t.stmt_id AND (s.a IS NULL OR (s.a <= t.b AND t.a <= s.b)))
+SELECT stmt_id, tid AS stmt_target_id, sid AS assign_operand_id, tn AS tgt_net_id, if(sa IS NOT NULL AND te = 1, coalesce(tl, 0) + lo - ta, tl) AS tgt_lo, if(sa IS NOT NULL AND te = 1, coalesce(tl, 0) + hi - ta, th) AS tgt_hi, te AS tgt_exact,
+  sn AS src_net_id, if(sa IS NOT NULL AND se = 1, coalesce(sl, 0) + lo - sa, sl) AS src_lo, if(sa IS NOT NULL AND se = 1, coalesce(sl, 0) + hi - sa, sh) AS src_hi, se AS src_exact, if(sid IS NULL, NULL, CAST(sa IS NOT NULL AND te = 1 AND se = 1 AS INT)) AS map_exact, 'data' AS dep_kind FROM m""")
+_add("control_deps", lambda d: extract.control_deps(d["stmt_target"], d["expr_ref"].where("role = 'control'")), "SELECT w.stmt_id, w.id AS stmt_target_id, w.net_id AS tgt_net_id, r.id AS expr_ref_id, r.net_id AS src_net_id, 0 AS map_exact, 'control' AS dep_kind FROM stmt_target w JOIN expr_ref r USING (stmt_id) WHERE r.role = 'control'")
+_add("alias_deps", lambda d: extract.alias_deps(d["assign_operand"].select("stmt_id", (F.col("ordinal") % 3).alias("side"), "net_id")), "SELECT a.stmt_id, a.net_id AS src_net_id, b.net_id AS tgt_net_id, CAST((SELECT count(*) FROM assign_operand x WHERE x.stmt_id = a.stmt_id AND x.ordinal % 3 IN (a.ordinal % 3, b.ordinal % 3)) = 2 AS INT) AS map_exact, 'alias' AS dep_kind FROM assign_operand a JOIN assign_operand b ON a.stmt_id = b.stmt_id AND a.ordinal % 3 <> b.ordinal % 3 AND a.net_id <> b.net_id")
+
+
+def _pins(d: Design) -> DataFrame:
+    """Operands of a statement as terminals of a primitive, by ordinal an input, an output or an inout."""
+    way = F.when(F.col("ordinal") % 3 == 0, "output").when(F.col("ordinal") % 3 == 1, "input").otherwise("inout")
+    return d["assign_operand"].select(F.col("stmt_id").alias("prim_id"), F.col("id").alias("terminal"), "net_id", way.alias("direction"), (F.col("ordinal") % 2 + 1).alias("width"))
+
+
+_add("prim_deps", lambda d: extract.prim_deps(_pins(d)), "+p AS (SELECT stmt_id AS prim_id, id, net_id, ordinal % 3 AS k, ordinal % 2 + 1 AS w FROM assign_operand) SELECT o.prim_id, i.net_id AS src_net_id, o.net_id AS tgt_net_id, if(i.id IS NULL, NULL, CAST(i.w = 1 AND o.w = 1 AS INT)) AS map_exact, 'primitive' AS dep_kind FROM (SELECT * FROM p WHERE k <> 1) o LEFT JOIN (SELECT * FROM p WHERE k <> 0) i ON i.prim_id = o.prim_id AND i.id <> o.id")
+_add("call_deps", lambda d: extract.call_deps(d["call_site"].join(d["proc_event"].select("id", "net_id"), "id").select(F.col("id").alias("call_site_id"), F.col("net_id").alias("actual_net_id"), (F.col("id") + 7).alias("formal_net_id"), F.when(F.col("id") % 3 == 0, "input").when(F.col("id") % 3 == 1, "output").otherwise("inout").alias("direction"))), "+b AS (SELECT c.id, e.net_id AS actual, c.id + 7 AS formal FROM call_site c JOIN proc_event e USING (id)) SELECT id AS call_site_id, actual AS src_net_id, formal AS tgt_net_id, 'procedure' AS dep_kind FROM b WHERE id % 3 <> 1 UNION ALL SELECT id, formal, actual, 'procedure' FROM b WHERE id % 3 <> 0")
+_add("port_windows", lambda d: extract.windows_from_right(d["assign_operand"].select(F.col("stmt_id").alias("term_id"), F.col("id").alias("ordinal"), (F.col("ordinal") + 1).alias("width"))), "SELECT stmt_id AS term_id, id AS ordinal, ordinal + 1 AS width, CAST(s - ordinal - 1 AS BIGINT) AS lo, CAST(s - 1 AS BIGINT) AS hi FROM (SELECT *, sum(ordinal + 1) OVER (PARTITION BY stmt_id ORDER BY id DESC) AS s FROM assign_operand)")
+_add("conn_copies", lambda d: extract.copies(d["assign_operand"].select("id", "lo", (F.col("hi") - F.col("lo") + 1).alias("width"), (F.col("ordinal") % 3 + 1).alias("times")).where("lo is not null")), "SELECT id, lo + k * 8 AS lo, CAST(8 AS BIGINT) AS width, times, k AS copy, lo + k * 8 + 7 AS hi FROM (SELECT id, lo, ordinal % 3 + 1 AS times, unnest(range(ordinal % 3 + 1)) AS k FROM assign_operand WHERE lo IS NOT NULL)")
+_add("body_groups", lambda d: extract.bodies(d["inst"].join(d["module"].select(F.col("id").alias("module_id"), F.col("name").alias("def_name"), F.col("file_id").alias("file"), F.col("line").alias("m_line"), F.col("col").alias("m_col")), "module_id").select("id", "def_name", "file", F.col("m_line").alias("line"), F.col("m_col").alias("col"), F.col("param_signature").alias("params"))).drop("group_key"), "SELECT min(i.id) AS representative, count(*) AS occurrences FROM inst i JOIN module m ON m.id = i.module_id GROUP BY m.name, m.file_id, m.line, m.col, coalesce(i.param_signature, '')")
+_add("module_definitions", lambda d: extract.definitions(d["module"]), "SELECT name, file_id, line, min(id) AS id FROM module GROUP BY ALL")
