@@ -11,7 +11,8 @@ share of all tokens, and all queues end together.
 
 Steps: tokenize (once, in Spark tasks; ids go to a table in the shared folder with each document's
 place among its task's documents of the queue), sum the tokens by task and queue, turn the sums
-into starts, and cut each document where its windows end. Texts are never shuffled.
+into starts, and cut each document where its windows end. Texts are never shuffled, and tokens
+only where there are very many tasks.
 
 Defined cases: a null or empty text is the end token alone. Documents are cut freely. Every window
 is full but the last. Null sources are one queue. More than `max_queues` sources without a target
@@ -20,11 +21,16 @@ share queues by hash. Repeated rows are packed one by one. An empty table gives
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
+from array import array
 from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,6 +40,10 @@ from wirespan.llm.common import slices, words_of, written
 WIDTH = 4096
 END_ID = 2
 MAX_QUEUES = 1024
+#: Bytes of text a worker tokenizes at once.
+TOKENIZE_BYTES = 4 << 20
+#: A table of so many (queue, task) rows at most, some MB, is broadcast; a larger one is joined by shuffling.
+SMALL_ROWS = 50_000
 TOKENS = "doc_id long, queue string, task int, start long, doc_tokens int, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -45,55 +55,93 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 
 
 class WordTokenizer:
-    """Ids of whole texts. This vocabulary drops white space and never joins tokens across it, so a
-    text's ids are those of its words, and each word of a slice is encoded once."""
+    """Ids of whole texts. This vocabulary drops white space and never joins tokens across it, nor
+    across what its pattern cuts into letters, digits and other runs, so a text's ids are those of its
+    parts, and each part of a slice is encoded once. Plain texts (of white space and printable
+    characters below U+0180, which composition leaves alone) are cut in bulk; of others, the plain
+    words are cut one by one, and only the rest is left to the whole tokenizer."""
+
+    PLAIN = re.compile("[!-~\u00A1-\u012F\u0131-\u017F]+")
+    NOT_PLAIN = r"[^\t-\r -~\x{A1}-\x{12F}\x{131}-\x{17F}]|<\|"
+    PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")  # fixed value: the tokenizer's own pattern
+    NO_LETTERS = r"('s|'t|'re|'ve|'m|'ll|'d|\p{N}|[^\t-\r \p{L}\p{N}]+)"
+    KEPT = 200_000
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, np.ndarray] = {}
-
-    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, one text after another, and each text's number of ids."""
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # what was known before it grew too large
+
+    def _learn(self, parts: list[str], tokenizer, skip: int = 0) -> None:
+        for lo in range(0, len(parts), 2_000):
+            some = parts[lo : lo + 2_000]
+            for part, made in zip(some, tokenizer.encode_batch_fast([p[skip:] for p in some] if skip else some, add_special_tokens=False), strict=True):
+                self.known[part] = array("I", made.ids).tobytes()
+
+    def _parts(self, parts: list[str]) -> list[bytes]:
+        if len(self.known) > self.KEPT:
+            self.older, self.known = self.known, {}
+        known, older, new = self.known, self.older, []
+        for p in parts:
+            if p not in known:
+                if p in older:
+                    known[p] = older[p]
+                else:
+                    new.append(p)
+        self._learn(new, self.model)
+        return [known[p] for p in parts]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        plain = self.PLAIN.fullmatch
+        cut = [self.PARTS.findall(w.lower()) if plain(w) and "<|" not in w else None for w in words]
+        distinct = list({p for parts in cut if parts for p in parts})
+        known = dict(zip(distinct, self._parts(distinct), strict=True))
+        odd = [f"\0{w}" for w, parts in zip(words, cut, strict=True) if parts is None]
+        self._learn([w for w in odd if w not in self.known], self.tokenizer, 1)
+        return [self.known[f"\0{w}"] if parts is None else b"".join([known[p] for p in parts]) for w, parts in zip(words, cut, strict=True)]
+
+    def _joined(self, texts: pa.Array, encode) -> list[bytes]:
         words, at = words_of(texts)
         if not len(words):
-            return np.empty(0, np.uint32), np.zeros(len(texts), np.int64)
+            return [b""] * len(texts)
         coded = words.dictionary_encode()
-        distinct, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
-        if len(self.known) > 400_000:
-            self.known.clear()
-        new = [w for w in distinct if w not in self.known]
-        for lo in range(0, len(new), 20_000):
-            part = new[lo : lo + 20_000]
-            for word, made in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(made.ids, np.uint32)
-        each = [self.known[w] for w in distinct]
-        sizes = np.fromiter(map(len, each), np.int64, len(each))
-        pool, first = np.concatenate(each), np.cumsum(sizes) - sizes
-        n = sizes[codes]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        ids = pool[np.repeat(first[codes] - ends[:-1], n) + np.arange(ends[-1])]
-        return ids, np.diff(ends[at])
+        each = pa.array(encode(coded.dictionary.to_pylist()), pa.large_binary())
+        ids = pa.LargeListArray.from_arrays(pa.array(at, pa.int64()), each.take(coded.indices))
+        return pc.binary_join(ids, pa.scalar(b"", pa.large_binary())).to_pylist()
+
+    def __call__(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text, as little-endian unsigned 32-bit numbers."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        odd = pc.match_substring_regex(texts, self.NOT_PLAIN).to_numpy(zero_copy_only=False)
+        out: list[bytes] = [b""] * len(texts)
+        cut = pc.replace_substring_regex(pc.utf8_lower(texts.filter(pa.array(~odd))), self.NO_LETTERS, r" \1 ")
+        for rows, made in ((np.flatnonzero(~odd), self._joined(cut, self._parts)), (np.flatnonzero(odd), self._joined(texts.filter(pa.array(odd)), self._words))):
+            for k, ids in zip(rows.tolist(), made, strict=True):
+                out[k] = ids
+        return out
 
 
 def tokenized(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     """TOKENS: ids as little-endian unsigned 32-bit numbers, the end token included; start: tokens of
     the same queue before it in its task."""
+    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
         tokenizer, filled = WordTokenizer(path), {}
         task = TaskContext.get().partitionId()
         for whole in batches:
-            for batch in slices(whole):
-                ids, sizes = tokenizer(batch.column("text"))
-                ends = np.cumsum(sizes)
-                rows_ids, starts = [], []
-                for queue, a, b in zip(batch.column("queue").to_pylist(), ends - sizes, ends, strict=True):
-                    rows_ids.append(np.append(ids[a:b], end_id).astype("<u4").tobytes())
+            for batch in slices(whole, limit=TOKENIZE_BYTES):
+                ids = [x + end for x in tokenizer(batch.column("text"))]
+                sizes, starts = [len(x) // 4 for x in ids], []
+                for queue, n in zip(batch.column("queue").to_pylist(), sizes, strict=True):
                     starts.append(filled.get(queue, 0))
-                    filled[queue] = starts[-1] + int(b - a) + 1
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("queue"), pa.array(np.full(len(sizes), task, np.int32)), pa.array(starts, pa.int64()), pa.array((sizes + 1).astype(np.int32)), pa.array(rows_ids, pa.binary())], names=["doc_id", "queue", "task", "start", "doc_tokens", "ids"])
+                    filled[queue] = starts[-1] + n
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("queue"), pa.array(np.full(len(sizes), task, np.int32)), pa.array(starts, pa.int64()), pa.array(sizes, pa.int32()), pa.array(ids, pa.binary())], names=["doc_id", "queue", "task", "start", "doc_tokens", "ids"])
 
     return docs.mapInArrow(run, TOKENS)
 
@@ -197,7 +245,8 @@ def pack(docs: DataFrame, path: str | None = None, width: int = WIDTH, targets:
     plan = Plan(totals, targets, width)
     before = Window.partitionBy("queue").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select("queue", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("base"))
-    placed = tokens.join(bases, ["queue", "task"])
+    bases = written(bases)
+    placed = tokens.join(F.broadcast(bases) if bases.count() <= SMALL_ROWS else bases, ["queue", "task"])
 
     def run(batches):
         types = [pa.int64()] * 7
