@@ -197,7 +197,7 @@ def signatures(params: DataFrame) -> DataFrame:
 
 
 def violations(spark: SparkSession, tables: Mapping[str, DataFrame], rules: list[str] | None = None) -> DataFrame:
-    """(rule, what) for all that breaks the rules. What several places of the rules read is made once, as a table."""
+    """(rule, what) for all that breaks the rules. A view that several places of the rules read is made once, as a table."""
     made: dict[str, DataFrame] = {}
     uses = Counter(n for rule in rules or RULES for n in re.findall(r"\{(\w+)\}", RULES[rule]))
 
@@ -211,7 +211,7 @@ def violations(spark: SparkSession, tables: Mapping[str, DataFrame], rules: list
                 made[name] = signatures(tables["inst_param"])
             else:
                 made[name] = views.VIEWS[name](tables) if name in views.VIEWS else tables[name]
-            if uses[name] > 1:
+            if uses[name] > 1 and name not in schema.TABLES:
                 made[name] = written(made[name])
         return made[name]
 

@@ -19,7 +19,7 @@ SQL: dict[str, str] = {}
 
 
 def _add(name: str, query: Callable[[Design], DataFrame], select: str | None = None, *names: str) -> None:
-    QUERIES[name] = lambda spark, sf_dir: query(Design.of_star(spark, sf_dir))
+    QUERIES[name] = lambda spark, sf_dir: query(Design.of_star(spark, sf_dir, keep=True))
     if select:
         SQL[name] = over_star(select, *names)
 
@@ -161,7 +161,7 @@ _RULE_SETS = {
     "count_violations": ["K65", "K66", "K67", "K68", "K69"], "view_violations": ["K70", "K71", "K72", "K73", "K74", "K75", "K76", "K77", "K78", "K79", "K80", "K81", "K82", "K83", "K84", "K85"],
 }
 for _name, _rules in _RULE_SETS.items():
-    QUERIES[_name] = lambda spark, sf_dir, r=_rules: verify.violations(spark, Design.of_star(spark, sf_dir), r)
+    QUERIES[_name] = lambda spark, sf_dir, r=_rules: verify.violations(spark, Design.of_star(spark, sf_dir, keep=True), r)
     _text = " UNION ALL ".join(f"SELECT '{r}' AS rule, what FROM ({re.sub(r'[{](\w+)[}]', r'\1', verify.RULES[r])})" for r in _rules)
     SQL[_name] = over_star(f"+{_NEAREST}, {_SIGNED} {_text}", *(v for v in VIEW_SQL if v in _text))
 

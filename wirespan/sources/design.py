@@ -9,12 +9,16 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wirespan.functions.tables import written
 from wirespan.sources import schema, star
 
 #: Columns that rows of a table are looked up by; saved tables are sorted by them, so that scans can skip row groups.
 SORT_KEYS = {"net_dep": "tgt_net_id", "net_conn": "outer_net_id", "term_map": "inner_net_id", "tree_node": "parent_node_id", "stmt_target": "net_id", "assign_operand": "net_id", "expr_ref": "net_id", "proc_event": "net_id", "hier_ref": "resolved_net_id", "inst_param": "name"}
 
 
+_KEPT: dict[tuple[str, str], dict[str, DataFrame]] = {}
+
+
 class VersionError(ValueError):
     pass
 
@@ -56,15 +60,18 @@ class Design(Mapping):
         return cls(spark, {t: (lambda t=t: make(t)) for t in schema.TABLES})
 
     @classmethod
-    def of_star(cls, spark: SparkSession, sf_dir: str) -> Design:
-        """Of the star tables in a folder (see wirespan.sources.star)."""
-        made: dict[str, DataFrame] = {}
+    def of_star(cls, spark: SparkSession, sf_dir: str, keep: bool = False) -> Design:
+        """Of the star tables in a folder (see wirespan.sources.star). keep: each table is written to the shared
+        folder when first asked for, and read from there by all later designs of the folder in this application."""
+        made = _KEPT.setdefault((spark.sparkContext.applicationId, sf_dir), {}) if keep else {}
 
         def frame(name: str) -> DataFrame:
             if name not in made:
                 if name in star.SQL:
                     sql = re.sub(r"SHA\(((?:[^()]|\([^()]*\))*)\)", r"sha2(\1, 256)", star.SQL[name])
                     made[name] = spark.sql(sql, **{x: frame(x) for x in set(re.findall(r"\{(\w+)\}", sql))})
+                    if keep and name in schema.TABLES:
+                        made[name] = written(made[name].sortWithinPartitions(SORT_KEYS[name]) if name in SORT_KEYS else made[name])
                 else:
                     made[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
             return made[name]
