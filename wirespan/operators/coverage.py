@@ -55,7 +55,7 @@ def resolution(t: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def undriven(t: Mapping[str, DataFrame]) -> DataFrame:
-    """Nets that nothing drives. A pin of a root counts as driven by its terminal, unless it is only read by ref."""
+    """Nets that nothing drives. An input, inout or ref pin of a root counts as driven by its terminal."""
     return t["net"].join(views.driver(t).select(F.col("signal_net_id").alias("id")).distinct(), "id", "left_anti").select(F.col("id").alias("net_id"), "inst_id", F.col("name").alias("net_name"))
 
 
