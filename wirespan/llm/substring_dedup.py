@@ -34,7 +34,9 @@ from wirespan.llm.common import hashed, rolling, slices, window_mask, words_of,
 
 WIDTH = 20
 #: Words for each range of hashes; a range is worked on in memory, at some 20 bytes a word.
-RANGE_WORDS = 3_000_000
+RANGE_WORDS = 1_500_000
+#: Bytes of text a worker hashes at once.
+HASH_BYTES = 4 << 20
 
 PACKED = "range int, slice long, kind int, n int, a binary, b binary, c binary, d binary"
 #: Of PACKED: an entry (a hashes, b more hash bits or flags, c positions in the slice, d doc_ids and
@@ -77,11 +79,11 @@ def _range(h: np.ndarray, ranges: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int32)
 
 
-def _slices(batches, columns: list[str]):
+def _slices(batches):
     """(slice number, batch) with numbers that a repeated task gives again."""
     task, k = TaskContext.get().partitionId(), 0
     for whole in batches:
-        for batch in slices(whole):
+        for batch in slices(whole, limit=HASH_BYTES):
             yield (task << 32) | k, batch
             k += 1
 
@@ -96,7 +98,7 @@ def _anchor_rows(ranges: int, width: int):
     block = width // 2
 
     def run(batches):
-        for slice_, batch in _slices(batches, []):
+        for slice_, batch in _slices(batches):
             words, at = words_of(batch.column("text"))
             long_enough = np.diff(at) >= width
             h = rolling(hashed(words), block)
@@ -172,7 +174,7 @@ def _window_rows(ranges: int, width: int):
     block = width // 2
 
     def run(batches):
-        for slice_, batch in _slices(batches, []):
+        for slice_, batch in _slices(batches):
             words, at = words_of(batch.column("text"))
             own = hashed(words)
             h, more = rolling(own, width), rolling(own, width, 2)
@@ -283,9 +285,9 @@ def digest(docs: DataFrame, width: int = WIDTH, range_words: int = RANGE_WORDS)
     def run(batches):
         for batch in batches:
             rows = []
-            for text, places in zip(batch.column("text").to_pylist(), batch.column("places").to_pylist(), strict=True):
-                words, gone = _split(text, places, width)
-                rows.append((len(words), int(gone.sum()), hashlib.sha256(" ".join(_kept(words, gone)).encode("utf-8", "surrogatepass")).hexdigest()))
+            for text, places in zip(batch.column("text"), batch.column("places"), strict=True):
+                words, kept = _kept(text.as_py(), places.as_py(), width)
+                rows.append((words, words - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
             columns = list(zip(*rows, strict=True)) if rows else [[], [], []]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string()), strict=True))], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
@@ -297,13 +299,13 @@ def _marked(docs: DataFrame, width: int, range_words: int) -> DataFrame:
     return _with_places(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text"), places, "left")
 
 
-def _split(text: str | None, places: bytes | None, width: int) -> tuple[list[str], np.ndarray]:
-    words = words_of(pa.array([text], pa.string()))[0].to_pylist()
-    return words, _covered(len(words), places, width)
-
-
-def _kept(words: list[str], gone: np.ndarray) -> list[str]:
-    return words if not gone.any() else [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
+def _kept(text: str | None, places: bytes | None, width: int) -> tuple[int, list[bytes]]:
+    """The number of words, and those that stay. bytes.split() parts at the white space of the contract and no other."""
+    words = (text or "").encode("utf-8", "surrogatepass").split()
+    if not places:
+        return len(words), words
+    gone = _covered(len(words), places, width).tolist()
+    return len(words), [w for w, g in zip(words, gone, strict=True) if not g]
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, range_words: int = RANGE_WORDS) -> DataFrame:
@@ -313,8 +315,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, range_words: int = RANGE
         for batch in batches:
             out = []
             for text, places in zip(batch.column("text").to_pylist(), batch.column("places").to_pylist(), strict=True):
-                words, gone = _split(text, places, width) if places else ([], np.zeros(0, bool))
-                out.append(" ".join(_kept(words, gone)) if places else text)
+                out.append(b" ".join(_kept(text, places, width)[1]).decode("utf-8", "surrogatepass") if places else text)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.string())], names=["doc_id", "text"])
 
     return _marked(docs, width, range_words).select("doc_id", "text", "places").mapInArrow(run, "doc_id long, text string")
