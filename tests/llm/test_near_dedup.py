@@ -80,3 +80,52 @@ def test_empty_and_null_ids(spark):
     assert sorted(str(r.class_id) for r in near_dedup.classes(docs).collect()) == ["4", "4", "4", "None"]
     assert near_dedup.keep_first(docs).count() == 2
     assert near_dedup.classes(docs.limit(0)).count() == 0
+
+
+def test_template_documents_against_brute_force(spark):
+    """Documents of one long template, cross similarity just under 0.8, with planted near-copies among them."""
+    rng = random.Random(7)
+    template, rows = [f"t{k}" for k in range(220)], []
+    for i in range(1500):
+        own = [f"o{i}_{k}" for k in range(40)]
+        rows.append(template + own)
+        rows.append(template + own[: rng.choice([20, 25, 30])] + [f"p{i}_{k}" for k in range(20)])
+    order = list(range(len(rows)))
+    rng.shuffle(order)
+    rows = [(i, " ".join(rows[k])) for i, k in enumerate(order)]
+    bags = [bag(t) for _, t in rows]
+    column = {}
+    for b in bags:
+        for s in b:
+            column.setdefault(s, len(column))
+    holders = np.bincount([column[s] for b in bags for s in b])
+    dense = {c: k for k, c in enumerate(np.flatnonzero(holders > 2))}
+    matrix = np.zeros((len(bags), len(dense)), np.float32)
+    pairs = {}
+    for d, b in enumerate(bags):
+        for s in b:
+            c = column[s]
+            if c in dense:
+                matrix[d, dense[c]] = 1
+            elif holders[c] == 2:
+                pairs.setdefault(c, []).append(d)
+    both = matrix @ matrix.T
+    for d, e in pairs.values():
+        both[d, e] += 1
+        both[e, d] += 1
+    sizes = np.array([len(b) for b in bags])
+    linked = both >= 0.8 * (sizes[:, None] + sizes[None, :] - both)
+    root = list(range(len(bags)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for d, e in zip(*np.nonzero(np.triu(linked, 1)), strict=True):
+        p, q = find(int(d)), find(int(e))
+        root[max(p, q)] = min(p, q)
+    want = {i: find(i) for i, _ in rows}
+    assert len(set(want.values())) == 1500
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert {r.doc_id: r.class_id for r in near_dedup.classes(docs, block=400).collect()} == want

@@ -13,10 +13,13 @@ and no process can still beat the latest of them.
 
 Links: texts equal in all characters become one node first, so copies cost a row each and no more.
 Nodes that share a band meet in a bucket. Each is compared to the bucket's first node, and then,
-where classes still differ, to its last and to the one before it (in its part of a large bucket), so a
-bucket gives a number of pairs in proportion to its size, not its square. Pairs are verified on whole texts. With 24 bands of 4 two
-texts of similarity 0.8 share no bucket in 3 of a million cases, and share ten on average, each with
-another first node.
+where classes still differ, to its last and to the one before it (in its part of a large bucket), which
+joins most of what belongs together at a cost in proportion to the bucket. Then every pair of a bucket whose
+classes still differ is verified, so no pair that meets is left out: as rows in a bucket of up to `few` nodes,
+and in a larger one by blocks of nodes whose common shingles are counted as a product of matrices. Only the
+blocks' work grows with the square, and only of buckets where texts of several classes meet (a long template
+with similarity just under 0.8); a block names one link for each text and other class. Pairs are verified on
+whole texts. With 24 bands of 4 two texts of similarity 0.8 share no bucket in 3 of a million cases.
 
 Defined cases: texts without words (null, empty, blank) are classes of their own. Null doc_ids take
 part; a class is named by its least doc_id that is not null. Rows with the same doc_id but other texts are
@@ -39,6 +42,9 @@ from wirespan.llm.common import hashed, mixed, rolling, slices, words_of, writte
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 4
 #: Nodes of a bucket that are put in order together; a larger bucket is dealt into parts of about so many.
 PART = 256
+#: Buckets of up to so many nodes give their pairs as rows; larger ones are compared in blocks of about BLOCK
+#: nodes or BLOCK_BYTES of text against as many, COLUMNS shingles at a time.
+FEW, BLOCK, BLOCK_BYTES, COLUMNS = 32, 1024, 8 << 20, 2048
 #: Bytes of text a worker signs at once; the processes of a shingle take some 150 bytes.
 SIGN_BYTES = 2 << 20
 
@@ -101,7 +107,7 @@ def _bands(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, node (a digest of the text) and keys (64-bit band keys; null if there are no words)."""
+    """doc_id, node (a digest of the text), keys (64-bit band keys; null if there are no words) and bytes of the text."""
 
     def run(batches):
         for whole in batches:
@@ -113,17 +119,22 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, shingle: int =
                 nodes = [hashlib.md5((t or "").encode("utf-8", "surrogatepass")).digest() for t in batch.column("text").to_pylist()]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bags) + 1) * bands, pa.int32()), pa.array(keys.ravel(), pa.int64()))
                 some = pa.array(at[1:] > at[:-1])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(nodes, pa.binary()), pc.if_else(some, lists, pa.scalar(None, lists.type))], names=["doc_id", "node", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(nodes, pa.binary()), pc.if_else(some, lists, pa.scalar(None, lists.type)), pc.binary_length(batch.column("text")).cast(pa.int64())], names=["doc_id", "node", "keys", "bytes"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node binary, keys array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node binary, keys array<long>, bytes long")
 
 
-def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, least: float, shingle: int) -> DataFrame:
-    """Those of the pairs (a, b) whose texts are similar enough, as a table. reps: (node, rep), a doc_id for each node.
-    Texts are looked up by doc_id and node, so that the rows of a large group of copies go to many tasks."""
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(reps, "node").select(F.col("node").alias("__node"), "rep").hint("shuffle_hash")
+def _texts(docs: DataFrame, reps: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) of the nodes, as a table. reps: (node, rep), a doc_id for each node. Texts are looked up
+    by doc_id and node, so that the rows of a large group of copies go to many tasks."""
+    ends = nodes.distinct().join(reps, "node").select(F.col("node").alias("__node"), "rep").hint("shuffle_hash")
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5("text")).alias("node"), "text")
-    texts = written(named.join(ends, named["doc_id"].eqNullSafe(ends["rep"]) & (named["node"] == ends["__node"]), "left_semi").select("node", "text").dropDuplicates(["node"]))
+    return written(named.join(ends, named["doc_id"].eqNullSafe(ends["rep"]) & (named["node"] == ends["__node"]), "left_semi").select("node", "text").dropDuplicates(["node"]))
+
+
+def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, least: float, shingle: int) -> DataFrame:
+    """Those of the pairs (a, b) whose texts are similar enough, as a table."""
+    texts = _texts(docs, reps, pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
@@ -140,6 +151,83 @@ def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, least: float,
     return written(both.mapInArrow(run, "a binary, b binary"))
 
 
+def _units(texts: pa.ChunkedArray, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bags of all texts as sets, the second of two equal shingles being another unit: owners, units, and sizes of the bags."""
+    words, at = words_of(texts.combine_chunks())
+    h = hashed(words)
+    bags = [bag(h[a:b], shingle) for a, b in zip(at[:-1], at[1:], strict=True)]
+    w = np.concatenate([c for _, c in bags])
+    row = np.repeat(np.arange(len(w)), w)
+    nth = (np.arange(len(row)) - np.repeat(np.cumsum(w) - w, w)).astype(np.uint64)
+    sizes = np.array([c.sum() for _, c in bags], np.int64)
+    return np.repeat(np.arange(len(bags)), sizes), mixed(np.concatenate([u for u, _ in bags])[row] + nth * np.uint64(0x9E3779B97F4A7C15)), sizes
+
+
+def in_common(a: tuple[np.ndarray, np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """How many units (owners, units, sizes) each of a's bags has in common with each of b's."""
+    units = np.intersect1d(a[1], b[1])
+    sides = []
+    for owner, unit, sizes in (a, b):
+        at = np.searchsorted(units, unit)
+        hit = np.flatnonzero(np.append(units, np.uint64(0))[at] == unit) if len(units) else np.empty(0, np.int64)
+        hit = hit[at[hit] < len(units)]
+        order = hit[np.argsort(at[hit], kind="stable")]
+        sides.append((owner[order], at[order], len(sizes)))
+    out = np.zeros((len(a[2]), len(b[2])), np.float32)
+    for lo in range(0, len(units), COLUMNS):
+        dense = []
+        for owner, at, n in sides:
+            i, j = np.searchsorted(at, [lo, lo + COLUMNS])
+            made = np.zeros((n, COLUMNS), np.float32)
+            made[owner[i:j], at[i:j] - lo] = 1
+            dense.append(made)
+        out += dense[0] @ dense[1].T
+    return out
+
+
+def _across(least: float, shingle: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Of a block: links of texts of different roots, one for each text and other root."""
+        i, j, part = (table.column(c).to_numpy() for c in ("i", "j", "part"))
+        nodes = np.array(table.column("node").to_pylist(), object)
+        roots = np.unique(np.array(table.column("root").to_pylist(), object), return_inverse=True)[1]
+        rows = [np.flatnonzero(part == i), np.flatnonzero(part == j)]
+        out = []
+        if len(rows[0]) and len(rows[1]):
+            left = _units(table.column("text").take(pa.array(rows[0])), shingle)
+            right = left if i[0] == j[0] else _units(table.column("text").take(pa.array(rows[1])), shingle)
+            both = in_common(left, right).astype(np.float64)
+            ok = (both / (left[2][:, None] + right[2][None, :] - both) >= least) & (roots[rows[0]][:, None] != roots[rows[1]][None, :])
+            x, y = np.nonzero(ok)
+            one = np.unique(x * (roots.max() + 1) + roots[rows[1]][y], return_index=True)[1]
+            out = sorted({(min(p, q), max(p, q)) for p, q in zip(nodes[rows[0][x[one]]], nodes[rows[1][y[one]]], strict=True)})
+        columns = list(zip(*out, strict=True)) if out else [[], []]
+        return pa.table([pa.array(c, pa.binary()) for c in columns], names=["a", "b"])
+
+    return run
+
+
+def _rest(docs: DataFrame, reps: DataFrame, met: DataFrame, parts: DataFrame, known: DataFrame, least: float, shingle: int, few: int, block: int) -> DataFrame:
+    """The links among all pairs that meet in a bucket, have different roots and are not known. met: (band, key, node)."""
+    rooted = met.select("band", "key", "node", "bytes").join(parts, "node", "left").select("band", "key", "node", "bytes", F.coalesce("root", "node").alias("root"))
+    several = rooted.groupBy("band", "key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("size"), F.sum("bytes").alias("all")).where("r0 <> r1").select("band", "key", "size", "all")
+    left = written(rooted.join(several, ["band", "key"]))
+    small, large = left.where(F.col("size") <= few), left.where(F.col("size") > few)
+    other = small.select("band", "key", F.col("node").alias("b"), F.col("root").alias("root_b"))
+    pairs = small.select("band", "key", F.col("node").alias("a"), "root").join(other, ["band", "key"]).where("a < b and root <> root_b").select("a", "b").distinct()
+    pairs = written(pairs.join(known, ["a", "b"], "left_anti"))
+    links = _verified(docs, reps, pairs, least, shingle)
+    if large.isEmpty():
+        return links
+    n = F.ceil(F.greatest(F.col("size") / block, F.col("all") / BLOCK_BYTES)).cast("int")
+    dealt = large.withColumn("n", n).withColumn("part", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
+    blocks = dealt.select("band", "key", "node", "root", "part", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("to"))
+    blocks = blocks.select("band", "key", F.least("part", "to").alias("i"), F.greatest("part", "to").alias("j"), "part", "node", "root")
+    texts = _texts(docs, reps, large.select("node"))
+    found = blocks.join(texts, "node").groupBy("band", "key", "i", "j").applyInArrow(_across(least, shingle), "a binary, b binary")
+    return written(links.union(found).distinct())
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root): the least node of each connected part, for all nodes of the links (a, b). Each round
     hangs every node's larger neighbours, and then its smaller ones, on the least it knows, until nothing moves."""
@@ -157,15 +245,15 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
 
 
-def classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE, part: int = PART) -> DataFrame:
+def classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE, part: int = PART, few: int = FEW, block: int = BLOCK) -> DataFrame:
     """doc_id, node, class_id (the least doc_id of the class), n_links (verified links of the text to other texts) for each row."""
     marked = written(signed(docs, bands, rows, shingle))
-    nodes = marked.where("keys is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
+    nodes = marked.where("keys is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("bytes").alias("bytes"))
     reps = written(nodes.select("node", "rep"))
-    entries = written(nodes.select("node", "rep", F.posexplode("keys").alias("band", "key")))
+    entries = written(nodes.select("node", "rep", "bytes", F.posexplode("keys").alias("band", "key")))
     place = F.struct(F.col("rep").isNull(), "rep", "node")
     buckets = entries.groupBy("band", "key").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count(F.lit(1)).alias("n")).where("first.node <> last.node")
-    met = written(entries.join(buckets, ["band", "key"]).select("band", "key", "node", "rep", F.col("first.node").alias("first"), F.col("last.node").alias("last"), "n"))
+    met = written(entries.join(buckets, ["band", "key"]).select("band", "key", "node", "rep", "bytes", F.col("first.node").alias("first"), F.col("last.node").alias("last"), "n"))
     pairs = met.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     pairs = written(pairs)
     links = _verified(docs, reps, pairs, least, shingle)
@@ -181,6 +269,10 @@ def classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows
     if not more.isEmpty():
         links = written(links.union(_verified(docs, reps, more, least, shingle)).distinct())
         parts = written(components(links))
+    rest = _rest(docs, reps, met, parts, known.union(more), least, shingle, few, block)
+    if not rest.isEmpty():
+        links = written(links.union(rest).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        parts = written(components(links))
     counts = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("n_links"))
     rooted = nodes.select("node", "rep").join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = rooted.groupBy("root").agg(F.min("rep").alias("class_id"))
