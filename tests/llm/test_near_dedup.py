@@ -82,6 +82,12 @@ def test_empty_and_null_ids(spark):
     assert near_dedup.classes(docs.limit(0)).count() == 0
 
 
+def test_unrelated_texts_of_null_or_repeated_ids_stay(spark):
+    rows = [(None, "a b c"), (None, "d e f"), (None, "d e f"), (7, "g h i"), (7, "j k l")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.text for r in near_dedup.keep_first(docs).collect()) == ["a b c", "d e f", "g h i", "j k l"]
+
+
 def test_template_documents_against_brute_force(spark):
     """Documents of one long template, cross similarity just under 0.8, with planted near-copies among them."""
     rng = random.Random(7)

@@ -246,7 +246,8 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE, part: int = PART, few: int = FEW, block: int = BLOCK) -> DataFrame:
-    """doc_id, node, class_id (the least doc_id of the class), n_links (verified links of the text to other texts) for each row."""
+    """doc_id, node, class_id (the least doc_id of the class), n_links (verified links of the text to other texts), blank and root (the least
+    node of the class; null if blank) for each row. Only root tells classes apart: a class_id can be null, or shared by texts of one doc_id."""
     marked = written(signed(docs, bands, rows, shingle))
     nodes = marked.where("keys is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("bytes").alias("bytes"))
     reps = written(nodes.select("node", "rep"))
@@ -276,16 +277,16 @@ def classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows
     counts = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("n_links"))
     rooted = nodes.select("node", "rep").join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = rooted.groupBy("root").agg(F.min("rep").alias("class_id"))
-    by_node = written(rooted.join(named, "root").join(counts, "node", "left").select("node", "rep", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
+    by_node = written(rooted.join(named, "root").join(counts, "node", "left").select("node", "rep", "root", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
     return marked.select("doc_id", "node", F.col("keys").isNull().alias("blank")).join(by_node, "node", "left").select(
-        "doc_id", "node", F.when(F.col("blank"), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "blank"
+        "doc_id", "node", F.when(F.col("blank"), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "blank", "root"
     )
 
 
 def keep_first(docs: DataFrame, **params) -> DataFrame:
     """docs with one row of each class: that with the least doc_id (of equal ids, the least text digest). Rows without words all stay."""
     of = classes(docs, **params)
-    chosen = of.where("not blank").groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("c")).select(F.col("c.doc_id").alias("__id"), F.col("c.node").alias("__node"))
+    chosen = of.where("not blank").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("c")).select(F.col("c.doc_id").alias("__id"), F.col("c.node").alias("__node"))
     named = docs.withColumn("__md5", F.unhex(F.md5("text")))
     blank = F.col("text").isNull() | (F.regexp_replace("text", "[ \t\n\x0b\x0c\r]+", "") == "")
     right = chosen.hint("shuffle_hash")
