@@ -48,3 +48,12 @@ def test_repeated_rows_and_null_ids(spark):
     assert substring_dedup.digest(docs.limit(0)).count() == 0
     kept = {r.doc_id: r.text for r in substring_dedup.remove_repeats(docs).collect() if r.doc_id}
     assert kept == {5: "", 6: "end"}
+
+
+def test_slices_are_numbered_on_stored_rows(spark, monkeypatch):
+    plans, run = [], substring_dedup._round
+    monkeypatch.setattr(substring_dedup, "_round", lambda rows, reduce: (plans.append(rows._jdf.queryExecution().executedPlan().toString()), run(rows, reduce))[1])
+    text = " ".join(f"w{k}" for k in range(30))
+    docs = spark.createDataFrame([(5, text), (6, text + " end")], "doc_id long, text string")
+    substring_dedup.later_windows(docs).collect()
+    assert len(plans) == 2 and "MapInArrow" in plans[1] and "Exchange" not in plans[1]

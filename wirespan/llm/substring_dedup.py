@@ -80,7 +80,8 @@ def _range(h: np.ndarray, ranges: int) -> np.ndarray:
 
 
 def _slices(batches):
-    """(slice number, batch) with numbers that a repeated task gives again."""
+    """(slice number, batch) with numbers that a repeated task gives again, if its rows come from a stored
+    table and not from a shuffle, whose rows arrive in any order."""
     task, k = TaskContext.get().partitionId(), 0
     for whole in batches:
         for batch in slices(whole, limit=HASH_BYTES):
@@ -263,7 +264,7 @@ def later_windows(docs: DataFrame, width: int = WIDTH, range_words: int = RANGE_
     size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(1, -(-size // (6 * range_words)))
     hits = _round(named.mapInArrow(_anchor_rows(ranges, width), PACKED), _shared_blocks)
-    near = _with_places(named, hits, "inner").select("doc_id", "text_hash", "text", "places")
+    near = written(_with_places(named, hits, "inner").select("doc_id", "text_hash", "text", "places"))
     return _round(near.mapInArrow(_window_rows(ranges, width), PACKED), _later_windows)
 
 
