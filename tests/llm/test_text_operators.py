@@ -155,6 +155,33 @@ def test_models_tell_urls_apart(spark):
     assert scores[0] > models.threshold > scores[1] and scores[2] == scores[3] == 0
 
 
+def test_url_scores_count_every_ruled_url_exactly(spark):
+    import math
+
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    rows = [(f"https://h{rng.randrange(999)}.example/{rng.choice('ab')}/{rng.randrange(99999)}", rng.randrange(2)) for _ in range(400)]
+    counts = Counter()
+    for url, good in rows:
+        text = "\0" * 5 + url
+        counts.update((good, text[i - k : i], c) for i in range(5, len(text)) for k in range(6) for c in ("", text[i]))
+
+    def by_hand(url):
+        text, total = "\0" * 5 + url, 0.0
+        for i in range(5, len(text)):
+            for good, sign in ((0, -1), (1, 1)):
+                p = 1 / 256
+                for k in range(6):
+                    p = (counts[good, text[i - k : i], text[i]] + 4 * p) / (counts[good, text[i - k : i], ""] + 4)
+                total += sign * math.log(p)
+        return total / len(url)
+
+    urls = [u for u, _ in rows[:20]]
+    made = url_filter.learn(spark.createDataFrame(rows, "url string, good int")).scores(pa.array(urls))
+    assert all(abs(x - by_hand(u)) < 1e-9 for x, u in zip(made, urls, strict=True))
+
+
 # --- quality -----------------------------------------------------------------------------------
 def test_quality(spark):
     rng = random.Random(9)
