@@ -4,21 +4,53 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_FOLDERS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below the shared checkpoint folder, which is set only where none is."""
+    """A new folder below the shared checkpoint folder, deleted when the application ends. Where no checkpoint
+    folder is set, a local master (tests) gets a temporary one; a cluster is refused, as its executors share no local folder."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         top = f"file://{tempfile.mkdtemp(prefix='wirespan-')}"
         spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top}/wirespan/{uuid.uuid4().hex}"
+    path = f"{top}/wirespan/{uuid.uuid4().hex}"
+    folder, files = _hadoop(spark, path)
+    files.deleteOnExit(folder)
+    return path
+
+
+def _hadoop(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df, written as a table in the shared folder and read again."""
-    path = scratch_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df, written as a table in the shared folder and read again: this cuts its lineage. The
+    shuffle files of the write are released when it ends."""
+    spark, path = df.sparkSession, scratch_dir(df.sparkSession)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    _FOLDERS[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the folders of tables that written() gave and that nothing reads any more."""
+    for df in tables:
+        path = _FOLDERS.pop(df, None)
+        if path:
+            folder, files = _hadoop(df.sparkSession, path)
+            files.delete(folder, True)
