@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -12,6 +9,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wirespan.functions.tables import discard, written  # noqa: F401
+
 #: The white space of the contracts: space and \\t \\n \\v \\f \\r.
 WHITE = " \t\n\x0b\x0c\r"
 #: Python workers take texts in slices of about so many bytes.
@@ -22,31 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below the shared checkpoint folder, which is set only where none is."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not top:
-        top = f"file://{tempfile.mkdtemp(prefix='wirespan-')}"
-        spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top}/wirespan/{uuid.uuid4().hex}"
-
-
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df, written as a table in the shared folder and read again: this cuts its lineage. The
-    shuffle files of the write are released when it ends."""
-    spark, path = df.sparkSession, scratch_dir(df.sparkSession)
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_key(text: str = "text"):
     """With doc_id, names a row: rows equal in both are judged alike."""
     return F.xxhash64(F.col(text))
