@@ -3,9 +3,10 @@
 A line's key is the line without white space at both ends, A-Z lower-cased; keys are hashed to
 128 bits. The hash space is cut into ranges, and the rows of a range are sorted by hash, document
 and position. In that stream a header row, which holds how many documents have the key and which
-is the first, precedes the key's lines, so one pass decides each of them. A range is also salted
-by document, so the lines of one very frequent key are spread over many tasks; the headers come
-from an aggregation that Spark combines before it shuffles. What comes out is a bitmap per
+is the first, precedes the key's lines, so one pass decides each of them. The headers come from an
+aggregation that Spark combines before it shuffles. A key with more than 1/`heavy` of all counted
+lines (at most `heavy` keys, so they are broadcast) is salted by document into as many parts as it
+has such shares, with a header for each, so no part outgrows the usual one. What comes out is a bitmap per
 document: 64-bit masks of the lines kept, without the masks that keep everything. Texts are
 shuffled once, when a caller applies the bitmaps.
 
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wirespan.llm.common import WHITE
+from wirespan.llm.common import WHITE, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -38,10 +39,17 @@ def line_keys(text: Column) -> Column:
 
 
 def _hashes(frame: DataFrame) -> DataFrame:
-    return frame.withColumns({"h1": F.xxhash64("key"), "h2": F.xxhash64("key", F.lit(7))}).drop("key")
+    """The key's two hashes. h2 is seeded before the key, not with h1: a seed after it would make h2 follow from h1."""
+    return frame.withColumns({"h1": F.xxhash64("key"), "h2": F.xxhash64(F.lit(7), "key")}).drop("key")
 
 
-def drop_bitmaps(docs: DataFrame, min_docs: int = 10, keep: str = "none", min_chars: int = 1, range_bits: int = 16, salts: int = 16) -> DataFrame:
+def _salted(headers: DataFrame, heavy: int) -> DataFrame:
+    """headers with salts: how many parts the lines of a key are dealt into."""
+    share = (headers.agg(F.sum("n_docs")).first()[0] or 0) // heavy + 1
+    return headers.withColumn("salts", F.expr(f"cast((n_docs + {share - 1}) div {share} as int)"))
+
+
+def drop_bitmaps(docs: DataFrame, min_docs: int = 10, keep: str = "none", min_chars: int = 1, range_bits: int = 16, heavy: int = 4096) -> DataFrame:
     """One row (doc_id, text_hash, keep) for each document that loses lines.
 
     min_docs: keys found in at least so many documents are repeated. keep="none" drops all their
@@ -53,14 +61,18 @@ def drop_bitmaps(docs: DataFrame, min_docs: int = 10, keep: str = "none", min_ch
         raise ValueError(f"keep is none or first, not {keep}")
     named = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), line_keys(F.col("text")).alias("keys"))
     long_enough = F.char_length("key") >= min_chars
-    headers = (
+    counted = (
         _hashes(named.select("doc_id", "text_hash", F.explode(F.array_distinct("keys")).alias("key")).where(long_enough))
         .groupBy("h1", "h2")
         .agg(F.count(F.lit(1)).alias("n_docs"), F.min(F.struct("doc_id", "text_hash")).alias("first_doc"))
         .where(F.col("n_docs") >= min_docs)
-        .select("h1", "h2", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "first_doc")
     )
-    lines = _hashes(named.select("doc_id", "text_hash", F.posexplode("keys").alias("pos", "key")).where(long_enough)).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
+    headers = _salted(written(counted), heavy)
+    large = headers.where("salts > 1").select(F.col("h1").alias("__h1"), F.col("h2").alias("__h2"), "salts")
+    by = F.pmod(F.xxhash64("doc_id", "text_hash"), F.col("salts"))
+    lines = _hashes(named.select("doc_id", "text_hash", F.posexplode("keys").alias("pos", "key")).where(long_enough))
+    lines = lines.join(F.broadcast(large), (F.col("h1") == F.col("__h1")) & (F.col("h2") == F.col("__h2")), "left").withColumn("salt", F.coalesce(by.cast("int"), F.lit(0)))
+    headers = headers.select("h1", "h2", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "first_doc")
     stream = (
         lines.select("h1", "h2", "salt", F.lit(1).alias("is_line"), "doc_id", "text_hash", "pos", F.lit(None).cast(headers.schema["first_doc"].dataType).alias("first_doc"))
         .unionByName(headers.select("h1", "h2", "salt", F.lit(0).alias("is_line"), F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.lit(0).cast("long").alias("text_hash"), F.lit(-1).alias("pos"), "first_doc"))
