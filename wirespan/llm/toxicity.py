@@ -1,21 +1,24 @@
 """Toxicity by a weighted lexicon, matched with Aho-Corasick in folded text.
 
-Folding lower-cases, maps look-alike letters of other scripts and digits or signs that stand for
-letters (1d10t, $cum) to Latin letters, and turns what is no letter into single blanks. Entries
-are whole words and word beginnings; each has a weight. An occurrence inside an exception phrase
-does not count. The sum of weights over the number of words, and the sum itself, give a score
+Folding lower-cases, drops zero-width characters and combining accents, maps look-alike letters of other
+scripts and digits or signs that stand for letters (1d10t, $cum) to Latin letters, and turns what is no letter
+into single blanks. Entries are whole words and word beginnings; each has a weight. An occurrence inside an
+exception phrase does not count. The sum of weights over the number of words, and the sum itself, give a score
 through a logistic curve.
 
 Weights are learned from labelled documents, at most `max_rows` of them (the least hashes of
 doc_id): log-odds of an entry among toxic and other documents. Copies would make chance words look
 toxic, so training documents that share a minimum hash of word triples count once. An entry must
 pass a test against chance that takes the number of candidates into account, and of entries that
-begin with one another the best one stays.
+begin with one another the best one stays. Exceptions are learned too: phrases of two words, one of them with
+an entry, that are no more frequent in toxic documents than in others, though documents with the entry
+are mostly toxic; a test against chance decides. Phrases known beforehand can be given. A lexicon has
+no cap: it grows with the bounded training sample alone, since every entry is in three of its documents.
 
 Defined cases: a null or empty text has score `empty`, that of a text without matches. With no
 usable labels the lexicon is empty and every score is that of no match. Repeated documents are
 scored one by one. Labels with a null doc_id or mark are left out; a document with several
-labels counts with the greatest. Other columns are ignored.
+labels counts with the greatest. An empty table of documents gives an empty table. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,32 +31,30 @@ from dataclasses import dataclass, field
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wirespan.llm.common import hashed, rolling, words_of
+from wirespan.llm.common import hashed, rolling, words_of, written
 
 MAX_ROWS = 20_000
-MAX_ENTRIES = 4_096
 PREFIXES = range(3, 11)
 # Letters of other scripts that look like Latin ones, and digits that stand for letters.
 LOOK_ALIKE = dict(zip("аеорсухіјѕԁһӏкмтвнαορτυνκιеАВЕКМНОРСТХІЈЅΑΒΕΗΙΚΜΝΟΡΤΥΧΖ", "aeopcyxijsdhlkmtbhaoptuvkieabekmhopctxijsabehikmnoptyxz", strict=True))
 DIGITS = dict(zip("01345789", "oieastbg", strict=True))
-#: Harmless phrases with words that may be in a lexicon.
-EXCEPTIONS = ("trash can", "trash bin", "clown fish", "class clown", "pathetic fallacy", "pond scum", "loser pays")
-
 _TABLE = str.maketrans(LOOK_ALIKE | DIGITS | {"ı": "i"})
 _SIGN = re.compile(r"(?<=[^\W\d_])[@$!](?=[^\W\d_])|\B[@$](?=[^\W\d_])")
 _SIGNS = {"@": "a", "$": "s", "!": "i"}
 _GAP = re.compile(r"[\W\d_]+")
+#: Combining accents, and characters of no width.
+_UNSEEN = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe00-\ufe0f\ufe20-\ufe2f\u00ad\u034f\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u206f\ufeff]+")
 
 
 def fold(text: str | None) -> str:
     """Folded words, with a blank before and after each."""
     t = text or ""
     if not t.isascii():
-        t = unicodedata.normalize("NFKC", t).translate(_TABLE)
-        t = t.lower()
+        t = unicodedata.normalize("NFKC", _UNSEEN.sub("", unicodedata.normalize("NFKD", t))).translate(_TABLE)
+        t = _UNSEEN.sub("", t.lower())
     else:
         t = t.lower().translate(_TABLE)
     if "@" in t or "$" in t or "!" in t:
@@ -64,7 +65,7 @@ def fold(text: str | None) -> str:
 @dataclass
 class Lexicon:
     weights: dict[str, float] = field(default_factory=dict)  # " word " or " beginning"
-    exceptions: tuple[str, ...] = EXCEPTIONS
+    exceptions: tuple[str, ...] = ()
     curve: tuple[float, float, float] = (-3.0, 1.0, 0.0)  # constant, of the rate, of the sum
 
     def __post_init__(self):
@@ -80,15 +81,25 @@ class Lexicon:
     def matches(self, folded: str) -> list[tuple[int, float]]:
         """Where a word with an entry begins, and its weight: the greatest of its entries, if no exception covers it."""
         best: dict[int, float] = {}
-        spared: list[tuple[int, int]] = []
+        spared: list[tuple[int, int]] = []  # in the order of their ends
         if self.weights:
             for end, (n, w) in self.machine.iter(folded):
                 if w is None:
-                    spared.append((end + 1 - n, end + 1))
+                    spared.append((end + 1 - n, end))
                 else:
                     at = end + 1 - n
                     best[at] = max(best.get(at, 0.0), w)
-        return [(at, w) for at, w in sorted(best.items()) if not any(a <= at < b - 1 for a, b in spared)]
+        if not spared:
+            return sorted(best.items())
+        spared.sort()
+        out, k, reach = [], 0, -1
+        for at, w in sorted(best.items()):
+            while k < len(spared) and spared[k][0] <= at:
+                reach = max(reach, spared[k][1])
+                k += 1
+            if at >= reach:
+                out.append((at, w))
+        return out
 
     def features(self, text: str | None) -> tuple[float, float]:
         folded = fold(text)
@@ -109,7 +120,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFram
 
 
 def _distinct(rows: DataFrame) -> DataFrame:
-    """Rows (text, toxic, g0 to g2) of which none share a minimum hash over word triples."""
+    """Rows (text, toxic) of which none share a minimum hash over word triples; of those that do, the least hash of the text stays."""
 
     def run(batches):
         for batch in batches:
@@ -124,8 +135,9 @@ def _distinct(rows: DataFrame) -> DataFrame:
 
     out = rows.mapInArrow(run, "text string, toxic int, g0 long, g1 long, g2 long")
     for g in ("g0", "g1", "g2"):
-        out = out.dropDuplicates([g, "toxic"])
-    return out
+        least = F.min(F.struct(F.xxhash64("text"), "text", *(x for x in ("g1", "g2") if x > g))).alias("r")
+        out = out.groupBy(g, "toxic").agg(least).select("toxic", "r.*")
+    return out.select("text", "toxic")
 
 
 def _counts(rows: DataFrame) -> DataFrame:
@@ -146,9 +158,14 @@ def _counts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "feature string, t long, o long").groupBy("feature").agg(F.sum("t").alias("n_toxic"), F.sum("o").alias("n_other"))
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_entries: int = MAX_ENTRIES, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
-    from wirespan.llm.common import written
+def _gain(n_toxic: Column, n_other: Column, base: Column) -> Column:
+    """Log-likelihood ratio of a share of toxic documents against a base share."""
+    n = n_toxic + n_other
+    p = n_toxic / n
+    return n * (F.when(p > 0, p * F.log(p / base)).otherwise(0.0) + F.when(p < 1, (1 - p) * F.log((1 - p) / (1 - base))).otherwise(0.0))
+
 
+def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, exceptions: tuple[str, ...] = ()) -> Lexicon:
     rows = written(training_rows(docs, labels, max_rows))
     distinct = written(_distinct(rows))
     sizes = {bool(r[0]): r[1] for r in distinct.groupBy(F.col("toxic") > 0).count().collect()}
@@ -157,27 +174,55 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_entr
         return Lexicon(exceptions=exceptions)
     counts = written(_counts(distinct))
     n_features = counts.count()
-    base = n_t / (n_t + n_o)
-    n = F.col("n_toxic") + F.col("n_other")
-    p = F.col("n_toxic") / n
-    gain = n * (p * F.log(p / base) + F.when(p < 1, (1 - p) * F.log((1 - p) / (1 - base))).otherwise(0.0))
+    base = F.lit(n_t / (n_t + n_o))
     weight = F.log((F.col("n_toxic") + 0.5) / (n_t + 1.0)) - F.log((F.col("n_other") + 0.5) / (n_o + 1.0))
     strong = (
-        counts.where((F.col("n_toxic") >= 3) & (p > base)).select("feature", weight.alias("weight"), gain.alias("gain"))
-        .where((F.col("gain") >= float(np.log(n_features) + 2)) & (F.col("weight") >= 2.0)).orderBy(F.desc("gain"), F.col("feature").endswith(" "), F.desc(F.length("feature")), "feature").limit(max_entries)
+        counts.where((F.col("n_toxic") >= 3) & (F.col("n_toxic") / (F.col("n_toxic") + F.col("n_other")) > base)).select("feature", weight.alias("weight"), _gain(F.col("n_toxic"), F.col("n_other"), base).alias("gain"))
+        .where((F.col("gain") >= float(np.log(n_features) + 2)) & (F.col("weight") >= 2.0)).orderBy(F.desc("gain"), F.col("feature").endswith(" "), F.desc(F.length("feature")), "feature")
     )
     weights: dict[str, float] = {}
     nested: set[str] = set()  # beginnings of the entries
-    for r in strong.collect():
+    for r in strong.toLocalIterator():
         own = [r["feature"][:k] for k in range(2, len(r["feature"]) + 1)]
         if own[-1] not in nested and not any(x in weights for x in own):
             weights[own[-1]] = r["weight"]
             nested.update(own)
-    lexicon = Lexicon(weights, exceptions)
+    lexicon = Lexicon(weights, (*exceptions, *_harmless(distinct, Lexicon(weights), n_t, n_o)))
     lexicon.curve = _fit(rows, lexicon)
     return lexicon
 
 
+def _harmless(rows: DataFrame, lexicon: Lexicon, n_t: int, n_o: int) -> list[str]:
+    """Two-word phrases with an entry which, unlike the entry, are not toxic: found in three other documents or more, with a share of
+    toxic ones not above that of all documents, and below the entry's own share by more than chance gives."""
+
+    def run(batches):
+        for batch in batches:
+            counts = (Counter(), Counter())
+            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+                folded, own = fold(text), set()
+                for at, _ in lexicon.matches(folded):
+                    end = folded.index(" ", at + 1)
+                    word = folded[at + 1 : end]
+                    own.add((word, ""))
+                    if at:
+                        own.add((word, f"{folded[folded.rindex(' ', 0, at) + 1 : at]} {word}"))
+                    if end + 1 < len(folded):
+                        own.add((word, f"{word} {folded[end + 1 : folded.index(' ', end + 1)]}"))
+                counts[toxic > 0].update(own)
+            keys = list(counts[0] | counts[1])
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([counts[1][k] for k in keys], pa.int64()), pa.array([counts[0][k] for k in keys], pa.int64())], names=["word", "phrase", "t", "o"])
+
+    if not lexicon.weights:
+        return []
+    found = written(rows.mapInArrow(run, "word string, phrase string, t long, o long").groupBy("word", "phrase").agg(F.sum("t").alias("t"), F.sum("o").alias("o")))
+    alone = found.where("phrase = ''").select("word", ((F.col("t") + 0.5) / (F.col("t") + F.col("o") + 1.0)).alias("share"))
+    both = found.where("phrase <> ''").join(alone, "word")
+    rare = (F.col("o") >= 3) & (F.col("t") * (n_t + n_o) <= F.col("o") * n_t) & (F.col("share") > n_t / (n_t + n_o))
+    sure = _gain(F.col("t"), F.col("o"), F.col("share")) >= float(np.log(found.count() + 1) + 2)
+    return [r["phrase"] for r in both.where(rare & sure).select("phrase").distinct().orderBy("phrase").toLocalIterator()]
+
+
 def _fit(rows: DataFrame, lexicon: Lexicon) -> tuple[float, float, float]:
     """The logistic curve over both features, from counts of rounded features (few of them, however many rows)."""
 
