@@ -33,8 +33,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 4096 tokens."""
-    return packing.pack(docs)
+    """The pieces of all documents in sequences of 4096 tokens, sources mixed in proportion to their tokens to the power 0.7."""
+    return packing.pack(docs, temperature=packing.TEMPERATURE)
 
 
 STAGES = [("toxicity", drop_toxic), ("line dedup", drop_lines), ("near dedup", drop_near_copies), ("decontamination", drop_contaminated), ("packing", pack)]

@@ -35,11 +35,65 @@ def test_plan_fills_every_window(targets, totals):
                 assert abs(sum(k for _, k, p in pieces if p == q) - size * n / total) < 4
 
 
+@pytest.mark.parametrize("targets", [{"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 0.1, "b": 0.1, "c": 0.8}])
+def test_windows_hold_the_targets_and_deficits_are_carried(targets):
+    totals = {"a": 40_000, "b": 30_011, "c": 90_000}
+    plan = packing.Plan(totals, targets, 512)
+    given, held = defaultdict(int), defaultdict(lambda: defaultdict(int))
+    for q, n in totals.items():
+        for _, length, window, _ in plan.cut(q, 0, n):
+            held[window][q] += length
+    first_epoch = plan.epochs[0][1] // 512
+    assert first_epoch > 80
+    for w in range(first_epoch):
+        for q, share in targets.items():
+            # round-robin: a window's share, and what the queue was short of before it
+            assert held[w][q] == pytest.approx(512 * share + plan.deficit(q, 512 * w) - plan.deficit(q, 512 * (w + 1)), abs=0.1)
+            given[q] += held[w][q]
+            assert abs(512 * (w + 1) * share - given[q]) < 3 and abs(plan.deficit(q, 512 * (w + 1))) < 3
+
+
+def test_temperature_lifts_small_sources(spark):
+    assert packing.tempered({"a": 900, "b": 100}, 1.0) == {"a": 0.9, "b": 0.1}
+    assert packing.tempered({"a": 900, "b": 100}, 0.5) == {"a": 0.75, "b": 0.25}
+    docs = spark.createDataFrame([(i, "word " * 400, "big" if i % 5 else "small") for i in range(200)], "doc_id long, text string, source string").repartition(3)
+    rows = packing.pack(docs, temperature=0.5).collect()
+    big = sum(r.length for r in rows if r.doc_id % 5 and r.sequence_id < 5)
+    assert big / (5 * 4096) == pytest.approx(2 / 3, abs=0.01)
+
+
+def test_small_sources_share_queues(spark):
+    docs = spark.createDataFrame([(i, "x" * (1000 - i), f"s{i}", i) for i in range(40)] + [(99, "y", None, 1)], "doc_id long, text string, source string, __own int")
+    queue = {r.doc_id: r.queue for r in packing.queued(docs, "source", {"s39": 0.1}, max_queues=5, tail_queues=3).collect()}
+    assert [queue[i] for i in range(5)] == [f"s{i}" for i in range(5)] and queue[39] == "s39"
+    rest = {queue[i] for i in [*range(5, 39), 99]}
+    assert len(rest) <= 3 and all(q.startswith("\0tail ") for q in rest)
+    assert sum(r.length for r in packing.pack(docs, targets={"s39": 0.1}, max_queues=5, tail_queues=3).collect() if r.doc_id == 99) == 2
+
+
+def test_another_tokenizer_encodes_whole_texts(tmp_path):
+    import json
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    spec = json.loads(Tokenizer.from_file(packing.vocabulary()).to_str())
+    assert packing.WordTokenizer._cuts_parts(spec)
+    spec["normalizer"] = None
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec))
+    tok, texts = packing.WordTokenizer(str(path)), ["Hello THERE's 42", None, "", "É x"]
+    assert not tok.by_parts
+    whole = Tokenizer.from_file(str(path))
+    assert [np.frombuffer(x, "<u4").tolist() for x in tok(pa.array(texts))] == [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_round_trip(spark):
     from tokenizers import Tokenizer
 
     texts = ["Hello, World's end 42", None, "", " \t\n", "a" * 5000, "Ünïcödé «quotes» don't 3.14\x0b\x85x y " * 300, "<|endoftext|> x<|startoftext|>", "Σίσυφος ΟΔΟΣ", "İstanbul I'LL's 'tis éÉ½²x <|x ŉ ſß ĿÀ\u0301 a\u00a0b\u001cc\x7f", "é ́x", "it 's"] * 3
     docs = spark.createDataFrame([(i, t, f"s{i % 3}" if i % 4 else None, i) for i, t in enumerate(texts)], "doc_id long, text string, source string, task int").repartition(3)
+    docs = docs.withColumn("queue", docs["task"]).withColumn("ids", docs["task"])
     tok = Tokenizer.from_file(packing.vocabulary())
     want = {i: tok.encode(t or "", add_special_tokens=False).ids + [2] for i, t in enumerate(texts)}
     rows = packing.pack(docs, targets={"s1": 0.6}).collect()

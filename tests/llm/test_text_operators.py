@@ -45,6 +45,25 @@ def test_lines(spark, keep):
     texts = EDGES + ["\n".join(rng.choice(pool).upper() if rng.random() < 0.2 else rng.choice(pool) for _ in range(rng.randrange(1, 150))) for _ in range(40)]
     got = {r.doc_id: (r.n_lines, r.n_dropped, r.kept_sha256) for r in line_dedup.digest(frame(spark, texts), min_docs=5, keep=keep).collect()}
     assert got == lines_by_hand(texts, 5, keep)
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.kept_sha256) for r in line_dedup.digest(frame(spark, texts), min_docs=5, keep=keep, heavy=2).collect()}
+    assert got == lines_by_hand(texts, 5, keep)
+
+
+def test_line_hashes_are_two(spark):
+    from pyspark.sql import functions as F
+
+    made = line_dedup._hashes(spark.createDataFrame([("some line",)], "key string")).select("h1", "h2", F.xxhash64("h1").alias("a")).first()
+    chained = spark.sql("SELECT xxhash64('some line', 7) AS x").first().x  # a function of h1 alone
+    assert made.h2 not in (made.h1, made.a, chained)
+    seeded = spark.sql("SELECT xxhash64(7, 'some line') AS x").first().x
+    assert made.h2 == seeded
+
+
+def test_salts_follow_the_size_of_a_key(spark):
+    headers = spark.createDataFrame([(1, 1, 1_000_000), (2, 2, 30)] + [(k, k, 10) for k in range(3, 1000)], "h1 long, h2 long, n_docs long")
+    salts = {r.h1: r.salts for r in line_dedup._salted(headers, 4096).collect()}
+    assert salts[1] > 4000 and salts[2] == salts[3] == 1
+    assert sum(n > 1 for n in salts.values()) <= 4096
 
 
 def test_lines_of_repeated_rows_and_columns(spark):
@@ -92,6 +111,7 @@ def test_decontaminate(spark):
 def test_folding():
     assert toxicity.fold("You 1D10T!! сlоwn; $cum @ m41n Σ") == " you idiot clown scum main σ "
     assert toxicity.fold(None) == "  " and toxicity.fold("...") == "  "
+    assert toxicity.fold("i\u200bd\u00adiot ïd\u0336i\u0301ot İdiot\ufeff") == " idiot idiot idiot "
 
 
 def test_lexicon_and_exceptions():
@@ -101,6 +121,69 @@ def test_lexicon_and_exceptions():
     assert lex.score("trash " + "word " * 10) > lex.score("trash " + "word " * 1000)
 
 
+def matches_by_hand(lexicon, folded):
+    best, covered = {}, set()
+    for phrase in lexicon.exceptions:
+        key = toxicity.fold(phrase)
+        for k in range(len(folded)):
+            if folded.startswith(key, k):
+                covered.update(range(k, k + len(key) - 1))
+    for entry, w in lexicon.weights.items():
+        for k in range(len(folded)):
+            if folded.startswith(entry, k) and k not in covered:
+                best[k] = max(best.get(k, 0), w)
+    return sorted(best.items())
+
+
+def test_matches_and_scores_by_hand(spark):
+    import math
+
+    rng = random.Random(3)
+    lex = toxicity.Lexicon({" ab": 2.5, " abc ": 4.0, " c": 1.0, " dd ": 3.0}, ("ab c", "c dd ab", "dd dd"), (-2.0, 0.7, 0.3))
+    texts = [" ".join(rng.choice(["ab", "abc", "c", "dd", "e", "C4B", "Ab!"]) for _ in range(rng.randrange(0, 60))) for _ in range(60)] + EDGES
+    want = []
+    for t in texts:
+        folded = toxicity.fold(t)
+        found = matches_by_hand(lex, folded)
+        assert lex.matches(folded) == found
+        total, n = sum(w for _, w in found), len(folded.split())
+        want.append(1 / (1 + math.exp(-(-2.0 + 0.7 * math.log1p(100 * total / max(10, n)) + 0.3 * math.log1p(total)))))
+    docs = frame(spark, [*texts, *texts], "score string, weights string, h int, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.score(docs, lex).collect()}
+    assert all(got[i] == got[i + len(texts)] == pytest.approx(s) for i, s in enumerate(want))
+    assert toxicity.score(docs.limit(0), lex).count() == 0 and toxicity.drop_toxic(docs.limit(0), lex).count() == 0
+
+
+def test_exceptions_cost_in_proportion():
+    import time
+
+    lex = toxicity.Lexicon({" tras": 3.0}, ("trash can",))
+    folded, spent = toxicity.fold("trash can trash " * 40_000), time.perf_counter()
+    assert len(lex.matches(folded)) == 40_000 and time.perf_counter() - spent < 5
+
+
+def test_weights_and_exceptions_by_hand(spark):
+    import math
+
+    rng = random.Random(7)
+    pool = ["".join(rng.choice("bcdfgaeiou") for _ in range(6)) for _ in range(3000)]
+    rows, marks = [], []
+    for i in range(300):
+        bad, text = i % 3 == 0, rng.sample(pool, 30)
+        if bad:
+            text.insert(rng.randrange(len(text)), "zork")
+        elif i % 15 == 1:
+            text += ["zork", "park"]
+        rows.append((i, " ".join(text)))
+        marks.append((i, int(bad)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
+    lex = toxicity.learn(docs, labels)
+    assert lex.exceptions == ("zork park",) and len(lex.weights) == 1
+    entry, w = next(iter(lex.weights.items()))
+    assert " zork ".startswith(entry)
+    assert w == pytest.approx(math.log(100.5 / 101) - math.log(20.5 / 201), abs=1e-6) and lex.score("a zork park") == lex.score("a park")
+
+
 def test_toxicity_learns(spark):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("bcdfgaeiou") for _ in range(6))
@@ -115,15 +198,17 @@ def test_toxicity_learns(spark):
         rows.append((i, " ".join(text)))
         marks.append((i, int(bad)))
     rows += [(1000 + k, t) for k, t in enumerate(EDGES)]
+    rows += [(7, rows[7][1]), (None, "zork zork"), (None, None)]  # a repeated row, null ids
     marks += [(None, 1), (3, None), (0, 0), (99_999, 1)]
     docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
     lex = toxicity.learn(docs, labels.where("doc_id % 4 <> 2 or doc_id is null"))
     assert any(e.startswith(" zor") for e in lex.weights) and len(lex.weights) < 5
     scores = {r.doc_id: r.score for r in toxicity.score(docs, lex).collect()}
-    assert len(scores) == len(rows) and all(0 <= s <= 1 for s in scores.values())
+    assert len(scores) == len(rows) - 2 and all(0 <= s <= 1 for s in scores.values())
+    assert toxicity.score(docs, lex).count() == len(rows)
     assert all((scores[i] >= 0.3) == (i % 5 == 0) for i in range(400))
-    assert {r.doc_id for r in toxicity.drop_toxic(docs, lex).collect()} == {i for i, s in scores.items() if s < 0.3}
-    assert toxicity.learn(docs, labels.limit(0)).weights == {}
+    assert {r.doc_id for r in toxicity.drop_toxic(docs.where("doc_id is not null"), lex).collect()} == {i for i, s in scores.items() if s < 0.3 and i is not None}
+    assert toxicity.learn(docs, labels.limit(0)).weights == {} == toxicity.learn(docs.limit(0), labels).weights
 
 
 # --- urls --------------------------------------------------------------------------------------
@@ -227,6 +312,44 @@ def test_language(spark):
     assert {r.lang_pred for r in language.predict(frame(spark, texts), language.learn(frame(spark, texts).where("false"))).collect()} == {"und"}
 
 
+def test_language_sizes_by_hand(spark):
+    import zstandard
+
+    rng = random.Random(11)
+    words = {"aa": "the and of to in is that".split(), "bb": "der die und das ist nicht".split(), "cc": "los que para una con por".split()}
+    known = [(lang, (" ".join(rng.choice(own) for _ in range(900))).encode()) for lang, own in words.items()]
+    texts = [" ".join(rng.choice(words[lang]) for _ in range(n)) for lang in words for n in (1, 7, 300)] + ["The THE the 12 der-die, und!"]
+    got = {r.doc_id: (r.lang_pred, r.score, r.trusted) for r in language.predict(frame(spark, texts), known).collect()}
+    for i, t in enumerate(texts):
+        plain = [w for w in re.findall(r"[^\W\d_]+", t.lower())]
+        raw = " ".join(w for k, w in enumerate(plain) if not k or plain[k - 1] != w).encode()
+        sizes = []
+        for _, d in known:
+            made = zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            coder = zstandard.ZstdCompressor(level=3, dict_data=made, write_content_size=False, write_dict_id=False)
+            sizes.append(sum(len(coder.compress(raw[k : k + 512])) for k in range(0, len(raw), 512)))
+        best, second = sorted(sizes)[:2]
+        margin = 1 - best / second
+        assert got[i] == (known[sizes.index(best)][0], pytest.approx(margin / (margin + 0.02)), margin >= 0.02)
+
+
+def test_language_learns_whole_texts_and_all_labels(spark):
+    words = {"aa": "the and of to in is that with".split(), "bb": "der die und das ist nicht mit von".split()}
+    rng = random.Random(12)
+    make = lambda lang, n: " ".join(rng.choice(words[lang]) for _ in range(n))
+    header = "zzq xxw qqv " * 400  # every text opens alike
+    rows = [(i, header + make(lang, 2000), lang, 1, "r") for i, lang in enumerate(["aa", "bb"] * 20)]
+    rows += [(0, header, "aa", 1, "r"), (None, make("bb", 90), "aa", 1, "r"), (900, None, "bb", 1, "r")]  # a repeated id, nulls
+    rows += [(1000 + i, f"own{'abcdefghij'[i % 10]}{'abcdefghij'[i // 10 % 10]}{'abcd'[i // 100]} word", f"l{i}", 1, "r") for i in range(300)]
+    known = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string, rank int, count string"))
+    assert len(known) == 302 and sum(len(d) for _, d in known) <= language.TOTAL_BYTES
+    own = dict(known)
+    assert sum(b"that" in d or b"nicht" in d for d in (own["aa"], own["bb"])) == 2
+    got = {r.doc_id: r.lang_pred for r in language.predict(frame(spark, [make("aa", 40), make("bb", 40)]), known).collect()}
+    assert got == {0: "aa", 1: "bb"}
+    assert language.learn(frame(spark, []).select("doc_id", "text", "lang")) == []
+
+
 def test_licences(spark):
     mit = licenses.KNOWN[0][1]
     texts = [mit, "Copyright (c) 2020 A. Person\n\n" + mit.upper().replace(" ", "\n  "), "(c) 1999 X\nall rights reserved.\n" + mit, mit + " extra", mit.replace("without restriction", ""), "Released under the MIT Licence!", None, "", "Copyright 2020 X"]

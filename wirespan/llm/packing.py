@@ -1,13 +1,19 @@
 """Mixture-controlled packing: deficit round-robin over source queues.
 
-Each source is a queue of tokens. A round gives every queue its share of one window of `width`
-tokens, in whole tokens; what a queue gets too much or too little (its deficit) is carried to the next window.
-The deficits after t tokens follow from t alone: halve the list of queues, give the first half
+Each source is a queue of tokens with a target share. A round gives every queue its share of one window of
+`width` tokens, in whole tokens; what a queue got too little or too much is its deficit, which is carried to the
+next window, across tasks and partitions alike. The deficits are not passed from task to task: they
+follow from the number t of tokens given so far. Halve the list of queues, give the first half
 floor(t * its share), the other half the rest, and go on in each half. No count ever falls as t
 grows, a deficit stays under one token for each halving, and at the end of an epoch all are 0. So
-any window, in any task, can be filled without the ones before it. When a queue runs dry, the others go on with their shares scaled up (a
-new epoch); there is at most one epoch for each queue. Without targets each queue's share is its
-share of all tokens, and all queues end together.
+any window, in any task, is filled without the ones before it, as the round-robin would have filled it. When a queue
+runs dry, the others go on with their shares scaled up (a new epoch); there is at most one epoch for each queue.
+
+Targets: given shares, or `temperature`: a share in proportion to tokens ** temperature (1: as the corpus has them; less
+lifts small sources, until they are used up). Every token is packed once, so a lifted source ends early.
+
+Queues: the `max_queues` sources with the most text, and those with a target, have one each. The rest, each with less than 1 / max_queues
+of the text, share `tail_queues` queues by a hash of their names, in the order of their documents: so the mix of a window holds for a hash group of them.
 
 Steps: tokenize (once, in Spark tasks; ids go to a table in the shared folder with each document's
 place among its task's documents of the queue), sum the tokens by task and queue, turn the sums
@@ -15,12 +21,13 @@ into starts, and cut each document where its windows end. Texts are never shuffl
 only where there are very many tasks.
 
 Defined cases: a null or empty text is the end token alone. Documents are cut freely. Every window
-is full but the last. Null sources are one queue. More than `max_queues` sources without a target
-share queues by hash. Repeated rows are packed one by one. An empty table gives no pieces.
+is full but the last. Null sources are one queue, that of the empty name. Null doc_ids are packed as others. Repeated rows
+are packed one by one. An empty table gives no pieces. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -39,7 +46,9 @@ from wirespan.llm.common import slices, words_of, written
 
 WIDTH = 4096
 END_ID = 2
-MAX_QUEUES = 1024
+MAX_QUEUES, TAIL_QUEUES = 256, 16
+#: Of the registered query and the pipeline: sources have shares in proportion to the tokens to this power.
+TEMPERATURE = 0.7
 #: Bytes of text a worker tokenizes at once.
 TOKENIZE_BYTES = 4 << 20
 #: A table of so many (queue, task) rows at most, some MB, is broadcast; a larger one is joined by shuffling.
@@ -55,15 +64,19 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 
 
 class WordTokenizer:
-    """Ids of whole texts. This vocabulary drops white space and never joins tokens across it, nor
-    across what its pattern cuts into letters, digits and other runs, so a text's ids are those of its
+    """Ids of whole texts. A vocabulary with the normaliser and pattern below drops white space and never joins
+    tokens across it, nor across what its pattern cuts into letters, digits and other runs, so a text's ids are those of its
     parts, and each part of a slice is encoded once. Plain texts (of white space and printable
     characters below U+0180, which composition leaves alone) are cut in bulk; of others, the plain
-    words are cut one by one, and only the rest is left to the whole tokenizer."""
+    words are cut one by one, and only the rest is left to the whole tokenizer. Any other tokenizer encodes whole texts."""
 
     PLAIN = re.compile("[!-~\u00A1-\u012F\u0131-\u017F]+")
     NOT_PLAIN = r"[^\t-\r -~\x{A1}-\x{12F}\x{131}-\x{17F}]|<\|"
-    PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")  # fixed value: the tokenizer's own pattern
+    # The normaliser and pattern of the vocabulary that parts are cut for.
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+    CUT = {"type": "Split", "pattern": {"Regex": PATTERN}, "behavior": "Removed", "invert": True}
+    PARTS = regex.compile(PATTERN)
     NO_LETTERS = r"('s|'t|'re|'ve|'m|'ll|'d|\p{N}|[^\t-\r \p{L}\p{N}]+)"
     KEPT = 200_000
 
@@ -72,11 +85,19 @@ class WordTokenizer:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_parts = self._cuts_parts(json.loads(self.tokenizer.to_str()))
         self.model = Tokenizer(self.tokenizer.model)
         self.model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}  # what was known before it grew too large
 
+    @classmethod
+    def _cuts_parts(cls, spec: dict) -> bool:
+        steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+        level = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+        marked = all(a["content"].startswith("<|") and not a["normalized"] for a in spec["added_tokens"])
+        return spec["normalizer"] == cls.NORMALIZER and len(steps) == 2 and steps[0] == cls.CUT and level.items() <= steps[1].items() and marked and not spec["truncation"] and not spec["padding"]
+
     def _learn(self, parts: list[str], tokenizer, skip: int = 0) -> None:
         for lo in range(0, len(parts), 2_000):
             some = parts[lo : lo + 2_000]
@@ -117,6 +138,8 @@ class WordTokenizer:
     def __call__(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit numbers."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if not self.by_parts:
+            return [array("I", self.tokenizer.encode(t.as_py(), add_special_tokens=False).ids).tobytes() for t in texts]
         odd = pc.match_substring_regex(texts, self.NOT_PLAIN).to_numpy(zero_copy_only=False)
         out: list[bytes] = [b""] * len(texts)
         cut = pc.replace_substring_regex(pc.utf8_lower(texts.filter(pa.array(~odd))), self.NO_LETTERS, r" \1 ")
@@ -189,6 +212,14 @@ class Plan:
                 x, before, lo = x - left, before + left, mid
         return before, before + x
 
+    def deficit(self, queue, t: int) -> float:
+        """How far what the queue has been given of the first t tokens is behind its share of them (ahead, if negative)."""
+        epoch = self.epochs[max(0, bisect_right([e[0] for e in self.epochs], t) - 1)]
+        begin, length, upper, _ = epoch
+        k, x = self.at[queue], min(t - epoch[0], length)
+        a, b = self.taken(epoch, k, begin + x)
+        return x * (upper[k] - (upper[k - 1] if k else 0)) / length - (b - a)
+
     def cut(self, queue, first: int, last: int):
         """Of tokens [first, last) of a queue, the pieces (first, length, window, offset in it)."""
         k = self.at[queue]
@@ -227,21 +258,34 @@ def _wished(sizes: list[int], queues: list, targets: dict) -> list[float]:
     return [targets[q] if q in targets else max(rest, 1e-9) * n / others for q, n in zip(queues, sizes, strict=True)]
 
 
-def queued(docs: DataFrame, queue_column: str, targets: dict | None, max_queues: int) -> DataFrame:
-    """docs with the queue of each row: its source, or a hash of it where there are too many sources."""
-    source = F.coalesce(F.col(queue_column).cast("string"), F.lit(""))
-    many = docs.select(source.alias("q")).distinct().limit(max_queues + 1).count() > max_queues
-    if many:
-        shared = F.concat(F.lit("queue "), F.pmod(F.xxhash64(source), F.lit(max_queues)).cast("string"))
-        source = F.when(source.isin(list(targets or {})), source).otherwise(shared)
-    return docs.select("doc_id", "text", source.alias("queue"))
+def tempered(totals: dict, temperature: float) -> dict:
+    """Target shares in proportion to tokens ** temperature."""
+    powers = {q: float(n) ** temperature for q, n in totals.items()}
+    whole = sum(powers.values()) or 1.0
+    return {q: x / whole for q, x in powers.items()}
+
+
+def queued(docs: DataFrame, queue_column: str, targets: dict | None, max_queues: int = MAX_QUEUES, tail_queues: int = TAIL_QUEUES) -> DataFrame:
+    """docs with the queue of each row: its source, or the hash group of a small one."""
+    named = docs.select("doc_id", "text", F.coalesce(F.col(queue_column).cast("string"), F.lit("")).alias("queue"))
+    if named.select("queue").distinct().limit(max_queues + 1).count() <= max_queues:
+        return named  # all have queues of their own
+    wished = list(targets or {})
+    sizes = named.groupBy("queue").agg(F.sum(F.octet_length("text")).alias("n"))
+    own = sizes.where(~F.col("queue").isin(wished)).orderBy(F.desc("n"), "queue").limit(max_queues).select(F.col("queue").alias("__own"))
+    own = own.unionByName(sizes.where(F.col("queue").isin(wished)).select(F.col("queue").alias("__own")))
+    tail = F.concat(F.lit("\0tail "), F.pmod(F.xxhash64("queue"), F.lit(tail_queues)).cast("string"))
+    return named.join(F.broadcast(own), F.col("queue") == F.col("__own"), "left").select("doc_id", "text", F.coalesce("__own", tail).alias("queue"))
 
 
-def pack(docs: DataFrame, path: str | None = None, width: int = WIDTH, targets: dict | None = None, queue_column: str = "source", max_queues: int = MAX_QUEUES) -> DataFrame:
-    """PIECES: which tokens of which document stand where in which sequence."""
-    tokens = written(tokenized(queued(docs, queue_column, targets, max_queues), path or vocabulary()))
+def pack(docs: DataFrame, path: str | None = None, width: int = WIDTH, targets: dict | None = None, queue_column: str = "source", temperature: float = 1.0, max_queues: int = MAX_QUEUES, tail_queues: int = TAIL_QUEUES) -> DataFrame:
+    """PIECES: which tokens of which document stand where in which sequence. targets: wished shares by source (those without one
+    share the rest by size); without any, shares follow from the temperature."""
+    tokens = written(tokenized(queued(docs, queue_column, targets, max_queues, tail_queues), path or vocabulary()))
     sums = tokens.groupBy("queue", "task").agg(F.sum(F.col("doc_tokens").cast("long")).alias("n"))
     totals = {r["queue"]: r["n"] for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect()}
+    if not targets and temperature != 1.0:
+        targets = tempered(totals, temperature)
     plan = Plan(totals, targets, width)
     before = Window.partitionBy("queue").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select("queue", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("base"))

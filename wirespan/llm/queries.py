@@ -58,7 +58,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(table(spark, sf_dir, "documents"), temperature=packing.TEMPERATURE)
 
 
 QUERIES = {"op6_near_dedup": op6_near_dedup, "op4_substring_dedup": op4_substring_dedup, "op8_licenses": op8_licenses, "op9_language": op9_language, "op1_url_filter": op1_url_filter, "op2_quality": op2_quality, "op3_toxicity": op3_toxicity, "op5_packing": op5_packing, "op7_line_dedup": op7_line_dedup, "op10_decontaminate": op10_decontaminate}
