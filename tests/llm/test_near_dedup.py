@@ -72,7 +72,7 @@ def test_classes_against_brute_force(spark, seed):
     assert {r.doc_id: r.class_id for r in near_dedup.classes(docs).collect()} == want
     kept = sorted(r.doc_id for r in near_dedup.keep_first(docs).collect())
     assert kept == sorted(set(want.values()))
-    assert {r.doc_id: r.class_id for r in near_dedup.classes(docs, part=3).collect()} == want
+    assert {r.doc_id: r.class_id for r in near_dedup.classes(docs, few=3, block=4).collect()} == want
 
 
 def test_empty_and_null_ids(spark):
@@ -88,6 +88,28 @@ def test_unrelated_texts_of_null_or_repeated_ids_stay(spark):
     assert sorted(r.text for r in near_dedup.keep_first(docs).collect()) == ["a b c", "d e f", "g h i", "j k l"]
 
 
+def test_a_large_class_a_chain_and_a_very_long_text(spark):
+    """150 texts all alike, a chain of 40 whose ends share nothing, and a text of a million words with a near copy, amid copies."""
+    rng = random.Random(11)
+    body = [f"b{k}" for k in range(200)]
+    rows = []
+    for i in range(150):
+        rows.append(" ".join(body[: i % 10] + [f"x{i}"] + body[i % 10 :]))
+    for i in range(40):
+        rows.append(" ".join(f"c{k}" for k in range(10 * i, 10 * i + 104)))
+    rows += [rows[3]] * 50
+    order = list(range(len(rows)))
+    rng.shuffle(order)
+    rows = [(i, rows[k]) for i, k in enumerate(order)]
+    want = brute(rows)
+    assert len(set(want.values())) == 2
+    long = " ".join(f"v{k % 7919}x{k % 13}" for k in range(1_000_000))
+    rows += [(1000, long), (1001, long + " end"), (1002, None), (1003, "")]
+    want |= {1000: 1000, 1001: 1000, 1002: 1002, 1003: 1003}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r.doc_id: r.class_id for r in near_dedup.classes(docs).collect()} == want
+
+
 def test_template_documents_against_brute_force(spark):
     """Documents of one long template, cross similarity just under 0.8, with planted near-copies among them."""
     rng = random.Random(7)

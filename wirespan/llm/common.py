@@ -30,6 +30,17 @@ def same_row(a: DataFrame, b: DataFrame):
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_hash"] == b["text_hash"])
 
 
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], by: str, how: str = "left", heavy: int = 4096) -> DataFrame:
+    """left joined to right (one row for each key, with n: how many rows of left have it). A key with more than 1/heavy of all those rows
+    (at most heavy keys, so they are broadcast) is dealt by a hash of the column `by` into as many parts as it has such shares."""
+    share = (right.agg(F.sum("n")).first()[0] or 0) // heavy + 1
+    parted = right.withColumn("__parts", F.expr(f"cast((n + {share - 1}) div {share} as int)"))
+    large = F.broadcast(parted.where("__parts > 1").select(*on, "__parts"))
+    dealt = left.join(large, on, "left").withColumn("__part", F.coalesce(F.pmod(F.xxhash64(by), F.col("__parts")).cast("int"), F.lit(0))).drop("__parts")
+    copies = parted.withColumn("__part", F.explode(F.sequence(F.lit(0), F.greatest(F.col("__parts"), F.lit(1)) - 1))).drop("__parts", "n")
+    return dealt.join(copies, [*on, "__part"], how).drop("__part")
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES):
     """The batch in runs of rows with about `limit` bytes of text each; a longer text stands alone."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

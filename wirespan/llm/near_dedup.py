@@ -12,8 +12,7 @@ probability that is the weighted Jaccard similarity. Generation stops once all r
 and no process can still beat the latest of them.
 
 Links: texts equal in all characters become one node first, so copies cost a row each and no more.
-Nodes that share a band meet in a bucket. Each is compared to the bucket's first node, and then,
-where classes still differ, to its last and to the one before it (in its part of a large bucket), which
+Nodes that share a band meet in a bucket. Each is compared to the bucket's first node, which
 joins most of what belongs together at a cost in proportion to the bucket. Then every pair of a bucket whose
 classes still differ is verified, so no pair that meets is left out: as rows in a bucket of up to `few` nodes,
 and in a larger one by blocks of nodes whose common shingles are counted as a product of matrices. Only the
@@ -21,6 +20,8 @@ blocks' work grows with the square, and only of buckets where texts of several c
 with similarity just under 0.8); a block names one link for each text and other class. Pairs are verified on
 whole texts. With 24 bands of 4 two texts of similarity 0.8 share no bucket in 3 of a million cases.
 
+Frequent keys (a bucket, the first node of one, a text with many copies) are joined in parts.
+
 Defined cases: texts without words (null, empty, blank) are classes of their own. Null doc_ids take
 part; a class is named by its least doc_id that is not null. Rows with the same doc_id but other texts are
 nodes of their own. Empty tables give empty tables. Other columns are ignored.
@@ -34,14 +35,12 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirespan.llm.common import hashed, mixed, rolling, slices, words_of, written
+from wirespan.llm.common import discard, hashed, mixed, rolling, salted_join, slices, words_of, written
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 4
-#: Nodes of a bucket that are put in order together; a larger bucket is dealt into parts of about so many.
-PART = 256
 #: Buckets of up to so many nodes give their pairs as rows; larger ones are compared in blocks of about BLOCK
 #: nodes or BLOCK_BYTES of text against as many, COLUMNS shingles at a time.
 FEW, BLOCK, BLOCK_BYTES, COLUMNS = 32, 1024, 8 << 20, 2048
@@ -124,20 +123,19 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, shingle: int =
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node binary, keys array<long>, bytes long")
 
 
-def _texts(docs: DataFrame, reps: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, text) of the nodes, as a table. reps: (node, rep), a doc_id for each node. Texts are looked up
-    by doc_id and node, so that the rows of a large group of copies go to many tasks."""
-    ends = nodes.distinct().join(reps, "node").select(F.col("node").alias("__node"), "rep").hint("shuffle_hash")
+def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) of the nodes (node, rep), as a table. Texts are looked up by doc_id and node, so that the
+    rows of a large group of copies go to many tasks."""
+    ends = nodes.select(F.col("node").alias("__node"), "rep").hint("shuffle_hash")
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5("text")).alias("node"), "text")
     return written(named.join(ends, named["doc_id"].eqNullSafe(ends["rep"]) & (named["node"] == ends["__node"]), "left_semi").select("node", "text").dropDuplicates(["node"]))
 
 
-def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, least: float, shingle: int) -> DataFrame:
-    """Those of the pairs (a, b) whose texts are similar enough, as a table."""
-    texts = _texts(docs, reps, pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+def _verified(texts: DataFrame, pairs: DataFrame, least: float, shingle: int) -> DataFrame:
+    """Those of the pairs (a, b), a table, whose texts are similar enough, as a table. b's text travels with each pair, a's once for each part of a's pairs."""
+    right = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    left = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    both = salted_join(right, left, ["a"], "b", "inner").select("a", "b", "text_a", "text_b")
 
     def run(batches):
         @lru_cache(32)
@@ -207,29 +205,30 @@ def _across(least: float, shingle: int):
     return run
 
 
-def _rest(docs: DataFrame, reps: DataFrame, met: DataFrame, parts: DataFrame, known: DataFrame, least: float, shingle: int, few: int, block: int) -> DataFrame:
-    """The links among all pairs that meet in a bucket, have different roots and are not known. met: (band, key, node)."""
-    rooted = met.select("band", "key", "node", "bytes").join(parts, "node", "left").select("band", "key", "node", "bytes", F.coalesce("root", "node").alias("root"))
-    several = rooted.groupBy("band", "key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("size"), F.sum("bytes").alias("all")).where("r0 <> r1").select("band", "key", "size", "all")
-    left = written(rooted.join(several, ["band", "key"]))
+def _rest(texts: DataFrame, met: DataFrame, parts: DataFrame, known: DataFrame, least: float, shingle: int, few: int, block: int) -> DataFrame:
+    """The links among all pairs that meet in a bucket, have different roots and are not known. met: (band, key, node, bytes)."""
+    rooted = written(met.join(parts, "node", "left").select("band", "key", "node", "bytes", F.coalesce("root", "node").alias("root")))
+    several = rooted.groupBy("band", "key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("all")).where("r0 <> r1").select("band", "key", "n", F.col("n").alias("size"), "all")
+    several = written(several)
+    left = written(salted_join(rooted, several, ["band", "key"], "node", "inner"))
     small, large = left.where(F.col("size") <= few), left.where(F.col("size") > few)
     other = small.select("band", "key", F.col("node").alias("b"), F.col("root").alias("root_b"))
     pairs = small.select("band", "key", F.col("node").alias("a"), "root").join(other, ["band", "key"]).where("a < b and root <> root_b").select("a", "b").distinct()
     pairs = written(pairs.join(known, ["a", "b"], "left_anti"))
-    links = _verified(docs, reps, pairs, least, shingle)
-    if large.isEmpty():
-        return links
-    n = F.ceil(F.greatest(F.col("size") / block, F.col("all") / BLOCK_BYTES)).cast("int")
-    dealt = large.withColumn("n", n).withColumn("part", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
-    blocks = dealt.select("band", "key", "node", "root", "part", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("to"))
-    blocks = blocks.select("band", "key", F.least("part", "to").alias("i"), F.greatest("part", "to").alias("j"), "part", "node", "root")
-    texts = _texts(docs, reps, large.select("node"))
-    found = blocks.join(texts, "node").groupBy("band", "key", "i", "j").applyInArrow(_across(least, shingle), "a binary, b binary")
-    return written(links.union(found).distinct())
+    links = _verified(texts, pairs, least, shingle)
+    if not large.isEmpty():
+        n = F.ceil(F.greatest(F.col("size") / block, F.col("all") / BLOCK_BYTES)).cast("int")
+        dealt = large.withColumn("n", n).withColumn("part", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
+        blocks = dealt.select("band", "key", "node", "root", "part", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("to"))
+        blocks = blocks.select("band", "key", F.least("part", "to").alias("i"), F.greatest("part", "to").alias("j"), "part", "node", "root")
+        found = blocks.join(texts, "node").groupBy("band", "key", "i", "j").applyInArrow(_across(least, shingle), "a binary, b binary")
+        links = written(links.union(found).distinct())
+    discard(rooted, several, left, pairs)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root): the least node of each connected part, for all nodes of the links (a, b). Each round
+    """(node, root), a table: the least node of each connected part, for all nodes of the links (a, b). Each round
     hangs every node's larger neighbours, and then its smaller ones, on the least it knows, until nothing moves."""
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     while True:
@@ -239,48 +238,41 @@ def components(links: DataFrame) -> DataFrame:
         lows = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lows, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         following = written(small)
-        if following.exceptAll(edges).isEmpty() and edges.exceptAll(following).isEmpty():
-            break
+        same = following.exceptAll(edges).isEmpty() and edges.exceptAll(following).isEmpty()
+        discard(edges)
         edges = following
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
+        if same:
+            break
+    found = written(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct()))
+    discard(edges)
+    return found
 
 
-def classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE, part: int = PART, few: int = FEW, block: int = BLOCK) -> DataFrame:
-    """doc_id, node, class_id (the least doc_id of the class), n_links (verified links of the text to other texts), blank and root (the least
-    node of the class; null if blank) for each row. Only root tells classes apart: a class_id can be null, or shared by texts of one doc_id."""
+def classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE, few: int = FEW, block: int = BLOCK) -> DataFrame:
+    """doc_id, node, class_id (the least doc_id of the class), blank and root (the least node of the class; null if blank) for
+    each row. Only root tells classes apart: a class_id can be null, or shared by texts of one doc_id."""
     marked = written(signed(docs, bands, rows, shingle))
-    nodes = marked.where("keys is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("bytes").alias("bytes"))
-    reps = written(nodes.select("node", "rep"))
-    entries = written(nodes.select("node", "rep", "bytes", F.posexplode("keys").alias("band", "key")))
+    nodes = written(marked.where("keys is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("bytes").alias("bytes"), F.count(F.lit(1)).alias("n")))
+    entries = nodes.select("node", "rep", "bytes", F.posexplode("keys").alias("band", "key"))
     place = F.struct(F.col("rep").isNull(), "rep", "node")
-    buckets = entries.groupBy("band", "key").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count(F.lit(1)).alias("n")).where("first.node <> last.node")
-    met = written(entries.join(buckets, ["band", "key"]).select("band", "key", "node", "rep", "bytes", F.col("first.node").alias("first"), F.col("last.node").alias("last"), "n"))
-    pairs = met.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    pairs = written(pairs)
-    links = _verified(docs, reps, pairs, least, shingle)
-    parts = written(components(links))
-    named = met.join(parts, "node", "left").select("band", "key", "node", "rep", "last", "n", F.coalesce("root", "node").alias("root"))
-    before = Window.partitionBy("band", "key", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / part))).orderBy("rep", "node")
-    others = named.withColumn("prior", F.lag(F.struct("node", "root")).over(before))
-    lasts = parts.select(F.col("node").alias("last"), F.col("root").alias("last_root"))
-    to_last = others.where("node <> last").select("node", "root", "last").distinct().join(lasts, "last", "left").where("root <> coalesce(last_root, last)").select(F.least("node", "last").alias("a"), F.greatest("node", "last").alias("b"))
-    to_prior = others.where("root <> prior.root").select(F.least("node", "prior.node").alias("a"), F.greatest("node", "prior.node").alias("b"))
+    buckets = written(entries.groupBy("band", "key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "key", F.col("first.node").alias("first"), "n"))
+    met = written(salted_join(entries, buckets, ["band", "key"], "node", "inner"))
+    texts = _texts(docs, met.select("node", "rep").distinct())
+    pairs = written(met.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct())
+    links = _verified(texts, pairs, least, shingle)
+    parts = components(links)
     known = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = written(to_last.union(to_prior).distinct().join(known, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        links = written(links.union(_verified(docs, reps, more, least, shingle)).distinct())
-        parts = written(components(links))
-    rest = _rest(docs, reps, met, parts, known.union(more), least, shingle, few, block)
+    rest = _rest(texts, met, parts, known, least, shingle, few, block)
     if not rest.isEmpty():
-        links = written(links.union(rest).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        parts = written(components(links))
-    counts = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("n_links"))
-    rooted = nodes.select("node", "rep").join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = rooted.groupBy("root").agg(F.min("rep").alias("class_id"))
-    by_node = written(rooted.join(named, "root").join(counts, "node", "left").select("node", "rep", "root", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
-    return marked.select("doc_id", "node", F.col("keys").isNull().alias("blank")).join(by_node, "node", "left").select(
-        "doc_id", "node", F.when(F.col("blank"), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "blank", "root"
-    )
+        before, parts = parts, components(links.union(rest))
+        discard(before)
+    discard(buckets, met, texts, pairs, links, rest)
+    rooted = nodes.select("node", "rep", "n").join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = rooted.groupBy("root").agg(F.min("rep").alias("class_id"), F.count(F.lit(1)).alias("n"))
+    by_node = written(salted_join(rooted.withColumnRenamed("n", "copies"), written(named), ["root"], "node", "inner").select("node", "root", "class_id", F.col("copies").alias("n")))
+    words = salted_join(marked.where("keys is not null").select("doc_id", "node"), by_node, ["node"], "doc_id", "inner")
+    blank = marked.where("keys is null").select("doc_id", "node", F.col("doc_id").alias("class_id"), F.lit(True).alias("blank"), F.lit(None).cast("binary").alias("root"))
+    return words.select("doc_id", "node", "class_id", F.lit(False).alias("blank"), "root").unionByName(blank)
 
 
 def keep_first(docs: DataFrame, **params) -> DataFrame:

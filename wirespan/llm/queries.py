@@ -10,7 +10,7 @@ from wirespan.llm.common import table
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+    return near_dedup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
