@@ -35,9 +35,10 @@ def test_against_brute_force(spark):
     rng.shuffle(rows)
     docs = spark.createDataFrame([(i, t, "x", b"y") for i, t in rows], "doc_id long, text string, places string, slice binary").repartition(7)
     want = brute(rows)
-    for range_words in (3_000_000, 100):
-        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.digest(docs, range_words=range_words).collect()}
-        assert got == want
+    docs = docs.withColumn("range", docs["doc_id"]).withColumn("batch", docs["doc_id"]).withColumn("kind", docs["text"])
+    for range_words, fan_bits, slice_bytes in ((3_000_000, 8, 1 << 22), (600, 1, 2000), (300, 8, 9000)):
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.digest(docs, range_words=range_words, fan_bits=fan_bits, slice_bytes=slice_bytes).collect()}
+        assert got == want, (range_words, fan_bits)
 
 
 def test_repeated_rows_and_null_ids(spark):
@@ -50,10 +51,36 @@ def test_repeated_rows_and_null_ids(spark):
     assert kept == {5: "", 6: "end"}
 
 
-def test_slices_are_numbered_on_stored_rows(spark, monkeypatch):
-    plans, run = [], substring_dedup._round
-    monkeypatch.setattr(substring_dedup, "_round", lambda rows, reduce: (plans.append(rows._jdf.queryExecution().executedPlan().toString()), run(rows, reduce))[1])
-    text = " ".join(f"w{k}" for k in range(30))
-    docs = spark.createDataFrame([(5, text), (6, text + " end")], "doc_id long, text string")
-    substring_dedup.later_windows(docs).collect()
-    assert len(plans) == 2 and "MapInArrow" in plans[1] and "Exchange" not in plans[1]
+def test_a_repeated_task_cuts_the_same_slices_from_other_row_orders(spark, monkeypatch):
+    """Entries of both rounds, of a task whose rows come in two orders, and the digests."""
+    made, run = [], substring_dedup._round
+
+    def spied(docs, make, merge, width, *sizes):
+        rows = docs.coalesce(1).sortWithinPartitions("doc_id", "text_hash").mapInArrow(make(2, width), substring_dedup.PACKED)
+        made.append([tuple(r) for r in rows.collect()])
+        return run(docs, make, merge, width, *sizes)
+
+    monkeypatch.setattr(substring_dedup, "_round", spied)
+    rng = random.Random(8)
+    passage = [f"p{k}" for k in range(40)]
+    rows = [(i, " ".join([f"w{rng.randrange(99)}" for _ in range(60)] + passage + [f"e{i}"])) for i in range(60)] + [(7, "again")]
+    digests = []
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string").coalesce(1)
+        digests.append(sorted(map(tuple, substring_dedup.digest(docs).collect())))
+    assert made[0] == made[2] and made[1] == made[3] and len(made[1]) > 1
+    assert digests[0] == digests[1]
+
+
+def test_rows_grow_with_the_input_and_not_with_its_square(spark, monkeypatch):
+    """Twice the documents, with twice the slices and ranges: about twice the rows."""
+    rng = random.Random(9)
+    docs = spark.createDataFrame([(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(120))) for i in range(1200)], "doc_id long, text string").repartition(2)
+    counts, run = [], substring_dedup._dealt
+    monkeypatch.setattr(substring_dedup, "_dealt", lambda rows, *more: (counts.append(rows.count()), run(rows, *more))[1])
+    most = []
+    for n in (600, 1200):
+        counts.clear()
+        substring_dedup.later_windows(docs.where(f"doc_id < {n}"), range_words=400, fan_bits=2, slice_bytes=8000)
+        most.append(max(counts))
+    assert most[1] < 2.6 * most[0]
