@@ -92,19 +92,25 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
-def _canonical_sql(text: str) -> str:
-    plain = f"regexp_replace(regexp_replace(translate(coalesce({text}, ''), '{line_dedup.UPPER}', '{line_dedup.LOWER}'), '{licenses.OWNER}', '', 'g'), '{licenses.GAP}', ' ', 'g')"
-    equal = ", ".join(f"'{a}': '{b}'" for a, b in licenses.SPELLINGS.items())
-    return f"array_to_string(list_transform(list_filter(string_split({plain}, ' '), lambda w: w <> ''), lambda w: coalesce(MAP {{{equal}}}[w], w)), ' ')"
-
-
 def _quoted(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
+def _canonical_sql(text: str) -> str:
+    ends = "chr(13) || chr(133) || chr(8232) || chr(8233)"
+    made = f"translate(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {ends}, repeat(chr(10), 4))"
+    for pattern, by in ((licenses.OWNER, ""), (licenses.MARKER, r"\1"), (licenses.GAP, " ")):
+        made = f"regexp_replace({made}, {_quoted(pattern)}, '{by}', 'g')"
+    equal = ", ".join(f"'{a}': '{b}'" for a, b in licenses.SPELLINGS.items())
+    made = f"array_to_string(list_transform(list_filter(string_split({made}, ' '), lambda w: w <> ''), lambda w: coalesce(MAP {{{equal}}}[w], w)), ' ')"
+    for pattern, by in licenses.FILLED:
+        made = f"regexp_replace({made}, {_quoted(pattern)}, '{by}', 'g')"
+    return made
+
+
 OP8_SQL = f"""
 WITH known(license, text) AS (VALUES {", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in licenses.KNOWN)}),
-digests AS (SELECT sha256({_canonical_sql("text")}) AS digest, min(license) AS license FROM known GROUP BY 1)
+digests AS (SELECT digest, min(license) AS license FROM (SELECT sha256({_canonical_sql("text")}) AS digest, license FROM known UNION ALL SELECT * FROM (VALUES {", ".join(f"('{d}', '{n}')" for n, d in licenses.DIGESTS)}) z(digest, license)) GROUP BY 1)
 SELECT doc_id, d.digest, license FROM (SELECT doc_id, sha256({_canonical_sql("text")}) AS digest FROM documents) d LEFT JOIN digests k ON d.digest = k.digest
 """
 
