@@ -67,6 +67,16 @@ def test_save_and_load(spark, saved):
 def test_filters_reach_every_branch(spark, saved):
     """A filter on a net is pushed into a scan in each branch of the composite views."""
     design = Design.load(spark, saved)
-    for view, column, branches in ((views.driver, "signal_net_id", 5), (views.load, "signal_net_id", 8), (views.net_attachment, "net_id", 10)):
+    for view, column, branches in ((views.driver, "signal_net_id", 5), (views.load, "signal_net_id", 8), (views.net_attachment, "net_id", 10), (views.net_dep, "tgt_net_id", 1), (views.net_conn, "outer_net_id", 1)):
         plan = view(design).where(f"{column} = 20000001")._jdf.queryExecution().executedPlan().toString()
         assert len(re.findall(r"PushedFilters: \[[^\]]*EqualTo\(\w+,20000001\)", plan)) >= branches, view
+
+
+def test_edges_join_no_names_statements_or_files(spark, saved):
+    from wirespan.operators import closure
+
+    design = Design.load(spark, saved)
+    for edges in (closure.fan_in_edges, closure.fan_out_edges):
+        plan = edges(design)._jdf.queryExecution().optimizedPlan().toString()
+        assert "name#" not in plan and "path#" not in plan and "stmt_kind#" not in plan
+        assert plan.count("Join") <= 12

@@ -7,6 +7,7 @@ loop: join the frontier to the edges, drop what has been seen, write the rest. A
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,27 +39,29 @@ def reached(edges: DataFrame, seeds: DataFrame, max_rounds: int | None = None) -
 
 def fan_in_edges(tables: Mapping[str, DataFrame], call_site: DataFrame | None = None) -> DataFrame:
     """From each net to its drivers. call_site: one id; edges of other call sites are left out, so calls do not mix."""
-    return _edges(views.driver(tables), "driver_net_id", call_site)
+    return _edges(tables, "signal", "driver", call_site)
 
 
 def fan_out_edges(tables: Mapping[str, DataFrame], call_site: DataFrame | None = None) -> DataFrame:
-    return _edges(views.load(tables), "load_net_id", call_site)
+    """From each net to its loads: the same edges, turned around."""
+    return _edges(tables, "driver", "signal", call_site)
 
 
-def _edges(view: DataFrame, other: str, call_site: DataFrame | None) -> DataFrame:
+def _edges(tables: Mapping[str, DataFrame], src: str, dst: str, call_site: DataFrame | None) -> DataFrame:
+    """Of ids alone: the views' names and places are not joined."""
+    arcs = views.driving(tables)
     if call_site is not None:
-        free = view.where("call_site_id is null")
-        view = free.unionByName(view.join(call_site.select(F.col("call_site_id")).distinct(), "call_site_id", "left_semi"))
-    return view.select(F.col("signal_net_id").alias("src"), F.col(other).alias("dst"))
+        arcs = arcs.where("call_site_id is null").unionByName(arcs.join(call_site.select("call_site_id").distinct(), "call_site_id", "left_semi"))
+    return arcs.select(F.col(src).alias("src"), F.col(dst).alias("dst"))
 
 
 def nearest(tree: DataFrame, targets: DataFrame, include_self: bool = False) -> DataFrame:
     """(node, ancestor): for each node of a tree (id, parent) the nearest ancestor that is in targets (id); null
-    where there is none. include_self: a node that is a target is its own."""
+    where there is none, and where parents go round in a circle. include_self: a node that is a target is its own."""
     tree = written(tree.select("id", "parent").join(targets.select(F.col("id").alias("t")).distinct(), F.col("id") == F.col("t"), "left").select("id", "parent", F.col("t").isNotNull().alias("hit")))
     at = tree.select(F.col("id").alias("node"), F.when(F.lit(include_self) & F.col("hit"), F.col("id")).alias("ancestor"), F.col("parent").alias("next"))
     up = tree.select(F.col("id").alias("u"), F.col("parent").alias("u_parent"), F.col("hit").alias("u_hit"))
-    done = []
+    done, rounds = [], tree.count()
     while True:
         at = written(at)
         ended = F.col("ancestor").isNotNull() | F.col("next").isNull()
@@ -66,8 +69,18 @@ def nearest(tree: DataFrame, targets: DataFrame, include_self: bool = False) ->
         rest = at.where(~ended)
         if rest.isEmpty():
             break
+        rounds -= 1
+        if rounds < 0 or (done[-1].isEmpty() and _circles(rest, tree)):
+            done.append(rest.select("node", F.lit(None).cast("long").alias("ancestor")))
+            break
         at = rest.join(up, F.col("next") == F.col("u"), "left").select("node", F.when(F.col("u_hit"), F.col("u")).alias("ancestor"), F.col("u_parent").alias("next"))
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+    return reduce(DataFrame.unionByName, done)
+
+
+def _circles(rest: DataFrame, tree: DataFrame) -> bool:
+    """Whether no node that is still sought from can end: the nodes above those left are all among themselves, without a target or an end."""
+    at = rest.select(F.col("next").alias("n")).distinct()
+    above = at.join(tree, F.col("n") == F.col("id"), "left").select("n", "parent", F.coalesce("hit", F.lit(False)).alias("hit"))
+    open_ends = above.where("hit or parent is null")
+    left = above.select("parent").where("parent is not null").join(at, F.col("parent") == F.col("n"), "left_anti")
+    return open_ends.isEmpty() and left.isEmpty()

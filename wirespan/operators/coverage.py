@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wirespan.operators import views
@@ -49,28 +49,32 @@ def sourceless(t: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def resolution(t: Mapping[str, DataFrame]) -> DataFrame:
-    """References by access: how many name a net."""
-    split = t["hier_ref"].groupBy("access").agg(F.count("resolved_net_id").alias("resolved"), F.count(F.lit(1)).alias("refs"))
-    return split.select("access", "resolved", "refs")
+    """One row: references that name a net, those that name an instance only, all of them, and the percentage of the first."""
+    net, inst = F.col("resolved_net_id").isNotNull(), F.col("resolved_inst_id").isNotNull()
+    counted = t["hier_ref"].agg(F.count("resolved_net_id").alias("to_net"), F.count(F.when(inst & ~net, 1)).alias("to_instance_only"), F.count(F.lit(1)).alias("refs"))
+    return counted.withColumn("percent", _percent("to_net", "refs"))
+
+
+def _percent(part: str, whole: str) -> Column:
+    return F.when(F.col(whole) > 0, F.round(100.0 * F.col(part) / F.col(whole), 2)).otherwise(0.0)
 
 
 def undriven(t: Mapping[str, DataFrame]) -> DataFrame:
     """Nets that nothing drives. An input, inout or ref pin of a root counts as driven by its terminal."""
-    return t["net"].join(views.driver(t).select(F.col("signal_net_id").alias("id")).distinct(), "id", "left_anti").select(F.col("id").alias("net_id"), "inst_id", F.col("name").alias("net_name"))
+    return t["net"].join(views.driven(t).select(F.col("net_id").alias("id")).distinct(), "id", "left_anti").select(F.col("id").alias("net_id"), "inst_id", F.col("name").alias("net_name"))
 
 
 def unused(t: Mapping[str, DataFrame]) -> DataFrame:
-    return t["net"].join(views.load(t).select(F.col("signal_net_id").alias("id")).distinct(), "id", "left_anti").select(F.col("id").alias("net_id"), "inst_id", F.col("name").alias("net_name"))
+    return t["net"].join(views.read(t).select(F.col("net_id").alias("id")).distinct(), "id", "left_anti").select(F.col("id").alias("net_id"), "inst_id", F.col("name").alias("net_name"))
 
 
 def undriven_split(t: Mapping[str, DataFrame]) -> DataFrame:
-    """Undriven nets, and how many of them are inputs (or inouts) of roots or inside."""
-    roots = t["tree_node"].where("node_kind = 'root'").select(F.col("id").alias("inst_id"))
-    pins = t["term"].where(F.col("direction").isin("input", "inout")).join(roots, "inst_id", "left_semi").select(F.col("id").alias("term_id"))
-    inputs = t["term_map"].join(pins, "term_id", "left_semi").select(F.col("inner_net_id").alias("net_id")).distinct().withColumn("pin", F.lit(1))
-    driven = views.driver(t).where("driver_kind <> 'terminal'").select(F.col("signal_net_id").alias("net_id")).distinct()
-    bare = t["net"].select(F.col("id").alias("net_id")).join(driven, "net_id", "left_anti").join(inputs, "net_id", "left")
-    return bare.agg(F.count(F.lit(1)).alias("undriven"), F.count("pin").alias("root_inputs"), F.sum(F.when(F.col("pin").isNull(), 1).otherwise(0)).cast("long").alias("internal"))
+    """One row: undriven nets, those of them inside (not an input or inout of a root), how many nets are such inputs (the world drives those), all nets, and the percentage inside."""
+    inputs = views.root_pins(t, ("input", "inout")).distinct()
+    nets = t["net"].select(F.col("id").alias("net_id")).join(views.driven(t).distinct().withColumn("driven", F.lit(1)), "net_id", "left").join(inputs.withColumn("pin", F.lit(1)), "net_id", "left")
+    bare = F.col("driven").isNull()
+    counted = nets.agg(F.count(F.when(bare, 1)).alias("all_undriven"), F.count(F.when(bare & F.col("pin").isNull(), 1)).alias("internal"), F.count("pin").alias("root_inputs"), F.count(F.lit(1)).alias("nets"))
+    return counted.withColumn("percent", _percent("internal", "nets"))
 
 
 def expansion(t: Mapping[str, DataFrame]) -> DataFrame:
@@ -80,10 +84,26 @@ def expansion(t: Mapping[str, DataFrame]) -> DataFrame:
     return counted.select("occurrences", "variants", F.when(F.col("variants") > 0, F.round(F.col("occurrences") / F.col("variants"), 2)).otherwise(0.0).alias("ratio"))
 
 
-def report(t: Mapping[str, DataFrame], names: list[str], as_json: bool = False) -> str:
-    """All metrics as text; each is a few rows."""
-    parts = {"rows": row_counts(t, names), "inexact": inexact(t), "dropped": dropped(t), "sourceless": sourceless(t), "references": resolution(t), "undriven": undriven_split(t), "expansion": expansion(t)}
+META = "schema_version analysis_status tool_version slang_version producer_revision config_digest top error_count unresolved_count empty_procedure_count duplicate_path_count".split()
+
+
+def meta(t: Mapping[str, DataFrame]) -> DataFrame:
+    """One row: the keys of META, null where one is missing."""
+    return t["meta"].agg(*(F.max(F.when(F.col("key") == k, F.col("value"))).alias(k) for k in META))
+
+
+def bytes_of(spark: SparkSession, path: str) -> int:
+    """The size of all files of a saved design."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()
+
+
+def report(t: Mapping[str, DataFrame], names: list[str], as_json: bool = False, path: str | None = None) -> str:
+    """All metrics as text; each is a few rows. path: where the design is saved, for its size."""
+    parts = {"meta": meta(t), "rows": row_counts(t, names), "inexact": inexact(t), "dropped": dropped(t), "sourceless": sourceless(t), "references": resolution(t), "undriven": undriven_split(t), "expansion": expansion(t)}
     found = {k: [r.asDict() for r in df.collect()] for k, df in parts.items()}
+    if path:
+        found["bytes"] = [{"bytes": bytes_of(t["meta"].sparkSession, path)}]
     if as_json:
         return json.dumps(found, indent=1)
     return "\n".join(f"{k}: " + ", ".join(f"{c}={v}" for c, v in row.items()) for k, rows in found.items() for row in rows)

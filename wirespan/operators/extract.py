@@ -86,6 +86,19 @@ def windows_from_right(parts: DataFrame, key: str = "term_id") -> DataFrame:
     return parts.withColumn("lo", lo).withColumn("hi", F.col("lo") + F.col("width") - 1)
 
 
+def term_maps(ports: DataFrame, parts: DataFrame) -> DataFrame:
+    """Rows of term_map. ports: (term_id, expr_net_id, symbol_net_id): a port stands for the net of its internal expression, else of
+    its internal symbol, as a whole. parts: (term_id, ordinal, net_id, lo, hi, exact, width): a port made of several expressions has a row for each, with the
+    window of the terminal it fills, from the right. Ports with neither have none; one with parts is not mapped as a whole."""
+    null = F.lit(None).cast("long")
+    single = ports.join(parts.select("term_id").distinct(), "term_id", "left_anti").withColumn("inner_net_id", F.coalesce("expr_net_id", "symbol_net_id")).where("inner_net_id is not null")
+    whole = single.select("term_id", F.lit(0).cast("long").alias("ordinal"), "inner_net_id", null.alias("term_lo"), null.alias("term_hi"), F.lit(1).alias("term_exact"), null.alias("inner_lo"), null.alias("inner_hi"), F.lit(1).alias("inner_exact"), F.lit(1).alias("map_exact"))
+    placed = windows_from_right(parts.withColumnsRenamed({"lo": "inner_lo", "hi": "inner_hi"}))
+    exact = F.col("exact").cast("int")
+    made = placed.select("term_id", F.col("ordinal").cast("long").alias("ordinal"), F.col("net_id").alias("inner_net_id"), F.col("lo").alias("term_lo"), F.col("hi").alias("term_hi"), F.lit(1).alias("term_exact"), "inner_lo", "inner_hi", exact.alias("inner_exact"), exact.alias("map_exact"))
+    return whole.unionByName(made)
+
+
 def copies(segments: DataFrame) -> DataFrame:
     """A replicated segment ({n{x}}), once for each copy; lo and hi move up by its width."""
     each = segments.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times").cast("long") - 1)))

@@ -20,9 +20,20 @@ def of_nets(view: DataFrame, nets: list[int] | DataFrame, column: str = "signal_
 
 
 def multi_driven(t: Tables) -> DataFrame:
-    """Nets with several drivers, other than constants, pins and aliases."""
-    real = views.driver(t).where(~F.col("driver_kind").isin("alias", "constant", "terminal", "system_task", "external"))
-    return real.groupBy("signal_net_id").agg(F.count(F.lit(1)).alias("n_drivers"), F.countDistinct("driver_net_id").alias("n_nets")).where("n_drivers > 1")
+    """Nets with several drivers, other than constants, pins and aliases. Of ids alone; a dependency without a source counts
+    if it is neither a constant, nor a system task's, nor an unresolved reference's."""
+    d = t["net_dep"].where("dep_kind <> 'alias'")
+    tasks = t["stmt"].where("stmt_kind = 'system_task'").select(F.col("id").alias("stmt_id"))
+    bare = d.where("src_net_id is null and src_hier_ref_id is null and dep_kind <> 'data'").join(tasks, "stmt_id", "left_anti").select(F.col("tgt_net_id").alias("signal"), F.col("src_net_id").alias("driver"))
+    arcs = views.driving(t).where("conn_kind <> 'constant'").select("signal", "driver")
+    lone = views.conn_arc(t).where(F.col("outer_net_id").isNull() & (F.col("conn_kind") != "constant") & F.col("direction").isin(*views.INTO)).select(F.col("inner_net_id").alias("signal"), F.col("outer_net_id").alias("driver"))
+    real = d.where("src_net_id is not null").select(F.col("tgt_net_id").alias("signal"), F.col("src_net_id").alias("driver")).union(bare).union(arcs).union(lone)
+    return real.groupBy(F.col("signal").alias("signal_net_id")).agg(F.count(F.lit(1)).alias("n_drivers"), F.countDistinct("driver").alias("n_nets")).where("n_drivers > 1")
+
+
+def by_name(t: Tables, pattern: str) -> DataFrame:
+    """Nets whose name is like a pattern (% and _), whatever the case."""
+    return t["net"].where(F.col("name").ilike(pattern)).select(F.col("id").alias("net_id"), "inst_id", F.col("name").alias("net_name"))
 
 
 def by_parameter(t: Tables, name: str, value: str) -> DataFrame:
@@ -37,7 +48,7 @@ def forced(t: Tables) -> DataFrame:
 
 def two_way(t: Tables, by: str) -> DataFrame:
     """Pairs of nets that drive each other by the same statement, primitive or connection (by: stmt_id, prim_id or conn_id)."""
-    arcs = views.driver(t).where(F.col(by).isNotNull() & F.col("driver_net_id").isNotNull()).select(by, F.col("driver_net_id").alias("a"), F.col("signal_net_id").alias("b")).distinct()
+    arcs = views.driving(t).where(F.col(by).isNotNull()).select(by, F.col("driver").alias("a"), F.col("signal").alias("b")).distinct()
     back = arcs.select(F.col(by).alias("__by"), F.col("a").alias("__a"), F.col("b").alias("__b"))
     return arcs.join(back, (F.col(by) == F.col("__by")) & (F.col("a") == F.col("__b")) & (F.col("b") == F.col("__a")) & (F.col("a") < F.col("b")), "left_semi")
 

@@ -11,9 +11,12 @@ from wirespan.functions.tables import written
 
 
 def normal_path(path: Column) -> Column:
-    """A written path without comments, white space and trailing selects."""
+    """A written path without comments, white space and trailing selects, which may hold selects themselves (three deep)."""
     bare = F.regexp_replace(F.regexp_replace(path, r"(?s)/\*.*?\*/", ""), r"//[^\n]*", "")
-    return F.regexp_replace(F.regexp_replace(bare, r"\s+", ""), r"(\[[^\[\]]*\])+$", "")
+    select = r"\[[^\[\]]*\]"
+    for _ in range(2):
+        select = rf"\[(?:[^\[\]]|{select})*\]"
+    return F.regexp_replace(F.regexp_replace(bare, r"\s+", ""), rf"(?:{select})+$", "")
 
 
 def segments(path: Column) -> Column:
@@ -43,13 +46,41 @@ def descend(tree: DataFrame, wanted: DataFrame) -> DataFrame:
         at = below.unionByName(top).select("key", F.col("child").alias("node"), tail.alias("names"), F.lit(False).alias("top"))
 
 
+def plan(refs: DataFrame, tables: Mapping[str, DataFrame]) -> DataFrame:
+    """(id, resolve_kind, segs) for references (id, inst_id, path): package (written with ::), iface_term (the first name is an interface
+    terminal of the instance), downward (a node or net of the instance), absolute (a root, or $root), else none: an upward name of a shared body has no one answer."""
+    path = normal_path(F.col("path"))
+    split = refs.select("id", "inst_id", F.contains(path, F.lit("::")).alias("scoped"), segments(F.regexp_replace(path, "::", ".")).alias("segs"))
+    split = split.withColumn("first", F.try_element_at("segs", F.lit(1)))
+    found = lambda df, own, name, flag: df.select(F.col(own).alias(f"__{flag}"), F.col(name).alias(f"__{flag}_name")).distinct()
+    terms = found(tables["term"].where("term_kind = 'interface'"), "inst_id", "name", "term")
+    below = found(tables["tree_node"].select(F.col("parent_node_id").alias("p"), "name").union(tables["net"].select("scope_node_id", "name")), "p", "name", "below")
+    roots = tables["tree_node"].where("parent_node_id is null and node_kind = 'root'").select(F.col("name").alias("__root")).distinct()
+    out = split.join(terms, (F.col("inst_id") == F.col("__term")) & (F.col("first") == F.col("__term_name")), "left").join(below, (F.col("inst_id") == F.col("__below")) & (F.col("first") == F.col("__below_name")), "left").join(roots, F.col("first") == F.col("__root"), "left")
+    kind = F.when(F.col("scoped"), "package").when(F.col("__term").isNotNull(), "iface_term").when(F.col("__below").isNotNull(), "downward").when(F.col("__root").isNotNull() | (F.col("first") == "$root"), "absolute").otherwise("none")
+    return out.select("id", kind.alias("resolve_kind"), "segs")
+
+
+def through_interface(refs: DataFrame, bindings: DataFrame, tables: Mapping[str, DataFrame]) -> DataFrame:
+    """(id, resolved_inst_id, resolved_net_id) of references (id, inst_id, path) whose first name is an interface terminal: the rest of the
+    path is followed from the instance it is bound to. bindings: (term_id, bound_inst_id), as stamp.interface_bindings gives."""
+    names = segments(normal_path(F.col("path")))
+    terms = tables["term"].where("term_kind = 'interface'").join(bindings, F.col("id") == F.col("term_id")).where("bound_inst_id is not null").select(F.col("inst_id").alias("__inst"), F.col("name").alias("__name"), "bound_inst_id")
+    split = written(refs.select("id", "inst_id", names.alias("names")).join(terms, (F.col("inst_id") == F.col("__inst")) & (F.element_at("names", 1) == F.col("__name"))).where("size(names) > 1").select("id", "bound_inst_id", "names"))
+    wanted = split.select(F.col("id").alias("key"), F.col("bound_inst_id").alias("start"), F.expr("slice(names, 2, size(names) - 2)").alias("names"))
+    ends = descend(tables["tree_node"].select("id", F.col("parent_node_id").alias("parent"), "name"), wanted).where("node is not null")
+    nets = tables["net"].groupBy("scope_node_id", "name").agg(F.min(F.struct("id", "inst_id")).alias("net"))
+    found = ends.join(split.select("id", F.element_at("names", -1).alias("last")), F.col("key") == F.col("id")).join(nets, (F.col("node") == F.col("scope_node_id")) & (F.col("last") == F.col("name")))
+    return refs.select("id").join(found.select("id", "net"), "id", "left").select("id", F.col("net.inst_id").alias("resolved_inst_id"), F.col("net.id").alias("resolved_net_id"))
+
+
 def references(refs: DataFrame, tables: Mapping[str, DataFrame]) -> DataFrame:
     """(id, resolved_inst_id, resolved_net_id) for references (id, inst_id, path), the last name of which is a net.
 
-    A path is followed from the roots, else from its instance downwards; what is not found is null.
+    A path is followed from the roots (or packages, written with ::), else from its instance downwards; what is not found is null.
     """
     tree = tables["tree_node"].select("id", F.col("parent_node_id").alias("parent"), "name")
-    names = segments(normal_path(F.col("path")))
+    names = segments(F.regexp_replace(normal_path(F.col("path")), "::|^\\$root[.]", "."))
     split = written(refs.select("id", "inst_id", names.alias("names")).where(F.size("names") > 0))
     heads = F.expr("slice(names, 1, size(names) - 1)")
     wanted = split.select(F.struct("id", F.lit(1).alias("way")).alias("key"), F.lit(None).cast("long").alias("start"), heads.alias("names")).unionByName(split.select(F.struct("id", F.lit(0).alias("way")).alias("key"), F.col("inst_id").alias("start"), heads.alias("names")))

@@ -63,3 +63,60 @@ def slot_pairs(targets: DataFrame, sources: DataFrame, key: str = "stmt_id") ->
     met = t.join(s, (F.col(key) == F.col("__key")) & ranges.overlap(F.col("tgt_lo"), F.col("tgt_hi"), F.col("src_lo"), F.col("src_hi")))
     lo, hi = ranges.common(F.col("tgt_lo"), F.col("tgt_hi"), F.col("src_lo"), F.col("src_hi"))
     return met.select(key, "tgt_id", "src_id", lo.alias("lo"), hi.alias("hi"))
+
+
+def interface_bindings(ports: DataFrame) -> DataFrame:
+    """(term_id, bound_inst_id) for interface terminals (term_id, child_inst_id, via_term_id): a terminal is bound to an instance beside
+    its own (child_inst_id) or passed on from a terminal of the instance above (via_term_id), which may be passed on itself. null where
+    the chain leaves the design, breaks off or goes round. Each round doubles how far a terminal looks, so there are log(depth) rounds."""
+    at = ports.select("term_id", F.col("child_inst_id").alias("bound_inst_id"), F.when(F.col("child_inst_id").isNull(), F.col("via_term_id")).alias("via"))
+    rounds = 0
+    while True:
+        at = written(at)
+        if rounds > 40 or at.where("via is not null").isEmpty():
+            return at.select("term_id", "bound_inst_id")
+        above = at.select(F.col("term_id").alias("a"), F.col("bound_inst_id").alias("a_bound"), F.col("via").alias("a_via"))
+        at = at.join(above, F.col("via") == F.col("a"), "left").select("term_id", F.coalesce("bound_inst_id", "a_bound").alias("bound_inst_id"), F.when(F.col("via") != F.coalesce("a_via", F.lit(-1)), F.col("a_via")).alias("via"))
+        rounds += 1
+
+
+def pass_through(ports: DataFrame) -> DataFrame:
+    """How each interface connection (term_id, child_inst_id, via_term_id) is bound: sibling, own port, or external (neither)."""
+    way = F.when(F.col("child_inst_id").isNotNull(), "sibling").when(F.col("via_term_id").isNotNull(), "own port").otherwise("external")
+    return ports.select("term_id", way.alias("binding"))
+
+
+AT = ("file_id", "line", "col")
+
+
+def unresolved(children: DataFrame, ports: DataFrame, conns: DataFrame, last_term: int = 0, last_conn: int = 0) -> dict[str, DataFrame]:
+    """Rows of black boxes: tree_node, inst, term, net_conn. children: (id, parent_node_id, parent_inst_id, name, def_name, ordinal, file_id,
+    line, col); ports: (inst_id, ordinal, name), one for each connection written; conns: (inst_id, port_ordinal, ordinal, conn_kind and the outer columns of net_conn).
+    A terminal has no direction and a connection no terminal window of its own; a connection of a port that is not there is dropped.
+    New ids follow last_term and last_conn in the order of instance and port."""
+    null = F.lit(None).cast("long")
+    nodes = children.select("id", "parent_node_id", "name", F.lit("unresolved").alias("node_kind"), "ordinal")
+    insts = children.select("id", null.alias("module_id"), "parent_inst_id", F.lit(None).cast("string").alias("param_signature"), F.col("def_name").alias("unresolved_def"), *AT)
+    own = ports.join(children.select(F.col("id").alias("inst_id"), *AT), "inst_id")
+    numbered = bases(own.withColumn("n", F.lit(1)), ["inst_id", "ordinal"], ["n"]).withColumn("id", F.col("base_n") + last_term + 1)
+    terms = numbered.select("id", "inst_id", "name", F.lit("signal").alias("term_kind"), F.lit(None).cast("string").alias("direction"), null.alias("data_type_id"), null.alias("width"), "ordinal", F.lit(None).cast("int").alias("is_const"), F.lit(None).cast("string").alias("modport"), *AT)
+    of = terms.select("inst_id", F.col("ordinal").alias("port_ordinal"), F.col("id").alias("term_id"))
+    joined = bases(conns.join(of, ["inst_id", "port_ordinal"]).withColumn("n", F.lit(1)), ["inst_id", "port_ordinal", "ordinal"], ["n"])
+    return {"tree_node": nodes, "inst": insts, "term": terms, "net_conn": joined.withColumn("id", F.col("base_n") + last_conn + 1).drop("n", "base_n", "inst_id", "port_ordinal")}
+
+
+def packages(given: DataFrame, members: DataFrame, last_module: int = 0, last_node: int = 0, last_net: int = 0) -> dict[str, DataFrame]:
+    """Packages as occurrences above the roots: module, tree_node, inst, net. given: (package, ordinal, file_id, line, col); members:
+    (package, ordinal, name, kind, decl_kind, data_type_id, width, is_implicit, file_id, line, col). The package std and nameless ones are left
+    out, as are members without a name or other than variables and nets. Nothing drives a net here: who reads and writes it are references."""
+    real = bases(given.where("package <> '' and package <> 'std'").withColumn("n", F.lit(1)), ["ordinal", "package"], ["n"])
+    real = real.withColumns({"module_id": F.col("base_n") + last_module + 1, "id": F.col("base_n") + last_node + 1})
+    null, text = F.lit(None).cast("long"), F.lit(None).cast("string")
+    own = members.where("name <> '' and kind in ('variable', 'net')").join(real.select("package", F.col("id").alias("inst_id")), "package")
+    nets = bases(own.withColumn("n", F.lit(1)), ["inst_id", "ordinal", "name"], ["n"])
+    return {
+        "module": real.select(F.col("module_id").alias("id"), F.col("package").alias("name"), F.lit("package").alias("def_kind"), *AT),
+        "tree_node": real.select("id", null.alias("parent_node_id"), F.col("package").alias("name"), F.lit("package").alias("node_kind"), F.col("base_n").alias("ordinal")),
+        "inst": real.select("id", "module_id", null.alias("parent_inst_id"), text.alias("param_signature"), text.alias("unresolved_def"), *AT),
+        "net": nets.select((F.col("base_n") + last_net + 1).alias("id"), "inst_id", F.col("inst_id").alias("scope_node_id"), "name", "decl_kind", "data_type_id", "width", "is_implicit", *AT),
+    }

@@ -1,11 +1,16 @@
-"""The rules a design must meet. Each is a SELECT of what breaks it (column what, no rows if it holds), over
-the tables and views in braces; {nearest} is (node, ancestor), the nearest instance above each node."""
+"""The rules a design must meet.
+
+A rule is a condition of a broken row, over a frame: a table, a view, or a join of some (FRAMES). All rules of a frame
+are judged in one pass over it: each row gives the names of the rules it breaks. References (K4) are one anti join of all
+references of all tables with all ids. Rules about counts compare totals. A condition that is null breaks nothing.
+"""
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,184 +27,228 @@ BOOLEANS = [
     ("net", "is_implicit"), ("term", "is_const"), ("term_map", "term_exact"), ("term_map", "inner_exact"), ("term_map", "map_exact"), ("net_conn", "outer_exact"), ("net_conn", "term_exact"), ("net_conn", "map_exact"),
     ("stmt_target", "is_exact"), ("assign_operand", "is_exact"), ("expr_ref", "is_exact"), ("net_dep", "src_exact"), ("net_dep", "tgt_exact"), ("net_dep", "map_exact"), ("hier_ref", "is_exact"),
 ]
-_LOCATED = ("module", "inst", "prim", "net", "term", "net_conn", "proc", "stmt", "proc_event", "hier_ref")
-_ID = "CAST({0} AS STRING) AS what"
-
-
-def _words(words: str) -> str:
-    return ", ".join(f"'{w}'" for w in words.split())
-
-
-def _bad(table: str, where: str, key: str = "id") -> str:
-    return f"SELECT {_ID.format(key)} FROM {{{table}}} x WHERE {where}"
-
-
-def _all(parts) -> str:
-    return "\nUNION ALL ".join(parts)
-
-
-def _key(table: str) -> str:
-    return {"inst_param": "inst_id", "term_map": "term_id"}.get(table, "id")
-
-
-def _fact(view: str, table: str) -> str:
-    return f"SELECT '{view}' AS what FROM (SELECT count(*) AS n FROM {{{view}}} x) a CROSS JOIN (SELECT count(*) AS m FROM {{{table}}} y) b WHERE n <> m"
-
-
-def _equal(name: str, one: str, *others: str) -> str:
-    """Whether the count of one is the sum of the counts of others (each what follows FROM)."""
-    total = _all(f"SELECT count(*) AS m FROM {o}" for o in others)
-    return f"SELECT '{name}' AS what FROM (SELECT count(*) AS n FROM {one}) a CROSS JOIN (SELECT sum(m) AS m FROM ({total}) c) b WHERE n <> m"
-
+LOCATED = ("module", "inst", "prim", "net", "term", "net_conn", "proc", "stmt", "proc_event", "hier_ref")
+REQUIRED = "schema_version analysis_status error_count unresolved_count empty_procedure_count duplicate_path_count tool tool_version slang_version producer_revision config_digest".split()
+NUMBERS = "error_count unresolved_count empty_procedure_count duplicate_path_count".split()
+STATUSES = "complete partial hierarchy_only".split()
+
+#: Joins that rules are judged on: id (what a broken row is named by) and the columns the conditions read.
+FRAMES = {
+    "node": """SELECT n.id, n.node_kind AS kind, n.parent_node_id AS parent, i.id AS inst, p.id AS prim, i.module_id, i.unresolved_def, i.param_signature, i.parent_inst_id, p.inst_id AS prim_inst, a.ancestor, coalesce(s.signature, '') AS signature
+  FROM {tree_node} n LEFT JOIN {inst} i ON i.id = n.id LEFT JOIN {prim} p ON p.id = n.id LEFT JOIN {nearest} a ON a.node = n.id LEFT JOIN {signatures} s ON s.inst_id = i.id""",
+    "scoped": "SELECT x.id, x.inst_id, CASE WHEN i.id IS NOT NULL THEN i.id ELSE a.ancestor END AS owner FROM (SELECT id, scope_node_id, inst_id FROM {net} UNION ALL SELECT id, scope_node_id, inst_id FROM {proc} UNION ALL SELECT id, scope_node_id, inst_id FROM {stmt}) x LEFT JOIN {inst} i ON i.id = x.scope_node_id LEFT JOIN {nearest} a ON a.node = x.scope_node_id",
+    "free_param": "SELECT p.inst_id AS id, i.id AS inst FROM {inst_param} p LEFT JOIN {inst} i ON i.id = p.inst_id",
+    "mapped": "SELECT m.term_id AS id, m.map_exact, t.inst_id AS term_inst, n.inst_id AS net_inst, coalesce(m.term_hi - m.term_lo + 1, t.width) AS term_size, coalesce(m.inner_hi - m.inner_lo + 1, n.width) AS net_size FROM {term_map} m JOIN {term} t ON t.id = m.term_id JOIN {net} n ON n.id = m.inner_net_id",
+    "connected": """SELECT c.id, c.conn_kind AS kind, c.outer_net_id AS net, c.outer_hier_ref_id AS ref, c.map_exact, c.term_exact, c.outer_exact, i.parent_inst_id AS above, n.inst_id AS net_inst, h.access, w.node_kind = 'unresolved' AS black_box,
+    coalesce(c.term_hi - c.term_lo + 1, t.width) AS term_size, coalesce(c.outer_hi - c.outer_lo + 1, n.width) AS net_size
+  FROM {net_conn} c LEFT JOIN {term} t ON t.id = c.term_id LEFT JOIN {inst} i ON i.id = t.inst_id LEFT JOIN {tree_node} w ON w.id = t.inst_id LEFT JOIN {net} n ON n.id = c.outer_net_id LEFT JOIN {hier_ref} h ON h.id = c.outer_hier_ref_id""",
+    "touched": "SELECT x.id, x.role, s.stmt_kind AS kind, s.inst_id AS stmt_inst, n.inst_id AS net_inst FROM (SELECT id, stmt_id, net_id, CAST(NULL AS STRING) AS role FROM {stmt_target} UNION ALL SELECT id, stmt_id, net_id, NULL FROM {assign_operand} UNION ALL SELECT id, stmt_id, net_id, role FROM {expr_ref}) x JOIN {stmt} s ON s.id = x.stmt_id LEFT JOIN {net} n ON n.id = x.net_id",
+    "event": "SELECT e.id, e.proc_id, p.inst_id AS proc_inst, n.inst_id AS net_inst, s.id AS stmt, s.proc_id AS stmt_proc FROM {proc_event} e JOIN {proc} p ON p.id = e.proc_id LEFT JOIN {net} n ON n.id = e.net_id LEFT JOIN {stmt} s ON s.id = e.stmt_id",
+    "release": """SELECT s.id, t.s IS NOT NULL AS targets, h.s IS NOT NULL AS refs, o.s IS NOT NULL OR d.s IS NOT NULL AS works FROM (SELECT id FROM {stmt} WHERE stmt_kind = 'release') s LEFT JOIN (SELECT DISTINCT stmt_id AS s FROM {stmt_target}) t ON t.s = s.id
+  LEFT JOIN (SELECT DISTINCT stmt_id AS s FROM {hier_ref}) h ON h.s = s.id LEFT JOIN (SELECT DISTINCT stmt_id AS s FROM {assign_operand}) o ON o.s = s.id LEFT JOIN (SELECT DISTINCT stmt_id AS s FROM {net_dep}) d ON d.s = s.id""",
+    "sited": "SELECT s.id, s.inst_id AS own, c.inst_id AS site FROM {stmt} s JOIN {call_site} c ON c.id = s.call_site_id",
+    "sited_dep": "SELECT d.id, s.inst_id AS own, c.inst_id AS site FROM {net_dep} d JOIN {call_site} c ON c.id = d.call_site_id JOIN {stmt} s ON s.id = d.stmt_id",
+    "nested": "SELECT c.id, c.depth, c.inst_id, p.id AS parent, p.depth AS parent_depth, p.inst_id AS parent_inst, s.inst_id AS caller_inst FROM {call_site} c LEFT JOIN {call_site} p ON p.id = c.parent_call_site_id LEFT JOIN {stmt} s ON s.id = c.caller_stmt_id",
+    "dep_from": "SELECT d.id, d.src_net_id AS net, d.stmt_id AS stmt, h.resolved_net_id AS ref_net, h.stmt_id AS ref_stmt FROM {net_dep} d JOIN {hier_ref} h ON h.id = d.src_hier_ref_id",
+    "dep_to": "SELECT d.id, d.tgt_net_id AS net, d.stmt_id AS stmt, h.resolved_net_id AS ref_net, h.stmt_id AS ref_stmt, d.src_hier_ref_id IS DISTINCT FROM d.tgt_hier_ref_id AS other FROM {net_dep} d JOIN {hier_ref} h ON h.id = d.tgt_hier_ref_id",
+    "dep_operand": "SELECT d.id, d.src_net_id AS net, d.stmt_id AS stmt, o.net_id AS own_net, o.stmt_id AS own_stmt FROM {net_dep} d JOIN {assign_operand} o ON o.id = d.assign_operand_id",
+    "dep_target": "SELECT d.id, d.tgt_net_id AS net, d.stmt_id AS stmt, w.net_id AS own_net, w.stmt_id AS own_stmt, s.stmt_kind AS kind FROM {net_dep} d JOIN {stmt_target} w ON w.id = d.stmt_target_id LEFT JOIN {stmt} s ON s.id = w.stmt_id",
+    "dep_expr": "SELECT d.id, d.dep_kind AS kind, d.src_net_id AS net, d.stmt_id AS stmt, e.net_id AS own_net, e.stmt_id AS own_stmt, e.role FROM {net_dep} d JOIN {expr_ref} e ON e.id = d.expr_ref_id",
+    "dep_ends": """SELECT d.id, d.dep_kind AS kind, d.src_hier_ref_id IS NULL AND d.tgt_hier_ref_id IS NULL AS local, d.map_exact, d.src_exact, d.tgt_exact, a.inst_id AS src_inst, b.inst_id AS tgt_inst, s.inst_id AS own,
+    coalesce(d.src_hi - d.src_lo + 1, a.width) AS src_size, coalesce(d.tgt_hi - d.tgt_lo + 1, b.width) AS tgt_size FROM {net_dep} d JOIN {net} a ON a.id = d.src_net_id JOIN {net} b ON b.id = d.tgt_net_id LEFT JOIN {stmt} s ON s.id = d.stmt_id""",
+    "alias": "SELECT d.id FROM {net_dep} d LEFT ANTI JOIN (SELECT stmt_id, src_net_id, tgt_net_id FROM {net_dep} WHERE dep_kind = 'alias') r ON r.stmt_id = d.stmt_id AND r.src_net_id = d.tgt_net_id AND r.tgt_net_id = d.src_net_id WHERE d.dep_kind = 'alias'",
+    "idle_target": "SELECT w.id FROM {stmt_target} w JOIN {stmt} s ON s.id = w.stmt_id LEFT ANTI JOIN {net_dep} d ON d.stmt_target_id = w.id LEFT ANTI JOIN (SELECT stmt_id FROM {hier_ref} WHERE access = 'read') h ON h.stmt_id = w.stmt_id WHERE s.stmt_kind <> 'release'",
+    "segment": """SELECT term_id AS id, term_lo, max(term_hi) OVER (PARTITION BY side, term_id ORDER BY term_lo, ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach
+  FROM (SELECT 0 AS side, term_id, ordinal, term_lo, term_hi, map_exact, term_exact FROM {term_map} UNION ALL SELECT 1, term_id, ordinal, term_lo, term_hi, map_exact, term_exact FROM {net_conn}) x WHERE map_exact = 1 AND term_exact = 1 AND term_lo IS NOT NULL""",
+    "reference": "SELECT h.id, h.resolved_inst_id AS inst, n.inst_id AS net_inst FROM {hier_ref} h JOIN {net} n ON n.id = h.resolved_net_id",
+    "hung": "SELECT v.net_id AS id, v.attachment_kind AS kind, s.stmt_kind FROM {v_net_attachment} v JOIN {stmt} s ON s.id = v.stmt_id WHERE v.stmt_target_id IS NOT NULL",
+    "external": "SELECT v.dep_id AS id, v.driver_name, h.resolved_net_id FROM {v_driver} v JOIN {net_dep} d ON d.id = v.dep_id JOIN {hier_ref} h ON h.id = d.src_hier_ref_id WHERE v.driver_kind = 'external'",
+}
 
-def _anti(table: str, column: str, other: str, key: str = "id", where: str = "true") -> str:
-    return f"SELECT {_ID.format('x.' + _key(table))} FROM {{{table}}} x LEFT JOIN {{{other}}} y ON y.{key} = x.{column} WHERE x.{column} IS NOT NULL AND y.{key} IS NULL AND {where}"
+#: Of an attachment, the one id that is set, by its kind, and the table it names.
+TYPED = {
+    "term_id": ("term", "terminal_inside actual_outside"), "stmt_target_id": ("stmt_target", "written_by release_target alias_binding"), "assign_operand_id": ("assign_operand", "read_by"), "expr_ref_id": ("expr_ref", "condition statement_read"),
+    "proc_id": ("proc", "event"), "dep_id": ("net_dep", "dep_in dep_out"), "hier_ref_id": ("hier_ref", "named_from_outside"),
+}
 
 
-def _flag(table: str, cond: str, other: str) -> str:
-    """Rows whose condition differs from having a row of the same id in the other table."""
-    return f"SELECT {_ID.format('x.id')} FROM {{{table}}} x LEFT JOIN {{{other}}} y ON y.id = x.id WHERE ({cond}) <> (y.id IS NOT NULL)"
+def _words(words: str | Iterable[str]) -> str:
+    return ", ".join(f"'{w}'" for w in (words.split() if isinstance(words, str) else words))
+
+
+def _set(*columns: str) -> str:
+    return " OR ".join(f"{c} IS NOT NULL" for c in columns)
+
+
+def _none(*columns: str) -> str:
+    return " OR ".join(f"{c} IS NULL" for c in columns)
+
+
+#: (rule, frame, condition of a broken row)
+ROW_RULES: list[tuple[str, str, str]] = [
+    ("K2", "src_file", "digest IS NULL OR length(digest) <> 64"),
+    *(("K5", t, f"{c} NOT IN ({_words(d)})" + ("" if (t, c) in schema.NULLABLE else f" OR {c} IS NULL")) for (t, c), d in schema.DOMAINS.items()),
+    *(("K6", t, f"{c} NOT IN (0, 1)") for t, c in BOOLEANS),
+    *(("K7", t, f"({lo} IS NULL) <> ({hi} IS NULL) OR {lo} > {hi} OR ({lo} IS NOT NULL AND {e} IS NULL)") for t, lo, hi, e in WINDOWS),
+    ("K8", "node", "(parent IS NULL) <> (kind IN ('root', 'package'))"),
+    ("K9", "node", "(kind IN ('root', 'instance', 'unresolved', 'package')) <> (inst IS NOT NULL)"),
+    ("K10", "node", "(kind = 'primitive') <> (prim IS NOT NULL)"),
+    ("K11", "node", "inst IS NOT NULL AND (kind = 'unresolved') <> (module_id IS NULL)"),
+    ("K12", "node", "inst IS NOT NULL AND kind = 'unresolved' AND (unresolved_def IS NULL OR param_signature IS NOT NULL)"),
+    ("K13", "node", "inst IS NOT NULL AND (parent_inst_id IS NULL) <> (kind IN ('root', 'package'))"),
+    ("K14", "node", "inst IS NOT NULL AND parent_inst_id IS DISTINCT FROM ancestor"),
+    ("K15", "node", "prim IS NOT NULL AND prim_inst IS DISTINCT FROM ancestor"),
+    ("K16", "scoped", "owner <> inst_id"),
+    ("K17", "tree_node", "contains(name, '.') AND NOT (startswith(name, chr(92)) AND endswith(name, ' '))"),
+    *(("K18", t, "file_id IS NOT NULL AND (line < 1 OR col < 1)") for t in LOCATED),
+    ("K20", "node", "inst IS NOT NULL AND coalesce(param_signature, '') <> signature"),
+    ("K21", "free_param", "inst IS NULL"),
+    ("K22", "mapped", "term_inst <> net_inst"),
+    ("K23", "connected", "net_inst <> above"),
+    ("K24", "touched", "stmt_inst <> net_inst"),
+    ("K25", "event", "net_inst <> proc_inst OR (stmt IS NOT NULL AND stmt_proc IS DISTINCT FROM proc_id)"),
+    ("K26", "proc_event", "(event_kind = 'sensitivity') <> (stmt_id IS NULL)"),
+    ("K27", "stmt", "(stmt_kind = 'assignment') <> (assign_kind IS NOT NULL)"),
+    ("K28", "stmt", "stmt_kind = 'release' AND construct NOT IN ('release', 'deassign')"),
+    ("K29", "release", "NOT targets AND NOT refs"),
+    ("K30", "release", "works"),
+    ("K31", "dep_target", "kind = 'release'"),
+    ("K32", "sited", "own <> site"),
+    ("K33", "sited_dep", "own <> site"),
+    ("K34", "net_dep", "call_site_id IS NOT NULL AND stmt_id IS NULL"),
+    ("K35", "call_site", "(parent_call_site_id IS NULL) <> (depth = 1)"),
+    ("K36", "nested", "parent IS NOT NULL AND (depth <> parent_depth + 1 OR inst_id <> parent_inst)"),
+    ("K37", "nested", "caller_inst <> inst_id"),
+    ("K38", "stmt", "assign_kind = 'continuous' AND proc_id IS NOT NULL"),
+    ("K39", "stmt", "proc_id IS NULL AND sequence IS NOT NULL"),
+    ("K40", "stmt", "proc_id IS NOT NULL AND sequence IS NULL AND stmt_kind <> 'event_control'"),
+    ("K41", "touched", "(role = 'assertion' AND kind <> 'assertion') OR (role = 'wait' AND kind NOT IN ('wait', 'event_control')) OR (role = 'event' AND kind <> 'event_control') OR (role = 'system_task' AND kind <> 'system_task')"),
+    ("K41", "touched", "(role = 'call_argument' AND kind NOT IN ('call', 'assignment', 'system_task')) OR role NOT IN ('control', 'assertion', 'wait', 'event', 'system_task', 'call_argument')"),
+    # provenance, kind by kind: what must be there, what must not, and of two ways to name an end exactly one
+    ("K42", "net_dep", f"dep_kind = 'data' AND ({_none('stmt_id')} OR {_set('expr_ref_id', 'prim_id')} OR (stmt_target_id IS NULL) = (tgt_hier_ref_id IS NULL) OR (src_net_id IS NULL AND assign_operand_id IS NOT NULL) OR (src_net_id IS NOT NULL AND (assign_operand_id IS NULL) = (src_hier_ref_id IS NULL)))"),
+    ("K42", "net_dep", f"dep_kind = 'control' AND ({_none('stmt_id')} OR coalesce(src_net_id, src_hier_ref_id) IS NULL OR {_set('assign_operand_id', 'prim_id')} OR (expr_ref_id IS NULL) = (src_hier_ref_id IS NULL) OR (stmt_target_id IS NULL) = (tgt_hier_ref_id IS NULL) OR map_exact IS DISTINCT FROM 0)"),
+    ("K42", "net_dep", f"dep_kind = 'primitive' AND ({_none('prim_id')} OR {_set('stmt_id', 'stmt_target_id', 'assign_operand_id', 'expr_ref_id', 'src_hier_ref_id', 'tgt_hier_ref_id')})"),
+    ("K42", "net_dep", f"dep_kind = 'alias' AND ({_none('stmt_id', 'src_net_id', 'stmt_target_id', 'assign_operand_id', 'map_exact')} OR {_set('expr_ref_id', 'prim_id', 'src_hier_ref_id', 'tgt_hier_ref_id')})"),
+    ("K42", "net_dep", f"dep_kind = 'procedure' AND ({_set('prim_id', 'stmt_target_id', 'assign_operand_id')} OR coalesce(src_net_id, src_hier_ref_id) IS NULL OR (expr_ref_id IS NOT NULL AND src_hier_ref_id IS NOT NULL))"),
+    ("K42", "net_dep", "dep_kind NOT IN ('data', 'control', 'primitive', 'alias', 'procedure')"),
+    ("K43", "dep_from", "ref_net IS DISTINCT FROM net"),
+    ("K44", "dep_from", "ref_stmt <> stmt"),
+    ("K44", "dep_to", "other AND ref_stmt <> stmt"),
+    ("K45", "dep_to", "ref_net IS NULL OR ref_net <> net"),
+    ("K46", "net_dep", f"coalesce(src_net_id, src_hier_ref_id) IS NULL AND ({_set('src_lo', 'src_exact', 'map_exact')})"),
+    ("K47", "dep_operand", "own_net <> net OR own_stmt <> stmt"),
+    ("K48", "dep_target", "own_net <> net OR own_stmt <> stmt"),
+    ("K49", "dep_expr", "own_net <> net OR own_stmt <> stmt OR (kind = 'control' AND role <> 'control') OR (kind = 'procedure' AND role <> 'call_argument')"),
+    ("K50", "dep_ends", "kind IN ('data', 'control') AND local AND (src_inst <> own OR tgt_inst <> own)"),
+    ("K51", "alias", "true"),
+    ("K52", "net_dep", "dep_kind = 'alias' AND src_net_id = tgt_net_id"),
+    ("K53", "stmt", "stmt_kind = 'alias' AND (proc_id IS NOT NULL OR construct <> 'alias')"),
+    ("K54", "idle_target", "true"),
+    ("K55", "mapped", "map_exact = 1 AND term_size <> net_size"),
+    ("K56", "dep_ends", "map_exact = 1 AND src_exact = 1 AND tgt_exact = 1 AND src_size <> tgt_size"),
+    ("K57", "connected", "map_exact = 1 AND term_exact = 1 AND outer_exact = 1 AND term_size <> net_size"),
+    ("K58", "segment", "reach >= term_lo"),
+    ("K59", "reference", "inst IS NULL OR inst <> net_inst"),
+    ("K60", "connected", "access <> 'connect'"),
+    ("K61", "connected", "kind IN ('constant', 'unconnected') AND (net IS NOT NULL OR map_exact IS NOT NULL)"),
+    ("K61", "connected", "kind = 'signal' AND (net IS NULL OR (map_exact IS NULL AND NOT coalesce(black_box, false)))"),
+    ("K61", "connected", "kind = 'external_reference' AND (net IS NOT NULL OR ref IS NULL OR (map_exact IS NULL AND NOT coalesce(black_box, false)))"),
+    ("K61", "connected", "kind = 'expression_operand' AND ((net IS NULL) = (ref IS NULL) OR (net IS NOT NULL AND map_exact <> 0))"),
+    ("K61", "connected", "kind = 'interface' AND net IS NOT NULL"),
+    ("K61", "connected", "kind NOT IN ('signal', 'expression_operand', 'constant', 'unconnected', 'interface', 'external_reference')"),
+    ("K70", "v_net_attachment", f"attachment_kind NOT IN ({_words(schema.ATTACHMENT_KINDS)})"),
+    ("K71", "hung", "(stmt_kind = 'release') <> (kind = 'release_target')"),
+    ("K72", "hung", "(stmt_kind = 'alias') <> (kind = 'alias_binding')"),
+    ("K73", "v_net_attachment", f"size(filter(array({', '.join(TYPED)}), x -> x IS NOT NULL)) <> 1"),
+    *(("K74", "v_net_attachment", f"({c} IS NOT NULL) <> (attachment_kind IN ({_words(kinds)}))") for c, (_, kinds) in TYPED.items()),
+    ("K76", "v_driver", "driver_kind IN ('constant', 'terminal', 'system_task', 'external') AND driver_net_id IS NOT NULL"),
+    ("K77", "v_driver", "driver_net_id IS NULL AND driver_kind NOT IN ('constant', 'terminal', 'system_task', 'external', 'primitive', 'procedure')"),
+    ("K78", "external", "driver_name IS NOT NULL OR resolved_net_id IS NOT NULL"),
+    ("K80", "v_driver", f"driver_kind IN ('constant', 'terminal', 'system_task') AND ({_set('driver_name', 'driver_lo', 'driver_hi', 'driver_exact', 'map_exact')})"),
+    ("K81", "v_load", f"load_net_id IS NULL AND ({_set('load_name', 'load_lo', 'load_hi', 'load_exact', 'map_exact')})"),
+    ("K82", "v_driver", "(driver_kind = 'terminal') <> (term_id IS NOT NULL)"),
+    ("K83", "v_load", "(load_kind IN ('sensitivity', 'wait', 'statement', 'terminal')) <> (load_net_id IS NULL)"),
+    ("K84", "v_load", "(load_kind = 'terminal') <> (term_id IS NOT NULL)"),
+    ("K85", "v_driver", f"driver_kind NOT IN ({_words(schema.DRIVER_KINDS)})"),
+    ("K85", "v_load", f"load_kind NOT IN ({_words(schema.LOAD_KINDS)})"),
+    ("K87", "file", "src_file_id IS NULL"),
+]
 
+#: What a row of these is named by, if not by its id.
+KEYS = {"inst_param": "inst_id", "term_map": "term_id", "v_net_attachment": "net_id", "v_driver": "signal_net_id", "v_load": "signal_net_id"}
+
+_MET = """{net_conn} c JOIN {term} t ON t.id = c.term_id JOIN {term_map} m ON m.term_id = c.term_id LEFT JOIN {hier_ref} h ON h.id = c.outer_hier_ref_id
+  WHERE (c.conn_kind IN ('signal', 'constant') OR (c.conn_kind = 'external_reference' AND h.resolved_net_id IS NOT NULL) OR (c.conn_kind = 'expression_operand' AND coalesce(c.outer_net_id, h.resolved_net_id) IS NOT NULL))
+  AND coalesce(c.term_lo <= m.term_hi, true) AND coalesce(m.term_lo <= c.term_hi, true)"""
+_IN = _MET + " AND t.direction IN ('input', 'inout', 'ref')"
+_OUT = _MET + " AND t.direction IN ('output', 'inout', 'ref') AND c.conn_kind IN ('signal', 'external_reference') AND coalesce(c.outer_net_id, h.resolved_net_id) IS NOT NULL"
+_PINS = "{{term_map}} m JOIN {{term}} t ON t.id = m.term_id JOIN {{tree_node}} r ON r.id = t.inst_id WHERE r.node_kind = 'root' AND t.direction IN ('{0}', 'inout', 'ref')"
+_NO_DEP = "SELECT DISTINCT {0} AS e FROM {{net_dep}} WHERE {0} IS NOT NULL"
+#: (rule, name): what the name's rows must be as many as, each side a list of FROM clauses.
+TOTALS: dict[tuple[str, str], tuple[list[str], list[str]]] = {
+    **{("K65", f"v_{v}"): ([f"{{v_{v}}}"], [f"{{{t}}}"]) for v, t in {"tree_node": "tree_node", "net": "net", "term": "term", "term_map": "term_map", "net_conn": "net_conn", "net_dep": "net_dep", "stmt": "stmt", "stmt_target": "stmt_target", "stmt_operand": "assign_operand", "call_site": "call_site"}.items()},
+    ("K66", "arcs"): (["{arcs}"], [_MET]),
+    ("K67", "v_driver"): (["{v_driver}"], ["{net_dep}", _IN, _OUT, _PINS.format("input")]),
+    ("K68", "v_load"): (["{v_load}"], [
+        "{net_dep} WHERE src_net_id IS NOT NULL", _IN + " AND coalesce(c.outer_net_id, h.resolved_net_id) IS NOT NULL", _OUT, _PINS.format("output"), "{proc_event} WHERE net_id IS NOT NULL",
+        f"{{expr_ref}} x LEFT JOIN ({_NO_DEP.format('expr_ref_id')}) d ON d.e = x.id WHERE x.role IN ('assertion', 'wait', 'event', 'system_task') OR d.e IS NULL",
+        f"{{assign_operand}} x LEFT ANTI JOIN ({_NO_DEP.format('assign_operand_id')}) d ON d.e = x.id"]),
+    ("K69", "v_net_attachment"): (["{v_net_attachment}"], [
+        "{term_map}", "{net_conn} WHERE outer_net_id IS NOT NULL", "{net_conn} c JOIN {hier_ref} h ON h.id = c.outer_hier_ref_id WHERE h.resolved_net_id IS NOT NULL", "{stmt_target}", "{assign_operand}", "{expr_ref}",
+        "{proc_event} WHERE net_id IS NOT NULL", "{net_dep}", "{net_dep} WHERE src_net_id IS NOT NULL", "{hier_ref} WHERE resolved_net_id IS NOT NULL"]),
+    ("K79", "external"): (["{v_driver} WHERE driver_kind = 'external'"], ["{net_dep} WHERE src_net_id IS NULL AND src_hier_ref_id IS NOT NULL"]),
+}
+FILLED = ("module", "tree_node", "inst", "net", "term", "term_map")
+
+_WANTED = "SELECT explode(array({0})) AS k"
+#: rule -> SELECT of what breaks it, for rules on few rows or on totals of one table
+WHOLE = {
+    "K1": "\nUNION ALL ".join(f"SELECT '{t}' AS what FROM {{{t}}} HAVING count(*) = 0" for t in FILLED),
+    "K2": "SELECT 'none' AS what FROM {src_file} HAVING count(*) = 0",
+    "K19": "SELECT 'duplicate_path_count' AS what FROM (SELECT coalesce(sum(n - 1), 0) AS n FROM (SELECT count(*) AS n FROM {tree_node} GROUP BY parent_node_id, name)) a CROSS JOIN (SELECT max(try_cast(value AS BIGINT)) AS m FROM {meta} WHERE key = 'duplicate_path_count') b WHERE n IS DISTINCT FROM m",
+    "K62": f"""SELECT k AS what FROM ({_WANTED.format(_words(REQUIRED))}) w LEFT JOIN {{meta}} m ON m.key = w.k WHERE m.value IS NULL OR (k = 'schema_version' AND value <> '{schema.VERSION}') OR (k IN ({_words(NUMBERS)}) AND NOT value RLIKE '^[0-9]+$') OR (k = 'analysis_status' AND value NOT IN ({_words(STATUSES)}))
+UNION ALL SELECT 'complete' AS what FROM {{meta}} HAVING max(CASE WHEN key = 'analysis_status' THEN value END) = 'complete' AND max(CASE WHEN key IN ('error_count', 'empty_procedure_count', 'duplicate_path_count') THEN try_cast(value AS BIGINT) END) > 0""",
+    "K63": "SELECT m.key AS what FROM {v_db_info} v CROSS JOIN (SELECT key, value FROM {meta} WHERE key IN ('schema_version', " + _words(NUMBERS) + ")) m WHERE try_cast(m.value AS BIGINT) IS DISTINCT FROM CASE m.key " + " ".join(f"WHEN '{k}' THEN v.{k}" for k in ["schema_version", *NUMBERS]) + " END",
+    "K75": "\nUNION ALL ".join(f"SELECT CAST(x.net_id AS STRING) AS what FROM {{v_net_attachment}} x LEFT ANTI JOIN {{{t}}} y ON y.id = x.{c} WHERE x.{c} IS NOT NULL" for c, (t, _) in TYPED.items()),
+}
 
-def _width(table: str, joins: str, a: tuple, b: tuple) -> str:
-    """Rows mapped bit for bit, both windows of which are exact, but of different known widths."""
-    size = lambda lo, hi, w: f"coalesce({hi} - {lo} + 1, {w})"
-    return f"SELECT {_ID.format('x.' + _key(table))} FROM {{{table}}} x {joins} WHERE x.map_exact = 1 AND {a[3]} = 1 AND {b[3]} = 1 AND {size(*a[:3])} <> {size(*b[:3])}"
+RULES = sorted({r for r, _, _ in ROW_RULES} | {r for r, _ in TOTALS} | set(WHOLE) | {"K4"}, key=lambda r: int(r[1:]))
 
 
-def _disjoint(table: str) -> str:
-    return f"""SELECT {_ID.format('x.term_id')} FROM {{{table}}} x JOIN {{{table}}} y ON x.term_id = y.term_id AND x.ordinal < y.ordinal
-WHERE x.term_exact = 1 AND y.term_exact = 1 AND coalesce(x.term_lo <= y.term_hi, true) AND coalesce(y.term_lo <= x.term_hi, true)"""
+def signatures(params: DataFrame) -> DataFrame:
+    """(inst_id, signature): name=value of each parameter, by ordinal, between commas."""
+    entry = F.struct("ordinal", F.concat("name", F.lit("="), "value").alias("text"))
+    return params.groupBy("inst_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["text"]), ",").alias("signature"))
 
 
-def _same(table: str, column: str, other: str, pairs: str) -> str:
-    return f"SELECT {_ID.format('x.id')} FROM {{{table}}} x JOIN {{{other}}} y ON y.id = x.{column} WHERE NOT ({pairs})"
+def _names(sql: str) -> set[str]:
+    return set(re.findall(r"\{(\w+)\}", sql))
 
 
-_ROLE_FITS = """CASE role WHEN 'call_argument' THEN s.stmt_kind = 'call' WHEN 'event' THEN s.stmt_kind = 'event_control' WHEN 'control' THEN s.stmt_kind <> 'event_control' ELSE s.stmt_kind = role END"""
-_PROVENANCE = """CASE dep_kind WHEN 'data' THEN stmt_id IS NOT NULL AND prim_id IS NULL AND expr_ref_id IS NULL
-WHEN 'control' THEN stmt_id IS NOT NULL AND prim_id IS NULL AND assign_operand_id IS NULL AND (expr_ref_id IS NOT NULL OR src_hier_ref_id IS NOT NULL)
-WHEN 'primitive' THEN prim_id IS NOT NULL AND stmt_id IS NULL AND assign_operand_id IS NULL AND expr_ref_id IS NULL AND stmt_target_id IS NULL
-WHEN 'procedure' THEN stmt_id IS NOT NULL AND prim_id IS NULL AND (src_net_id IS NOT NULL OR src_hier_ref_id IS NOT NULL)
-ELSE stmt_id IS NOT NULL AND prim_id IS NULL AND src_net_id IS NOT NULL AND assign_operand_id IS NULL AND expr_ref_id IS NULL END"""
-_CONN_FITS = """CASE conn_kind WHEN 'signal' THEN outer_net_id IS NOT NULL AND outer_hier_ref_id IS NULL AND outer_intf_inst_id IS NULL
-WHEN 'constant' THEN outer_net_id IS NULL AND outer_hier_ref_id IS NULL AND outer_intf_inst_id IS NULL
-WHEN 'unconnected' THEN outer_net_id IS NULL AND outer_hier_ref_id IS NULL AND outer_intf_inst_id IS NULL AND outer_exact IS NULL
-WHEN 'interface' THEN outer_net_id IS NULL AND outer_lo IS NULL AND outer_exact IS NULL
-WHEN 'external_reference' THEN outer_hier_ref_id IS NOT NULL AND outer_net_id IS NULL
-ELSE outer_intf_inst_id IS NULL AND (outer_net_id IS NULL OR outer_hier_ref_id IS NULL) END"""
-_TYPED = ("term_id", "stmt_target_id", "assign_operand_id", "expr_ref_id", "proc_id", "dep_id", "hier_ref_id")
-_TYPED_OF = {
-    "term_id": "terminal_inside actual_outside", "stmt_target_id": "written_by release_target alias_binding", "assign_operand_id": "read_by", "expr_ref_id": "condition statement_read",
-    "proc_id": "event", "dep_id": "dep_in dep_out", "hier_ref_id": "named_from_outside",
-}
-_TABLE_OF = {"term_id": "term", "stmt_target_id": "stmt_target", "assign_operand_id": "assign_operand", "expr_ref_id": "expr_ref", "proc_id": "proc", "dep_id": "net_dep", "hier_ref_id": "hier_ref"}
-_ATTACHED = [
-    "{term_map} x", "{net_conn} x WHERE outer_net_id IS NOT NULL", "{net_conn} x JOIN {hier_ref} h ON h.id = x.outer_hier_ref_id WHERE h.resolved_net_id IS NOT NULL", "{stmt_target} x", "{assign_operand} x", "{expr_ref} x",
-    "{proc_event} x WHERE net_id IS NOT NULL", "{net_dep} x", "{net_dep} x WHERE src_net_id IS NOT NULL", "{hier_ref} x WHERE resolved_net_id IS NOT NULL",
-]
-_ROOT_PINS = "{{term_map}} x JOIN {{term}} t ON t.id = x.term_id JOIN {{tree_node}} r ON r.id = t.inst_id WHERE r.node_kind = 'root' AND t.direction IN ({0})"
-_BACK = "{arcs} x WHERE direction IN ('output', 'inout', 'ref') AND conn_kind IN ('signal', 'external_reference') AND outer_net_id IS NOT NULL"
-_NAMELESS = "constant terminal system_task external"
-
-RULES: dict[str, str] = {
-    "K1": _all(f"SELECT '{t}' AS what FROM (SELECT count(*) AS n FROM {{{t}}} x) y WHERE n = 0" for t in ("module", "tree_node", "inst", "net", "term", "term_map")),
-    "K2": _bad("src_file", "digest IS NULL OR length(digest) <> 64") + "\nUNION ALL SELECT 'none' AS what FROM (SELECT count(*) AS n FROM {src_file} x) y WHERE n = 0",
-    "K4": _all(_anti(t, c, r) for t, c, r in schema.REFERENCES),
-    "K5": _all(_bad(t, f"{c} NOT IN ({_words(d)})" + ("" if (t, c) in schema.NULLABLE else f" OR {c} IS NULL")) for (t, c), d in schema.DOMAINS.items()),
-    "K6": _all(_bad(t, f"{c} NOT IN (0, 1)", _key(t)) for t, c in BOOLEANS),
-    "K7": _all(_bad(t, f"({lo} IS NULL) <> ({hi} IS NULL) OR {lo} > {hi} OR ({lo} IS NOT NULL AND {e} IS NULL)", _key(t)) for t, lo, hi, e in WINDOWS),
-    "K8": _bad("tree_node", "(parent_node_id IS NULL) <> (node_kind IN ('root', 'package'))"),
-    "K9": _flag("tree_node", "x.node_kind IN ('root', 'instance', 'unresolved', 'package')", "inst"),
-    "K10": _flag("tree_node", "x.node_kind = 'primitive'", "prim"),
-    "K11": "SELECT CAST(n.id AS STRING) AS what FROM {tree_node} n JOIN {inst} i ON i.id = n.id WHERE (n.node_kind IN ('unresolved', 'package')) <> (i.module_id IS NULL)",
-    "K12": "SELECT CAST(n.id AS STRING) AS what FROM {tree_node} n JOIN {inst} i ON i.id = n.id WHERE n.node_kind = 'unresolved' AND (i.unresolved_def IS NULL OR i.param_signature IS NOT NULL)",
-    "K13": "SELECT CAST(n.id AS STRING) AS what FROM {tree_node} n JOIN {inst} i ON i.id = n.id WHERE (i.parent_inst_id IS NULL) <> (n.node_kind IN ('root', 'package'))",
-    "K14": "SELECT CAST(i.id AS STRING) AS what FROM {inst} i JOIN {nearest} a ON a.node = i.id WHERE i.parent_inst_id IS DISTINCT FROM a.ancestor",
-    "K15": "SELECT CAST(p.id AS STRING) AS what FROM {prim} p JOIN {nearest} a ON a.node = p.id WHERE p.inst_id IS DISTINCT FROM a.ancestor",
-    "K16": _all(f"SELECT CAST(x.id AS STRING) AS what FROM {{{t}}} x LEFT JOIN {{nearest}} a ON a.node = x.scope_node_id WHERE x.scope_node_id <> x.inst_id AND a.ancestor IS DISTINCT FROM x.inst_id" for t in ("net", "proc", "stmt")),
-    "K17": _bad("tree_node", "(instr(name, '.') > 0 OR name = '') AND substring(name, 1, 1) <> chr(92)"),
-    "K18": _all(_bad(t, "file_id IS NOT NULL AND (line IS NULL OR line < 1 OR col IS NULL OR col < 1)") for t in _LOCATED),
-    "K19": "SELECT 'duplicate_path_count' AS what FROM (SELECT coalesce(sum(n - 1), 0) AS n FROM (SELECT count(*) AS n FROM {tree_node} x WHERE parent_node_id IS NOT NULL GROUP BY parent_node_id, name) y) a CROSS JOIN (SELECT CAST(max(value) AS BIGINT) AS m FROM {meta} z WHERE key = 'duplicate_path_count') b WHERE n <> m",
-    "K20": "SELECT CAST(i.id AS STRING) AS what FROM {inst} i LEFT JOIN {signatures} p ON p.inst_id = i.id WHERE coalesce(i.param_signature, '') <> coalesce(p.signature, '')",
-    "K21": _anti("inst_param", "inst_id", "inst"),
-    "K22": "SELECT CAST(x.term_id AS STRING) AS what FROM {term_map} x JOIN {term} t ON t.id = x.term_id JOIN {net} n ON n.id = x.inner_net_id WHERE t.inst_id <> n.inst_id",
-    "K23": "SELECT CAST(x.id AS STRING) AS what FROM {net_conn} x JOIN {term} t ON t.id = x.term_id JOIN {inst} i ON i.id = t.inst_id JOIN {net} n ON n.id = x.outer_net_id WHERE i.parent_inst_id IS DISTINCT FROM n.inst_id",
-    "K24": _all(f"SELECT CAST(x.id AS STRING) AS what FROM {{{t}}} x JOIN {{stmt}} s ON s.id = x.stmt_id JOIN {{net}} n ON n.id = x.net_id WHERE n.inst_id <> s.inst_id" for t in ("stmt_target", "assign_operand", "expr_ref")),
-    "K25": "SELECT CAST(x.id AS STRING) AS what FROM {proc_event} x JOIN {proc} p ON p.id = x.proc_id LEFT JOIN {net} n ON n.id = x.net_id LEFT JOIN {stmt} s ON s.id = x.stmt_id WHERE n.inst_id <> p.inst_id OR s.proc_id IS DISTINCT FROM CASE WHEN x.stmt_id IS NOT NULL THEN x.proc_id END",
-    "K26": _bad("proc_event", "(event_kind = 'sensitivity') <> (stmt_id IS NULL)"),
-    "K27": _bad("stmt", "(assign_kind IS NOT NULL) <> (stmt_kind = 'assignment')"),
-    "K28": _bad("stmt", "stmt_kind = 'release' AND (construct IS NULL OR construct NOT IN ('release', 'deassign'))"),
-    "K29": "SELECT CAST(s.id AS STRING) AS what FROM {stmt} s LEFT JOIN {stmt_target} w ON w.stmt_id = s.id LEFT JOIN {hier_ref} h ON h.stmt_id = s.id WHERE s.stmt_kind = 'release' AND w.id IS NULL AND h.id IS NULL",
-    "K30": _all(f"SELECT CAST(s.id AS STRING) AS what FROM {{stmt}} s WHERE s.stmt_kind = 'release' AND s.id IN (SELECT stmt_id FROM {{{t}}} x WHERE stmt_id IS NOT NULL)" for t in ("assign_operand", "net_dep")),
-    "K31": "SELECT CAST(d.id AS STRING) AS what FROM {net_dep} d JOIN {stmt_target} w ON w.id = d.stmt_target_id JOIN {stmt} s ON s.id = w.stmt_id WHERE s.stmt_kind = 'release'",
-    "K32": _same("stmt", "call_site_id", "call_site", "x.inst_id = y.inst_id"),
-    "K33": "SELECT CAST(d.id AS STRING) AS what FROM {net_dep} d JOIN {call_site} c ON c.id = d.call_site_id JOIN {stmt} s ON s.id = d.stmt_id WHERE s.inst_id <> c.inst_id",
-    "K34": _bad("net_dep", "call_site_id IS NOT NULL AND stmt_id IS NULL"),
-    "K35": _bad("call_site", "(parent_call_site_id IS NULL) <> (depth = 1)"),
-    "K36": _same("call_site", "parent_call_site_id", "call_site", "x.depth = y.depth + 1 AND x.inst_id = y.inst_id"),
-    "K37": _same("call_site", "caller_stmt_id", "stmt", "x.inst_id = y.inst_id"),
-    "K38": _bad("stmt", "assign_kind = 'continuous' AND proc_id IS NOT NULL"),
-    "K39": _bad("stmt", "proc_id IS NULL AND sequence IS NOT NULL"),
-    "K40": _bad("stmt", "proc_id IS NOT NULL AND sequence IS NULL AND stmt_kind <> 'event_control'"),
-    "K41": f"SELECT CAST(x.id AS STRING) AS what FROM {{expr_ref}} x JOIN {{stmt}} s ON s.id = x.stmt_id WHERE NOT ({_ROLE_FITS})",
-    "K42": _bad("net_dep", f"NOT ({_PROVENANCE})"),
-    "K43": "SELECT CAST(d.id AS STRING) AS what FROM {net_dep} d JOIN {hier_ref} h ON h.id = d.src_hier_ref_id WHERE h.resolved_net_id IS DISTINCT FROM d.src_net_id",
-    "K44": _all(f"SELECT CAST(d.id AS STRING) AS what FROM {{net_dep}} d JOIN {{hier_ref}} h ON h.id = d.{c} WHERE d.stmt_id IS DISTINCT FROM h.stmt_id" for c in ("src_hier_ref_id", "tgt_hier_ref_id")),
-    "K45": _same("net_dep", "tgt_hier_ref_id", "hier_ref", "coalesce(y.resolved_net_id = x.tgt_net_id, false)"),
-    "K46": _bad("net_dep", "src_net_id IS NULL AND src_hier_ref_id IS NULL AND (src_lo IS NOT NULL OR src_exact IS NOT NULL OR map_exact IS NOT NULL OR assign_operand_id IS NOT NULL)"),
-    "K47": _same("net_dep", "assign_operand_id", "assign_operand", "coalesce(y.stmt_id = x.stmt_id AND y.net_id = x.src_net_id, false)"),
-    "K48": _same("net_dep", "stmt_target_id", "stmt_target", "coalesce(y.stmt_id = x.stmt_id AND y.net_id = x.tgt_net_id, false)"),
-    "K49": _same("net_dep", "expr_ref_id", "expr_ref", "coalesce(y.stmt_id = x.stmt_id AND y.net_id = x.src_net_id AND y.role = 'control', false)"),
-    "K50": "SELECT CAST(d.id AS STRING) AS what FROM {net_dep} d JOIN {net} a ON a.id = d.src_net_id JOIN {net} b ON b.id = d.tgt_net_id WHERE d.dep_kind IN ('data', 'control') AND d.src_hier_ref_id IS NULL AND d.tgt_hier_ref_id IS NULL AND a.inst_id <> b.inst_id",
-    "K51": "SELECT CAST(d.id AS STRING) AS what FROM {net_dep} d LEFT JOIN {net_dep} r ON r.dep_kind = 'alias' AND r.stmt_id = d.stmt_id AND r.src_net_id = d.tgt_net_id AND r.tgt_net_id = d.src_net_id WHERE d.dep_kind = 'alias' AND r.id IS NULL",
-    "K52": _bad("net_dep", "dep_kind = 'alias' AND src_net_id = tgt_net_id AND src_lo IS NOT DISTINCT FROM tgt_lo"),
-    "K53": _bad("stmt", "stmt_kind = 'alias' AND (proc_id IS NOT NULL OR construct <> 'alias')"),
-    "K54": "SELECT CAST(w.id AS STRING) AS what FROM {stmt_target} w JOIN {stmt} s ON s.id = w.stmt_id WHERE s.stmt_kind <> 'release' AND w.net_id NOT IN (SELECT tgt_net_id FROM {net_dep} d) AND w.stmt_id NOT IN (SELECT stmt_id FROM {hier_ref} h WHERE stmt_id IS NOT NULL)",
-    "K55": _width("term_map", "JOIN {term} t ON t.id = x.term_id JOIN {net} n ON n.id = x.inner_net_id", ("x.term_lo", "x.term_hi", "t.width", "x.term_exact"), ("x.inner_lo", "x.inner_hi", "n.width", "x.inner_exact")),
-    "K56": _width("net_dep", "JOIN {net} a ON a.id = x.src_net_id JOIN {net} b ON b.id = x.tgt_net_id", ("x.src_lo", "x.src_hi", "a.width", "x.src_exact"), ("x.tgt_lo", "x.tgt_hi", "b.width", "x.tgt_exact")),
-    "K57": _width("net_conn", "JOIN {net} a ON a.id = x.outer_net_id JOIN {term} t ON t.id = x.term_id", ("x.outer_lo", "x.outer_hi", "a.width", "x.outer_exact"), ("x.term_lo", "x.term_hi", "t.width", "x.term_exact")),
-    "K58": _all(_disjoint(t) for t in ("term_map", "net_conn")),
-    "K59": _same("hier_ref", "resolved_net_id", "net", "coalesce(y.inst_id = x.resolved_inst_id, false)"),
-    "K60": _same("net_conn", "outer_hier_ref_id", "hier_ref", "y.access = 'connect'"),
-    "K61": _bad("net_conn", f"NOT ({_CONN_FITS})"),
-    "K62": "SELECT k AS what FROM (" + _all(f"SELECT '{k}' AS k" for k in ("schema_version", "tool_version", "top", "analysis_status", "error_count", "unresolved_count", "config_digest")) + ") w LEFT JOIN {meta} m ON m.key = w.k WHERE m.value IS NULL OR (w.k = 'schema_version' AND m.value <> '14') OR (w.k = 'analysis_status' AND m.value NOT IN ('complete', 'partial', 'hierarchy_only'))",
-    "K63": "SELECT 'v_db_info' AS what FROM {v_db_info} v CROSS JOIN (SELECT count(*) AS n FROM {tree_node} x WHERE node_kind = 'unresolved') u WHERE v.unresolved_count <> u.n OR v.schema_version <> 14",
-    "K65": _all(_fact(v, t) for v, t in (("v_tree_node", "tree_node"), ("v_net", "net"), ("v_term", "term"), ("v_term_map", "term_map"), ("v_net_conn", "net_conn"), ("v_net_dep", "net_dep"), ("v_stmt", "stmt"), ("v_stmt_target", "stmt_target"), ("v_stmt_operand", "assign_operand"), ("v_call_site", "call_site"))),
-    "K66": _equal("arcs", "{arcs} z", "{net_conn} x JOIN {term_map} k ON k.term_id = x.term_id LEFT JOIN {hier_ref} h ON h.id = x.outer_hier_ref_id WHERE x.conn_kind NOT IN ('interface', 'unconnected') AND (x.conn_kind IN ('signal', 'constant') OR coalesce(CASE WHEN x.conn_kind = 'expression_operand' THEN x.outer_net_id END, h.resolved_net_id) IS NOT NULL) AND coalesce(x.term_lo <= k.term_hi, true) AND coalesce(k.term_lo <= x.term_hi, true)"),
-    "K67": _equal("v_driver", "{v_driver} z", "{net_dep} x", "{arcs} x WHERE direction IN ('input', 'inout', 'ref')", _BACK, _ROOT_PINS.format("'input', 'inout', 'ref'").replace("{{", "{").replace("}}", "}")),
-    "K68": _equal("v_load", "{v_load} z", "{net_dep} x WHERE src_net_id IS NOT NULL", "{arcs} x WHERE direction IN ('input', 'inout', 'ref') AND outer_net_id IS NOT NULL", _BACK, "{proc_event} x WHERE net_id IS NOT NULL", "{expr_ref} x LEFT JOIN (SELECT DISTINCT expr_ref_id AS e FROM {net_dep} d) d ON d.e = x.id WHERE role IN ('assertion', 'wait', 'event', 'system_task') OR d.e IS NULL", "{assign_operand} x LEFT JOIN (SELECT DISTINCT assign_operand_id AS e FROM {net_dep} d) d ON d.e = x.id WHERE d.e IS NULL", _ROOT_PINS.format("'output', 'inout', 'ref'").replace("{{", "{").replace("}}", "}")),
-    "K69": _equal("v_net_attachment", "{v_net_attachment} z", *_ATTACHED),
-    "K70": _bad("v_net_attachment", f"attachment_kind NOT IN ({_words(schema.ATTACHMENT_KINDS)})", "net_id"),
-    "K71": "SELECT CAST(v.net_id AS STRING) AS what FROM {v_net_attachment} v JOIN {stmt} s ON s.id = v.stmt_id WHERE v.stmt_target_id IS NOT NULL AND (s.stmt_kind = 'release') <> (v.attachment_kind = 'release_target')",
-    "K72": "SELECT CAST(v.net_id AS STRING) AS what FROM {v_net_attachment} v JOIN {stmt} s ON s.id = v.stmt_id WHERE v.stmt_target_id IS NOT NULL AND (s.stmt_kind = 'alias') <> (v.attachment_kind = 'alias_binding')",
-    "K73": _bad("v_net_attachment", " + ".join(f"CASE WHEN {c} IS NULL THEN 0 ELSE 1 END" for c in _TYPED) + " <> 1", "net_id"),
-    "K74": _bad("v_net_attachment", " OR ".join(f"({c} IS NOT NULL) <> (attachment_kind IN ({_words(k)}))" for c, k in _TYPED_OF.items()), "net_id"),
-    "K75": _all(f"SELECT CAST(x.net_id AS STRING) AS what FROM {{v_net_attachment}} x LEFT JOIN {{{t}}} y ON y.id = x.{c} WHERE x.{c} IS NOT NULL AND y.id IS NULL" for c, t in _TABLE_OF.items()),
-    "K76": _bad("v_driver", f"driver_kind IN ({_words(_NAMELESS)}) AND driver_net_id IS NOT NULL", "signal_net_id"),
-    "K77": _bad("v_driver", f"driver_net_id IS NULL AND driver_kind NOT IN ({_words(_NAMELESS + ' primitive procedure')})", "signal_net_id"),
-    "K78": "SELECT CAST(v.dep_id AS STRING) AS what FROM {v_driver} v JOIN {net_dep} d ON d.id = v.dep_id LEFT JOIN {hier_ref} h ON h.id = d.src_hier_ref_id WHERE v.driver_kind = 'external' AND (v.driver_name IS NOT NULL OR h.resolved_net_id IS NOT NULL)",
-    "K79": _equal("external", "{v_driver} z WHERE driver_kind = 'external'", "{net_dep} x WHERE src_net_id IS NULL AND src_hier_ref_id IS NOT NULL"),
-    "K80": _bad("v_driver", "driver_net_id IS NULL AND driver_kind <> 'external' AND (driver_lo IS NOT NULL OR driver_hi IS NOT NULL OR driver_exact IS NOT NULL OR map_exact IS NOT NULL)", "signal_net_id"),
-    "K81": _bad("v_load", "load_net_id IS NULL AND (load_lo IS NOT NULL OR load_hi IS NOT NULL OR load_exact IS NOT NULL OR map_exact IS NOT NULL)", "signal_net_id"),
-    "K82": _bad("v_driver", "(driver_kind = 'terminal') <> (term_id IS NOT NULL)", "signal_net_id"),
-    "K83": _bad("v_load", "(load_net_id IS NULL) <> (load_kind IN ('sensitivity', 'wait', 'statement', 'terminal'))", "signal_net_id"),
-    "K84": _bad("v_load", "(load_kind = 'terminal') <> (term_id IS NOT NULL)", "signal_net_id"),
-    "K85": _bad("v_driver", f"driver_kind NOT IN ({_words(schema.DRIVER_KINDS)})", "signal_net_id") + "\nUNION ALL " + _bad("v_load", f"load_kind NOT IN ({_words(schema.LOAD_KINDS)})", "signal_net_id"),
-    "K87": _bad("file", "src_file_id IS NULL"),
-}
+def dangling(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """(rule, what) of references to ids that are not there: all references of a table in one scan, all of them in one anti join."""
 
+    def of(table: str) -> DataFrame:
+        own = [(c, r) for t, c, r in schema.REFERENCES if t == table]
+        ends = F.array(*(F.struct(F.lit(r).alias("table"), F.col(c).alias("id")) for c, r in own))
+        return tables[table].select(F.col(KEYS.get(table, "id")).cast("string").alias("what"), F.explode(ends).alias("e")).select("what", "e.table", "e.id").where("id is not null")
 
-def signatures(params: DataFrame) -> DataFrame:
-    """(inst_id, signature): name=value of each parameter, by ordinal, between commas."""
-    entry = F.struct("ordinal", F.concat("name", F.lit("="), "value").alias("text"))
-    return params.groupBy("inst_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["text"]), ",").alias("signature"))
+    asked = reduce(DataFrame.unionByName, [of(t) for t in dict.fromkeys(t for t, _, _ in schema.REFERENCES)])
+    ids = reduce(DataFrame.unionByName, [tables[t].select(F.lit(t).alias("table"), "id") for t in dict.fromkeys(r for _, _, r in schema.REFERENCES)])
+    return asked.join(ids, ["table", "id"], "left_anti").select(F.lit("K4").alias("rule"), "what")
 
 
 def violations(spark: SparkSession, tables: Mapping[str, DataFrame], rules: list[str] | None = None) -> DataFrame:
-    """(rule, what) for all that breaks the rules. A view that several places of the rules read is made once, as a table."""
+    """(rule, what) for all that breaks the rules. A view that several of them read is made once, as a table."""
+    wanted = set(rules or RULES)
+    by_frame: dict[str, list[tuple[str, str]]] = {}
+    for rule, frame, broken in ROW_RULES:
+        if rule in wanted:
+            by_frame.setdefault(frame, []).append((rule, broken))
+    totals = {k: v for k, v in TOTALS.items() if k[0] in wanted}
+    whole = {r: q for r, q in WHOLE.items() if r in wanted}
+    uses = Counter(n for text in (*(FRAMES.get(f, f"{{{f}}}") for f in by_frame), *whole.values(), *(x for sides in totals.values() for side in sides for x in side)) for n in re.findall(r"\{(\w+)\}", text))
     made: dict[str, DataFrame] = {}
-    uses = Counter(n for rule in rules or RULES for n in re.findall(r"\{(\w+)\}", RULES[rule]))
 
     def frame(name: str) -> DataFrame:
         if name not in made:
@@ -215,14 +264,30 @@ def violations(spark: SparkSession, tables: Mapping[str, DataFrame], rules: list
                 made[name] = written(made[name])
         return made[name]
 
-    out = None
-    for rule in rules or RULES:
-        names = set(re.findall(r"\{(\w+)\}", RULES[rule]))
-        found = spark.sql(RULES[rule], **{n: frame(n) for n in names}).select(F.lit(rule).alias("rule"), "what")
-        out = found if out is None else out.unionByName(found)
-    return out
+    def sql(text: str) -> DataFrame:
+        return spark.sql(text, **{n: frame(n) for n in _names(text)})
+
+    def judged(name: str, conditions: list[tuple[str, str]]) -> DataFrame:
+        rows = sql(FRAMES[name]) if name in FRAMES else frame(name)
+        broken = F.array_compact(F.array(*(F.when(F.expr(cond), F.lit(rule)) for rule, cond in conditions)))
+        return rows.select(F.explode(broken).alias("rule"), F.col(KEYS.get(name, "id") if name not in FRAMES else "id").cast("string").alias("what"))
+
+    def count(clauses: list[str]) -> str:
+        return "SELECT sum(n) AS n FROM (" + " UNION ALL ".join(f"SELECT count(*) AS n FROM {x}" for x in clauses) + ")"
+
+    out = [judged(name, conditions) for name, conditions in by_frame.items()]
+    out += [sql(f"SELECT '{rule}' AS rule, '{name}' AS what FROM ({count(a)}) a CROSS JOIN ({count(b)}) b WHERE a.n <> b.n") for (rule, name), (a, b) in totals.items()]
+    out += [sql(text).select(F.lit(rule).alias("rule"), "what") for rule, text in whole.items()]
+    if "K4" in wanted:
+        out.append(dangling(tables))
+    return reduce(DataFrame.unionByName, out)
 
 
 def view_columns(tables: Mapping[str, DataFrame]) -> dict[str, list[str]]:
-    """The views whose columns differ from the contract, with what they have."""
+    """K64: the views whose columns differ from the contract, with what they have."""
     return {name: df.columns for name, f in views.VIEWS.items() for df in [f(tables)] if df.columns != schema.VIEWS[name]}
+
+
+def top_is(tables: Mapping[str, DataFrame], expected: str) -> bool:
+    """K88: whether the design's top is the one expected."""
+    return tables["meta"].where(F.col("key") == "top").agg(F.max("value")).first()[0] == expected

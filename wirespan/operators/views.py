@@ -194,6 +194,39 @@ def driver(t: Tables) -> DataFrame:
     )
 
 
+def driving(t: Tables) -> DataFrame:
+    """(signal, driver, stmt_id, prim_id, conn_id, conn_kind, call_site_id): the rows of v_driver with a driver, of ids alone."""
+    c = F.col
+    none = _null()
+    deps = t["net_dep"].where(c("src_net_id").isNotNull()).select(c("tgt_net_id").alias("signal"), c("src_net_id").alias("driver"), "stmt_id", "prim_id", none.alias("conn_id"), _null("string").alias("conn_kind"), "call_site_id")
+    arcs = conn_arc(t).where(c("outer_net_id").isNotNull())
+    ids = [none.alias("stmt_id"), none.alias("prim_id"), c("conn_id"), c("conn_kind"), none.alias("call_site_id")]
+    into = arcs.where(c("direction").isin(*INTO)).select(c("inner_net_id").alias("signal"), c("outer_net_id").alias("driver"), *ids)
+    out = arcs.where(c("direction").isin(*OUT_OF) & c("conn_kind").isin("signal", "external_reference")).select(c("outer_net_id").alias("signal"), c("inner_net_id").alias("driver"), *ids)
+    return deps.unionByName(into).unionByName(out)
+
+
+def root_pins(t: Tables, directions: tuple) -> DataFrame:
+    """(net_id) of the nets inside pins of roots."""
+    roots = t["tree_node"].where("node_kind = 'root'").select(F.col("id").alias("inst_id"))
+    pins = t["term"].where(F.col("direction").isin(*directions)).join(roots, "inst_id", "left_semi").select(F.col("id").alias("term_id"))
+    return t["term_map"].join(pins, "term_id", "left_semi").select(F.col("inner_net_id").alias("net_id"))
+
+
+def driven(t: Tables) -> DataFrame:
+    """(net_id), repeated: all nets in v_driver."""
+    lone = conn_arc(t).where(F.col("outer_net_id").isNull() & F.col("direction").isin(*INTO)).select(F.col("inner_net_id").alias("net_id"))
+    return t["net_dep"].select(F.col("tgt_net_id").alias("net_id")).union(driving(t).select("signal")).union(lone).union(root_pins(t, INTO))
+
+
+def read(t: Tables) -> DataFrame:
+    """(net_id), repeated: all nets in v_load. Reads that a dependency names are in it by the dependency's source."""
+    out = driving(t).select(F.col("driver").alias("net_id")).union(root_pins(t, OUT_OF)).union(t["proc_event"].select("net_id"))
+    unnamed = lambda table, by: t[table].join(t["net_dep"].where(F.col(by).isNotNull()).select(F.col(by).alias("id")), "id", "left_anti")
+    spoken = t["expr_ref"].where(F.col("role").isin("assertion", "wait", "event", "system_task"))
+    return out.union(spoken.select("net_id")).union(unnamed("expr_ref", "expr_ref_id").select("net_id")).union(unnamed("assign_operand", "assign_operand_id").select("net_id")).where("net_id is not null")
+
+
 def load(t: Tables) -> DataFrame:
     """What reads each net: dependencies, both directions of connections, events, reads that no dependency names, pins of roots."""
     c = F.col

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wirespan.functions import encode, ranges
 from wirespan.operators import closure, coverage, extract, lookup, resolve, stamp, verify, views
 from wirespan.operators.verify import signatures
+from wirespan.plans import planted
 from wirespan.plans.oracle import VIEW_SQL, over_star
-from wirespan.sources import schema
+from wirespan.plans.rules import RULE_SQL
+from wirespan.sources import filelist, schema
 from wirespan.sources.design import Design
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,7 +34,7 @@ _add("conn_arc", views.conn_arc, "SELECT * FROM arcs", "arcs")
 # --- questions ---------------------------------------------------------------------------------
 NET = 20_000_001
 for _name, _view, _column in (("driver_of_net", "v_driver", "signal_net_id"), ("load_of_net", "v_load", "signal_net_id"), ("attachments_of_net", "v_net_attachment", "net_id"), ("deps_of_net", "v_net_dep", "tgt_net_id"), ("conns_of_net", "v_net_conn", "outer_net_id")):
-    _of = 40_000_003 if _view == "v_net_conn" else NET
+    _of = {"v_net_conn": 40_000_003, "v_load": 10_000_001}.get(_view, NET)
     _add(_name, lambda d, v=_view, c=_column, n=_of: lookup.of_nets(views.VIEWS[v](d), [n], c), f"SELECT * FROM {_view} WHERE {_column} = {_of}", _view)
 
 _add("multi_driven", lookup.multi_driven, "SELECT signal_net_id, count(*) AS n_drivers, count(DISTINCT driver_net_id) AS n_nets FROM v_driver WHERE driver_kind IN ('data', 'control', 'primitive', 'procedure', 'connection', 'connection_expression') GROUP BY 1 HAVING count(*) > 1", "v_driver")
@@ -151,7 +153,19 @@ _add("duplicate_siblings", lambda d: stamp.duplicate_siblings(d["tree_node"].sel
 
 # --- rules and metrics -------------------------------------------------------------------------
 _NEAREST = "nearest AS (" + _UP.format("parent_node_id").removeprefix("/*recursive*/+").replace("up AS (", "WITH RECURSIVE up AS (", 1) + ")"
-_SIGNED = "signatures AS (SELECT inst_id, string_agg(name || '=' || value, ',' ORDER BY ordinal) AS signature FROM inst_param GROUP BY inst_id)"
+
+
+def _planted(spark: SparkSession, sf_dir: str) -> Design:
+    """The design of the folder, with rows that break the rules."""
+    star, more = Design.of_star(spark, sf_dir, keep=True), planted.rows()
+    return Design.of(spark, {t: star[t].select(*schema.TABLES[t].names).union(spark.createDataFrame(more[t], schema.TABLES[t])) if t in more else star[t] for t in schema.TABLES})
+
+
+def _broken(rules: list[str], **more: bool) -> str:
+    text = " UNION ALL ".join(f"SELECT '{r}' AS rule, what FROM ({RULE_SQL[r]})" for r in rules)
+    return over_star(f"+{_NEAREST} {text}", *(v for v in VIEW_SQL if v in text), **more)
+
+
 _RULE_SETS = {
     "fk_violations": ["K4"], "domain_violations": ["K5", "K6"], "range_violations": ["K7"], "width_violations": ["K55", "K56", "K57"], "window_overlap": ["K58"],
     "tree_violations": ["K8", "K9", "K10", "K11", "K12", "K13", "K14", "K15", "K16", "K17", "K19", "K20", "K21"],
@@ -162,16 +176,19 @@ _RULE_SETS = {
 }
 for _name, _rules in _RULE_SETS.items():
     QUERIES[_name] = lambda spark, sf_dir, r=_rules: verify.violations(spark, Design.of_star(spark, sf_dir, keep=True), r)
-    _text = " UNION ALL ".join(f"SELECT '{r}' AS rule, what FROM ({re.sub(r'[{](\w+)[}]', r'\1', verify.RULES[r])})" for r in _rules)
-    SQL[_name] = over_star(f"+{_NEAREST}, {_SIGNED} {_text}", *(v for v in VIEW_SQL if v in _text))
+    SQL[_name] = _broken(_rules)
+    QUERIES[f"planted_{_name}"] = lambda spark, sf_dir, r=_rules: verify.violations(spark, _planted(spark, sf_dir), r)
+    SQL[f"planted_{_name}"] = _broken(_rules, planted=True)
 
 _PCT = "CASE WHEN whole > 0 THEN round(100.0 * part / whole, 2) ELSE 0.0 END AS percent"
 _METRICS = [(f"{t}.{e}", t, f"{e} = 0", f"{e} IS NOT NULL") for t, _, _, e in verify.WINDOWS] + [(f"{t}.map_exact", t, "map_exact = 0", "map_exact IS NOT NULL") for t in ("net_dep", "net_conn")]
 _add("coverage_inexact", coverage.inexact, "SELECT metric, part, whole, " + _PCT + " FROM (" + " UNION ALL ".join(f"SELECT '{m}' AS metric, count(*) FILTER (WHERE {p}) AS part, count(*) AS whole FROM {t} WHERE {w}" for m, t, p, w in _METRICS) + ")")
 _add("coverage_dropped", coverage.dropped, "SELECT metric, part, whole, operands, " + _PCT + " FROM (SELECT 'stmt.dropped' AS metric, count(*) FILTER (WHERE dropped_operand_count > 0) AS part, count(*) AS whole, CAST(sum(dropped_operand_count) AS BIGINT) AS operands FROM stmt)")
 _add("coverage_sourceless", coverage.sourceless, "SELECT metric, part, whole, " + _PCT + " FROM (SELECT 'net_dep.sourceless' AS metric, count(*) FILTER (WHERE src_net_id IS NULL) AS part, count(*) AS whole FROM net_dep)")
-_add("coverage_resolution", coverage.resolution, "SELECT access, count(resolved_net_id) AS resolved, count(*) AS refs FROM hier_ref GROUP BY access")
-_add("coverage_undriven", coverage.undriven_split, "SELECT count(*) AS undriven, count(*) FILTER (WHERE pin) AS root_inputs, count(*) FILTER (WHERE NOT pin) AS internal FROM (SELECT id IN (SELECT inner_net_id FROM term_map k JOIN term e ON e.id = k.term_id JOIN tree_node r ON r.id = e.inst_id WHERE r.node_kind = 'root' AND e.direction IN ('input', 'inout')) AS pin FROM net WHERE id NOT IN (SELECT signal_net_id FROM v_driver WHERE driver_kind <> 'terminal'))", "v_driver")
+_add("coverage_resolution", coverage.resolution, "SELECT count(resolved_net_id) AS to_net, count(resolved_inst_id) FILTER (WHERE resolved_net_id IS NULL) AS to_instance_only, count(*) AS refs, round(100.0 * count(resolved_net_id) / count(*), 2) AS percent FROM hier_ref")
+_add("coverage_undriven", coverage.undriven_split, "+pins AS (SELECT DISTINCT m.inner_net_id AS n FROM term_map m JOIN term e ON e.id = m.term_id JOIN tree_node r ON r.id = e.inst_id WHERE r.node_kind = 'root' AND e.direction IN ('input', 'inout')), u AS (SELECT id FROM net WHERE id NOT IN (SELECT signal_net_id FROM v_driver)) SELECT (SELECT count(*) FROM u) AS all_undriven, (SELECT count(*) FROM u WHERE id NOT IN (SELECT n FROM pins)) AS internal, (SELECT count(*) FROM pins) AS root_inputs, (SELECT count(*) FROM net) AS nets, round(100.0 * (SELECT count(*) FROM u WHERE id NOT IN (SELECT n FROM pins)) / (SELECT count(*) FROM net), 2) AS percent", "v_driver")
+_add("coverage_meta", coverage.meta, "SELECT " + ", ".join(f"(SELECT max(value) FROM meta WHERE key = '{k}') AS {k}" for k in coverage.META))
+_add("name_like", lambda d: lookup.by_name(d, "O1%5"), "SELECT id AS net_id, inst_id, name AS net_name FROM net WHERE name ILIKE 'O1%5'")
 _add("expansion_ratio", coverage.expansion, "SELECT occurrences, variants, round(occurrences / variants, 2) AS ratio FROM (SELECT count(*) AS occurrences, count(DISTINCT (module_id, coalesce(param_signature, ''))) AS variants FROM inst WHERE module_id IS NOT NULL)")
 _NAMES = list(schema.TABLES)
 _add("row_counts", lambda d: coverage.row_counts(d, _NAMES), " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS rows FROM {t}" for t in _NAMES))
@@ -210,3 +227,88 @@ _add("port_windows", lambda d: extract.windows_from_right(d["assign_operand"].se
 _add("conn_copies", lambda d: extract.copies(d["assign_operand"].select("id", "lo", (F.col("hi") - F.col("lo") + 1).alias("width"), (F.col("ordinal") % 3 + 1).alias("times")).where("lo is not null")), "SELECT id, lo + k * 8 AS lo, CAST(8 AS BIGINT) AS width, times, k AS copy, lo + k * 8 + 7 AS hi FROM (SELECT id, lo, ordinal % 3 + 1 AS times, unnest(range(ordinal % 3 + 1)) AS k FROM assign_operand WHERE lo IS NOT NULL)")
 _add("body_groups", lambda d: extract.bodies(d["inst"].join(d["module"].select(F.col("id").alias("module_id"), F.col("name").alias("def_name"), F.col("file_id").alias("file"), F.col("line").alias("m_line"), F.col("col").alias("m_col")), "module_id").select("id", "def_name", "file", F.col("m_line").alias("line"), F.col("m_col").alias("col"), F.col("param_signature").alias("params"))).drop("group_key"), "SELECT min(i.id) AS representative, count(*) AS occurrences FROM inst i JOIN module m ON m.id = i.module_id GROUP BY m.name, m.file_id, m.line, m.col, coalesce(i.param_signature, '')")
 _add("module_definitions", lambda d: extract.definitions(d["module"]), "SELECT name, file_id, line, min(id) AS id FROM module GROUP BY ALL")
+
+
+# --- what a front end and a stamper leave to joins ---------------------------------------------------------
+def _ports(d: Design) -> DataFrame:
+    """Interface terminals: of every eighth customer bound to its nation, of the others passed on from the customer before."""
+    c = d["inst"].where("id >= 1000000 and id < 2000000").select("id", "parent_inst_id")
+    own = F.col("id") % 8 == 0
+    return c.select(F.col("id").alias("term_id"), F.when(own, F.col("parent_inst_id")).alias("child_inst_id"), F.when(~own & (F.col("id") % 11 != 0), F.col("id") - 1).alias("via_term_id"))
+
+
+_PORTS = "ports AS (SELECT id AS term_id, if(id % 8 = 0, parent_inst_id, NULL) AS child_inst_id, if(id % 8 <> 0 AND id % 11 <> 0, id - 1, NULL) AS via_term_id FROM inst WHERE id >= 1000000 AND id < 2000000)"
+_add("interface_bindings", lambda d: stamp.interface_bindings(_ports(d)))
+SQL["interface_bindings"] = _recursive(f"+{_PORTS}, up AS (SELECT term_id, child_inst_id AS bound, via_term_id AS via FROM ports UNION ALL SELECT u.term_id, p.child_inst_id, p.via_term_id FROM up u JOIN ports p ON p.term_id = u.via WHERE u.bound IS NULL) SELECT term_id, max(bound) AS bound_inst_id FROM up GROUP BY term_id")
+_add("pass_through", lambda d: stamp.pass_through(_ports(d)), f"+{_PORTS} SELECT term_id, CASE WHEN child_inst_id > 0 THEN 'sibling' WHEN via_term_id > 0 THEN 'own port' ELSE 'external' END AS binding FROM ports")
+
+
+def _boxes(d: Design) -> dict[str, DataFrame]:
+    """The design's black boxes, each with up to three ports and a connection to the bus of its nation at each port written."""
+    i = d["inst"].where("unresolved_def is not null").join(d["tree_node"].select("id", "parent_node_id", "name", "ordinal"), "id")
+    children = i.select("id", "parent_node_id", "parent_inst_id", "name", F.col("unresolved_def").alias("def_name"), "ordinal", *stamp.AT)
+    ports = children.select(F.col("id").alias("inst_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("id") % 3)).alias("ordinal")).withColumn("name", F.concat(F.lit("p"), "ordinal"))
+    conns = children.select(F.col("id").alias("inst_id"), F.explode(F.array(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("port_ordinal"), (F.col("parent_inst_id") + 39_999_989).alias("outer_net_id")).withColumns({"ordinal": F.col("port_ordinal"), "conn_kind": F.lit("signal")})
+    return stamp.unresolved(children, ports, conns, 5_000_000, 6_000_000)
+
+
+_BOXES = "+boxes AS (SELECT i.id, i.parent_inst_id, i.unresolved_def, i.file_id, i.line, i.col FROM inst i WHERE unresolved_def IS NOT NULL), t AS (SELECT id AS inst_id, k AS ordinal, 5000000 + row_number() OVER (ORDER BY id, k) AS id, file_id, line, col FROM (SELECT *, unnest(range(id % 3 + 1)) AS k FROM boxes))"
+_add("unresolved_terms", lambda d: _boxes(d)["term"], _BOXES + " SELECT id, inst_id, 'p' || ordinal AS name, 'signal' AS term_kind, CAST(NULL AS VARCHAR) AS direction, CAST(NULL AS BIGINT) AS data_type_id, CAST(NULL AS BIGINT) AS width, ordinal, CAST(NULL AS INT) AS is_const, CAST(NULL AS VARCHAR) AS modport, file_id, line, col FROM t")
+_add("unresolved_conns", lambda d: _boxes(d)["net_conn"], _BOXES + " SELECT 6000000 + row_number() OVER (ORDER BY t.inst_id, t.ordinal) AS id, t.id AS term_id, t.ordinal, 'signal' AS conn_kind, b.parent_inst_id + 39999989 AS outer_net_id FROM t JOIN boxes b ON b.id = t.inst_id WHERE t.ordinal <> 1")
+
+
+def _packaged(d: Design) -> dict[str, DataFrame]:
+    """Nations as packages (one of them named std), nets of the root as their members, every fifth a function and every seventh nameless."""
+    m = d["module"].select(F.when(F.col("id") == 3, "std").otherwise(F.col("name")).alias("package"), F.col("id").alias("ordinal"), "file_id", "line", "col")
+    n = d["net"].where("id >= 10000000 and id < 20000000")
+    owner = (F.col("n_id") % 25 + 1).alias("o")
+    members = n.select(F.col("id").alias("n_id"), F.when(F.col("id") % 7 == 0, "").otherwise(F.col("name")).alias("name"), F.when(F.col("id") % 5 == 0, "function").otherwise("variable").alias("kind"), "decl_kind", "data_type_id", "width", "is_implicit", "file_id", "line", "col")
+    members = members.select("*", owner, F.col("n_id").alias("ordinal")).join(m.select("package", F.col("ordinal").alias("o")), "o").drop("o", "n_id")
+    return stamp.packages(m, members, 100, 9_000, 7_000_000)
+
+
+_PACKED = "+m AS (SELECT if(id = 3, 'std', name) AS package, id AS ordinal, file_id, line, col FROM module), p AS (SELECT *, row_number() OVER (ORDER BY ordinal) AS k FROM m WHERE package <> 'std')"
+_add("package_insts", lambda d: _packaged(d)["inst"], _PACKED + " SELECT 9000 + k AS id, 100 + k AS module_id, CAST(NULL AS BIGINT) AS parent_inst_id, CAST(NULL AS VARCHAR) AS param_signature, CAST(NULL AS VARCHAR) AS unresolved_def, file_id, line, col FROM p")
+_add("package_nets", lambda d: _packaged(d)["net"], _PACKED + " SELECT 7000000 + row_number() OVER (ORDER BY p.k, n.id) AS id, 9000 + p.k AS inst_id, 9000 + p.k AS scope_node_id, n.name, n.decl_kind, n.data_type_id, n.width, n.is_implicit, n.file_id, n.line, n.col FROM net n JOIN p ON p.ordinal = n.id % 25 + 1 WHERE n.id >= 10000000 AND n.id < 20000000 AND n.id % 7 <> 0 AND n.id % 5 <> 0")
+
+
+def _maps(d: Design) -> DataFrame:
+    """Statements as ports: those with operands in places are made of parts, the others stand for their target or, every third, for nothing."""
+    t = d["stmt_target"]
+    ports = t.select(F.col("stmt_id").alias("term_id"), F.when(F.col("stmt_id") % 3 == 1, F.col("net_id")).alias("expr_net_id"), F.when(F.col("stmt_id") % 3 == 2, F.col("net_id") + 1).alias("symbol_net_id"))
+    parts = d["assign_operand"].where("lo is not null").select(F.col("stmt_id").alias("term_id"), F.col("id").alias("ordinal"), "net_id", "lo", "hi", F.col("is_exact").alias("exact"), (F.col("hi") - F.col("lo") + 1).alias("width"))
+    return extract.term_maps(ports, parts)
+
+
+_add("term_maps", _maps, "+o AS (SELECT *, sum(hi - lo + 1) OVER (PARTITION BY stmt_id ORDER BY id DESC) AS s FROM assign_operand WHERE lo IS NOT NULL) SELECT stmt_id AS term_id, id AS ordinal, net_id AS inner_net_id, CAST(s - (hi - lo + 1) AS BIGINT) AS term_lo, CAST(s - 1 AS BIGINT) AS term_hi, 1 AS term_exact, lo AS inner_lo, hi AS inner_hi, is_exact AS inner_exact, is_exact AS map_exact FROM o UNION ALL SELECT stmt_id, 0, if(stmt_id % 3 = 1, net_id, net_id + 1), NULL, NULL, 1, NULL, NULL, 1, 1 FROM stmt_target WHERE stmt_id % 3 <> 0 AND stmt_id NOT IN (SELECT stmt_id FROM o)")
+
+
+def _planned(d: Design) -> DataFrame:
+    """From every customer a path of one of five shapes."""
+    c = d["tree_node"].where("id >= 1000000 and id < 2000000").select("id", "name", "parent_node_id")
+    k = F.col("id") % 5
+    path = F.when(k == 0, "pkg::x").when(k == 1, "pin.sig").when(k == 2, F.concat(F.lit("ASIA . /* x */ "), "name")).when(k == 3, "$root.a.b[c[1]]").otherwise("up.there")
+    return resolve.plan(c.select("id", F.col("id").alias("inst_id"), path.alias("path")), d).select("id", "resolve_kind", F.array_join("segs", ".").alias("segs"))
+
+
+_add("resolution_plan", _planned, "SELECT c.id, CASE c.id % 5 WHEN 0 THEN 'package' WHEN 1 THEN CASE WHEN t.term_kind = 'interface' THEN 'iface_term' WHEN n.id IS NOT NULL THEN 'downward' ELSE 'none' END WHEN 4 THEN 'none' ELSE 'absolute' END AS resolve_kind, CASE c.id % 5 WHEN 0 THEN 'pkg.x' WHEN 1 THEN 'pin.sig' WHEN 2 THEN 'ASIA.' || c.name WHEN 3 THEN '$root.a.b' ELSE 'up.there' END AS segs FROM tree_node c LEFT JOIN term t ON t.inst_id = c.id LEFT JOIN net n ON n.scope_node_id = c.id AND n.name = 'pin' WHERE c.id >= 1000000 AND c.id < 2000000")
+
+
+def _raw(d: Design) -> DataFrame:
+    """Nets as a writer gets them, with values that stand for none."""
+    n = d["net"]
+    return n.select("id", "inst_id", "scope_node_id", "name", "decl_kind", F.coalesce("data_type_id", F.lit(0)).alias("data_type_id"), F.coalesce("width", F.lit(-1)).alias("width"), "is_implicit", F.coalesce("file_id", F.lit(0)).alias("file_id"), F.coalesce("line", F.lit(0)).alias("line"), F.coalesce("col", F.lit(0)).alias("col"))
+
+
+_add("null_encoding", lambda d: encode.encoded(_raw(d), schema.TABLES["net"]), "SELECT * FROM net")
+_add("whole_windows", lambda d: d["stmt_target"].join(d["net"].select(F.col("id").alias("n"), "width"), F.col("net_id") == F.col("n")).select("id", ranges.whole(F.col("lo"), F.col("hi"), F.col("width")).alias("whole")), "SELECT w.id, CASE WHEN lo IS NULL AND hi IS NULL THEN true WHEN lo IS NULL THEN false ELSE lo = 0 AND hi >= n.width - 1 END AS whole FROM stmt_target w JOIN net n ON n.id = w.net_id")
+_add("self_reads", lambda d: extract.self_reads(_slots(d)[0].withColumn("compound", F.col("id") % 4 == 0)), "SELECT stmt_id, id, net_id, lo, hi, is_exact AS exact, CAST(NULL AS BIGINT) AS slot_lo, CAST(NULL AS BIGINT) AS slot_hi FROM stmt_target WHERE id % 4 = 0")
+_add("delays", lambda d: d["stmt"].select("id", extract.delay(F.concat(F.lit(" \t"), F.coalesce("delay", F.lit("")), F.lit("\n  "), F.when(F.col("id") % 2 == 0, "ns").otherwise(""))).alias("delay")), "SELECT id, nullif(trim(coalesce(delay, '') || ' ' || if(id % 2 = 0, 'ns', '')), '') AS delay FROM stmt")
+_add("conn_kinds", lambda d: d["net_conn"].select("id", extract.conn_kind(F.col("outer_net_id").isNotNull(), F.col("outer_hier_ref_id").isNotNull(), F.col("outer_intf_inst_id").isNotNull(), F.col("conn_kind") == "constant", F.col("conn_kind") == "expression_operand").alias("kind")), "SELECT id, CASE WHEN outer_intf_inst_id > 0 THEN 'interface' WHEN conn_kind = 'expression_operand' THEN conn_kind WHEN outer_hier_ref_id > 0 THEN 'external_reference' WHEN outer_net_id > 0 THEN 'signal' WHEN conn_kind = 'constant' THEN conn_kind ELSE 'unconnected' END AS kind FROM net_conn")
+_add("outward_records", lambda d: extract.outward(d["hier_ref"].select("stmt_id", F.col("lo").alias("expression"), "access", "id", F.when(F.col("id") % 2 == 0, F.col("path")).alias("canonical"), F.lit(None).cast("string").alias("written"), F.concat(F.lit("h."), "path").alias("hierarchical"))), "SELECT stmt_id, lo AS expression, access, min(id) AS id, min_by(if(id % 2 = 0, path, 'h.' || path), id) AS path FROM hier_ref GROUP BY ALL")
+_add("escaped_names", lambda d: d["module"].select("id", F.array_join(resolve.segments(F.concat(F.lit("a.\\"), "name", F.lit(".x [1] . b"))), "|").alias("names")), "SELECT id, 'a|\\' || name || '.x|[1]|b' AS names FROM module")
+_add("occurrence_order", lambda d: stamp.path_keys(d["tree_node"].select("id", F.col("parent_node_id").alias("parent"), "ordinal")).select("id", "level", F.sha2("path_key", 256).alias("path_key")))
+SQL["occurrence_order"] = _recursive("+k AS (SELECT id, 0 AS level, lpad(CAST(ordinal AS VARCHAR), 12, '0') || ':' || lpad(CAST(id AS VARCHAR), 19, '0') AS key FROM tree_node WHERE parent_node_id IS NULL UNION ALL SELECT t.id, level + 1, key || '/' || lpad(CAST(t.ordinal AS VARCHAR), 12, '0') || ':' || lpad(CAST(t.id AS VARCHAR), 19, '0') FROM k JOIN tree_node t ON t.parent_node_id = k.id) SELECT id, level, sha256(key) AS path_key FROM k")
+_add("interned_types", lambda d: filelist.interned(d["prim"].select(F.when(F.col("id") % 9 == 0, "").otherwise(F.col("def_name")).alias("t")), "t"), "SELECT row_number() OVER (ORDER BY text) AS id, text FROM (SELECT DISTINCT def_name AS text FROM prim WHERE id % 9 <> 0)")
+_add("linked_files", lambda d: filelist.linked(d["file"].withColumn("path", F.concat(F.lit("/src/"), F.substring_index("path", "/", -1))), d["src_file"]), "SELECT f.id, '/src/' || split_part(f.path, '/', -1) AS path, s.id AS src_file_id FROM file f LEFT JOIN src_file s ON s.path = '/src/' || split_part(f.path, '/', -1)")
+_add("merged_meta", lambda d: filelist.merged_meta(d["meta"], d["meta"].where("key in ('top', 'error_count')").withColumn("value", F.lit("7")).unionByName(d["meta"].where("key = 'tool_version'").withColumn("key", F.lit("tool")))), "SELECT key, if(key IN ('top', 'error_count'), '7', value) AS value FROM meta UNION ALL SELECT 'tool', value FROM meta WHERE key = 'tool_version'")
