@@ -96,3 +96,17 @@ def test_paths(spark):
     refs = spark.createDataFrame([(1, 3, "top.u1.q"), (2, 3, "d"), (3, 3, "top.none.q"), (4, 1, "u2.r [1]"), (5, 1, "")], "id long, inst_id long, path string")
     got = {r.id: (r.resolved_inst_id, r.resolved_net_id) for r in resolve.references(refs, d).collect()}
     assert got == {1: (2, 2), 2: (3, 3), 3: (None, None), 4: (3, 4), 5: (None, None)}
+
+
+def test_new_files_are_a_new_design(spark, tmp_path):
+    import os
+    import shutil
+
+    sf = tmp_path / "sf"
+    shutil.copytree("/root/testdata/sf0.001", sf, ignore=lambda d, names: [n for n in names if n.split(".")[0] not in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")])
+    os.chmod(sf, 0o755)
+    of = lambda: Design.of_star(spark, f"file://{sf}", keep=True)["src_file"].count()
+    assert of() == of() == 4
+    spark.read.parquet(f"file://{sf}/region.parquet").where("r_regionkey < 2").toPandas().to_parquet(tmp_path / "new.parquet")
+    os.replace(tmp_path / "new.parquet", sf / "region.parquet")
+    assert of() == 2

@@ -16,7 +16,18 @@ from wirespan.sources import schema, star
 SORT_KEYS = {"net_dep": "tgt_net_id", "net_conn": "outer_net_id", "term_map": "inner_net_id", "tree_node": "parent_node_id", "stmt_target": "net_id", "assign_operand": "net_id", "expr_ref": "net_id", "proc_event": "net_id", "hier_ref": "resolved_net_id", "inst_param": "name"}
 
 
-_KEPT: dict[tuple[str, str], dict[str, DataFrame]] = {}
+_KEPT: dict[tuple, dict[str, DataFrame]] = {}
+
+
+def _state(spark: SparkSession, sf_dir: str) -> tuple:
+    """The files of the star tables, with sizes and times: another state is another design."""
+    out = []
+    for name in star.BASE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        for f in files.listStatus(path):
+            out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
 
 
 class VersionError(ValueError):
@@ -62,8 +73,8 @@ class Design(Mapping):
     @classmethod
     def of_star(cls, spark: SparkSession, sf_dir: str, keep: bool = False) -> Design:
         """Of the star tables in a folder (see wirespan.sources.star). keep: each table is written to the shared
-        folder when first asked for, and read from there by all later designs of the folder in this application."""
-        made = _KEPT.setdefault((spark.sparkContext.applicationId, sf_dir), {}) if keep else {}
+        folder when first asked for, and read from there by all later designs of the same files in this application."""
+        made = _KEPT.setdefault((spark.sparkContext.applicationId, _state(spark, sf_dir)), {}) if keep else {}
 
         def frame(name: str) -> DataFrame:
             if name not in made:
