@@ -99,9 +99,13 @@ def test_decontaminate(spark):
     for block_words in (2_000_000, 20):
         got = {r[0]: tuple(r)[1:] for r in decontaminate.digest(docs, bench, block_words=block_words).collect()}
         assert got == want
-    kept = {r.doc_id for r in decontaminate.clean(docs, bench).collect()}
-    assert kept == {i for i, x in want.items() if not x[4]}
-    for r in decontaminate.spans(docs, bench).collect():
+    for block_words in (200_000, 20):
+        kept = decontaminate.clean(docs, bench, block_words=block_words)
+        assert kept.schema == docs.schema and {r.doc_id for r in kept.collect()} == {i for i, x in want.items() if not x[4]}
+    nameless = spark.createDataFrame([(None, texts[-1]), (None, None), (5, texts[-1]), (5, texts[-1])], "doc_id long, text string")
+    for block_words in (200_000, 20):
+        assert [tuple(r)[1:] for r in decontaminate.digest(nameless, bench, block_words=block_words).where("n_words > 0").collect()] == [want[len(texts) - 1]] * 3
+    for r in decontaminate.spans(docs, bench, block_words=20).collect():
         assert sum(len(norm(texts[r.doc_id][s.begin : s.end])) for s in r.spans) == want[r.doc_id][1]
     assert decontaminate.digest(docs.limit(0), bench).count() == 0
     assert not any(r.contaminated for r in decontaminate.digest(docs, bench.limit(0)).collect())

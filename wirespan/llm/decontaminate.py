@@ -3,13 +3,14 @@
 A text is normalised by lower-casing A-Z and taking words, the runs of ASCII letters, digits and
 characters beyond ASCII. Every window of `width` words of an item (or the whole item, if it is
 shorter) is a pattern. The automaton works on word numbers, where a word that no item has is 0, so
-its size follows the items alone and a document is scanned once. Items come in blocks of at most
-`block_words` words, one automaton each, so what is broadcast at once has a fixed bound.
+its size follows the items alone and a document is scanned once. An automaton takes some 1.2 kB a word of
+its items, so items come in blocks of about `block_words` words (a longer item stands alone): one automaton of 250 MB at most is built, broadcast and held
+by a worker at a time. A benchmark of several blocks scans the documents once for each, writes what is found, and merges it by document.
 
 Defined cases: a null or empty text has no words and is clean; an item without words is no
 pattern; equal items, and equal windows of different items, all count; rows of equal item_id count
-as one item; an item without id still marks words but is not listed. Repeated documents are
-judged one by one. Other columns are ignored.
+as one item; an item without id still marks words but is not listed. Repeated documents and null doc_ids are
+judged as others. An empty table of documents gives an empty table. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ import hashlib
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -25,8 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wirespan.llm.common import written
+
 WIDTH = 13
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 200_000
 #: Bytes to blanks or lower case; bytes of characters beyond ASCII stay.
 FOLD = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -84,11 +89,12 @@ def blocks_of(benchmark: DataFrame, block_words: int = BLOCK_WORDS, width: int =
     """Automata over the items, read in blocks and never all at once."""
     block, total = [], 0
     for row in benchmark.select(F.col("item_id").cast("string"), "text").toLocalIterator():
-        block.append((row[0], row[1]))
-        total += len(words_of(row[1]))
-        if total >= block_words:
+        size = len(words_of(row[1]))
+        if block and total + size > block_words:
             yield Automaton(block, width)
             block, total = [], 0
+        block.append((row[0], row[1]))
+        total += size
     if block:
         yield Automaton(block, width)
 
@@ -97,68 +103,97 @@ def is_contaminated(n_hit: int, n_words: int) -> bool:
     return n_hit > 0 and 20 * n_hit >= n_words
 
 
-def _scan_all(automata: list, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
-    runs, items = [], set()
-    for a in automata:
-        r, i = a.value.scan(words)
-        runs += r
-        items |= i
-    return (merged(runs) if len(automata) > 1 else runs), items
+FOUND = "doc_id long, text_hash long, runs array<struct<begin:int,end:int>>, items array<string>"
+
+
+def _tables(docs: DataFrame, automata: Iterator[Automaton]) -> list[DataFrame]:
+    """FOUND of each block, as tables. An item without id is a null among the items."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("runs", pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))), ("items", pa.list_(pa.string()))])
+    named, out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text"), []
+    for automaton in automata:
+        shared = docs.sparkSession.sparkContext.broadcast(automaton)
+
+        def run(batches, shared=shared):
+            for batch in batches:
+                rows = []
+                for doc_id, text_hash, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    runs, items = shared.value.scan(words_of(text))
+                    if runs:
+                        rows.append({"doc_id": doc_id, "text_hash": text_hash, "runs": [{"begin": a, "end": b} for a, b in runs], "items": list(items)})
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+        out.append(written(named.mapInArrow(run, FOUND).dropDuplicates(["doc_id", "text_hash"])))
+        shared.destroy()
+    return out
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, width: int, block_words: int, judge, schema) -> DataFrame:
+    """docs (with a column text) through judge(batch, [(words, runs, items) of each row])."""
+    blocks = blocks_of(benchmark, block_words, width)
+    first, second = next(blocks, Automaton([], width)), next(blocks, None)
+    at = docs.columns.index("text")
+    if second is None:
+        shared = docs.sparkSession.sparkContext.broadcast(first)
+
+        def run(batches):
+            for batch in batches:
+                words = [words_of(t.as_py()) for t in batch.column(at)]
+                yield judge(batch, [(w, *shared.value.scan(w)) for w in words])
+
+        return docs.mapInArrow(run, schema)
+    found = reduce(DataFrame.unionByName, _tables(docs, chain([first, second], blocks)))
+    one = found.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("runs")).alias("__runs"), F.flatten(F.collect_list("items")).alias("__items"))
+    right = one.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__of"), "__runs", "__items").hint("shuffle_hash")
+    left = docs.withColumn("__hash", F.xxhash64("text"))
+    joined = left.join(right, left["doc_id"].eqNullSafe(right["__id"]) & (left["__hash"] == right["__of"]), "left").select(*docs.columns, "__runs", "__items")
+
+    def known(batches):
+        for batch in batches:
+            rows = zip(batch.column(at).to_pylist(), batch.column("__runs").to_pylist(), batch.column("__items").to_pylist(), strict=True)
+            yield judge(batch.drop_columns(["__runs", "__items"]), [(words_of(t), merged([(r["begin"], r["end"]) for r in runs or []]), set(items or [])) for t, runs, items in rows])
+
+    return joined.mapInArrow(known, schema)
+
+
+def _hit(runs: list[tuple[int, int]]) -> int:
+    return sum(b - a for a, b in runs)
+
+
+def _names(items: set) -> list[str]:
+    return sorted(i for i in items if i is not None)
 
 
 def digest(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, for each document."""
-    context = docs.sparkSession.sparkContext
-    automata = [context.broadcast(a) for a in blocks_of(benchmark, block_words, width)]
 
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for text in batch.column("text"):
-                words = words_of(text.as_py())
-                hits, items = _scan_all(automata, words)
-                n_hit, names = sum(b - a for a, b in hits), sorted(i for i in items if i is not None)
-                rows.append((len(words), n_hit, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), is_contaminated(n_hit, len(words))))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+    def judge(batch, found):
+        rows = [(len(w), _hit(runs), len(_names(items)), hashlib.sha256(",".join(_names(items)).encode()).hexdigest(), is_contaminated(_hit(runs), len(w))) for w, runs, items in found]
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, DIGEST)
+    return _judged(docs.select("doc_id", "text"), benchmark, width, block_words, judge, DIGEST)
 
 
 def spans(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents with hits: offsets of the hits in the original text, and the items found."""
-    context = docs.sparkSession.sparkContext
-    automata = [context.broadcast(a) for a in blocks_of(benchmark, block_words, width)]
     schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("contaminated", pa.bool_()), ("spans", pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))), ("items", pa.list_(pa.string()))])
 
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for doc_id, text_hash, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = words_of(text)
-                hits, items = _scan_all(automata, words)
-                if hits:
-                    at = [m.span() for m in WORD.finditer(text)]
-                    rows.append({"doc_id": doc_id, "text_hash": text_hash, "contaminated": is_contaminated(sum(b - a for a, b in hits), len(words)), "spans": [{"begin": at[a][0], "end": at[b - 1][1]} for a, b in hits], "items": sorted(i for i in items if i is not None)})
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+    def judge(batch, found):
+        rows = []
+        for doc_id, text_hash, text, (words, runs, items) in zip(batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), batch.column("text").to_pylist(), found, strict=True):
+            if runs:
+                at = [m.span() for m in WORD.finditer(text)]
+                rows.append({"doc_id": doc_id, "text_hash": text_hash, "contaminated": is_contaminated(_hit(runs), len(words)), "spans": [{"begin": at[a][0], "end": at[b - 1][1]} for a, b in runs], "items": _names(items)})
+        return pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, SPANS)
+    return _judged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text"), benchmark, width, block_words, judge, SPANS)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs without the contaminated ones, judged row by row as they are scanned."""
-    context = docs.sparkSession.sparkContext
-    automata = [context.broadcast(a) for a in blocks_of(benchmark, block_words, width)]
-    at = docs.columns.index("text")
 
-    def run(batches):
-        for batch in batches:
-            stays = []
-            for text in batch.column(at):
-                words = words_of(text.as_py())
-                hits, _ = _scan_all(automata, words)
-                stays.append(not is_contaminated(sum(b - a for a, b in hits), len(words)))
-            yield batch.filter(pa.array(np.array(stays, bool)))
-
-    return docs.mapInArrow(run, docs.schema)
+    def judge(batch, found):
+        return batch.filter(pa.array(np.array([not is_contaminated(_hit(runs), len(w)) for w, runs, _ in found], bool)))
+
+    return _judged(docs, benchmark, width, block_words, judge, docs.schema)
