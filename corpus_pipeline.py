@@ -1,5 +1,9 @@
 """The corpus pipeline: toxic documents go, repeated lines go, one document of each group of
-near-duplicates stays, contaminated documents go, and the rest is packed into sequences."""
+near-duplicates stays, contaminated documents go, and the rest is packed into sequences.
+
+Every stage but the last returns the columns it is given, whatever others there are beside those of documents.
+Rows are judged one by one, so nulls in doc_id or other columns do no harm and repeated rows fare alike (but for the stage that
+drops copies). A null or empty text is clean, has no repeated line, is no copy of another, and is packed as the end token. Empty tables give empty tables."""
 
 from __future__ import annotations
 
@@ -12,28 +16,29 @@ from wirespan.llm.queries import fold_of
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that score 0.3 or more. The lexicon is learned from the labelled documents of
-    the folder, not from what earlier stages kept of them."""
+    the folder, not from what earlier stages kept of them. Null and empty texts score as texts without matches and stay."""
     labels = table(spark, sf_dir, "labels").where(fold_of(4) != 2)
     return toxicity.drop_toxic(docs, toxicity.learn(table(spark, sf_dir, "documents"), labels), 0.3)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the lines whose keys ten documents or more have; n_chars counts what is left."""
+    """Without the lines whose keys ten rows or more have; n_chars counts what is left. A null text stays null; blank lines stay."""
     return line_dedup.drop_lines(docs, min_docs=10, keep="none", min_chars=1)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates, that with the least doc_id."""
+    """One document of each class of near-duplicates, that with the least doc_id (null last; of equal ids the least digest of the text). Repeated
+    rows are copies, so one stays; rows without words all stay."""
     return near_dedup.keep_first(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents of which a twentieth or more stands in the benchmark."""
+    """Without the documents of which a twentieth or more stands in the benchmark. Null and empty texts stay."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 4096 tokens, sources mixed in proportion to their tokens to the power 0.7."""
+    """The pieces of all documents in sequences of 4096 tokens, sources mixed in proportion to their tokens to the power 0.7. Null sources are one source; repeated rows are packed one by one."""
     return packing.pack(docs, temperature=packing.TEMPERATURE)
 
 

@@ -69,3 +69,51 @@ def test_stages_keep_the_columns(spark):
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns, name
         assert out.schema == docs.schema, name
+
+
+CLEAN = " ".join(f"word{k}" for k in range(60))
+ODD = [
+    (None, None, None, None, None), (None, CLEAN, "en", None, 3), (1, "", None, "s", None), (2, " \n\t", "en", "s", 0), (3, CLEAN, "en", "s", 1), (3, CLEAN, "en", "s", 1), (4, CLEAN + " more", None, None, 1),
+    (5, " ".join(f"w{k % 9973}" for k in range(300_000)), "en", "s", 9), (6, "x" * 200_000, "en", "s", 9), (7, "Ünï\u200b çödé \ud7ff", "de", "", 1), (None, "only text of a null id", None, None, None),
+]
+
+
+def odd_documents(spark):
+    """Nulls everywhere, empty and very long texts, repeated rows, ids and texts, and columns with names that operators use."""
+    rows = [(i, t, lang, source, n, "k", 5, "h", b"n", 1.0, "q", 2) for i, t, lang, source, n in ODD]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, keep string, n int, text_hash string, node binary, score double, queue string, task int").repartition(3)
+
+
+def test_stages_with_odd_documents(spark):
+    docs = odd_documents(spark)
+    blank = sum(not (t or "").strip() for _, t, *_ in ODD)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.schema.names == docs.schema.names and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema], name
+        rows = out.collect()
+        assert sum(not (r.text or "").strip() for r in rows) == blank, name
+        if name == "near dedup":  # the plain text three times under 3 and null, and the longer one, are one class
+            assert sorted(str(r.doc_id) for r in rows if r.text and r.text.startswith("word0")) == ["3"] and len(rows) == len(ODD) - 3
+        else:
+            assert len(rows) == len(ODD), name
+            assert Counter(r.text for r in rows) == Counter(t for _, t, *_ in ODD), name
+    tokens, tokenizer = Counter(), Tokenizer.from_file(packing.vocabulary())
+    for r in corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect():
+        tokens[r.doc_id] += r.length
+    want = Counter()
+    for i, t, *_ in ODD:
+        want[i] += len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1
+    assert tokens == want
+
+
+def test_stages_with_empty_tables(spark):
+    docs = odd_documents(spark).limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, SF).count() == 0, name
+
+
+def test_repeated_lines_of_odd_rows_go(spark):
+    """Ten rows, some repeated and some without ids, have one line; an eleventh has another."""
+    rows = [(None if k < 3 else 4 if k < 6 else k, f"common line\nown {k}" if k != 4 else "Common LINE \nown 3", "z") for k in range(10)] + [(99, "other", "z")]
+    out = corpus_pipeline.STAGES[1][1](spark, spark.createDataFrame(rows, "doc_id long, text string, keep string"), SF)
+    assert sorted(r.text for r in out.collect()) == sorted([f"own {k}" if k != 4 else "own 3" for k in range(10)] + ["other"])

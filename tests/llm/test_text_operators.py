@@ -271,6 +271,59 @@ def test_url_scores_count_every_ruled_url_exactly(spark):
     assert all(abs(x - by_hand(u)) < 1e-9 for x, u in zip(made, urls, strict=True))
 
 
+def test_verdicts_by_hand(spark):
+    """Every verdict of judge() from naive counts, scores and a naive threshold; repeated, null and empty urls among them."""
+    import math
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(13)
+    hosts = ["news.example.com", "a.net", "x.com", "c.org", "q.io"]
+    urls = [f"http://{rng.choice(hosts)}/{rng.choice(['en', 'de', 'es'])}/{rng.choice(['story', 'pills', '7', '8'])}{rng.randrange(300)}" for _ in range(500)]
+    urls += urls[:40] + [None, "", "no scheme", "http://é.io/de/1"]
+    pages = spark.createDataFrame([(k, u, 1.0, "v") for k, u in enumerate(urls)], "page_id long, url string, score double, verdict string").repartition(3)
+    ruled = {r.page_id: (r.rule, r.ruling) for r in url_filter.with_rules(pages, RULES).collect()}
+    aside = {r.url for r in pages.where(url_filter._aside()).select("url").distinct().collect()}
+    split = lambda u: list(b"\0" * 5 + u.encode())
+
+    def counted(chosen):
+        counts = Counter()
+        for u, good in chosen:
+            t = split(u)
+            counts.update((good, tuple(t[i - k : i]), c) for i in range(5, len(t)) for k in range(6) for c in (None, t[i]))
+        return counts
+
+    def score(counts, u):
+        if not u:
+            return 0.0
+        t, total = split(u), 0.0
+        for i in range(5, len(t)):
+            for good, sign in ((0, -1), (1, 1)):
+                p = 1 / 256
+                for k in range(6):
+                    p = (counts[good, tuple(t[i - k : i]), t[i]] + 4 * p) / (counts[good, tuple(t[i - k : i]), None] + 4)
+                total += sign * math.log(p)
+        return total / (len(t) - 5)
+
+    labelled = [(u, int(ruled[k][1] == "allow")) for k, u in enumerate(urls) if ruled[k][1]]
+    without = counted([x for x in labelled if x[0] not in aside])
+    kept = [(max(-20, min(20, round(score(without, u), 2))), good) for u, good in labelled if u in aside]
+    n_good, n_bad = sum(g for _, g in kept), sum(1 - g for _, g in kept)
+    best, best_gain = -math.inf, -math.inf
+    for t in sorted({s for s, _ in kept}):
+        lost = sum(g for s, g in kept if s < t) / n_good
+        gain = sum(1 - g for s, g in kept if s < t) / n_bad - lost
+        if lost <= 0.02 and gain >= best_gain + 1e-12:
+            best, best_gain = t, gain
+    every, threshold = counted(labelled), min(0.0, best)
+    got = {r.page_id: r for r in url_filter.judge(pages, RULES).collect()}
+    assert len(got) == len(urls) and n_good and n_bad
+    for k, u in enumerate(urls):
+        s = score(every, u)
+        assert got[k].score == pytest.approx(s, abs=1e-9) and got[k].rule == ruled[k][0]
+        assert got[k].verdict == (ruled[k][1] or ("allow" if s >= threshold else "block"))
+
+
 # --- quality -----------------------------------------------------------------------------------
 def test_quality(spark):
     rng = random.Random(9)
@@ -317,6 +370,9 @@ def test_language(spark):
     assert [got[k].lang_pred for k in range(9)] == ["aa"] * 3 + ["bb"] * 3 + ["cc"] * 3
     assert [got[k].lang_pred for k in (9, 10, 11)] == ["und"] * 3 and not got[9].trusted and got[12].lang_pred != "und"
     assert all(0 <= r.score <= 1 for r in got.values())
+    odd = spark.createDataFrame([(None, texts[1], 5.0, True, "z"), (1, texts[1], 5.0, True, "z"), (1, texts[1], 5.0, True, "z"), (None, None, None, None, None)], "doc_id long, text string, score double, trusted boolean, lang_pred string")
+    assert sorted(str(r.lang_pred) for r in language.predict(odd, known).collect()) == ["aa", "aa", "aa", "und"]
+    assert language.predict(odd.limit(0), known).count() == 0
     assert {r.lang_pred for r in language.predict(frame(spark, texts), language.learn(frame(spark, texts).where("false"))).collect()} == {"und"}
 
 
