@@ -199,11 +199,10 @@ def driving(t: Tables) -> DataFrame:
     c = F.col
     none = _null()
     deps = t["net_dep"].where(c("src_net_id").isNotNull()).select(c("tgt_net_id").alias("signal"), c("src_net_id").alias("driver"), "stmt_id", "prim_id", none.alias("conn_id"), _null("string").alias("conn_kind"), "call_site_id")
-    arcs = conn_arc(t).where(c("outer_net_id").isNotNull())
-    ids = [none.alias("stmt_id"), none.alias("prim_id"), c("conn_id"), c("conn_kind"), none.alias("call_site_id")]
-    into = arcs.where(c("direction").isin(*INTO)).select(c("inner_net_id").alias("signal"), c("outer_net_id").alias("driver"), *ids)
-    out = arcs.where(c("direction").isin(*OUT_OF) & c("conn_kind").isin("signal", "external_reference")).select(c("outer_net_id").alias("signal"), c("inner_net_id").alias("driver"), *ids)
-    return deps.unionByName(into).unionByName(out)
+    into = F.when(c("direction").isin(*INTO), F.struct(c("inner_net_id").alias("signal"), c("outer_net_id").alias("driver")))
+    out = F.when(c("direction").isin(*OUT_OF) & c("conn_kind").isin("signal", "external_reference"), F.struct(c("outer_net_id").alias("signal"), c("inner_net_id").alias("driver")))
+    arcs = conn_arc(t).where(c("outer_net_id").isNotNull()).select("conn_id", "conn_kind", F.explode(F.array_compact(F.array(into, out))).alias("e"))
+    return deps.unionByName(arcs.select("e.signal", "e.driver", none.alias("stmt_id"), none.alias("prim_id"), "conn_id", "conn_kind", none.alias("call_site_id")))
 
 
 def root_pins(t: Tables, directions: tuple) -> DataFrame:

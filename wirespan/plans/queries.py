@@ -177,6 +177,8 @@ _RULE_SETS = {
 for _name, _rules in _RULE_SETS.items():
     QUERIES[_name] = lambda spark, sf_dir, r=_rules: verify.violations(spark, Design.of_star(spark, sf_dir, keep=True), r)
     SQL[_name] = _broken(_rules)
+    if _name == "count_violations":  # counts of views and tables: no added row breaks them
+        continue
     QUERIES[f"planted_{_name}"] = lambda spark, sf_dir, r=_rules: verify.violations(spark, _planted(spark, sf_dir), r)
     SQL[f"planted_{_name}"] = _broken(_rules, planted=True)
 
