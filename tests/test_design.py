@@ -14,9 +14,9 @@ def row(table, **values):
     return planted.filled(table, values)
 
 
-def small(spark, **more):
+def small_rows():
     """Two instances of one module under a root: u1 drives bus, u2 reads half of it."""
-    tables = {
+    return {
         "meta": [("schema_version", "14"), ("analysis_status", "complete"), ("tool", "t"), ("tool_version", "1"), ("slang_version", "1"), ("producer_revision", "r"), ("top", "top"), ("error_count", "0"), ("unresolved_count", "0"), ("empty_procedure_count", "0"), ("config_digest", "d"), ("duplicate_path_count", "0")],
         "src_file": [(1, "/a.sv", "0" * 64)], "file": [(1, "a.sv", 1)], "data_type": [(1, "logic [7:0]")], "module": [row("module", id=1, name="top", def_kind="module"), row("module", id=2, name="m", def_kind="module")],
         "tree_node": [(1, None, "top", "root", 0), (2, 1, "u1", "instance", 0), (3, 1, "u2", "instance", 1)],
@@ -29,7 +29,10 @@ def small(spark, **more):
         "stmt_target": [row("stmt_target", id=1, stmt_id=1, net_id=4)], "assign_operand": [row("assign_operand", id=1, stmt_id=1, net_id=3)],
         "net_dep": [row("net_dep", id=1, src_net_id=3, tgt_net_id=4, stmt_id=1, assign_operand_id=1, stmt_target_id=1, dep_kind="data", src_exact=1, map_exact=1)],
     }
-    return Design.of(spark, tables | more)
+
+
+def small(spark, **more):
+    return Design.of(spark, small_rows() | more)
 
 
 def test_drivers_and_loads(spark):

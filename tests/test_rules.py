@@ -5,7 +5,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from tests.test_design import small
+from tests.test_design import small, small_rows
 from wirespan.operators import closure, verify
 from wirespan.plans import planted
 from wirespan.plans.rules import RULE_SQL
@@ -18,8 +18,8 @@ from wirespan.sources.design import Design
 @pytest.fixture(scope="module")
 def broken(spark):
     """A small design and all planted rows; what breaks which rule."""
-    good, more = small(spark), planted.rows()
-    design = Design.of(spark, {t: good[t].union(spark.createDataFrame(more[t], schema.TABLES[t])) if t in more else good[t] for t in schema.TABLES})
+    good, more = small_rows(), planted.rows()
+    design = Design.of(spark, {t: good.get(t, []) + more.get(t, []) for t in schema.TABLES})
     return design, Counter((r.rule, r.what) for r in verify.violations(spark, design).collect())
 
 
@@ -86,9 +86,7 @@ def test_faults_in_views_are_found(spark, monkeypatch, plain, rule):
 
 @pytest.mark.parametrize(("key", "value", "rules"), [("error_count", "3", ["K62"]), ("tool", None, ["K62"]), ("unresolved_count", "x", ["K62"]), ("analysis_status", "done", ["K62"]), ("schema_version", "13", ["K62"])])
 def test_meta(spark, key, value, rules):
-    good = small(spark)
-    rows = [(r.key, value if r.key == key else r.value) for r in good["meta"].collect()]
-    bad = Design.of(spark, {t: spark.createDataFrame(rows, schema.TABLES["meta"]) if t == "meta" else good[t] for t in schema.TABLES})
+    bad = small(spark, meta=[(k, value if k == key else v) for k, v in small_rows()["meta"]])
     assert sorted({r.rule for r in verify.violations(spark, bad, ["K62", "K63"]).collect()}) == rules
 
 

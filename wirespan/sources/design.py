@@ -6,8 +6,10 @@ import re
 from collections.abc import Mapping
 from functools import cached_property
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from wirespan.functions.tables import written
 from wirespan.sources import schema, star
@@ -62,11 +64,15 @@ class Design(Mapping):
 
     @classmethod
     def of(cls, spark: SparkSession, tables: Mapping[str, DataFrame | list]) -> Design:
-        """From DataFrames or lists of rows; tables left out are empty."""
+        """From DataFrames or lists of rows; tables left out are empty. Lists become local relations, so that Catalyst
+        knows their sizes and drops what joins an empty one."""
 
         def make(name):
-            given = tables.get(name, [])
-            return given if isinstance(given, DataFrame) else spark.createDataFrame(given, schema.TABLES[name])
+            given, columns = tables.get(name, []), schema.TABLES[name]
+            if isinstance(given, DataFrame):
+                return given
+            table = pa.Table.from_pylist([dict(zip(columns.names, r, strict=True)) for r in given], schema=to_arrow_schema(columns))
+            return spark.createDataFrame(table, columns)
 
         return cls(spark, {t: (lambda t=t: make(t)) for t in schema.TABLES})
 
