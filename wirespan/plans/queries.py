@@ -158,7 +158,8 @@ _NEAREST = "nearest AS (" + _UP.format("parent_node_id").removeprefix("/*recursi
 def _planted(spark: SparkSession, sf_dir: str) -> Design:
     """The design of the folder, with rows that break the rules."""
     star, more = Design.of_star(spark, sf_dir, keep=True), planted.rows()
-    return Design.of(spark, {t: star[t].select(*schema.TABLES[t].names).union(spark.createDataFrame(more[t], schema.TABLES[t])) if t in more else star[t] for t in schema.TABLES})
+    added = Design.of(spark, more)
+    return Design.of(spark, {t: star[t].select(*schema.TABLES[t].names).union(added[t]) if t in more else star[t] for t in schema.TABLES})
 
 
 def _broken(rules: list[str], **more: bool) -> str:
