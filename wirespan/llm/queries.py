@@ -1,11 +1,11 @@
-"""The queries op1 to op10 over the tables of a folder, and SQL for those that SQL can express."""
+"""The queries op1 to op13 over the tables of a folder, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirespan.llm import decontaminate, language, licenses, line_dedup, near_dedup, packing, quality, substring_dedup, toxicity, url_filter
+from wirespan.llm import decontaminate, fim, language, licenses, line_dedup, near_dedup, packing, quality, search, substring_dedup, token_files, toxicity, url_filter
 from wirespan.llm.common import table
 
 
@@ -61,7 +61,19 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), temperature=packing.TEMPERATURE)
 
 
-QUERIES = {"op6_near_dedup": op6_near_dedup, "op4_substring_dedup": op4_substring_dedup, "op8_licenses": op8_licenses, "op9_language": op9_language, "op1_url_filter": op1_url_filter, "op2_quality": op2_quality, "op3_toxicity": op3_toxicity, "op5_packing": op5_packing, "op7_line_dedup": op7_line_dedup, "op10_decontaminate": op10_decontaminate}
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digest(table(spark, sf_dir, "documents"), seed=42, rate=50, spm_rate=80)
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.digest(table(spark, sf_dir, "documents"), token_files.vocabulary("byte_bpe_50k.json"), end_id=0)
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(search.index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), k=10)
+
+
+QUERIES = {"op11_fim": op11_fim, "op12_token_files": op12_token_files, "op13_search": op13_search, "op6_near_dedup": op6_near_dedup, "op4_substring_dedup": op4_substring_dedup, "op8_licenses": op8_licenses, "op9_language": op9_language, "op1_url_filter": op1_url_filter, "op2_quality": op2_quality, "op3_toxicity": op3_toxicity, "op5_packing": op5_packing, "op7_line_dedup": op7_line_dedup, "op10_decontaminate": op10_decontaminate}
 
 OP7_SQL = r"""
 WITH lines AS (
@@ -126,4 +138,32 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed,
 FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN counts USING (doc_id)
 """
 
-SQL = {"op4_substring_dedup": OP4_SQL, "op8_licenses": OP8_SQL, "op7_line_dedup": OP7_SQL, "op10_decontaminate": OP10_SQL}
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || doc_id) AS h FROM documents),
+u AS (SELECT doc_id, unnest(regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+')) AS unit, generate_subscripts(regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+'), 1) AS k FROM d),
+c AS (SELECT doc_id, count(*) AS n FROM u GROUP BY doc_id),
+x AS (SELECT d.doc_id, t, coalesce(n, 0) AS n, ('0x' || substr(h, 1, 8))::BIGINT % (coalesce(n, 0) + 1) AS p, ('0x' || substr(h, 9, 8))::BIGINT % (coalesce(n, 0) + 1) AS q,
+             ('0x' || substr(h, 17, 8))::BIGINT % 100 AS r3, ('0x' || substr(h, 25, 8))::BIGINT % 100 AS r4 FROM d LEFT JOIN c ON c.doc_id = d.doc_id),
+y AS (SELECT doc_id, t, n, least(p, q) AS a, greatest(p, q) AS b, CASE WHEN t = '' OR t LIKE '%<P>%' OR t LIKE '%<S>%' OR t LIKE '%<M>%' OR r3 >= 50 THEN 'plain' WHEN r4 < 80 THEN 'spm' ELSE 'psm' END AS form FROM x),
+z AS (SELECT y.doc_id, any_value(t) AS t, any_value(n) AS n, any_value(form) AS form, coalesce(string_agg(unit, '' ORDER BY k) FILTER (WHERE k <= a), '') AS pre,
+             coalesce(string_agg(unit, '' ORDER BY k) FILTER (WHERE k > a AND k <= b), '') AS mid, coalesce(string_agg(unit, '' ORDER BY k) FILTER (WHERE k > b), '') AS suf
+      FROM y LEFT JOIN u ON u.doc_id = y.doc_id GROUP BY y.doc_id)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN concat('<P>', pre, '<S>', suf, '<M>', mid) ELSE concat('<S>', suf, '<P>', pre, '<M>', mid) END) AS output_sha256, sha256(t) AS restored_sha256
+FROM z
+"""
+
+OP13_SQL = r"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2),
+sizes AS (SELECT doc_id, count(*) AS n FROM t GROUP BY 1),
+stats AS (SELECT count(*) AS big_n, CAST(sum(n) AS BIGINT) AS l FROM sizes),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(big_n) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM tf, stats GROUP BY term),
+s AS (SELECT item_id, tf.doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * big_n) // l))))) AS BIGINT) AS score
+      FROM q JOIN w ON w.term = q.term JOIN tf ON tf.term = q.term JOIN sizes ON sizes.doc_id = tf.doc_id, stats GROUP BY 1, 2)
+SELECT item_id, CAST(r AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM s WHERE score > 0) WHERE r <= 10
+"""
+
+SQL = {"op11_fim": OP11_SQL, "op13_search": OP13_SQL, "op4_substring_dedup": OP4_SQL, "op8_licenses": OP8_SQL, "op7_line_dedup": OP7_SQL, "op10_decontaminate": OP10_SQL}
