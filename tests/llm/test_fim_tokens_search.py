@@ -78,12 +78,13 @@ def test_parts_are_as_the_tokenizer_cuts_them():
     from tokenizers import pre_tokenizers
 
     level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
+    own = token_files.tokenizer(token_files.vocabulary())
     for c in token_files._steady():
         s = f"a{c}b {c}{c} {c}1\n{c}!{c}  '{c}\n\n{c}s"
         expected = [s[a:b] for _, (a, b) in level.pre_tokenize_str(s)]
-        assert token_files.ByteTokenizer.PATTERN.findall(s) == expected, hex(ord(c))
+        assert own.any.findall(s) == expected, hex(ord(c))
         if s.isascii():
-            assert token_files.ByteTokenizer.ASCII.findall(s) == expected, hex(ord(c))
+            assert own.ascii.findall(s) == expected, hex(ord(c))
 
 
 def ids_by_hand(path, rows):
@@ -141,6 +142,16 @@ def test_repeated_and_equal_ids(spark, tmp_path):
     assert token_files.digest(frame(spark, []), token_files.vocabulary()).collect() == []
 
 
+def test_forgotten_parts_are_encoded_again():
+    from tokenizers import Tokenizer
+
+    path = token_files.vocabulary()
+    own, whole = token_files.ByteTokenizer(path), Tokenizer.from_file(path)
+    own.known.kept = 5
+    for t in texts(60) * 2:
+        assert np.frombuffer(own(t), "<u4").tolist() == whole.encode(t or "", add_special_tokens=False).ids
+
+
 def test_other_tokenizers_encode_whole_texts(spark):
     own = token_files.tokenizer(token_files.vocabulary("word_bpe_49k.json"))
     assert not own.by_parts

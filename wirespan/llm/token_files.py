@@ -31,8 +31,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -58,20 +56,16 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
 
 class ByteTokenizer:
     """Ids of whole texts. A byte-level vocabulary without a normaliser never joins ids across the parts its pattern cuts,
-    so each distinct part is encoded once. The pattern below cuts as the tokenizer does where every character is ASCII or was in Unicode
+    so the library's model encodes each distinct part once. _pattern() cuts as the tokenizer does where every character is ASCII or was in Unicode
     3.2 with the category it has now (a test compares all code points); texts with others or with an added token, and any other kind of tokenizer, are left to the
     library as a whole."""
 
-    # The pattern of byte-level vocabularies, and the characters that are white space to it.
-    WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-    PATTERN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
-    ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
-    KEPT = 400_000
+    KEPT = 200_000
 
     def __init__(self, path: str):
         import json
 
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
         self.tokenizer = Tokenizer.from_file(path)
@@ -80,9 +74,8 @@ class ByteTokenizer:
         level = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
         self.by_parts = not spec["normalizer"] and level.items() <= (spec["pre_tokenizer"] or {}).items() and not spec["truncation"] and not spec["padding"]
         self.added = [a["content"] for a in spec["added_tokens"]]
-        self.model = Tokenizer(self.tokenizer.model)
-        self.model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.known = _Known(self.model)
+        self.known = _Known(self.tokenizer.model, self.KEPT)
+        self.ascii, self.any = _pattern(frozenset(map(chr, range(128)))), _pattern(_steady())
 
     def __call__(self, text: str | None) -> bytes:
         """The ids of a text, as little-endian unsigned 32-bit numbers."""
@@ -91,23 +84,58 @@ class ByteTokenizer:
         plain = text.isascii()
         if not self.by_parts or not (plain or _steady().issuperset(text)) or any(a in text for a in self.added):
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        if len(self.known) > self.KEPT:
-            self.known.clear()
-        return b"".join(map(self.known.__getitem__, (self.ASCII if plain else self.PATTERN).findall(text)))
+        self.known.turn()
+        return b"".join(map(self.known.__getitem__, (self.ascii if plain else self.any).findall(text)))
 
 
 class _Known(dict):
-    """Ids of parts, encoded when first asked for."""
+    """Ids of parts, encoded when first asked for. turn() forgets those that were not asked for since it last put some aside."""
 
-    def __init__(self, model):
+    def __init__(self, model, kept: int):
         super().__init__()
-        self.model = model
+        self.tokenize, self.kept, self.older = model.tokenize, kept, {}
+        self.letters = _alphabet()
+
+    def turn(self) -> None:
+        if len(self) > self.kept:
+            self.older = dict(self)
+            self.clear()
 
     def __missing__(self, part: str) -> bytes:
-        ids = self[part] = array("I", self.model.encode(part, add_special_tokens=False).ids).tobytes()
+        ids = self.older.get(part)
+        if ids is None:
+            ids = array("I", [t.id for t in self.tokenize(part.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        self[part] = ids
         return ids
 
 
+def _alphabet() -> dict[int, str]:
+    """What byte-level vocabularies write for each byte: itself where Latin-1 prints it, else the next character from U+0100 on."""
+    printed = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in printed]
+    return {b: chr(0x100 + k) for k, b in enumerate(rest)}
+
+
+def _class(chars) -> str:
+    """A set of characters as the ranges of a pattern."""
+    runs: list[list[int]] = []
+    for c in sorted(map(ord, chars)):
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in runs)
+
+
+def _pattern(chars: frozenset[str]) -> re.Pattern:
+    """The parts of byte-level vocabularies, for texts of these characters: words and numbers with a blank before, endings, other runs, and white space but
+    for the blank before a word."""
+    letters, digits = (_class(c for c in chars if unicodedata.category(c)[0] == k) for k in "LN")
+    # White space, and the endings that are parts of their own.
+    white = _class(c for c in chars if c in "\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" or "\u2000" <= c <= "\u200a")
+    return re.compile(rf" ?[{letters}]+| ?[{digits}]+|'(?:[stmd]|re|ve|ll)| ?[^{white}{letters}{digits}]+|[{white}]+(?![^{white}])|[{white}]+")
+
+
 @lru_cache(1)
 def _steady() -> frozenset[str]:
     """ASCII, and the characters that Unicode 3.2 had with the category they have now."""
