@@ -32,14 +32,14 @@ def _hadoop(spark: SparkSession, path: str):
     return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, **options: str) -> DataFrame:
     """df, written as a table in the shared folder and read again: this cuts its lineage. The
-    shuffle files of the write are released when it ends."""
+    shuffle files of the write are released when it ends. options: of the Parquet writer."""
     spark, path = df.sparkSession, scratch_dir(df.sparkSession)
     before = spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
