@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wirespan.functions import running
 from wirespan.functions.tables import written
 
 
@@ -49,6 +50,48 @@ def path_keys(tree: DataFrame) -> DataFrame:
         out = out.unionByName(level)
 
 
+SLOTS = {"generate": 0, "primitive": 1}
+
+
+def reserved(nodes: DataFrame) -> DataFrame:
+    """(id, node_id, level): the ids that a walk gives which, on entering an occurrence, takes ids for all it holds, its generate scopes first, then its
+    primitives, then its children side by side, and only then descends into one child after another; a later sibling thus has an id before anything is below the first.
+
+    nodes: (id, owner, kind, ordinal): owner is the occurrence that holds the node, null at the roots; kind generate or primitive, else a child (an instance, or a
+    black box, which holds nothing). Equal ordinals go by id. How many ids are below each child is summed upwards by level; where a child's begin
+    is a running sum over its elder siblings, handed down by level. No parent, and no level, is sorted in one task."""
+    slot = F.coalesce(*(F.when(F.col("kind") == k, F.lit(v)) for k, v in SLOTS.items()), F.lit(2))
+    given = nodes.select("id", "owner", slot.alias("slot"), "ordinal")
+    held = running.before(given.where("owner is not null"), ["owner"], ["slot", "ordinal", "id"], {"nth": F.lit(1)})
+    tops = given.where("owner is null").withColumn("nth", F.lit(0).cast("long"))
+    tree = written(held.unionByName(tops))
+    each = [written(tree.where("owner is null"))]
+    while True:
+        level = written(tree.join(each[-1].where("slot = 2").select(F.col("id").alias("__up")), F.col("owner") == F.col("__up"), "left_semi"))
+        if level.isEmpty():
+            break
+        each.append(level)
+    sized, below = [], None
+    for level in reversed(each):
+        if below is None:
+            made = level.withColumns({"own": F.lit(0).cast("long"), "below": F.lit(0).cast("long")})
+        else:
+            sums = below.groupBy(F.col("owner").alias("__of")).agg(F.count(F.lit(1)).alias("own"), F.sum("below").alias("__below"))
+            made = level.join(sums, F.col("id") == F.col("__of"), "left").withColumns({"own": F.coalesce("own", F.lit(0)), "below": F.coalesce(F.col("own") + F.col("__below"), F.lit(0))}).drop("__of", "__below")
+        below = written(made)
+        sized.insert(0, below)
+    elder = ["slot", "ordinal", "id"]
+    roots = bases(sized[0].withColumn("n", F.col("below") + 1), elder, ["n"])
+    at = written(roots.select("id", (F.col("base_n") + 1).alias("node_id"), (F.col("base_n") + 1).alias("start"), "own"))
+    out = at.select("id", "node_id", F.lit(0).alias("level"))
+    for k, level in enumerate(sized[1:], 1):
+        placed = running.before(level, ["owner"], elder, {"past": F.col("below")})
+        up = at.select(F.col("id").alias("__up"), F.col("start").alias("u_start"), F.col("own").alias("u_own"))
+        at = written(placed.join(up, F.col("owner") == F.col("__up")).select("id", (F.col("u_start") + F.col("nth") + 1).alias("node_id"), (F.col("u_start") + F.col("u_own") + F.col("past")).alias("start"), "own"))
+        out = out.unionByName(at.select("id", "node_id", F.lit(k).alias("level")))
+    return out
+
+
 def duplicate_siblings(tree: DataFrame) -> DataFrame:
     """One row: duplicates, the siblings beyond the first of each name."""
     return tree.groupBy("parent", "name").count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("long").alias("duplicates"))
