@@ -27,6 +27,7 @@ import struct
 import unicodedata
 import zlib
 from array import array
+from codecs import charmap_decode
 from functools import lru_cache
 
 import numpy as np
@@ -60,7 +61,7 @@ class ByteTokenizer:
     3.2 with the category it has now (a test compares all code points); texts with others or with an added token, and any other kind of tokenizer, are left to the
     library as a whole."""
 
-    KEPT = 200_000
+    KEPT = 300_000
 
     def __init__(self, path: str):
         import json
@@ -104,16 +105,16 @@ class _Known(dict):
     def __missing__(self, part: str) -> bytes:
         ids = self.older.get(part)
         if ids is None:
-            ids = array("I", [t.id for t in self.tokenize(part.encode().decode("latin-1").translate(self.letters))]).tobytes()
+            ids = array("I", [t.id for t in self.tokenize(charmap_decode(part.encode(), "strict", self.letters)[0])]).tobytes()
         self[part] = ids
         return ids
 
 
-def _alphabet() -> dict[int, str]:
+def _alphabet() -> str:
     """What byte-level vocabularies write for each byte: itself where Latin-1 prints it, else the next character from U+0100 on."""
     printed = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     rest = [b for b in range(256) if b not in printed]
-    return {b: chr(0x100 + k) for k, b in enumerate(rest)}
+    return "".join(chr(0x100 + rest.index(b)) if b in rest else chr(b) for b in range(256))
 
 
 def _class(chars) -> str:
@@ -214,7 +215,7 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = END_ID, file_to
     n_tokens. path: the vocabulary."""
     kind = _kind(path)
     spark = docs.sparkSession
-    tokens = written(tokenized(docs, path, end_id))
+    tokens = written(tokenized(docs, path, end_id), compression="zstd")
     order = ranked(tokens, kind)
     spark.createDataFrame(list(enumerate(order)), "rank long, id long").coalesce(1).write.parquet(f"{folder}/ranks")
     where, rank_of = f"{folder}/files", np.zeros(max(order, default=0) + 1, kind)
