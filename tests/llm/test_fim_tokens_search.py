@@ -99,7 +99,7 @@ def ids_by_hand(path, rows):
     return out
 
 
-@pytest.mark.parametrize("file_tokens", [1, 500, 1 << 24])
+@pytest.mark.parametrize("file_tokens", [300, 1 << 24])
 def test_token_files(spark, tmp_path, file_tokens):
     path = token_files.vocabulary()
     rows = [*enumerate(texts(200)), (None, "no id"), (-5, "before all"), (10_000, None)]
