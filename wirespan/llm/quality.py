@@ -3,7 +3,9 @@
 Every rule is a condition that a good text meets. On a sample (`sample_rows` documents at most, those
 with the least hashes, without those that fail the base and so never reach the rules) each rule is timed and its
 rejections are counted; rules then run in the order of rejections per second, and a text that one of them
-rejects is not shown to the others. The order changes the cost alone, never the outcome: which rule rejected
+rejects is not shown to the others. What several rules ask for (NEEDS: the split into words) is made once a text; it has a cost of its own, which
+counts for the first rule of the order that needs it and for none after. Costs are CPU time, the least of `REPEATS` runs on fresh texts. They are
+measured, so two runs may order rules of like worth differently. The order changes the cost alone, never the outcome: which rule rejected
 a text depends on it, so that is not told.
 
 Defined cases: a null or empty text has no words and fails the base. Repeated rows and null doc_ids are judged as others.
@@ -17,16 +19,18 @@ import time
 from collections import Counter
 from collections.abc import Callable
 from functools import cached_property
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wirespan.llm.common import hashed, rolling, slices, words_of
 
-SAMPLE_ROWS = 2_000
+SAMPLE_ROWS, REPEATS = 2_000, 3
 SYMBOLS = "#*$%&|<>"
 BLANK = re.compile("[ \t-\r]*")
 
@@ -38,14 +42,27 @@ class Facts:
         self.text, self.n_words, self.word_chars = text, n_words, word_chars
         self.n_symbols, self.n_dup_lines, self.n_repeat_words = n_symbols, n_dup_lines, n_repeat_words
 
+    def fresh(self) -> Facts:
+        """The same text, of which nothing has been asked."""
+        return Facts(self.text, self.n_words, self.word_chars, self.n_symbols, self.n_dup_lines, self.n_repeat_words)
+
     @cached_property
     def words(self) -> list[str]:
         """As counted: runs without the white space of ASCII."""
         return [w.decode("utf-8", "surrogatepass") for w in self.text.encode("utf-8", "surrogatepass").split()]
 
 
+#: Letters with their marks (vowel signs, accents, joiners), as words of all scripts are written.
+LETTERS = regex.compile(r"[\p{L}\p{M}\u200c\u200d]*\p{L}[\p{L}\p{M}\u200c\u200d]*")
+
+
+def _lettered(word: str) -> bool:
+    bare = word.strip(".,;:!?\"'()\u0964\u0965\u3001\u3002\uff0c")
+    return bare.isalpha() or (not bare.isascii() and LETTERS.fullmatch(bare) is not None)
+
+
 def _letters(f: Facts) -> bool:
-    return sum(w.strip(".,;:!?\"'()").isalpha() for w in f.words) >= 0.5 * f.n_words
+    return sum(map(_lettered, f.words)) >= 0.5 * f.n_words
 
 
 #: name -> condition of a good text
@@ -57,6 +74,9 @@ RULES: dict[str, Callable[[Facts], bool]] = {
     "mostly letters": _letters,
 }
 
+#: name -> what it asks of Facts that others may have asked for
+NEEDS: dict[str, tuple[str, ...]] = {"no word dominates": ("words",), "mostly letters": ("words",)}
+
 
 def base_failed(n_words: int, n_repeat_words: int) -> bool:
     return n_words < 10 or 100 * n_repeat_words > 20 * n_words
@@ -100,24 +120,51 @@ def _dup_lines(text: str) -> int:
     return n
 
 
-def cascade_order(docs: DataFrame, rules: dict = RULES, sample_rows: int = SAMPLE_ROWS) -> list[str]:
-    """The rules' names by rejections per second on the sample; a task times the rules on its own rows."""
+def _spent(seen: list[Facts], ask: tuple[str, ...], run: Callable[[Facts], object]) -> float:
+    """CPU seconds of run over fresh texts of which `ask` has been asked."""
+    best = float("inf")
+    for _ in range(REPEATS):
+        texts = [f.fresh() for f in seen]
+        for f in texts:
+            for name in ask:
+                getattr(f, name)
+        began = time.thread_time()
+        for f in texts:
+            run(f)
+        best = min(best, time.thread_time() - began)
+    return best
+
+
+def by_worth(rules: list[str], rejected: dict[str, int], own: dict[str, float], shared: dict[str, float], needs: dict[str, tuple[str, ...]]) -> list[str]:
+    """The rules by rejections per second; what a rule shares with those chosen before it costs nothing more. Equal ones keep their order."""
+    left, out, paid = list(rules), [], set()
+    while left:
+        cost = {name: own[name] + sum(shared[x] for x in needs.get(name, ()) if x not in paid) for name in left}
+        best = max(left, key=lambda name: (rejected[name] / max(cost[name], 1e-9), -rules.index(name)))
+        out.append(best)
+        left.remove(best)
+        paid.update(needs.get(best, ()))
+    return out
+
+
+def cascade_order(docs: DataFrame, rules: dict = RULES, sample_rows: int = SAMPLE_ROWS, needs: dict = NEEDS) -> list[str]:
+    """The rules' names in the order to run them; a task times the rules, and what they share, on its own rows of the sample."""
     by_hash = F.xxhash64("doc_id").alias("h")
     chosen = docs.select(by_hash).orderBy("h").limit(sample_rows)
     sample = docs.select("text", by_hash).join(chosen, "h", "left_semi").select("text")
+    facts_of = sorted({x for name in rules for x in needs.get(name, ())})
 
     def run(batches):
         for batch in batches:
             seen = [f for f in facts(batch.column("text")) if not base_failed(f.n_words, f.n_repeat_words)]
-            names, spent, rejected = list(rules), [], []
-            for name in names:
-                began = time.perf_counter()
-                rejected.append(sum(not rules[name](f) for f in seen))
-                spent.append(time.perf_counter() - began)
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(rejected, pa.int64()), pa.array(spent, pa.float64())], names=["rule", "rejected", "seconds"])
-
-    cost = {r["rule"]: (r["rejected"] / max(r["seconds"], 1e-9)) for r in sample.mapInArrow(run, "rule string, rejected long, seconds double").groupBy("rule").agg(F.sum("rejected").alias("rejected"), F.sum("seconds").alias("seconds")).collect()}
-    return sorted(rules, key=lambda name: (-cost.get(name, 0.0), list(rules).index(name)))
+            names = [*rules, *facts_of]
+            rejected = [sum(not rules[name](f) for f in seen) for name in rules] + [0] * len(facts_of)
+            spent = [_spent(seen, needs.get(name, ()), rules[name]) for name in rules] + [_spent(seen, (), attrgetter(x)) for x in facts_of]
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(rejected, pa.int64()), pa.array(spent, pa.float64())], names=["name", "rejected", "seconds"])
+
+    found = {r["name"]: r for r in sample.mapInArrow(run, "name string, rejected long, seconds double").groupBy("name").agg(F.sum("rejected").alias("rejected"), F.sum("seconds").alias("seconds")).collect()}
+    value = lambda name, column: found[name][column] if name in found else 0
+    return by_worth(list(rules), {n: value(n, "rejected") for n in rules}, {n: value(n, "seconds") for n in rules}, {x: value(x, "seconds") for x in facts_of}, needs)
 
 
 COLUMNS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean"
