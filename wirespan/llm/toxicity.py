@@ -2,7 +2,8 @@
 
 Folding lower-cases, drops zero-width characters and combining accents, maps look-alike letters of other
 scripts and digits or signs that stand for letters (1d10t, $cum) to Latin letters, and turns what is no letter
-into single blanks. Entries are whole words and word beginnings; each has a weight. An occurrence inside an
+into single blanks. Digits stand for letters only next to one: 455 is a number. Scripts that put no blanks between words are cut into
+characters, each of which counts as a word. Entries are whole words, word beginnings and, in such scripts, runs of two to four characters; each has a weight. An occurrence inside an
 exception phrase does not count. The sum of weights over the number of words, and the sum itself, give a score
 through a logistic curve.
 
@@ -41,7 +42,16 @@ PREFIXES = range(3, 11)
 # Letters of other scripts that look like Latin ones, and digits that stand for letters.
 LOOK_ALIKE = dict(zip("аеорсухіјѕԁһӏкмтвнαορτυνκιеАВЕКМНОРСТХІЈЅΑΒΕΗΙΚΜΝΟΡΤΥΧΖ", "aeopcyxijsdhlkmtbhaoptuvkieabekmhopctxijsabehikmnoptyxz", strict=True))
 DIGITS = dict(zip("01345789", "oieastbg", strict=True))
-_TABLE = str.maketrans(LOOK_ALIKE | DIGITS | {"ı": "i"})
+_TABLE = str.maketrans(LOOK_ALIKE | {"ı": "i"})
+_DIGITS = str.maketrans(DIGITS)
+#: A run of letters and digits with both.
+_MIXED = re.compile(r"(?<![^\W_])(?:[^\W\d_]++\d|\d++[^\W\d_])[^\W_]*+")
+_DIGIT = re.compile(r"\d")
+# Letters and signs of scripts without blanks: Thai, Lao, Burmese, Khmer, kana, Chinese characters.
+_UNSPACED = re.compile("[\u0e00-\u0e4f\u0e80-\u0ecf\u1000-\u103f\u1780-\u17d3\u3041-\u3096\u30a1-\u30fa\u30fc\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003134f]")
+_PIECES = re.compile(f"{_UNSPACED.pattern}|[^{_UNSPACED.pattern[1:-1]}]+")
+_SPACES = re.compile(" +")
+RUNS = range(2, 5)
 _SIGN = re.compile(r"(?<=[^\W\d_])[@$!](?=[^\W\d_])|\B[@$](?=[^\W\d_])")
 _SIGNS = {"@": "a", "$": "s", "!": "i"}
 _GAP = re.compile(r"[\W\d_]+")
@@ -52,14 +62,30 @@ _UNSEEN = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe0
 def fold(text: str | None) -> str:
     """Folded words, with a blank before and after each."""
     t = text or ""
-    if not t.isascii():
+    plain = t.isascii()
+    if not plain:
         t = unicodedata.normalize("NFKC", _UNSEEN.sub("", unicodedata.normalize("NFKD", t))).translate(_TABLE)
         t = _UNSEEN.sub("", t.lower())
     else:
-        t = t.lower().translate(_TABLE)
+        t = t.lower()
+    if _DIGIT.search(t):
+        t = _MIXED.sub(lambda m: m[0].translate(_DIGITS), t)
     if "@" in t or "$" in t or "!" in t:
         t = _SIGN.sub(lambda m: _SIGNS[m[0]], t)
-    return f" {_GAP.sub(' ', t).strip()} "
+    if plain or not _UNSPACED.search(t):
+        return f" {_GAP.sub(' ', t).strip()} "
+    return f" {_SPACES.sub(' ', ''.join(f' {x} ' if _UNSPACED.match(x) else _GAP.sub(' ', x) for x in _PIECES.findall(t))).strip()} "
+
+
+def runs(words: list[str]) -> set[str]:
+    """Runs of two to four characters of scripts without blanks, as entries."""
+    out = set()
+    if not any(_UNSPACED.match(w) for w in words):
+        return out
+    single = [len(w) == 1 and _UNSPACED.match(w) is not None for w in words]
+    for n in RUNS:
+        out.update(f" {' '.join(words[k : k + n])} " for k in range(len(words) - n + 1) if all(single[k : k + n]))
+    return out
 
 
 @dataclass
@@ -148,7 +174,9 @@ def _counts(rows: DataFrame) -> DataFrame:
             counts = (Counter(), Counter())
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                 own = set()
-                for w in set(fold(text).split()):
+                words = fold(text).split()
+                own.update(runs(words))
+                for w in set(words):
                     own.add(f" {w} ")
                     own.update(f" {w[:k]}" for k in PREFIXES if k < len(w))
                 counts[toxic > 0].update(own)
