@@ -8,15 +8,14 @@ It is trusted only if the margin over the second is wide enough. Labels can be w
 sample judges the other half first, and documents that come out as another language leave it, as
 do those whose text is in the sample for two languages.
 
-Every label value is learned. Training takes at most `sample_docs` documents of each language (least
-hashes of doc_id) and at most `dictionary_bytes` of their text. A text longer than its part of that
-gives pieces spread evenly from its beginning to its end. All dictionaries together hold at most
-`total_bytes`, which is what is collected and broadcast: with very many languages each has a smaller one.
+Every label value is learned. Training takes at most `sample_docs` documents of each language, those with the least
+hashes of doc_id, and stops where those taken have `dictionary_bytes` of text; a document that is taken is taken whole. So all
+languages have dictionaries of like size, however many there are; what is collected and broadcast is as much for each, and one document more.
 
 Defined cases: a null text, or one without letters, is `und` with score 0. At equal size the
 language with more training documents wins, then the first by name. With one language, or none, the
 margin is 0. Labelled rows with a null doc_id or text are not learned from; of training rows with one doc_id and
-language the least text counts. Repeated rows are judged alike. Empty tables give empty tables. Other columns are ignored.
+language that with the least hash of the text counts. Repeated rows are judged alike. Empty tables give empty tables. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,57 +26,44 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE_DOCS, DICTIONARY_BYTES, TOTAL_BYTES, PIECE = 96, 96 << 10, 24 << 20, 256
+SAMPLE_DOCS, DICTIONARY_BYTES = 192, 256 << 10
 BLOCK, LEVEL, MARGIN = 512, 3, 0.02
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def spread(text: Column, size: int, piece: int = PIECE) -> Column:
-    """The text, or pieces of it from beginning to end, evenly spaced, with about `size` bytes in all."""
-    n = F.char_length(text)
-    chars = F.greatest(F.lit(1), F.floor(F.lit(piece) * n / F.octet_length(text))).cast("int")
-    count = max(1, size // piece)
-    starts = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda k: F.floor(k * (n - chars) / max(1, count - 1)).cast("int") + 1)
-    return F.when(F.octet_length(text) <= size, text).otherwise(F.array_join(F.transform(starts, lambda at: F.substring(text, at, chars)), "\n"))
-
-
-def learn(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, dictionary_bytes: int = DICTIONARY_BYTES, total_bytes: int = TOTAL_BYTES) -> list[tuple[str, bytes]]:
+def learn(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, dictionary_bytes: int = DICTIONARY_BYTES) -> list[tuple[str, bytes]]:
     """(language, raw dictionary), most frequent first, from rows (doc_id, text, lang)."""
     known = labelled.where("lang is not null")
     langs = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()]
     if not langs:
         return []
-    most = max(8, min(dictionary_bytes, total_bytes // len(langs)))
-    docs = max(1, min(sample_docs, most // PIECE))
     usable = known.where("text is not null and doc_id is not null")
-    least = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = usable.select("doc_id", "lang").withColumn("rank", F.row_number().over(least)).where(F.col("rank") <= docs).select("doc_id", "lang").distinct()
-    parts = usable.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("doc_id", "lang", spread(F.col("text"), most // docs).alias("text"))
-    rows = parts.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id", "lang").collect()
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("digest")]
+    # ids and sizes first: a window that ends early is cut before it is shuffled, and texts are read for the chosen rows alone
+    sized = usable.select("doc_id", "lang", F.octet_length("text").alias("size"), F.xxhash64("text").alias("digest"))
+    first = sized.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= 2 * sample_docs)
+    one = first.groupBy("doc_id", "lang").agg(F.min(F.struct("digest", "size")).alias("row")).select("doc_id", "lang", "row.digest", "row.size")
+    ahead = Window.partitionBy("lang").orderBy(*order)
+    taken = one.withColumns({"rank": F.row_number().over(ahead), "before": F.sum("size").over(ahead) - F.col("size")}).where((F.col("rank") <= sample_docs) & (F.col("before") < dictionary_bytes))
+    chosen = F.broadcast(taken.select("doc_id", "lang", "digest"))
+    rows = usable.withColumn("digest", F.xxhash64("text")).join(chosen, ["doc_id", "lang", "digest"], "left_semi").select("doc_id", "lang", "text").dropDuplicates(["doc_id", "lang"]).orderBy(F.xxhash64("doc_id"), "doc_id", "lang").collect()
     texts: dict[str, list[str]] = {lang: [] for lang in langs}
     for r in rows:
         texts[r["lang"]].append(normal(r["text"]))
     seen = Counter(t for own in texts.values() for t in set(own))
     texts = {lang: [t for t in dict.fromkeys(own) if seen[t] == 1] for lang, own in texts.items()}
-    halves = [Classifier(_dictionaries({lang: own[k::2] for lang, own in texts.items()}, most)) for k in (0, 1)]
+    halves = [Classifier(_dictionaries({lang: own[k::2] for lang, own in texts.items()})) for k in (0, 1)]
     sound = {lang: [t for k, t in enumerate(own) if halves[1 - k % 2].best(t)[0] == lang] for lang, own in texts.items()}
-    return _dictionaries({lang: sound[lang] or own for lang, own in texts.items()}, most)
-
-
-def _dictionaries(texts: dict[str, list[str]], most: int) -> list[tuple[str, bytes]]:
-    """Texts of a language in a row; where lower-casing made them too long, the same share of each goes."""
-    out = []
-    for lang, own in texts.items():
-        raw = [t.encode("utf-8", "replace") for t in own]
-        total = sum(map(len, raw)) + len(raw)
-        if total > most:
-            raw = [t[: max(1, len(t) * most // total - 1)] for t in raw]
-        out.append((lang, b"\n".join(raw)[:most] or b"\n"))
-    return out
+    return _dictionaries({lang: sound[lang] or own for lang, own in texts.items()})
+
+
+def _dictionaries(texts: dict[str, list[str]]) -> list[tuple[str, bytes]]:
+    """Texts of a language in a row."""
+    return [(lang, b"\n".join(t.encode("utf-8", "replace") for t in own) or b"\n") for lang, own in texts.items()]
 
 
 def normal(text: str) -> str:
