@@ -284,6 +284,10 @@ def _by_document(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "text_hash", "places"])
 
 
+#: Partitions of one shuffle, at most.
+MOST = 20_000
+
+
 def _round(docs: DataFrame, make, merge, width: int, size: int, range_words: int, fan_bits: int, slice_bytes: int) -> DataFrame:
     """Entries of the documents through their ranges, and what is found back to the documents, as a table."""
     whole = max(0, (-(-size // (6 * range_words)) - 1).bit_length())
@@ -301,9 +305,16 @@ def _round(docs: DataFrame, make, merge, width: int, size: int, range_words: int
     return written(by_slice.dropDuplicates(["doc_id", "text_hash"]))
 
 
+def partitions(groups: int, usual: int) -> int:
+    """How many partitions so many groups get: one each or so, but no more than MOST, which one shuffle can keep account of; beyond that a
+    task takes several groups, one after another, so its memory stays that of one."""
+    return min(max(groups, usual), max(MOST, usual))
+
+
 def _dealt(rows: DataFrame, groups: int, usual: int, *by: str) -> DataFrame:
-    """rows in a partition for each group or so, where that is more than the session's number: so tasks stay as large as they are."""
-    return rows.repartition(groups, *by) if groups > usual else rows
+    """rows in partitions(), where that is more than the session's number: so tasks stay as large as they are."""
+    n = partitions(groups, usual)
+    return rows.repartition(n, *by) if n > usual else rows
 
 
 def _with_places(docs: DataFrame, places: DataFrame, how: str) -> DataFrame:
