@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import pytest
+
 from wirespan.llm import substring_dedup
 
 
@@ -84,3 +86,14 @@ def test_rows_grow_with_the_input_and_not_with_its_square(spark, monkeypatch):
         substring_dedup.later_windows(docs.where(f"doc_id < {n}"), range_words=400, fan_bits=2, slice_bytes=8000)
         most.append(max(counts))
     assert most[1] < 2.6 * most[0]
+
+
+@pytest.mark.parametrize("size", [1 << 30, 1 << 40, 100 << 40])
+def test_partitions_stay_few_at_any_input(spark, monkeypatch, size):
+    """The partitions of a pretended input, by the numbers of groups that _round() asks for."""
+    asked = []
+    monkeypatch.setattr(substring_dedup, "_dealt", lambda rows, groups, usual, *by: (asked.append(substring_dedup.partitions(groups, usual)), rows)[1])
+    docs = spark.createDataFrame([(1, 1, "a")], "doc_id long, text_hash long, text string")
+    monkeypatch.setattr(substring_dedup, "written", lambda df: df)
+    substring_dedup._round(docs, substring_dedup._anchor_rows, substring_dedup._merged_blocks, 20, size, substring_dedup.RANGE_WORDS, substring_dedup.FAN_BITS, substring_dedup.HASH_BYTES)
+    assert asked and max(asked) <= substring_dedup.MOST

@@ -158,6 +158,37 @@ def test_matches_and_scores_by_hand(spark):
     assert toxicity.score(docs.limit(0), lex).count() == 0 and toxicity.drop_toxic(docs.limit(0), lex).count() == 0
 
 
+def test_numbers_are_no_words():
+    fold = toxicity.fold
+    assert fold("455 8008 5318008, 13 1984!") == "  " and fold("1d10t b00bs 5h1t l33t") == " idiot boobs shit leet "
+    assert fold("x" * 50_000 + "9" * 50_000) == f" {'x' * 50_000}{'g' * 50_000} "
+    lex = toxicity.Lexicon({" ass ": 3.0, " boob": 2.0})
+    assert lex.score("room 455 and 8008") == lex.score("room one and two") < lex.score("a55 and b00b")
+
+
+def test_scripts_without_blanks(spark):
+    """Their characters count as words, and runs of them are learned and found within longer runs."""
+    assert toxicity.fold("这是 a测试b。ภาษา") == " 这 是 a 测 试 b ภ า ษ า "
+    assert toxicity.runs("这 是 a 测 试".split()) == {" 这 是 ", " 测 试 "}
+    lex = toxicity.Lexicon({" 毒 物 ": 3.0})
+    assert lex.matches(toxicity.fold("这里有毒物在")) and not lex.matches(toxicity.fold("毒 x 物"))
+    assert lex.score("毒物" + "好" * 2000) < lex.score("毒物" + "好" * 20)
+    rng = random.Random(14)
+    pool = [chr(c) for c in range(0x4E00, 0x4F00)]
+    rows, marks = [], []
+    for i in range(300):
+        text = [rng.choice(pool) for _ in range(60)]
+        if i % 4 == 0:
+            text.insert(rng.randrange(60), "\u6bd2\u7269")
+        elif i % 4 == 1:
+            text.insert(rng.randrange(60), rng.choice("\u6bd2\u7269"))
+        rows.append((i, "".join(text)))
+        marks.append((i, int(i % 4 == 0)))
+    learned = toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int"))
+    assert " \u6bd2 \u7269 " in learned.weights
+    assert learned.score("\u4f60\u597d\u6bd2\u7269\u4f60\u597d") > learned.score("\u4f60\u597d\u6bd2\u4f60\u7269\u597d")
+
+
 def test_exceptions_cost_in_proportion():
     import time
 
@@ -346,14 +377,51 @@ def test_quality(spark):
     assert quality.judge(frame(spark, texts).limit(0)).count() == 0
 
 
+def test_quality_keeps_texts_of_all_scripts(spark):
+    """Words with vowel signs and accents are letters; strings of numbers and signs are not."""
+    texts = ["यह एक साधारण वाक्य है जो हिंदी में लिखा गया है और इसमें कोई दोष नहीं है", "นี่ คือ ประโยค ธรรมดา ที่ เขียน ด้วย ภาษา ไทย และ ไม่มี ข้อผิดพลาด ใดๆ เลย", "இது தமிழில் எழுதப்பட்ட ஒரு சாதாரண வாக்கியம் இதில் எந்த பிழையும் இல்லை என்று நம்புகிறேன் நான்", "Ce texte est écrit en français, sans défaut ni répétition, pour être gardé tel quel.", "12 34 56 78 90 11 22 33 44 55 66 77"]
+    assert [r.kept for r in quality.judge(frame(spark, texts)).orderBy("doc_id").collect()] == [True] * 4 + [False]
+    rows = [(None, texts[0], "x"), (1, texts[0], "x"), (1, texts[0], "x"), (2, None, "x")]
+    odd = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, kept string"))
+    assert sorted((str(r.doc_id), r.kept) for r in odd.collect()) == [("1", True), ("1", True), ("2", False), ("None", True)]
+
+
+def test_cascade_charges_what_rules_share_once(spark):
+    """Two rules that need the words: whichever stands first is charged for the split, in any listing; by_worth() by hand."""
+    own, shared = {"a": 1.0, "b": 2.0, "c": 4.0}, {"words": 10.0}
+    needs = {"a": ("words",), "b": ("words",)}
+    # a: 22 / 11, b: 20 / 12, c: 12 / 4; then, with the words there, a and b cost 1 and 2
+    assert quality.by_worth(["a", "b", "c"], {"a": 22, "b": 20, "c": 12}, own, shared, needs) == ["c", "a", "b"]
+    assert quality.by_worth(["c", "b", "a"], {"a": 22, "b": 50, "c": 12}, own, shared, needs) == ["b", "a", "c"]
+    import time
+
+    def busy(f, seconds):
+        began = time.thread_time()
+        while time.thread_time() - began < seconds:
+            pass
+
+    # both rules ask for the words; the dear one is dear by itself, whatever the order of listing
+    cheap = lambda f: len(f.words) < 0
+    dear = lambda f: busy(f, 0.001) or len(f.words) < 0
+    good = " ".join(f"w{k}" for k in range(3000))
+    for rules in ({"cheap": cheap, "dear": dear}, {"dear": dear, "cheap": cheap}):
+        assert quality.cascade_order(frame(spark, [good] * 20), rules, needs={"cheap": ("words",), "dear": ("words",)})[0] == "cheap"
+
+
 def test_cascade_runs_the_best_rule_first(spark):
     import time
 
-    rules = {"slow": lambda f: time.sleep(0.002) or False, "never": lambda f: True, "fast": lambda f: False}
+    def busy(f):
+        began = time.thread_time()
+        while time.thread_time() - began < 0.002:
+            pass
+        return False
+
+    rules = {"slow": busy, "never": lambda f: True, "fast": lambda f: False}
     good = " ".join(f"w{k}" for k in range(12))
     assert quality.cascade_order(frame(spark, [good] * 50 + ["x"] * 50), rules)[0] == "fast"
     # texts that fail the base do not count: "short" rejects none of those that the cascade sees
-    rules = {"short": lambda f: f.n_words > 2, "fast": lambda f: time.sleep(0.001) or False}
+    rules = {"short": lambda f: f.n_words > 2, "fast": busy}
     assert quality.cascade_order(frame(spark, [good] * 20 + ["x"] * 80), rules)[0] == "fast"
 
 
@@ -406,14 +474,26 @@ def test_language_learns_whole_texts_and_all_labels(spark):
     rows += [(0, header, "aa", 1, "r"), (None, make("bb", 90), "aa", 1, "r"), (900, None, "bb", 1, "r")]  # a repeated id, nulls
     rows += [(1000 + i, f"own{'abcdefghij'[i % 10]}{'abcdefghij'[i // 10 % 10]}{'abcd'[i // 100]} word", f"l{i}", 1, "r") for i in range(300)]
     known = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string, rank int, count string"))
-    assert len(known) == 302 and sum(len(d) for _, d in known) <= language.TOTAL_BYTES
     own = dict(known)
+    assert len(known) == 302 and all(language.DICTIONARY_BYTES * 0.8 < len(own[x]) < language.DICTIONARY_BYTES * 1.2 for x in ("aa", "bb"))
     assert sum(b"that" in d or b"nicht" in d for d in (own["aa"], own["bb"])) == 2
     got = {r.doc_id: r.lang_pred for r in language.predict(frame(spark, [make("aa", 40), make("bb", 40)]), known).collect()}
     assert got == {0: "aa", 1: "bb"}
     assert language.learn(frame(spark, []).select("doc_id", "text", "lang")) == []
 
 
+def test_language_learns_from_the_last_quarter(spark):
+    """Texts that are alike but for their ends."""
+    words = {"aa": "the and of to in is that with".split(), "bb": "der die und das ist nicht mit von".split()}
+    rng = random.Random(13)
+    make = lambda lang, n: " ".join(rng.choice(words[lang]) for _ in range(n))
+    alike = " ".join("".join(rng.choice("bcdfgaeiou") for _ in range(5)) for _ in range(900))
+    rows = [(i, f"{alike} {make(lang, 300)}", lang) for i, lang in enumerate(["aa", "bb"] * 12)]
+    known = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    got = {r.doc_id: r.lang_pred for r in language.predict(frame(spark, [make("aa", 40), make("bb", 40)]), known).collect()}
+    assert got == {0: "aa", 1: "bb"}
+
+
 def canonical_by_hand(text):
     """The canonical form, step by step."""
     t = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
