@@ -95,6 +95,9 @@ def test_paths(spark):
     df = spark.createDataFrame([(r" top . u1 /* x */ .q[3][7:0]",), (r"\a.b .c",)], "path string")
     assert [r[0] for r in df.select(resolve.normal_path(df.path)).collect()][0] == "top.u1.q"
     assert df.select(resolve.segments(df.path)).collect()[1][0] == [r"\a.b", "c"]
+    shapes = {"a.b[c[d[e[0]]]]": "a.b", "a[b[c[d[e[f[0]]]]]][1][2]": "a", "a[i].b": "a[i].b", "a[0]]": "a[0]]", "[3]": "[3]", "x]": "x]", "a[b": "a[b", "a /* never": "", "a // to the end\n.b[1]": "a.b", "a/*//*/[2]": "a", "": ""}
+    made = spark.createDataFrame([(k,) for k in shapes], "path string")
+    assert {r.path: r.normal for r in made.select("path", resolve.normal_path(made.path).alias("normal")).collect()} == shapes
     d = small(spark)
     refs = spark.createDataFrame([(1, 3, "top.u1.q"), (2, 3, "d"), (3, 3, "top.none.q"), (4, 1, "u2.r [1]"), (5, 1, "")], "id long, inst_id long, path string")
     got = {r.id: (r.resolved_inst_id, r.resolved_net_id) for r in resolve.references(refs, d).collect()}

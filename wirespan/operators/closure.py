@@ -37,6 +37,33 @@ def reached(edges: DataFrame, seeds: DataFrame, max_rounds: int | None = None) -
     return seen
 
 
+def reached_by_site(edges: DataFrame, seeds: DataFrame, max_rounds: int | None = None) -> DataFrame:
+    """(seed, site, node, depth): closures of all call sites in one run. edges: (src, dst, site), site null where no call is meant; seeds: (seed, site, node), site null
+    where none is chosen yet. The site is part of the state: the first edge with a site binds it, and from then on only edges of that site or of none
+    are taken, so two calls of one subroutine never mix though they share its formals. The same as reached() once for each site."""
+    steps = written(edges.where("src is not null and dst is not null").select("src", "dst", F.col("site").alias("by")).distinct())
+    frontier = written(seeds.select("seed", "site", "node").distinct().withColumn("depth", F.lit(0)))
+    seen, k = frontier, 0
+    while max_rounds is None or k < max_rounds:
+        k += 1
+        fits = F.col("by").isNull() | F.col("site").isNull() | (F.col("by") == F.col("site"))
+        new = frontier.join(steps, (F.col("node") == F.col("src")) & fits).select("seed", F.coalesce("site", "by").alias("site"), F.col("dst").alias("node")).distinct()
+        old = seen.select(F.col("seed").alias("__seed"), F.col("site").alias("__site"), F.col("node").alias("__node"))
+        known = (F.col("seed") == F.col("__seed")) & F.col("site").eqNullSafe(F.col("__site")) & (F.col("node") == F.col("__node"))
+        frontier = written(new.join(old, known, "left_anti").withColumn("depth", F.lit(k)))
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+        if k % MERGE_EVERY == 0:
+            seen = written(seen)
+    return seen
+
+
+def sited_edges(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """From each net to its drivers, with the call site of the dependency, for reached_by_site()."""
+    return views.driving(tables).select(F.col("signal").alias("src"), F.col("driver").alias("dst"), F.col("call_site_id").alias("site"))
+
+
 def fan_in_edges(tables: Mapping[str, DataFrame], call_site: DataFrame | None = None) -> DataFrame:
     """From each net to its drivers. call_site: one id; edges of other call sites are left out, so calls do not mix."""
     return _edges(tables, "signal", "driver", call_site)

@@ -11,12 +11,24 @@ from wirespan.functions.tables import written
 
 
 def normal_path(path: Column) -> Column:
-    """A written path without comments, white space and trailing selects, which may hold selects themselves (three deep)."""
-    bare = F.regexp_replace(F.regexp_replace(path, r"(?s)/\*.*?\*/", ""), r"//[^\n]*", "")
-    select = r"\[[^\[\]]*\]"
-    for _ in range(2):
-        select = rf"\[(?:[^\[\]]|{select})*\]"
-    return F.regexp_replace(F.regexp_replace(bare, r"\s+", ""), rf"(?:{select})+$", "")
+    """A written path without comments, white space and the selects at its end, which may hold selects to any depth. A comment that does not end leaves
+    nothing; brackets that do not match, and a path that is nothing but a select, are left alone."""
+    bare = F.regexp_replace(F.regexp_replace(path, r"(?s)/\*.*?\*/|//[^\n]*", ""), r"\s+", "")
+    bare = F.when(F.contains(bare, F.lit("/*")), "").otherwise(bare)
+    return F.when(F.endswith(bare, F.lit("]")), F.substring(bare, F.lit(1), F.length(bare) - _select_chars(bare))).otherwise(bare)
+
+
+def _select_chars(text: Column) -> Column:
+    """How many characters the bracketed groups at the end of a text have: a pass from its end that counts open brackets and notes where none is."""
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("read"), F.lit(0).alias("whole"), F.lit(False).alias("done"))
+
+    def step(at: Column, c: Column) -> Column:
+        over = at["done"] | ((at["depth"] == 0) & (c != "]"))
+        depth = at["depth"] + F.when(c == "]", 1).when(c == "[", -1).otherwise(0)
+        closed = ~over & (depth == 0) & (at["read"] + 1 < F.length(text))
+        return F.struct(F.when(over, at["depth"]).otherwise(depth).alias("depth"), (at["read"] + 1).alias("read"), F.when(closed, at["read"] + 1).otherwise(at["whole"]).alias("whole"), over.alias("done"))
+
+    return F.aggregate(F.split(F.reverse(text), ""), start, step, lambda at: at["whole"])
 
 
 def segments(path: Column) -> Column:

@@ -34,8 +34,9 @@ STATUSES = "complete partial hierarchy_only".split()
 
 #: Joins that rules are judged on: id (what a broken row is named by) and the columns the conditions read.
 FRAMES = {
-    "node": """SELECT n.id, n.node_kind AS kind, n.parent_node_id AS parent, i.id AS inst, p.id AS prim, i.module_id, i.unresolved_def, i.param_signature, i.parent_inst_id, p.inst_id AS prim_inst, a.ancestor, coalesce(s.signature, '') AS signature
-  FROM {tree_node} n LEFT JOIN {inst} i ON i.id = n.id LEFT JOIN {prim} p ON p.id = n.id LEFT JOIN {nearest} a ON a.node = n.id LEFT JOIN {signatures} s ON s.inst_id = i.id""",
+    "node": """SELECT n.id, n.node_kind AS kind, n.parent_node_id AS parent, i.id AS inst, p.id AS prim, i.module_id, i.unresolved_def, i.param_signature, i.parent_inst_id, p.inst_id AS prim_inst, a.ancestor
+  FROM {tree_node} n LEFT JOIN {inst} i ON i.id = n.id LEFT JOIN {prim} p ON p.id = n.id LEFT JOIN {nearest} a ON a.node = n.id""",
+    "occurrence": "SELECT i.id, i.parent_inst_id, coalesce(i.param_signature, '') AS given, n.node_kind AS kind, coalesce(s.signature, '') AS signature FROM {inst} i LEFT JOIN {tree_node} n ON n.id = i.id LEFT JOIN {signatures} s ON s.inst_id = i.id",
     "scoped": "SELECT x.id, x.inst_id, CASE WHEN i.id IS NOT NULL THEN i.id ELSE a.ancestor END AS owner FROM (SELECT id, scope_node_id, inst_id FROM {net} UNION ALL SELECT id, scope_node_id, inst_id FROM {proc} UNION ALL SELECT id, scope_node_id, inst_id FROM {stmt}) x LEFT JOIN {inst} i ON i.id = x.scope_node_id LEFT JOIN {nearest} a ON a.node = x.scope_node_id",
     "free_param": "SELECT p.inst_id AS id, i.id AS inst FROM {inst_param} p LEFT JOIN {inst} i ON i.id = p.inst_id",
     "mapped": "SELECT m.term_id AS id, m.map_exact, t.inst_id AS term_inst, n.inst_id AS net_inst, coalesce(m.term_hi - m.term_lo + 1, t.width) AS term_size, coalesce(m.inner_hi - m.inner_lo + 1, n.width) AS net_size FROM {term_map} m JOIN {term} t ON t.id = m.term_id JOIN {net} n ON n.id = m.inner_net_id",
@@ -95,13 +96,13 @@ ROW_RULES: list[tuple[str, str, str]] = [
     ("K10", "node", "(kind = 'primitive') <> (prim IS NOT NULL)"),
     ("K11", "node", "inst IS NOT NULL AND (kind = 'unresolved') <> (module_id IS NULL)"),
     ("K12", "node", "inst IS NOT NULL AND kind = 'unresolved' AND (unresolved_def IS NULL OR param_signature IS NOT NULL)"),
-    ("K13", "node", "inst IS NOT NULL AND (parent_inst_id IS NULL) <> (kind IN ('root', 'package'))"),
+    ("K13", "occurrence", "(parent_inst_id IS NULL) <> coalesce(kind IN ('root', 'package'), false)"),
     ("K14", "node", "inst IS NOT NULL AND parent_inst_id IS DISTINCT FROM ancestor"),
     ("K15", "node", "prim IS NOT NULL AND prim_inst IS DISTINCT FROM ancestor"),
     ("K16", "scoped", "owner <> inst_id"),
     ("K17", "tree_node", "contains(name, '.') AND NOT (startswith(name, chr(92)) AND endswith(name, ' '))"),
     *(("K18", t, "file_id IS NOT NULL AND (line < 1 OR col < 1)") for t in LOCATED),
-    ("K20", "node", "inst IS NOT NULL AND coalesce(param_signature, '') <> signature"),
+    ("K20", "occurrence", "given <> signature"),
     ("K21", "free_param", "inst IS NULL"),
     ("K22", "mapped", "term_inst <> net_inst"),
     ("K23", "connected", "net_inst <> above"),
@@ -226,7 +227,8 @@ def _names(sql: str) -> set[str]:
 
 
 def dangling(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """(rule, what) of references to ids that are not there: all references of a table in one scan, all of them in one anti join."""
+    """(rule, what) of references to ids that are not there: all references of a table in one scan. Each id that is referred to is looked up once, however many
+    rows name it (a file, a type): references are made distinct where they are read, before one anti join; only those of missing ids are traced back to rows."""
 
     def of(table: str) -> DataFrame:
         own = [(c, r) for t, c, r in schema.REFERENCES if t == table]
@@ -235,7 +237,8 @@ def dangling(tables: Mapping[str, DataFrame]) -> DataFrame:
 
     asked = reduce(DataFrame.unionByName, [of(t) for t in dict.fromkeys(t for t, _, _ in schema.REFERENCES)])
     ids = reduce(DataFrame.unionByName, [tables[t].select(F.lit(t).alias("table"), "id") for t in dict.fromkeys(r for _, _, r in schema.REFERENCES)])
-    return asked.join(ids, ["table", "id"], "left_anti").select(F.lit("K4").alias("rule"), "what")
+    missing = written(asked.select("table", "id").distinct().join(ids, ["table", "id"], "left_anti"))
+    return asked.join(missing, ["table", "id"], "left_semi").select(F.lit("K4").alias("rule"), "what")
 
 
 def violations(spark: SparkSession, tables: Mapping[str, DataFrame], rules: list[str] | None = None) -> DataFrame:
@@ -288,6 +291,18 @@ def view_columns(tables: Mapping[str, DataFrame]) -> dict[str, list[str]]:
     return {name: df.columns for name, f in views.VIEWS.items() for df in [f(tables)] if df.columns != schema.VIEWS[name]}
 
 
+def view_contract(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """K64 as rows: (view_name, columns, n_rows) of each view as it is."""
+    each = [f(tables) for f in views.VIEWS.values()]
+    return reduce(DataFrame.unionByName, [df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("view_name"), F.lit(",".join(df.columns)).alias("columns"), "n_rows") for name, df in zip(views.VIEWS, each, strict=True)])
+
+
+def tops(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """K88 as rows: (name, is_top): each root, and whether it is the design's declared top."""
+    declared = tables["meta"].where(F.col("key") == "top").agg(F.max("value").alias("top"))
+    return tables["tree_node"].where("node_kind = 'root'").join(F.broadcast(declared)).select("name", F.coalesce(F.col("name") == F.col("top"), F.lit(False)).alias("is_top"))
+
+
 def top_is(tables: Mapping[str, DataFrame], expected: str) -> bool:
     """K88: whether the design's top is the one expected."""
     return tables["meta"].where(F.col("key") == "top").agg(F.max("value")).first()[0] == expected

@@ -65,15 +65,15 @@ CASES: list[tuple[str, bool, list[tuple[str, dict]]]] = [
     ("K9", True, [_node(11, "k9", "instance")]), ("K9", False, [_node(21, "k9", "generate")]),
     ("K10", True, [_node(12, "k10", "primitive")]), ("K10", False, [("prim", {"id": B + 22, "inst_id": SUB, "prim_kind": "udp", "def_name": "u"}), _node(22, "k10", "primitive", SUB)]),
     ("K11", True, [_node(13, "k11", "instance"), _inst(13, TOP, None)]), ("K11", True, [_node(23, "k11p", "package", None), _inst(23, None, None)]), ("K11", False, [_node(24, "k11u", "unresolved"), _inst(24, TOP, None, unresolved_def="y")]),
-    ("K12", True, [_node(14, "k12", "unresolved"), _inst(14, TOP, None)]), ("K12", True, [_node(25, "k12s", "unresolved"), _inst(25, TOP, None, unresolved_def="y", param_signature="A=1")]),
-    ("K13", True, [_node(15, "k13", "instance"), _inst(15, None)]), ("K13", False, [_node(26, "k13", "root", None), _inst(26, None)]),
+    ("K12", True, [_node(14, "k12", "unresolved"), _inst(14, TOP, None)]), ("K12", True, [_node(25, "k12s", "unresolved"), _inst(25, TOP, None, unresolved_def="y", param_signature="A=1")]), ("K12", False, [_node(65, "k12u", "unresolved"), _inst(65, TOP, None, unresolved_def="y")]),
+    ("K13", True, [_node(15, "k13", "instance"), _inst(15, None)]), ("K13", False, [_node(26, "k13", "root", None), _inst(26, None)]), ("K13", True, [_inst(60, None)]), ("K13", True, [_node(61, "k13r", "root", None), _inst(61, TOP)]), ("K13", False, [_inst(62, TOP)]),
     ("K14", True, [_node(16, "k14", "instance", SUB), _inst(16, TOP)]), ("K14", False, [_node(27, "k14", "instance", GEN), _inst(27, SUB)]),
-    ("K15", True, [_node(17, "k15", "primitive", GEN), ("prim", {"id": B + 17, "inst_id": TOP, "prim_kind": "gate", "def_name": "or"})]),
+    ("K15", True, [_node(17, "k15", "primitive", GEN), ("prim", {"id": B + 17, "inst_id": TOP, "prim_kind": "gate", "def_name": "or"})]), ("K15", False, [_node(66, "k15", "primitive", GEN), ("prim", {"id": B + 66, "inst_id": SUB, "prim_kind": "gate", "def_name": "or"})]),
     ("K16", True, [_net(16, TOP, GEN)]), ("K16", True, [_net(17, TOP, SUB)]), ("K16", False, [_net(18, SUB, GEN)]),
     ("K17", True, [_node(30, "a.b", "generate")]), ("K17", True, [_node(31, "\\a.c", "generate")]), ("K17", False, [_node(32, "\\a.d ", "generate")]), ("K17", False, [_node(33, "", "generate")]),
     ("K18", True, [_net(20, file_id=1, line=0, col=1)]), ("K18", False, [_net(21, file_id=1)]), ("K18", False, [_net(22, line=0, col=0)]),
-    ("K20", True, [_node(34, "k20", "instance"), _inst(34, param_signature="A=1")]), ("K20", False, [("inst_param", {"inst_id": B + 35, "ordinal": 1, "name": "B", "value": "2"}), ("inst_param", {"inst_id": B + 35, "name": "A", "value": "1"}), _node(35, "k20b", "instance"), _inst(35, param_signature="A=1,B=2")]),
-    ("K21", True, [("inst_param", {"inst_id": B + 98, "name": "A", "value": "1"})]),
+    ("K20", True, [_node(34, "k20", "instance"), _inst(34, param_signature="A=1")]), ("K20", True, [_inst(63, param_signature="A=1")]), ("K20", True, [("inst_param", {"inst_id": B + 64, "name": "A", "value": "1"}), _inst(64)]), ("K20", False, [("inst_param", {"inst_id": B + 35, "ordinal": 1, "name": "B", "value": "2"}), ("inst_param", {"inst_id": B + 35, "name": "A", "value": "1"}), _node(35, "k20b", "instance"), _inst(35, param_signature="A=1,B=2")]),
+    ("K21", True, [("inst_param", {"inst_id": B + 98, "name": "A", "value": "1"})]), ("K21", False, [_node(67, "k21", "instance"), _inst(67, param_signature="A=1"), ("inst_param", {"inst_id": B + 67, "name": "A", "value": "1"})]),
     ("K22", True, [("term", {"id": B + 14, "inst_id": SUB, "name": "t", "term_kind": "signal"}), ("term_map", {"term_id": B + 14, "inner_net_id": IN_TOP})]), ("K22", False, [("term", {"id": B + 15, "inst_id": SUB, "name": "t", "term_kind": "signal"}), ("term_map", {"term_id": B + 15, "inner_net_id": NET})]),
     ("K23", True, [_conn(11, "signal", outer_net_id=NET, map_exact=0)]), ("K23", False, [_conn(12, "signal", outer_net_id=IN_TOP, map_exact=0)]), ("K23", False, [("term", {"id": B + 16, "inst_id": TOP, "name": "t", "term_kind": "signal"}), ("net_conn", {"id": B + 13, "term_id": B + 16, "conn_kind": "signal", "outer_net_id": IN_TOP, "map_exact": 0})]),
     ("K24", True, [("assign_operand", {"id": B + 10, "stmt_id": STMT, "net_id": IN_TOP})]), ("K24", False, [("assign_operand", {"id": B + 11, "stmt_id": STMT, "net_id": NET})]),
@@ -114,6 +114,7 @@ CASES: list[tuple[str, bool, list[tuple[str, dict]]]] = [
     ("K59", True, [("hier_ref", {"id": B + 13, "inst_id": SUB, "path": "x", "access": "read", "resolved_inst_id": SUB, "resolved_net_id": IN_TOP})]), ("K59", False, [("hier_ref", {"id": B + 14, "inst_id": SUB, "path": "x", "access": "read", "resolved_inst_id": SUB})]),
     ("K60", True, [_conn(16, "external_reference", outer_hier_ref_id=REF, map_exact=1)]), ("K60", False, [_conn(17, "external_reference", outer_hier_ref_id=TIE, map_exact=1)]),
     ("K61", True, [_conn(18, "signal", outer_net_id=IN_TOP)]), ("K61", False, [("net_conn", {"id": B + 19, "term_id": B + 2, "conn_kind": "signal", "outer_net_id": IN_TOP})]), ("K61", True, [_conn(20, "expression_operand", outer_net_id=IN_TOP, map_exact=1)]), ("K61", False, [_conn(21, "expression_operand", outer_net_id=IN_TOP, map_exact=0)]), ("K61", True, [_conn(22, "external_reference", outer_hier_ref_id=TIE)]), ("K61", True, [_conn(23, "unconnected", map_exact=0)]), ("K61", True, [_conn(24, "interface", outer_net_id=IN_TOP)]),
+    ("K78", True, [_data(60, src_net_id=None, assign_operand_id=None, src_hier_ref_id=REF, src_exact=None, map_exact=None)]), ("K78", False, [("hier_ref", {"id": B + 15, "inst_id": SUB, "stmt_id": STMT, "path": "far.x", "access": "read"}), _data(61, src_net_id=None, assign_operand_id=None, src_hier_ref_id=B + 15, src_exact=None, map_exact=None)]),
     ("K87", True, [("file", {"id": B + 10, "path": "f"})]), ("K87", False, [("file", {"id": B + 11, "path": "f", "src_file_id": 1})]),
 ]
 
@@ -123,10 +124,15 @@ def filled(table: str, values: dict) -> tuple:
     return tuple(values.get(f.name, None if f.nullable else {"long": 0, "string": "", "integer": 1}[f.dataType.typeName()]) for f in schema.TABLES[table].fields)
 
 
-def rows() -> dict[str, list[tuple]]:
-    """table -> rows to add."""
+#: A file, a module and a terminal given twice, and a primitive that drives both ways: joins on them count rows twice (K65 to K69).
+DOUBLED: list[tuple[str, dict]] = [("file", {"id": 1, "path": "again"}), ("module", {"id": 2, "name": "again", "def_kind": "module"}), ("net", {"id": 20_000_001, "inst_id": 1, "scope_node_id": 1, "name": "again", "decl_kind": "wire", "is_implicit": 0}), ("term", {"id": 1_000_012, "inst_id": 1_000_012, "name": "again", "term_kind": "signal", "direction": "input"})]
+TWO_WAY: list[tuple[str, dict]] = [_dep(80, "primitive", prim_id=PRIM, src_net_id=NET), _dep(81, "primitive", prim_id=PRIM, src_net_id=OTHER, tgt_net_id=NET)]
+
+
+def rows(given: list[tuple[str, dict]] | None = None) -> dict[str, list[tuple]]:
+    """table -> rows to add: those given, or all of LEGAL and CASES."""
     out: dict[str, list[tuple]] = {}
-    for table, values in [*LEGAL, *(r for _, _, own in CASES for r in own)]:
+    for table, values in given if given is not None else [*LEGAL, *(r for _, _, own in CASES for r in own)]:
         out.setdefault(table, []).append(filled(table, values))
     return out
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wirespan.functions import encode, ranges
 from wirespan.operators import closure, coverage, extract, lookup, resolve, stamp, verify, views
 from wirespan.operators.verify import signatures
-from wirespan.plans import planted
+from wirespan.plans import elaborated, planted
 from wirespan.plans.oracle import VIEW_SQL, over_star
 from wirespan.plans.rules import RULE_SQL
 from wirespan.sources import filelist, schema
@@ -115,6 +115,18 @@ _add("href_resolve", _href)
 SQL["href_resolve"] = over_star("SELECT c.id * 2 AS id, 11 + g.id - 41 AS resolved_inst_id, 40000000 + g.id - 41 AS resolved_net_id FROM tree_node c JOIN tree_node g ON g.id = c.parent_node_id WHERE c.id >= 1000000 AND c.id < 2000000 UNION ALL SELECT c.id * 2 + 1, n.inst_id, n.id FROM tree_node c LEFT JOIN net n ON n.inst_id = c.id AND n.name = 'pin' AND c.id % 7 <> 0 WHERE c.id >= 1000000 AND c.id < 2000000")
 
 
+def _through(d: Design) -> DataFrame:
+    """From each interface terminal to the bus of the instance it is bound to, and to a name that is not there."""
+    ports = d["term"].where("term_kind = 'interface'").select(F.col("id").alias("term_id"), "inst_id", "name")
+    far = ports.select((F.col("term_id") * 2).alias("id"), "inst_id", F.concat("name", F.lit(".gen . bus[3:0]")).alias("path"))
+    none = ports.select((F.col("term_id") * 2 + 1).alias("id"), "inst_id", F.concat("name", F.lit(".gen.none")).alias("path"))
+    bound = d["net_conn"].where("conn_kind = 'interface'").select("term_id", F.col("outer_intf_inst_id").alias("bound_inst_id"))
+    return resolve.through_interface(far.unionByName(none), bound, d)
+
+
+_add("through_interface", _through, "SELECT t.id * 2 AS id, n.inst_id AS resolved_inst_id, n.id AS resolved_net_id FROM term t LEFT JOIN net_conn c ON c.term_id = t.id AND c.conn_kind = 'interface' LEFT JOIN tree_node g ON g.parent_node_id = c.outer_intf_inst_id AND g.name = 'gen' LEFT JOIN net n ON n.scope_node_id = g.id AND n.name = 'bus' WHERE t.term_kind = 'interface' UNION ALL SELECT id * 2 + 1, NULL, NULL FROM term WHERE term_kind = 'interface'")
+
+
 def _cross(d: Design) -> DataFrame:
     """Each reference as the source of a dependency into its statement's target, and as the target of one from it."""
     refs, writes = d["hier_ref"].where("stmt_id is not null"), d["stmt_target"].select(F.col("stmt_id").alias("s"), "net_id")
@@ -155,9 +167,9 @@ _add("duplicate_siblings", lambda d: stamp.duplicate_siblings(d["tree_node"].sel
 _NEAREST = "nearest AS (" + _UP.format("parent_node_id").removeprefix("/*recursive*/+").replace("up AS (", "WITH RECURSIVE up AS (", 1) + ")"
 
 
-def _planted(spark: SparkSession, sf_dir: str) -> Design:
-    """The design of the folder, with rows that break the rules."""
-    star, more = Design.of_star(spark, sf_dir, keep=True), planted.rows()
+def _planted(spark: SparkSession, sf_dir: str, given: dict | None = None) -> Design:
+    """The design of the folder, with rows that break the rules, or those given."""
+    star, more = Design.of_star(spark, sf_dir, keep=True), given or planted.rows()
     added = Design.of(spark, more)
     return Design.of(spark, {t: star[t].select(*schema.TABLES[t].names).union(added[t]) if t in more else star[t] for t in schema.TABLES})
 
@@ -178,10 +190,15 @@ _RULE_SETS = {
 for _name, _rules in _RULE_SETS.items():
     QUERIES[_name] = lambda spark, sf_dir, r=_rules: verify.violations(spark, Design.of_star(spark, sf_dir, keep=True), r)
     SQL[_name] = _broken(_rules)
-    if _name == "count_violations":  # counts of views and tables: no added row breaks them
-        continue
-    QUERIES[f"planted_{_name}"] = lambda spark, sf_dir, r=_rules: verify.violations(spark, _planted(spark, sf_dir), r)
-    SQL[f"planted_{_name}"] = _broken(_rules, planted=True)
+    # Counts of views and tables: rows given twice break them.
+    _more = planted.rows(planted.DOUBLED) if _name == "count_violations" else planted.rows()
+    QUERIES[f"planted_{_name}"] = lambda spark, sf_dir, r=_rules, m=_more: verify.violations(spark, _planted(spark, sf_dir, m), r)
+    SQL[f"planted_{_name}"] = _broken(_rules, planted=_more)
+_BOTH = planted.rows([*planted.LEGAL, *planted.TWO_WAY])
+QUERIES["planted_prim_pairs"] = lambda spark, sf_dir: lookup.two_way(_planted(spark, sf_dir, _BOTH), "prim_id")
+SQL["planted_prim_pairs"] = over_star(f"SELECT * FROM ({_TWO.format('prim_id')})", "v_driver", planted=_BOTH)
+_add("view_contract", verify.view_contract, " UNION ALL ".join(f"SELECT '{v}' AS view_name, '{','.join(schema.VIEWS[v])}' AS columns, count(*) AS n_rows FROM {v}" for v in views.VIEWS), *views.VIEWS)
+_add("top_check", verify.tops, "SELECT name, name IN (SELECT value FROM meta WHERE key = 'top') AS is_top FROM tree_node WHERE node_kind = 'root'")
 
 _PCT = "CASE WHEN whole > 0 THEN round(100.0 * part / whole, 2) ELSE 0.0 END AS percent"
 _METRICS = [(f"{t}.{e}", t, f"{e} = 0", f"{e} IS NOT NULL") for t, _, _, e in verify.WINDOWS] + [(f"{t}.map_exact", t, "map_exact = 0", "map_exact IS NOT NULL") for t in ("net_dep", "net_conn")]
@@ -315,3 +332,7 @@ SQL["occurrence_order"] = _recursive("+k AS (SELECT id, 0 AS level, lpad(CAST(or
 _add("interned_types", lambda d: filelist.interned(d["prim"].select(F.when(F.col("id") % 9 == 0, "").otherwise(F.col("def_name")).alias("t")), "t"), "SELECT row_number() OVER (ORDER BY text) AS id, text FROM (SELECT DISTINCT def_name AS text FROM prim WHERE id % 9 <> 0)")
 _add("linked_files", lambda d: filelist.linked(d["file"].withColumn("path", F.concat(F.lit("/src/"), F.substring_index("path", "/", -1))), d["src_file"]), "SELECT f.id, '/src/' || split_part(f.path, '/', -1) AS path, s.id AS src_file_id FROM file f LEFT JOIN src_file s ON s.path = '/src/' || split_part(f.path, '/', -1)")
 _add("merged_meta", lambda d: filelist.merged_meta(d["meta"], d["meta"].where("key in ('top', 'error_count')").withColumn("value", F.lit("7")).unionByName(d["meta"].where("key = 'tool_version'").withColumn("key", F.lit("tool")))), "SELECT key, if(key IN ('top', 'error_count'), '7', value) AS value FROM meta UNION ALL SELECT 'tool', value FROM meta WHERE key = 'tool_version'")
+
+# --- operators on staging rows, closures of all call sites, digests ------------------------------
+QUERIES |= elaborated.QUERIES
+SQL |= elaborated.SQL

@@ -98,14 +98,14 @@ RULE_SQL: dict[str, str] = {
     "K10": _id("tree_node", "(x.node_kind = 'primitive') <> EXISTS (FROM prim p WHERE p.id = x.id)"),
     "K11": _id("inst", "EXISTS (FROM tree_node n WHERE n.id = x.id AND (n.node_kind = 'unresolved') <> (x.module_id IS NULL))"),
     "K12": _id("inst", "(x.unresolved_def IS NULL OR x.param_signature IS NOT NULL) AND EXISTS (FROM tree_node n WHERE n.id = x.id AND n.node_kind = 'unresolved')"),
-    "K13": _id("inst", f"EXISTS (FROM tree_node n WHERE n.id = x.id AND (n.node_kind IN {_ROOTS}) <> (x.parent_inst_id IS NULL))"),
+    "K13": _id("inst", f"(x.parent_inst_id IS NULL) <> (x.id IN (SELECT n.id FROM tree_node n WHERE n.node_kind IN {_ROOTS}))"),
     "K14": _id("inst", "EXISTS (FROM nearest a WHERE a.node = x.id AND coalesce(a.ancestor, 0) <> coalesce(x.parent_inst_id, 0))"),
     "K15": _id("prim", "EXISTS (FROM nearest a WHERE a.node = x.id AND coalesce(a.ancestor, 0) <> coalesce(x.inst_id, 0))"),
     "K16": _each(f"SELECT CAST(x.id AS VARCHAR) AS what FROM {t} x WHERE {_OWNER} <> x.inst_id" for t in ("net", "proc", "stmt")),
     "K17": _id("tree_node", "x.name LIKE '%.%' AND NOT (x.name[1] = chr(92) AND x.name[-1] = ' ')"),
     "K18": _each(_id(t, "x.file_id IS NOT NULL AND least(x.line, x.col) < 1") for t in "module inst prim net term proc stmt net_conn proc_event hier_ref".split()),
     "K19": f"SELECT 'duplicate_path_count' AS what WHERE (SELECT count(*) - count(DISTINCT (coalesce(parent_node_id, -1), name)) FROM tree_node) IS DISTINCT FROM CAST({_META.format('duplicate_path_count')} AS BIGINT)",
-    "K20": _id("inst", "coalesce(x.param_signature, '') <> coalesce((SELECT string_agg(p.name || '=' || p.value, ',' ORDER BY p.ordinal) FROM inst_param p WHERE p.inst_id = x.id), '') AND EXISTS (FROM tree_node n WHERE n.id = x.id)"),
+    "K20": _id("inst", "coalesce(x.param_signature, '') <> coalesce((SELECT string_agg(p.name || '=' || p.value, ',' ORDER BY p.ordinal) FROM inst_param p WHERE p.inst_id = x.id), '')"),
     "K21": _id("inst_param", "NOT EXISTS (FROM inst i WHERE i.id = x.inst_id)", "inst_id"),
     "K22": _id("term_map", "(SELECT t.inst_id FROM term t WHERE t.id = x.term_id) <> (SELECT n.inst_id FROM net n WHERE n.id = x.inner_net_id)", "term_id"),
     "K23": _id("net_conn", "(SELECT i.parent_inst_id FROM term t JOIN inst i ON i.id = t.inst_id WHERE t.id = x.term_id) <> (SELECT n.inst_id FROM net n WHERE n.id = x.outer_net_id)"),

@@ -12,10 +12,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from wirespan.functions.tables import written
-from wirespan.sources import schema, star
+from wirespan.sources import integrity, publish, schema, star
 
 #: Columns that rows of a table are looked up by; saved tables are sorted by them, so that scans can skip row groups.
 SORT_KEYS = {"net_dep": "tgt_net_id", "net_conn": "outer_net_id", "term_map": "inner_net_id", "tree_node": "parent_node_id", "stmt_target": "net_id", "assign_operand": "net_id", "expr_ref": "net_id", "proc_event": "net_id", "hier_ref": "resolved_net_id", "inst_param": "name"}
+#: Other columns that rows are looked up by: bloom filters tell scans which row groups cannot have a value.
+SEEK_KEYS = {
+    "tree_node": ("id", "name"), "inst": ("id", "module_id", "parent_inst_id"), "inst_param": ("inst_id",), "prim": ("id", "inst_id"), "net": ("id", "inst_id", "scope_node_id", "name"), "term": ("id", "inst_id"), "term_map": ("term_id",),
+    "net_conn": ("id", "term_id", "outer_intf_inst_id", "outer_hier_ref_id"), "proc": ("id", "inst_id"), "stmt": ("id", "inst_id", "proc_id", "call_site_id"), "stmt_target": ("id", "stmt_id"), "assign_operand": ("id", "stmt_id"), "expr_ref": ("id", "stmt_id"),
+    "proc_event": ("proc_id", "stmt_id"), "net_dep": ("src_net_id", "stmt_id", "assign_operand_id", "stmt_target_id", "expr_ref_id", "prim_id", "src_hier_ref_id", "tgt_hier_ref_id", "call_site_id"), "hier_ref": ("id", "inst_id", "stmt_id"), "call_site": ("id", "inst_id", "caller_stmt_id", "parent_call_site_id"),
+}
 
 
 _KEPT: dict[tuple, dict[str, DataFrame]] = {}
@@ -36,6 +42,10 @@ class VersionError(ValueError):
     pass
 
 
+class IntegrityError(ValueError):
+    pass
+
+
 class Design(Mapping):
     """name -> DataFrame for the 22 tables; each is made when first asked for."""
 
@@ -54,12 +64,18 @@ class Design(Mapping):
         return len(schema.TABLES)
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str) -> Design:
-        """From a folder with one Parquet table each; refuses a version it does not know."""
+    def load(cls, spark: SparkSession, path: str, check: bool = False) -> Design:
+        """From the newest version published in a folder, or else the folder's own Parquet tables, one each; refuses a schema version it does not know. check: also
+        what the manifest does not agree with."""
+        path = publish.current(spark, path) or path
         design = cls(spark, {t: (lambda t=t: spark.read.schema(schema.TABLES[t]).parquet(f"{path}/{t}")) for t in schema.TABLES})
         found = design["meta"].where("key = 'schema_version'").agg(F.max("value")).first()[0]
         if found != str(schema.VERSION):
             raise VersionError(f"schema version {found}, not {schema.VERSION}")
+        if check:
+            wrong = integrity.problems(integrity.read_manifest(spark, path), design).collect()
+            if wrong:
+                raise IntegrityError("; ".join(f"{r.table_name}: {r.problem}, {r.found} for {r.recorded}" for r in sorted(wrong)))
         return design
 
     @classmethod
@@ -108,20 +124,19 @@ class Design(Mapping):
 
         return {name: (lambda f=f: f(self)) for name, f in views.VIEWS.items()}
 
-    def save(self, path: str) -> None:
-        """One sorted Parquet table each, first to a folder beside, which is then renamed; an existing folder is left alone."""
-        jvm, temp = self.spark._jvm, f"{path}.tmp"
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        files = target.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if files.exists(target):
-            raise FileExistsError(path)
-        try:
-            for name in schema.TABLES:
-                df = self[name].select(*(F.col(f.name).cast(f.dataType) for f in schema.TABLES[name]))
-                if name in SORT_KEYS:
-                    df = df.repartitionByRange(SORT_KEYS[name]).sortWithinPartitions(SORT_KEYS[name])
-                df.write.mode("overwrite").parquet(f"{temp}/{name}")
-            if not files.rename(jvm.org.apache.hadoop.fs.Path(temp), target):
-                raise OSError(f"{temp} cannot be renamed")
-        finally:
-            files.delete(jvm.org.apache.hadoop.fs.Path(temp), True)
+    def save(self, path: str, manifest: bool = True, row_group_bytes: int | None = None) -> int:
+        """Publishes the tables as a new version in a folder (see wirespan.sources.publish) and returns its number: a sorted Parquet table each, with bloom filters on the
+        columns that are looked up but not sorted by, and the manifest of what was written. Readers see the old version until all of it is there."""
+        version = publish.new_version(path)
+        for name in schema.TABLES:
+            df = self[name].select(*(F.col(f.name).cast(f.dataType) for f in schema.TABLES[name]))
+            if name in SORT_KEYS:
+                df = df.repartitionByRange(SORT_KEYS[name]).sortWithinPartitions(SORT_KEYS[name])
+            options = {f"parquet.bloom.filter.enabled#{c}": "true" for c in SEEK_KEYS.get(name, ())}
+            if row_group_bytes:
+                options["parquet.block.size"] = str(row_group_bytes)
+            df.write.options(**options).parquet(f"{version}/{name}")
+        stored = {t: self.spark.read.schema(schema.TABLES[t]).parquet(f"{version}/{t}") for t in schema.TABLES}
+        rows = integrity.digests(stored) if manifest else self.spark.createDataFrame([], integrity.MANIFEST)
+        rows.coalesce(1).write.json(f"{version}/manifest")
+        return publish.publish(self.spark, path, version)
