@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wirespan.llm.common import mixed, slices, written
+from wirespan.llm.common import mixed, salted_join, slices, written
 from wirespan.llm.line_dedup import LOWER, UPPER
 
 ORDER, LOSS, SMOOTH = 5, 0.02, 4.0
@@ -152,7 +152,9 @@ def _scored(pages: DataFrame, table: DataFrame, order: int, smooth: float, name:
         made = _blended(rows.column("url"), known, order, smooth) if len(rows) else np.empty(0)
         return pa.table([rows.column("url"), pa.array(made, pa.float64())], names=["__url", name])
 
-    known = dealt.groupBy("slice").applyInArrow(ask, "slice long, key long").join(table.hint("shuffle_hash"), "key").select("slice", "key", "n0", "n1")
+    asked = dealt.groupBy("slice").applyInArrow(ask, "slice long, key long")
+    # Short contexts are in every slice: a key that is counted often is dealt by slice into parts.
+    known = salted_join(asked, table.withColumn("n", F.col("n0") + F.col("n1")), ["key"], "slice", "inner").select("slice", "key", "n0", "n1")
     made = dealt.groupBy("slice").cogroup(known.groupBy("slice")).applyInArrow(score, f"__url string, {name} double")
     return pages.join(made, pages["url"] == made["__url"], "left").drop("__url").withColumn(name, F.coalesce(name, F.lit(0.0)))
 
