@@ -54,21 +54,75 @@ def test_windows_hold_the_targets_and_deficits_are_carried(targets):
 
 
 def test_temperature_lifts_small_sources(spark):
-    assert packing.tempered({"a": 900, "b": 100}, 1.0) == {"a": 0.9, "b": 0.1}
-    assert packing.tempered({"a": 900, "b": 100}, 0.5) == {"a": 0.75, "b": 0.25}
     docs = spark.createDataFrame([(i, "word " * 400, "big" if i % 5 else "small") for i in range(200)], "doc_id long, text string, source string").repartition(3)
     rows = packing.pack(docs, temperature=0.5).collect()
     big = sum(r.length for r in rows if r.doc_id % 5 and r.sequence_id < 5)
     assert big / (5 * 4096) == pytest.approx(2 / 3, abs=0.01)
 
 
-def test_small_sources_share_queues(spark):
-    docs = spark.createDataFrame([(i, "x" * (1000 - i), f"s{i}", i) for i in range(40)] + [(99, "y", None, 1)], "doc_id long, text string, source string, __own int")
-    queue = {r.doc_id: r.queue for r in packing.queued(docs, "source", {"s39": 0.1}, max_queues=5, tail_queues=3).collect()}
-    assert [queue[i] for i in range(5)] == [f"s{i}" for i in range(5)] and queue[39] == "s39"
-    rest = {queue[i] for i in [*range(5, 39), 99]}
-    assert len(rest) <= 3 and all(q.startswith("\0tail ") for q in rest)
-    assert sum(r.length for r in packing.pack(docs, targets={"s39": 0.1}, max_queues=5, tail_queues=3).collect() if r.doc_id == 99) == 2
+def parts_of_windows(spark, tokens, weight, queues, width):
+    """For each source, what it may be behind: its part of one window of each group above it, and a token for each halving."""
+    names = sorted(tokens, key=lambda i: (-tokens[i], f"s{i}"))
+    tail = names[queues:]
+    frame = spark.createDataFrame([(f"s{i}", tokens[i], float(weight[i])) for i in tail], "queue string, n long, w double")
+    levels = [{r.child: r for r in level.collect()} for level in packing._tree(frame, len(tail), queues)]
+    out = np.full(len(tokens), 12.0)
+    for i in tail:
+        child = f"s{i}"
+        for level in levels:
+            parent = level[child].parent
+            whole = level.setdefault(("whole", parent), None) or sum(r.w for k, r in level.items() if isinstance(k, str) and r.parent == parent)
+            level["whole", parent] = whole
+            out[i] += width * weight[i] / whole + 12
+            child = parent
+    return out
+
+
+@pytest.mark.parametrize(("temperature", "queues"), [(1.0, 100), (0.5, 100), (1.0, 20)])
+def test_each_of_5000_sources_keeps_its_share(spark, temperature, queues):
+    """Two kinds of sources, of 40 and of 160 tokens, more of them than queues (and, of 20, than groups): at each window's end a source has its share, but for
+    its part of one window of its group."""
+    from pyspark.sql import functions as F
+
+    n, width = 5000, 512
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), F.when(F.col("id") % 5 == 0, 159).otherwise(39).cast("int")).alias("text"), F.concat(F.lit("s"), F.col("id").cast("string")).alias("source"))
+    rows = packing.pack(docs.repartition(4), width=width, temperature=temperature, max_queues=queues).select("doc_id", "start", "length", "sequence_id", "offset", "doc_tokens").collect()
+    tokens = {i: 160 if i % 5 == 0 else 40 for i in range(n)}
+    total = sum(tokens.values())
+    spans = defaultdict(list)
+    for r in rows:
+        spans[r.doc_id].append((r.start, r.length))
+    for i, own in spans.items():
+        at = 0
+        for start, length in sorted(own):
+            assert start == at
+            at += length
+        assert at == tokens[i]
+    filled = np.zeros(-(-total // width), np.int64)
+    np.add.at(filled, [r.sequence_id for r in rows], [r.length for r in rows])
+    assert (filled[:-1] == width).all() and filled.sum() == total
+    given = np.zeros((n, len(filled)), np.int64)
+    np.add.at(given, ([r.doc_id for r in rows], [r.sequence_id for r in rows]), [r.length for r in rows])
+    given = given.cumsum(1)
+    weight = np.array([tokens[i] ** temperature for i in range(n)])
+    most = parts_of_windows(spark, tokens, weight, queues, width)
+    reach = 1.0 if temperature == 1.0 else 0.2  # the tempered mix holds until the first source is empty
+    for w in range(len(filled)):
+        t = min(total, (w + 1) * width)
+        if t <= reach * total:
+            behind = t * weight / weight.sum() - given[:, w]
+            assert (np.abs(behind) <= most).all()
+    assert np.median(most) < width / 8
+
+
+def test_a_tail_of_small_sources_keeps_all_tokens(spark):
+    docs = spark.createDataFrame([(i, "x " * (1000 - i), f"s{i}", i) for i in range(40)] + [(99, "y", None, 1), (None, "z z", "s39", 1), (7, "again", "s7", 1), (7, "again", "s7", 1)], "doc_id long, text string, source string, spans int")
+    rows = packing.pack(docs, targets={"s39": 0.1}, max_queues=3).collect()
+    assert sum(r.length for r in rows if r.doc_id == 99) == 2 and sum(r.length for r in rows) == sum(1001 - i for i in range(40)) + 2 + 3 + 4
+    taken = defaultdict(int)
+    for r in rows:
+        taken[r.sequence_id] += r.length
+    assert sorted(taken) == list(range(len(taken))) and all(taken[k] == 4096 for k in range(len(taken) - 1))
 
 
 def test_another_tokenizer_encodes_whole_texts(tmp_path):

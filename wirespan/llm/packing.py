@@ -13,7 +13,9 @@ Targets: given shares, or `temperature`: a share in proportion to tokens ** temp
 lifts small sources, until they are used up). Every token is packed once, so a lifted source ends early.
 
 Queues: the `max_queues` sources with the most text, and those with a target, have one each. The rest, each with less than 1 / max_queues
-of the text, share `tail_queues` queues by a hash of their names, in the order of their documents: so the mix of a window holds for a hash group of them.
+of the text, stand in a tree: some `max_queues` sources are a group by a hash of their names, as many groups a larger one, until there are few; the largest groups are queues
+beside those of the sources. A group is a stream which the same round-robin fills, window by window, from what is in it, by the same shares. So each source keeps its share at any number of sources: what it is
+behind is at most its part of one window of its group (a source with a queue of its own: a token for each halving), and no plan, on the driver or in a task, has more than some `max_queues` queues.
 
 Steps: tokenize (once, in Spark tasks; ids go to a table in the shared folder with each document's
 place among its task's documents of the queue), sum the tokens by task and queue, turn the sums
@@ -46,7 +48,9 @@ from wirespan.llm.common import slices, words_of, written
 
 WIDTH = 4096
 END_ID = 2
-MAX_QUEUES, TAIL_QUEUES = 256, 16
+MAX_QUEUES = 256
+#: Tokens of a group that one task places in its stream, about.
+GROUP_TOKENS = 8 << 20
 #: Of the registered query and the pipeline: sources have shares in proportion to the tokens to this power.
 TEMPERATURE = 0.7
 #: Bytes of text a worker tokenizes at once.
@@ -251,6 +255,11 @@ class Plan:
             yield x, n, lo, from_t - lo * self.width + (a1 - a0) + (y - (b0 - a0))
             x += n
 
+    def placed(self, queue, first: int, last: int):
+        """Of tokens [first, last) of a queue, the runs (first, length, place in the output)."""
+        for x, n, window, offset in self.cut(queue, first, last):
+            yield x, n, window * self.width + offset
+
 
 def _wished(sizes: list[int], queues: list, targets: dict) -> list[float]:
     rest = max(0.0, 1.0 - sum(targets.get(q, 0) for q in queues))
@@ -258,50 +267,91 @@ def _wished(sizes: list[int], queues: list, targets: dict) -> list[float]:
     return [targets[q] if q in targets else max(rest, 1e-9) * n / others for q, n in zip(queues, sizes, strict=True)]
 
 
-def tempered(totals: dict, temperature: float) -> dict:
-    """Target shares in proportion to tokens ** temperature."""
-    powers = {q: float(n) ** temperature for q, n in totals.items()}
-    whole = sum(powers.values()) or 1.0
-    return {q: x / whole for q, x in powers.items()}
+def _tree(totals: DataFrame, tail: int, fan: int) -> list[DataFrame]:
+    """For each level of the tree of small sources, from below, (child, parent, n, w): tokens and weights of what is in a group. totals: (queue, n, w)."""
+    sizes = [max(1, -(-tail // fan))]
+    while sizes[-1] > fan:
+        sizes.append(-(-sizes[-1] // fan))
+    out, at = [], totals.withColumnRenamed("queue", "child")
+    for k, size in enumerate(sizes):
+        parent = F.concat(F.lit(f"\0{k}:"), F.pmod(F.xxhash64("child"), F.lit(size)).cast("string"))
+        out.append(written(at.withColumn("parent", parent)))
+        at = out[-1].groupBy(F.col("parent").alias("child")).agg(F.sum("n").alias("n"), F.sum("w").alias("w"))
+    return out
 
 
-def queued(docs: DataFrame, queue_column: str, targets: dict | None, max_queues: int = MAX_QUEUES, tail_queues: int = TAIL_QUEUES) -> DataFrame:
-    """docs with the queue of each row: its source, or the hash group of a small one."""
-    named = docs.select("doc_id", "text", F.coalesce(F.col(queue_column).cast("string"), F.lit("")).alias("queue"))
-    if named.select("queue").distinct().limit(max_queues + 1).count() <= max_queues:
-        return named  # all have queues of their own
-    wished = list(targets or {})
-    sizes = named.groupBy("queue").agg(F.sum(F.octet_length("text")).alias("n"))
-    own = sizes.where(~F.col("queue").isin(wished)).orderBy(F.desc("n"), "queue").limit(max_queues).select(F.col("queue").alias("__own"))
-    own = own.unionByName(sizes.where(F.col("queue").isin(wished)).select(F.col("queue").alias("__own")))
-    tail = F.concat(F.lit("\0tail "), F.pmod(F.xxhash64("queue"), F.lit(tail_queues)).cast("string"))
-    return named.join(F.broadcast(own), F.col("queue") == F.col("__own"), "left").select("doc_id", "text", F.coalesce("__own", tail).alias("queue"))
+def _risen(rows: DataFrame, level: DataFrame, by_weight: bool, width: int) -> DataFrame:
+    """rows (doc_id, queue, doc_tokens, ids, spans) with queue the group that holds it, and spans places in the group's stream. Groups are dealt into parts by their tokens; each
+    part gets the group's children."""
+    parts = F.greatest(F.lit(1), F.ceil(F.col("n") / GROUP_TOKENS)).cast("int")
+    groups = written(level.groupBy("parent").agg(F.sum("n").alias("n"), F.collect_list(F.struct("child", "n", "w")).alias("children")).withColumn("parts", parts))
+    of = level.join(groups.select("parent", "parts"), "parent").select(F.col("child").alias("queue"), F.col("parent").alias("__parent"), "parts")
+    dealt = rows.join(of, "queue").withColumn("part", F.pmod(F.xxhash64("doc_id", F.element_at("spans", 1)["begin"]), F.col("parts")).cast("int")).drop("parts")
+    plans = groups.select(F.col("parent").alias("__of"), "children", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("__part"))
+
+    def rise(docs: pa.Table, plan: pa.Table) -> pa.Table:
+        if not len(docs):
+            return pa.Table.from_pylist([], schema=_row_schema())
+        children = plan.column("children")[0].as_py()
+        whole = sum(c["w"] for c in children)
+        stream = Plan({c["child"]: c["n"] for c in children}, {c["child"]: c["w"] / whole for c in children} if by_weight else None, width)
+        spans = [[{"x": s["x"] + x - s["begin"], "begin": place, "n": n} for s in own for x, n, place in stream.placed(queue, s["begin"], s["begin"] + s["n"])] for queue, own in zip(docs.column("queue").to_pylist(), docs.column("spans").to_pylist(), strict=True)]
+        return pa.Table.from_arrays([docs.column("doc_id"), docs.column("__parent"), docs.column("doc_tokens"), docs.column("ids"), pa.array(spans, _row_schema().field("spans").type)], schema=_row_schema())
+
+    return dealt.groupBy("__parent", "part").cogroup(plans.groupBy("__of", "__part")).applyInArrow(rise, ROWS)
+
 
+ROWS = "doc_id long, queue string, doc_tokens int, ids binary, spans array<struct<x:long,begin:long,n:long>>"
 
-def pack(docs: DataFrame, path: str | None = None, width: int = WIDTH, targets: dict | None = None, queue_column: str = "source", temperature: float = 1.0, max_queues: int = MAX_QUEUES, tail_queues: int = TAIL_QUEUES) -> DataFrame:
+
+def _row_schema() -> pa.Schema:
+    span = pa.list_(pa.struct([("x", pa.int64()), ("begin", pa.int64()), ("n", pa.int64())]))
+    return pa.schema([("doc_id", pa.int64()), ("queue", pa.string()), ("doc_tokens", pa.int32()), ("ids", pa.binary()), ("spans", span)])
+
+
+def pack(docs: DataFrame, path: str | None = None, width: int = WIDTH, targets: dict | None = None, queue_column: str = "source", temperature: float = 1.0, max_queues: int = MAX_QUEUES) -> DataFrame:
     """PIECES: which tokens of which document stand where in which sequence. targets: wished shares by source (those without one
     share the rest by size); without any, shares follow from the temperature."""
-    tokens = written(tokenized(queued(docs, queue_column, targets, max_queues, tail_queues), path or vocabulary()))
+    named = docs.select("doc_id", "text", F.coalesce(F.col(queue_column).cast("string"), F.lit("")).alias("queue"))
+    tokens = written(tokenized(named, path or vocabulary()))
     sums = tokens.groupBy("queue", "task").agg(F.sum(F.col("doc_tokens").cast("long")).alias("n"))
-    totals = {r["queue"]: r["n"] for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect()}
-    if not targets and temperature != 1.0:
-        targets = tempered(totals, temperature)
-    plan = Plan(totals, targets, width)
+    weighs = not targets and temperature != 1.0
+    totals = written(sums.groupBy("queue").agg(F.sum("n").alias("n")).withColumn("w", F.pow(F.col("n").cast("double"), F.lit(temperature if weighs else 1.0))))
     before = Window.partitionBy("queue").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select("queue", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("base"))
     bases = written(bases)
     placed = tokens.join(F.broadcast(bases) if bases.count() <= SMALL_ROWS else bases, ["queue", "task"])
+    begin = (F.col("base") + F.col("start")).alias("begin")
+    spans = F.array(F.struct(F.lit(0).cast("long").alias("x"), begin, F.col("doc_tokens").cast("long").alias("n"))).alias("spans")
+    rows, tail = placed.select("doc_id", "queue", "doc_tokens", "ids", spans), max(0, totals.count() - max_queues)
+    if tail:
+        wished = F.col("queue").isin(list(targets or {}))
+        own = totals.where(~wished).orderBy(F.desc("n"), "queue").limit(max_queues).unionByName(totals.where(wished))
+        heads = written(own)
+        few = F.broadcast(heads.select("queue"))  # max_queues, and those with targets
+        levels = _tree(totals.join(few, "queue", "left_anti"), tail, max_queues)
+        small = rows.join(few, "queue", "left_anti")
+        for level in levels:
+            small = _risen(small, level, weighs, width)
+        rows = rows.join(few, "queue", "left_semi").select(*small.columns).unionByName(small)
+        totals = heads.unionByName(levels[-1].groupBy(F.col("parent").alias("queue")).agg(F.sum("n").alias("n"), F.sum("w").alias("w")))
+    known = totals.collect()
+    if weighs:
+        whole = sum(r["w"] for r in known) or 1.0
+        targets = {r["queue"]: r["w"] / whole for r in known}
+    plan = Plan({r["queue"]: r["n"] for r in known}, targets, width)
 
     def run(batches):
         types = [pa.int64()] * 7
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
         for batch in batches:
             out = [[] for _ in names]
-            for doc_id, queue, begin, n, ids in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "queue", "begin", "doc_tokens", "ids")), strict=True):
-                for x, length, window, offset in plan.cut(queue, begin, begin + n):
-                    k = x - begin
-                    for column, value in zip(out, (doc_id, k, length, zlib.crc32(ids[4 * k : 4 * (k + length)]), n, window, offset), strict=True):
-                        column.append(value)
+            for doc_id, queue, n, ids, own in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "queue", "doc_tokens", "ids", "spans")), strict=True):
+                for s in own:
+                    for x, length, window, offset in plan.cut(queue, s["begin"], s["begin"] + s["n"]):
+                        k = s["x"] + x - s["begin"]
+                        for column, value in zip(out, (doc_id, k, length, zlib.crc32(ids[4 * k : 4 * (k + length)]), n, window, offset), strict=True):
+                            column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
 
-    return placed.select("doc_id", "queue", (F.col("base") + F.col("start")).alias("begin"), "doc_tokens", "ids").mapInArrow(run, PIECES)
+    return rows.mapInArrow(run, PIECES)
