@@ -180,3 +180,15 @@ def test_references_are_distinct_before_they_are_looked_up(spark):
     design._make = dict(design._make) | {"net": lambda: spark.createDataFrame(many, schema.TABLES["net"])}
     found = [r.what for r in verify.dangling(design).collect()]
     assert {w for w in found if int(w) >= 100} == {"100", "150", "200", "250"}
+
+
+# --- scratch tables ----------------------------------------------------------------------------
+def test_threads_leave_the_session_as_it_was(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from wirespan.functions import tables
+
+    before = spark.conf.get(tables.CLEANUP)
+    with ThreadPoolExecutor(4) as pool:
+        assert list(pool.map(lambda k: tables.written(spark.range(k + 1)).count(), range(8))) == list(range(1, 9))
+    assert spark.conf.get(tables.CLEANUP) == before

@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _FOLDERS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+#: session -> threads that write, and the setting before the first of them
+_WRITERS: WeakKeyDictionary[SparkSession, tuple[int, str | None]] = WeakKeyDictionary()
+_LOCK = threading.Lock()
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -32,16 +37,31 @@ def _hadoop(spark: SparkSession, path: str):
     return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+@contextmanager
+def _cleaning(spark: SparkSession):
+    """The setting that releases shuffle files at the end of a query, for as long as any thread of the session writes here."""
+    with _LOCK:
+        writers, before = _WRITERS.get(spark, (0, None))
+        if not writers:
+            before = spark.conf.get(CLEANUP)
+            spark.conf.set(CLEANUP, "true")
+        _WRITERS[spark] = (writers + 1, before)
+    try:
+        yield
+    finally:
+        with _LOCK:
+            writers, before = _WRITERS[spark]
+            _WRITERS[spark] = (writers - 1, before)
+            if writers == 1:
+                spark.conf.set(CLEANUP, before)
+
+
 def written(df: DataFrame, **options: str) -> DataFrame:
     """df, written as a table in the shared folder and read again: this cuts its lineage. The
     shuffle files of the write are released when it ends. options: of the Parquet writer."""
     spark, path = df.sparkSession, scratch_dir(df.sparkSession)
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with _cleaning(spark):
         df.write.options(**options).parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     _FOLDERS[out] = path
     return out

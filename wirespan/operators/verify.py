@@ -162,13 +162,13 @@ ROW_RULES: list[tuple[str, str, str]] = [
     ("K72", "hung", "(stmt_kind = 'alias') <> (kind = 'alias_binding')"),
     ("K73", "v_net_attachment", f"size(filter(array({', '.join(TYPED)}), x -> x IS NOT NULL)) <> 1"),
     *(("K74", "v_net_attachment", f"({c} IS NOT NULL) <> (attachment_kind IN ({_words(kinds)}))") for c, (_, kinds) in TYPED.items()),
-    ("K76", "v_driver", "driver_kind IN ('constant', 'terminal', 'system_task', 'external') AND driver_net_id IS NOT NULL"),
-    ("K77", "v_driver", "driver_net_id IS NULL AND driver_kind NOT IN ('constant', 'terminal', 'system_task', 'external', 'primitive', 'procedure')"),
+    ("K76", "v_driver", f"driver_kind IN ({_words(schema.NETLESS_DRIVERS)}) AND driver_net_id IS NOT NULL"),
+    ("K77", "v_driver", f"driver_net_id IS NULL AND driver_kind NOT IN ({_words(schema.NETLESS_DRIVERS)}, 'primitive', 'procedure')"),
     ("K78", "external", "driver_name IS NOT NULL OR resolved_net_id IS NOT NULL"),
-    ("K80", "v_driver", f"driver_kind IN ('constant', 'terminal', 'system_task') AND ({_set('driver_name', 'driver_lo', 'driver_hi', 'driver_exact', 'map_exact')})"),
+    ("K80", "v_driver", f"driver_kind IN ({_words(schema.BARE_DRIVERS)}) AND ({_set('driver_name', 'driver_lo', 'driver_hi', 'driver_exact', 'map_exact')})"),
     ("K81", "v_load", f"load_net_id IS NULL AND ({_set('load_name', 'load_lo', 'load_hi', 'load_exact', 'map_exact')})"),
     ("K82", "v_driver", "(driver_kind = 'terminal') <> (term_id IS NOT NULL)"),
-    ("K83", "v_load", "(load_kind IN ('sensitivity', 'wait', 'statement', 'terminal')) <> (load_net_id IS NULL)"),
+    ("K83", "v_load", f"(load_kind IN ({_words(schema.NETLESS_LOADS)})) <> (load_net_id IS NULL)"),
     ("K84", "v_load", "(load_kind = 'terminal') <> (term_id IS NOT NULL)"),
     ("K85", "v_driver", f"driver_kind NOT IN ({_words(schema.DRIVER_KINDS)})"),
     ("K85", "v_load", f"load_kind NOT IN ({_words(schema.LOAD_KINDS)})"),

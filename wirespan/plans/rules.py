@@ -9,6 +9,10 @@ _INSTS = "('root', 'instance', 'unresolved', 'package')"
 _OWNER = "(SELECT CASE WHEN EXISTS (FROM inst i WHERE i.id = x.scope_node_id) THEN x.scope_node_id ELSE (SELECT max(ancestor) FROM nearest a WHERE a.node = x.scope_node_id) END)"
 
 
+def _listed(words: str) -> str:
+    return "(" + ", ".join(f"'{w}'" for w in words.split()) + ")"
+
+
 def _id(table: str, where: str, key: str = "id") -> str:
     return f"SELECT CAST(x.{key} AS VARCHAR) AS what FROM {table} x WHERE {where}"
 
@@ -162,14 +166,14 @@ RULE_SQL: dict[str, str] = {
     "K73": _id("v_net_attachment", "len(list_filter([" + ", ".join(f"x.{c}" for c, _, _ in _TYPES) + "], lambda y: y IS NOT NULL)) <> 1", "net_id"),
     "K74": _each(_id("v_net_attachment", f"CASE WHEN x.attachment_kind IN {_list(k)} THEN x.{c} IS NULL ELSE x.{c} IS NOT NULL END", "net_id") for c, _, k in _TYPES),
     "K75": _each(_id("v_net_attachment", f"x.{c} IS NOT NULL AND x.{c} NOT IN (SELECT id FROM {t})", "net_id") for c, t, _ in _TYPES),
-    "K76": _id("v_driver", "x.driver_net_id IS NOT NULL AND x.driver_kind IN ('external', 'system_task', 'terminal', 'constant')", "signal_net_id"),
+    "K76": _id("v_driver", f"x.driver_net_id IS NOT NULL AND x.driver_kind IN {_listed(schema.NETLESS_DRIVERS)}", "signal_net_id"),
     "K77": _id("v_driver", "x.driver_net_id IS NULL AND x.driver_kind IN ('data', 'control', 'alias', 'connection', 'connection_expression')", "signal_net_id"),
     "K78": "SELECT CAST(v.dep_id AS VARCHAR) AS what FROM v_driver v WHERE v.driver_kind = 'external' AND EXISTS (FROM net_dep d, hier_ref h WHERE d.id = v.dep_id AND h.id = d.src_hier_ref_id AND NOT (v.driver_name IS NULL AND h.resolved_net_id IS NULL))",
     "K79": _totals("external", _count("v_driver WHERE driver_kind = 'external'"), _count("net_dep WHERE src_hier_ref_id IS NOT NULL AND src_net_id IS NULL")),
-    "K80": _id("v_driver", "x.driver_kind IN ('system_task', 'terminal', 'constant') AND NOT (x.driver_name IS NULL AND coalesce(x.driver_lo, x.driver_hi, x.driver_exact, x.map_exact) IS NULL)", "signal_net_id"),
+    "K80": _id("v_driver", f"x.driver_kind IN {_listed(schema.BARE_DRIVERS)} AND NOT (x.driver_name IS NULL AND coalesce(x.driver_lo, x.driver_hi, x.driver_exact, x.map_exact) IS NULL)", "signal_net_id"),
     "K81": _id("v_load", "x.load_net_id IS NULL AND NOT (x.load_name IS NULL AND coalesce(x.load_lo, x.load_hi, x.load_exact, x.map_exact) IS NULL)", "signal_net_id"),
     "K82": _id("v_driver", "CASE WHEN x.driver_kind = 'terminal' THEN x.term_id IS NULL ELSE x.term_id IS NOT NULL END", "signal_net_id"),
-    "K83": _id("v_load", "CASE WHEN x.load_kind IN ('terminal', 'statement', 'wait', 'sensitivity') THEN x.load_net_id IS NOT NULL ELSE x.load_net_id IS NULL END", "signal_net_id"),
+    "K83": _id("v_load", f"CASE WHEN x.load_kind IN {_listed(schema.NETLESS_LOADS)} THEN x.load_net_id IS NOT NULL ELSE x.load_net_id IS NULL END", "signal_net_id"),
     "K84": _id("v_load", "CASE WHEN x.load_kind = 'terminal' THEN x.term_id IS NULL ELSE x.term_id IS NOT NULL END", "signal_net_id"),
     "K85": _id("v_driver", "x.driver_kind NOT IN ('data', 'control', 'primitive', 'procedure', 'connection', 'connection_expression', 'constant', 'terminal', 'system_task', 'alias', 'external')", "signal_net_id") + " UNION ALL " + _id("v_load", "x.load_kind NOT IN ('dataflow', 'connection', 'sensitivity', 'wait', 'statement', 'terminal', 'alias')", "signal_net_id"),
     "K87": _id("file", "x.src_file_id IS NULL"),

@@ -70,6 +70,10 @@ DOMAINS = {
 NULLABLE = {("term", "direction"), ("stmt", "assign_kind"), ("proc_event", "edge_kind")}
 DRIVER_KINDS = "data control primitive procedure connection connection_expression constant terminal system_task alias external"
 LOAD_KINDS = "dataflow connection sensitivity wait statement terminal alias"
+#: Kinds of drivers that have no net, those of them that have nothing else either, and kinds of loads that have no net.
+NETLESS_DRIVERS = "constant terminal system_task external"
+BARE_DRIVERS = "constant terminal system_task"
+NETLESS_LOADS = "sensitivity wait statement terminal"
 ATTACHMENT_KINDS = "terminal_inside actual_outside written_by release_target alias_binding read_by condition statement_read event dep_in dep_out named_from_outside"
 
 #: (table, column, table it names)
