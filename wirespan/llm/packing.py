@@ -35,6 +35,7 @@ import re
 import zlib
 from array import array
 from bisect import bisect_right
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -346,10 +347,13 @@ def pack(docs: DataFrame, path: str | None = None, width: int = WIDTH, targets:
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
         for batch in batches:
             out = [[] for _ in names]
-            for doc_id, queue, n, ids, own in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "queue", "doc_tokens", "ids", "spans")), strict=True):
-                for s in own:
-                    for x, length, window, offset in plan.cut(queue, s["begin"], s["begin"] + s["n"]):
-                        k = s["x"] + x - s["begin"]
+            flat = batch.column("spans").flatten()
+            at = iter(zip(*(pc.struct_field(flat, c).to_pylist() for c in ("x", "begin", "n")), strict=True))
+            counts = pc.list_value_length(batch.column("spans")).to_pylist()
+            for doc_id, queue, n, ids, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "queue", "doc_tokens", "ids")), counts, strict=True):
+                for past, first, size in islice(at, spans):
+                    for x, length, window, offset in plan.cut(queue, first, first + size):
+                        k = past + x - first
                         for column, value in zip(out, (doc_id, k, length, zlib.crc32(ids[4 * k : 4 * (k + length)]), n, window, offset), strict=True):
                             column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
