@@ -1,12 +1,17 @@
 """The pipeline against its stages done by hand, on the smallest tables."""
 
+import gc
+import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import duckdb
+import pyarrow as pa
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from wirespan.llm import decontaminate, packing, toxicity
+from wirespan.llm import common, decontaminate, near_dedup, packing, toxicity
 from wirespan.llm.common import table
 from wirespan.llm.queries import fold_of
 
@@ -117,3 +122,52 @@ def test_repeated_lines_of_odd_rows_go(spark):
     rows = [(None if k < 3 else 4 if k < 6 else k, f"common line\nown {k}" if k != 4 else "Common LINE \nown 3", "z") for k in range(10)] + [(99, "other", "z")]
     out = corpus_pipeline.STAGES[1][1](spark, spark.createDataFrame(rows, "doc_id long, text string, keep string"), SF)
     assert sorted(r.text for r in out.collect()) == sorted([f"own {k}" if k != 4 else "own 3" for k in range(10)] + ["other"])
+
+
+def test_decontamination_holds_the_words_of_one_text(spark, monkeypatch):
+    """Those of a whole batch are several times its bytes, in each worker of an executor."""
+    texts = [" ".join(f"w{(i * j) % 977}" for j in range(400)) for i in range(2000)]
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    tasks = []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: tasks.append(f) or self)
+    decontaminate.clean(docs, spark.createDataFrame([("x", " ".join(texts[3].split()[:13]))], "item_id string, text string"))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    tracemalloc.start()
+    kept = [out.num_rows for out in tasks[0]([batch])]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(kept) == len(texts), "13 words are no twentieth of 400"
+    assert peak < batch.nbytes
+
+
+def test_idle_workers_hold_no_free_memory(spark, tmp_path):
+    """Workers stay for later stages; what they have freed goes back to the system when a task ends."""
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(200)), lambda j: F.concat(F.lit("w"), ((F.col("id") * j) % 7919).cast("string"))), " ")
+    spark.range(16_000).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("s").alias("source")).repartition(4).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+
+    def spare(batches):
+        for batch in batches:
+            gc.collect()
+            held = []
+            for _ in range(2):
+                held.append(sum(map(int, re.findall(r"\nPss_(?:Anon|Shmem):\s+(\d+)", open("/proc/self/smaps_rollup").read()))))
+                common.give_back()
+            yield pa.RecordBatch.from_arrays([pa.array([held[0] - held[1]], pa.int64())], names=["kb"])
+
+    for made in (near_dedup.signed(docs), decontaminate.clean(docs, spark.createDataFrame([("x", "a b c")], "item_id string, text string")), packing.tokenized(docs.withColumnRenamed("source", "queue"), packing.vocabulary())):
+        made.write.format("noop").mode("overwrite").save()
+        kb = [r.kb for r in spark.range(0, 8, 1, 8).mapInArrow(spare, "kb long").collect()]
+        assert max(kb) < 16_000, kb
+
+
+def test_stages_run_in_small_batches(spark):
+    """By bytes, so that long texts do not fill a worker: with Spark's own setting the rows here are one batch of 9 MB."""
+    corpus_pipeline.STAGES[1][1](spark, table(spark, SF, "documents"), SF)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes], pa.int64())], names=["n"])
+
+    made = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("x"), 3000).alias("text")).mapInArrow(sizes, "n long").collect()
+    assert len(made) > 1 and max(r.n for r in made) < 5 << 20

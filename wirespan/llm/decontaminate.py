@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirespan.llm.common import written
+from wirespan.llm.common import thrifty, written
 
 WIDTH = 13
 BLOCK_WORDS = 200_000
@@ -122,13 +122,18 @@ def _tables(docs: DataFrame, automata: Iterator[Automaton]) -> list[DataFrame]:
                         rows.append({"doc_id": doc_id, "text_hash": text_hash, "runs": [{"begin": a, "end": b} for a, b in runs], "items": list(items)})
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-        out.append(written(named.mapInArrow(run, FOUND).dropDuplicates(["doc_id", "text_hash"])))
+        out.append(written(named.mapInArrow(thrifty(run), FOUND).dropDuplicates(["doc_id", "text_hash"])))
         shared.destroy()
     return out
 
 
+def _scanned(automaton: Automaton, text: str | None) -> tuple[int, list[tuple[int, int]], set]:
+    words = words_of(text)
+    return len(words), *automaton.scan(words)
+
+
 def _judged(docs: DataFrame, benchmark: DataFrame, width: int, block_words: int, judge, schema) -> DataFrame:
-    """docs (with a column text) through judge(batch, [(words, runs, items) of each row])."""
+    """docs (with a column text) through judge(batch, [(number of words, runs, items) of each row]). The words themselves take several times their text, so those of one text are held at a time."""
     blocks = blocks_of(benchmark, block_words, width)
     first, second = next(blocks, Automaton([], width)), next(blocks, None)
     at = docs.columns.index("text")
@@ -137,10 +142,9 @@ def _judged(docs: DataFrame, benchmark: DataFrame, width: int, block_words: int,
 
         def run(batches):
             for batch in batches:
-                words = [words_of(t.as_py()) for t in batch.column(at)]
-                yield judge(batch, [(w, *shared.value.scan(w)) for w in words])
+                yield judge(batch, [_scanned(shared.value, t.as_py()) for t in batch.column(at)])
 
-        return docs.mapInArrow(run, schema)
+        return docs.mapInArrow(thrifty(run), schema)
     found = reduce(DataFrame.unionByName, _tables(docs, chain([first, second], blocks)))
     one = found.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("runs")).alias("__runs"), F.flatten(F.collect_list("items")).alias("__items"))
     right = one.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__of"), "__runs", "__items").hint("shuffle_hash")
@@ -150,9 +154,9 @@ def _judged(docs: DataFrame, benchmark: DataFrame, width: int, block_words: int,
     def known(batches):
         for batch in batches:
             rows = zip(batch.column(at).to_pylist(), batch.column("__runs").to_pylist(), batch.column("__items").to_pylist(), strict=True)
-            yield judge(batch.drop_columns(["__runs", "__items"]), [(words_of(t), merged([(r["begin"], r["end"]) for r in runs or []]), set(items or [])) for t, runs, items in rows])
+            yield judge(batch.drop_columns(["__runs", "__items"]), [(len(words_of(t)), merged([(r["begin"], r["end"]) for r in runs or []]), set(items or [])) for t, runs, items in rows])
 
-    return joined.mapInArrow(known, schema)
+    return joined.mapInArrow(thrifty(known), schema)
 
 
 def _hit(runs: list[tuple[int, int]]) -> int:
@@ -167,7 +171,7 @@ def digest(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_word
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, for each document."""
 
     def judge(batch, found):
-        rows = [(len(w), _hit(runs), len(_names(items)), hashlib.sha256(",".join(_names(items)).encode()).hexdigest(), is_contaminated(_hit(runs), len(w))) for w, runs, items in found]
+        rows = [(n, _hit(runs), len(_names(items)), hashlib.sha256(",".join(_names(items)).encode()).hexdigest(), is_contaminated(_hit(runs), n)) for n, runs, items in found]
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
         types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
         return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
@@ -181,10 +185,10 @@ def spans(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_words
 
     def judge(batch, found):
         rows = []
-        for doc_id, text_hash, text, (words, runs, items) in zip(batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), batch.column("text").to_pylist(), found, strict=True):
+        for doc_id, text_hash, text, (n_words, runs, items) in zip(batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), batch.column("text").to_pylist(), found, strict=True):
             if runs:
                 at = [m.span() for m in WORD.finditer(text)]
-                rows.append({"doc_id": doc_id, "text_hash": text_hash, "contaminated": is_contaminated(_hit(runs), len(words)), "spans": [{"begin": at[a][0], "end": at[b - 1][1]} for a, b in runs], "items": _names(items)})
+                rows.append({"doc_id": doc_id, "text_hash": text_hash, "contaminated": is_contaminated(_hit(runs), n_words), "spans": [{"begin": at[a][0], "end": at[b - 1][1]} for a, b in runs], "items": _names(items)})
         return pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return _judged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text"), benchmark, width, block_words, judge, SPANS)
@@ -194,6 +198,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_words
     """docs without the contaminated ones, judged row by row as they are scanned."""
 
     def judge(batch, found):
-        return batch.filter(pa.array(np.array([not is_contaminated(_hit(runs), len(w)) for w, runs, _ in found], bool)))
+        return batch.filter(pa.array(np.array([not is_contaminated(_hit(runs), n) for n, runs, _ in found], bool)))
 
     return _judged(docs, benchmark, width, block_words, judge, docs.schema)

@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirespan.llm.common import discard, hashed, mixed, rolling, salted_join, slices, words_of, written
+from wirespan.llm.common import discard, give_back, hashed, mixed, rolling, salted_join, slices, thrifty, words_of, written
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 4
 #: Buckets of up to so many nodes give their pairs as rows; larger ones are compared in blocks of about BLOCK
@@ -120,7 +120,7 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, shingle: int =
                 some = pa.array(at[1:] > at[:-1])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(nodes, pa.binary()), pc.if_else(some, lists, pa.scalar(None, lists.type)), pc.binary_length(batch.column("text")).cast(pa.int64())], names=["doc_id", "node", "keys", "bytes"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node binary, keys array<long>, bytes long")
+    return docs.select("doc_id", "text").mapInArrow(thrifty(run), "doc_id long, node binary, keys array<long>, bytes long")
 
 
 def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -146,7 +146,7 @@ def _verified(texts: DataFrame, pairs: DataFrame, least: float, shingle: int) ->
             ok = [similarity(bag_of(x.as_py()), bag_of(y.as_py())) >= least for x, y in zip(batch.column("text_a"), batch.column("text_b"), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return written(both.mapInArrow(run, "a binary, b binary"))
+    return written(both.mapInArrow(thrifty(run), "a binary, b binary"))
 
 
 def _units(texts: pa.ChunkedArray, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -205,6 +205,17 @@ def _across(least: float, shingle: int):
     return run
 
 
+def _lean(block):
+    """block, a function of a block's table, that gives free memory back after each."""
+
+    def run(table: pa.Table) -> pa.Table:
+        out = block(table)
+        give_back()
+        return out
+
+    return run
+
+
 def _rest(texts: DataFrame, met: DataFrame, parts: DataFrame, known: DataFrame, least: float, shingle: int, few: int, block: int) -> DataFrame:
     """The links among all pairs that meet in a bucket, have different roots and are not known. met: (band, key, node, bytes)."""
     rooted = written(met.join(parts, "node", "left").select("band", "key", "node", "bytes", F.coalesce("root", "node").alias("root")))
@@ -221,7 +232,7 @@ def _rest(texts: DataFrame, met: DataFrame, parts: DataFrame, known: DataFrame,
         dealt = large.withColumn("n", n).withColumn("part", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
         blocks = dealt.select("band", "key", "node", "root", "part", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("to"))
         blocks = blocks.select("band", "key", F.least("part", "to").alias("i"), F.greatest("part", "to").alias("j"), "part", "node", "root")
-        found = blocks.join(texts, "node").groupBy("band", "key", "i", "j").applyInArrow(_across(least, shingle), "a binary, b binary")
+        found = blocks.join(texts, "node").groupBy("band", "key", "i", "j").applyInArrow(_lean(_across(least, shingle)), "a binary, b binary")
         links = written(links.union(found).distinct())
     discard(rooted, several, left, pairs)
     return links

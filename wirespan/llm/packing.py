@@ -45,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wirespan.llm.common import slices, words_of, written
+from wirespan.llm.common import slices, thrifty, words_of, written
 
 WIDTH = 4096
 END_ID = 2
@@ -171,7 +171,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
                     filled[queue] = starts[-1] + n
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("queue"), pa.array(np.full(len(sizes), task, np.int32)), pa.array(starts, pa.int64()), pa.array(sizes, pa.int32()), pa.array(ids, pa.binary())], names=["doc_id", "queue", "task", "start", "doc_tokens", "ids"])
 
-    return docs.mapInArrow(run, TOKENS)
+    return docs.mapInArrow(thrifty(run), TOKENS)
 
 
 class Plan:
@@ -358,4 +358,4 @@ def pack(docs: DataFrame, path: str | None = None, width: int = WIDTH, targets:
                             column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
 
-    return rows.mapInArrow(run, PIECES)
+    return rows.mapInArrow(thrifty(run), PIECES)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wirespan.llm.common import hashed, rolling, words_of, written
+from wirespan.llm.common import hashed, rolling, thrifty, words_of, written
 
 MAX_ROWS = 20_000
 PREFIXES = range(3, 11)
@@ -159,7 +159,7 @@ def _distinct(rows: DataFrame) -> DataFrame:
                     g.append(int(np.min(own * np.uint64(2 * k + 0x9E3779B97F4A7C15) ^ own >> np.uint64(11 * k))) >> 1 if len(own) else -1)
             yield pa.RecordBatch.from_arrays([batch.column("text"), batch.column("toxic"), *(pa.array(g, pa.int64()) for g in groups)], names=["text", "toxic", "g0", "g1", "g2"])
 
-    out = rows.mapInArrow(run, "text string, toxic int, g0 long, g1 long, g2 long")
+    out = rows.mapInArrow(thrifty(run), "text string, toxic int, g0 long, g1 long, g2 long")
     for g in ("g0", "g1", "g2"):
         least = F.min(F.struct(F.xxhash64("text"), "text", *(x for x in ("g1", "g2") if x > g))).alias("r")
         out = out.groupBy(g, "toxic").agg(least).select("toxic", "r.*")
@@ -183,7 +183,7 @@ def _counts(rows: DataFrame) -> DataFrame:
             names = list(counts[0] | counts[1])
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([counts[1][x] for x in names], pa.int64()), pa.array([counts[0][x] for x in names], pa.int64())], names=["feature", "t", "o"])
 
-    return rows.mapInArrow(run, "feature string, t long, o long").groupBy("feature").agg(F.sum("t").alias("n_toxic"), F.sum("o").alias("n_other"))
+    return rows.mapInArrow(thrifty(run), "feature string, t long, o long").groupBy("feature").agg(F.sum("t").alias("n_toxic"), F.sum("o").alias("n_other"))
 
 
 def _gain(n_toxic: Column, n_other: Column, base: Column) -> Column:
@@ -243,7 +243,7 @@ def _harmless(rows: DataFrame, lexicon: Lexicon, n_t: int, n_o: int) -> list[str
 
     if not lexicon.weights:
         return []
-    found = written(rows.mapInArrow(run, "word string, phrase string, t long, o long").groupBy("word", "phrase").agg(F.sum("t").alias("t"), F.sum("o").alias("o")))
+    found = written(rows.mapInArrow(thrifty(run), "word string, phrase string, t long, o long").groupBy("word", "phrase").agg(F.sum("t").alias("t"), F.sum("o").alias("o")))
     alone = found.where("phrase = ''").select("word", ((F.col("t") + 0.5) / (F.col("t") + F.col("o") + 1.0)).alias("share"))
     both = found.where("phrase <> ''").join(alone, "word")
     rare = (F.col("o") >= 3) & (F.col("t") * (n_t + n_o) <= F.col("o") * n_t) & (F.col("share") > n_t / (n_t + n_o))
@@ -263,7 +263,7 @@ def _fit(rows: DataFrame, lexicon: Lexicon) -> tuple[float, float, float]:
             keys = list(found)
             yield pa.RecordBatch.from_arrays([pa.array([k[j] for k in keys], pa.int32()) for j in range(3)] + [pa.array([found[k] for k in keys], pa.int64())], names=["rate", "total", "toxic", "n"])
 
-    cells = rows.mapInArrow(run, "rate int, total int, toxic int, n long").groupBy("rate", "total", "toxic").agg(F.sum("n").alias("n")).collect()
+    cells = rows.mapInArrow(thrifty(run), "rate int, total int, toxic int, n long").groupBy("rate", "total", "toxic").agg(F.sum("n").alias("n")).collect()
     x = np.array([[1.0, r["rate"] / 10, r["total"] / 10] for r in cells])
     y, n = np.array([r["toxic"] for r in cells], float), np.array([r["n"] for r in cells], float)
     w = np.zeros(3)
@@ -286,7 +286,7 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([own.score(t.as_py()) for t in batch.column("text")], pa.float64())], names=["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(thrifty(run), "doc_id long, score double")
 
 
 def drop_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.3) -> DataFrame:
@@ -299,7 +299,7 @@ def drop_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.3) -> Dat
         for batch in batches:
             yield batch.filter(pa.array([own.score(t.as_py()) < threshold for t in batch.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(thrifty(run), docs.schema)
 
 
 def explain(text: str, lexicon: Lexicon) -> list[tuple[str, float]]:
