@@ -142,6 +142,49 @@ def test_another_tokenizer_encodes_whole_texts(tmp_path):
     assert [np.frombuffer(x, "<u4").tolist() for x in tok(pa.array(texts))] == [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+@pytest.mark.parametrize(("kept", "kept_bytes"), [(400_000, 32 << 20), (40, 32 << 20), (400_000, 600), (0, 0)])
+def test_words_are_encoded_when_first_met(monkeypatch, kept, kept_bytes):
+    """However few words are kept, ids are those of whole texts; and a word that is kept is not encoded again, in later slices or tasks."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing._Known, "KEPT", kept)
+    monkeypatch.setattr(packing._Known, "KEPT_BYTES", kept_bytes)
+    tok, whole, rng = packing.WordTokenizer(packing.vocabulary()), Tokenizer.from_file(packing.vocabulary()), np.random.default_rng(5)
+    words = ["The", "the,", "don't", "DON'T", "x's's", "''s", "été", "ÉTÉ!!", "a1b22", "3.14", "...", "e\u0301te\u0301", "日本語テキスト", "ΣΑΣ", "\u0130x", "<|endoftext|>", "a<|b", "\u00a0", "x" * 70, "\x1c", "ſß", "'", "'LL", "½"]
+    slices = [[None, ""] + [" \n".join(rng.choice(words[: 11 if k % 2 else None], rng.integers(1, 30)).tolist() + [f"w{k}{j}"]) for j in range(20)] for k in range(12)]
+    for texts in slices:
+        assert [np.frombuffer(x, "<u4").tolist() for x in tok(pa.array(texts))] == [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+        for store in (tok.lowered, tok.any):
+            assert len(store.words) == len(store.ids) == len(store.uses) and len(store.words) <= kept and store.words.nbytes + store.ids.nbytes <= kept_bytes
+    assert packing.tokenizer(packing.vocabulary()) is packing.tokenizer(packing.vocabulary())
+    if kept > 1000 < kept_bytes:
+        tok.lowered.encode = tok.any.encode = None
+        for texts in slices:
+            tok(pa.array(texts))
+
+
+def test_ids_take_two_bytes(spark):
+    docs = spark.createDataFrame([(1, "Hello there, world", "a"), (2, None, "a"), (3, "日本 x", "b")], "doc_id long, text string, queue string")
+    rows = packing.tokenized(docs, packing.vocabulary()).collect()
+    assert len(rows) == 3 and all(len(r.ids) == 2 * r.doc_tokens for r in rows)
+    large = {r.doc_id: r for r in packing.tokenized(docs, packing.vocabulary(), end_id=70_000).collect()}
+    for r in rows:
+        want = np.frombuffer(r.ids, "<u2").tolist()
+        assert want[-1] == packing.END_ID and np.frombuffer(large[r.doc_id].ids, "<u4").tolist() == want[:-1] + [70_000]
+
+
+@pytest.mark.parametrize("targets", [None, {"a": 0.5, "b": 0.3, "c": 0.2}])
+def test_a_run_of_windows_is_found_once(monkeypatch, targets):
+    """Each further window of a run takes one count, not a search."""
+    plan = packing.Plan({"a": 400_000, "b": 30_011, "c": 90_000}, targets, 512)
+    calls, taken = [], packing.Plan.taken
+    monkeypatch.setattr(packing.Plan, "taken", lambda *a: calls.append(a) or taken(*a))
+    pieces = list(plan.cut("a", 1000, 399_000))
+    assert sum(p[1] for p in pieces) == 398_000 and len(pieces) > 800
+    assert len(calls) < 1.1 * len(pieces)
+
+
 def test_round_trip(spark):
     from tokenizers import Tokenizer
 

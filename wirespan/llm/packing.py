@@ -31,21 +31,22 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import zlib
 from array import array
 from bisect import bisect_right
+from codecs import charmap_decode
+from functools import lru_cache
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wirespan.llm.common import slices, thrifty, words_of, written
+from wirespan.llm.token_files import _alphabet
 
 WIDTH = 4096
 END_ID = 2
@@ -68,33 +69,81 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class _Known:
+    """Ids of words, as two Arrow arrays that are looked up in bulk. encode gives those of distinct words that are not known. Beyond KEPT words or KEPT_BYTES,
+    those stay that the present slice has, or that two slices had since the last time; if that is too much as well, fewer or none."""
+
+    KEPT = 400_000
+    KEPT_BYTES = 32 << 20
+
+    def __init__(self, encode):
+        self.encode = encode
+        self.words, self.ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+        self.uses = np.empty(0, np.int32)
+
+    def __call__(self, words: pa.Array) -> pa.Array:
+        """Of distinct words."""
+        at = pc.index_in(words, value_set=self.words)
+        missing = at.is_null()
+        new = words.filter(missing)
+        if not len(new):
+            at = at.to_numpy()
+            self.uses[at] += 1
+            return self.ids.take(pa.array(at))
+        made = self.encode(new)
+        places = pc.fill_null(at, 0).to_numpy().astype(np.int64)
+        places[missing.to_numpy(zero_copy_only=False)] = len(self.words) + np.arange(len(new))
+        self.words, self.ids = pa.concat_arrays([self.words, new]), pa.concat_arrays([self.ids, made])
+        self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int32)])
+        self.uses[places] += 1
+        out = self.ids.take(pa.array(places))
+        if len(self.words) > self.KEPT or self._bytes() > self.KEPT_BYTES:
+            self._forget(places)
+        return out
+
+    def _bytes(self) -> int:
+        return self.words.nbytes + self.ids.nbytes
+
+    def _forget(self, present: np.ndarray) -> None:
+        words, ids, none = self.words, self.ids, np.zeros(len(self.words), bool)
+        now = none.copy()
+        now[present] = True
+        for keep in ((self.uses > 1) | now, now, none):
+            self.words, self.ids = words.filter(pa.array(keep)), ids.filter(pa.array(keep))
+            if 4 * len(self.words) <= 3 * self.KEPT and 4 * self._bytes() <= 3 * self.KEPT_BYTES:
+                break
+        self.uses = np.zeros(len(self.words), np.int32)
+
+
 class WordTokenizer:
     """Ids of whole texts. A vocabulary with the normaliser and pattern below drops white space and never joins
     tokens across it, nor across what its pattern cuts into letters, digits and other runs, so a text's ids are those of its
-    parts, and each part of a slice is encoded once. Plain texts (of white space and printable
-    characters below U+0180, which composition leaves alone) are cut in bulk; of others, the plain
-    words are cut one by one, and only the rest is left to the whole tokenizer. Any other tokenizer encodes whole texts."""
+    words, and a word's those of its parts; each is encoded when first met. Plain texts (of white space and printable
+    characters below U+0180, which composition leaves alone) are lower-cased in bulk; of others, the plain
+    words are, and only the rest is left to the whole tokenizer. Any other tokenizer encodes whole texts."""
 
-    PLAIN = re.compile("[!-~\u00A1-\u012F\u0131-\u017F]+")
     NOT_PLAIN = r"[^\t-\r -~\x{A1}-\x{12F}\x{131}-\x{17F}]|<\|"
     # The normaliser and pattern of the vocabulary that parts are cut for.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
     NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
     CUT = {"type": "Split", "pattern": {"Regex": PATTERN}, "behavior": "Removed", "invert": True}
-    PARTS = regex.compile(PATTERN)
     NO_LETTERS = r"('s|'t|'re|'ve|'m|'ll|'d|\p{N}|[^\t-\r \p{L}\p{N}]+)"
-    KEPT = 200_000
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer, pre_tokenizers
+    def __init__(self, path: str, end_id: int = END_ID):
+        from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.code = "H" if max(end_id, *self.tokenizer.get_vocab().values()) < 1 << 16 else "I"
         self.by_parts = self._cuts_parts(json.loads(self.tokenizer.to_str()))
-        self.model = Tokenizer(self.tokenizer.model)
-        self.model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}  # what was known before it grew too large
+        self.letters = _alphabet()
+        self.lowered, self.any = _Known(self._lowered), _Known(self._any)
+
+    @property
+    def kind(self) -> str:
+        """What ids are coded as: unsigned little-endian numbers of 16 bits where all the vocabulary's ids and the end token's are below 65 536, else of 32."""
+        return "<u2" if self.code == "H" else "<u4"
 
     @classmethod
     def _cuts_parts(cls, spec: dict) -> bool:
@@ -103,73 +152,75 @@ class WordTokenizer:
         marked = all(a["content"].startswith("<|") and not a["normalized"] for a in spec["added_tokens"])
         return spec["normalizer"] == cls.NORMALIZER and len(steps) == 2 and steps[0] == cls.CUT and level.items() <= steps[1].items() and marked and not spec["truncation"] and not spec["padding"]
 
-    def _learn(self, parts: list[str], tokenizer, skip: int = 0) -> None:
-        for lo in range(0, len(parts), 2_000):
-            some = parts[lo : lo + 2_000]
-            for part, made in zip(some, tokenizer.encode_batch_fast([p[skip:] for p in some] if skip else some, add_special_tokens=False), strict=True):
-                self.known[part] = array("I", made.ids).tobytes()
-
-    def _parts(self, parts: list[str]) -> list[bytes]:
-        if len(self.known) > self.KEPT:
-            self.older, self.known = self.known, {}
-        known, older, new = self.known, self.older, []
-        for p in parts:
-            if p not in known:
-                if p in older:
-                    known[p] = older[p]
-                else:
-                    new.append(p)
-        self._learn(new, self.model)
-        return [known[p] for p in parts]
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        plain = self.PLAIN.fullmatch
-        cut = [self.PARTS.findall(w.lower()) if plain(w) and "<|" not in w else None for w in words]
-        distinct = list({p for parts in cut if parts for p in parts})
-        known = dict(zip(distinct, self._parts(distinct), strict=True))
-        odd = [f"\0{w}" for w, parts in zip(words, cut, strict=True) if parts is None]
-        self._learn([w for w in odd if w not in self.known], self.tokenizer, 1)
-        return [self.known[f"\0{w}"] if parts is None else b"".join([known[p] for p in parts]) for w, parts in zip(words, cut, strict=True)]
-
-    def _joined(self, texts: pa.Array, encode) -> list[bytes]:
+    def _coded(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.kind).tobytes()
+
+    def _lowered(self, words: pa.Array) -> pa.Array:
+        """Of plain words in lower case."""
+        return self._joined(pc.replace_substring_regex(words, self.NO_LETTERS, r" \1 "), self._parts)
+
+    def _parts(self, parts: pa.Array) -> pa.Array:
+        """A part that is known as a word has the word's ids."""
+        at = pc.index_in(parts, value_set=self.lowered.words)
+        missing = at.is_null()
+        tokenize, code, letters = self.model.tokenize, self.code, self.letters
+        made = [array(code, [t.id for t in tokenize(charmap_decode(p.encode(), "strict", letters)[0])]).tobytes() for p in parts.filter(missing).to_pylist()]
+        return pc.replace_with_mask(self.lowered.ids.take(at), missing, pa.array(made, pa.large_binary()))
+
+    def _any(self, words: pa.Array) -> pa.Array:
+        """Of words of any characters, as they stand."""
+        odd = pc.match_substring_regex(words, self.NOT_PLAIN)
+        plain = pc.utf8_lower(words.filter(pc.invert(odd))).dictionary_encode()
+        rest = words.filter(odd).to_pylist()
+        made = [self._coded(e.ids) for lo in range(0, len(rest), 2_000) for e in self.tokenizer.encode_batch_fast(rest[lo : lo + 2_000], add_special_tokens=False)]
+        ids = pc.replace_with_mask(pa.nulls(len(words), pa.large_binary()), pc.invert(odd), self.lowered(plain.dictionary).take(plain.indices))
+        return pc.replace_with_mask(ids, odd, pa.array(made, pa.large_binary()))
+
+    @staticmethod
+    def _joined(texts: pa.Array, encode) -> pa.Array:
         words, at = words_of(texts)
-        if not len(words):
-            return [b""] * len(texts)
         coded = words.dictionary_encode()
-        each = pa.array(encode(coded.dictionary.to_pylist()), pa.large_binary())
-        ids = pa.LargeListArray.from_arrays(pa.array(at, pa.int64()), each.take(coded.indices))
-        return pc.binary_join(ids, pa.scalar(b"", pa.large_binary())).to_pylist()
+        ids = pa.LargeListArray.from_arrays(pa.array(at, pa.int64()), encode(coded.dictionary).take(coded.indices))
+        return pc.binary_join(ids, pa.scalar(b"", pa.large_binary()))
 
-    def __call__(self, texts: pa.Array) -> list[bytes]:
-        """The ids of each text, as little-endian unsigned 32-bit numbers."""
+    def coded(self, texts: pa.Array) -> pa.Array:
+        """The ids of each text, as numbers of `kind`."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         if not self.by_parts:
-            return [array("I", self.tokenizer.encode(t.as_py(), add_special_tokens=False).ids).tobytes() for t in texts]
-        odd = pc.match_substring_regex(texts, self.NOT_PLAIN).to_numpy(zero_copy_only=False)
-        out: list[bytes] = [b""] * len(texts)
-        cut = pc.replace_substring_regex(pc.utf8_lower(texts.filter(pa.array(~odd))), self.NO_LETTERS, r" \1 ")
-        for rows, made in ((np.flatnonzero(~odd), self._joined(cut, self._parts)), (np.flatnonzero(odd), self._joined(texts.filter(pa.array(odd)), self._words))):
-            for k, ids in zip(rows.tolist(), made, strict=True):
-                out[k] = ids
-        return out
+            return pa.array([self._coded(self.tokenizer.encode(t.as_py(), add_special_tokens=False).ids) for t in texts], pa.large_binary())
+        odd = pc.match_substring_regex(texts, self.NOT_PLAIN)
+        plain = pc.invert(odd)
+        out = pc.replace_with_mask(pa.nulls(len(texts), pa.large_binary()), plain, self._joined(pc.utf8_lower(texts.filter(plain)), self.lowered))
+        return pc.replace_with_mask(out, odd, self._joined(texts.filter(odd), self.any))
+
+    def __call__(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text, as little-endian unsigned 32-bit numbers."""
+        return [np.frombuffer(ids.as_buffer(), self.kind).astype("<u4").tobytes() for ids in self.coded(texts)]
+
+
+@lru_cache(1)
+def tokenizer(path: str, end_id: int = END_ID) -> WordTokenizer:
+    """Loaded once a worker; the words that it knows serve all the worker's tasks."""
+    return WordTokenizer(path, end_id)
 
 
 def tokenized(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """TOKENS: ids as little-endian unsigned 32-bit numbers, the end token included; start: tokens of
+    """TOKENS: ids as the tokenizer's `kind` codes them, the end token included; start: tokens of
     the same queue before it in its task."""
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        tokenizer, filled = WordTokenizer(path), {}
+        own, filled = tokenizer(path, end_id), {}
+        width = np.dtype(own.kind).itemsize
+        end, none = (pa.scalar(x, pa.large_binary()) for x in (np.array([end_id], own.kind).tobytes(), b""))
         task = TaskContext.get().partitionId()
         for whole in batches:
             for batch in slices(whole, limit=TOKENIZE_BYTES):
-                ids = [x + end for x in tokenizer(batch.column("text"))]
-                sizes, starts = [len(x) // 4 for x in ids], []
+                ids = pc.binary_join_element_wise(own.coded(batch.column("text")), end, none)
+                sizes, starts = (pc.binary_length(ids).to_numpy() // width).tolist(), []
                 for queue, n in zip(batch.column("queue").to_pylist(), sizes, strict=True):
                     starts.append(filled.get(queue, 0))
                     filled[queue] = starts[-1] + n
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("queue"), pa.array(np.full(len(sizes), task, np.int32)), pa.array(starts, pa.int64()), pa.array(sizes, pa.int32()), pa.array(ids, pa.binary())], names=["doc_id", "queue", "task", "start", "doc_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("queue"), pa.array(np.full(len(sizes), task, np.int32)), pa.array(starts, pa.int64()), pa.array(sizes, pa.int32()), ids.cast(pa.binary())], names=["doc_id", "queue", "task", "start", "doc_tokens", "ids"])
 
     return docs.mapInArrow(thrifty(run), TOKENS)
 
@@ -229,33 +280,46 @@ class Plan:
         """Of tokens [first, last) of a queue, the pieces (first, length, window, offset in it)."""
         k = self.at[queue]
         e = bisect_right(self.starts[queue], first) - 1
-        x = first
+        x, lo = first, None
         while x < last:
             epoch = self.epochs[e]
             begin, length, upper, before = epoch
             own = upper[k] - (upper[k - 1] if k else 0)
             if x >= before[k] + own:
-                e += 1
+                e, lo = e + 1, None
                 continue
             y = x - before[k]  # place among the queue's tokens of this epoch
-            lo, hi = begin // self.width, (begin + length - 1) // self.width
-            guess = (begin + y * length // own) // self.width
-            slack = 2 + len(upper).bit_length() * length // (own * self.width)
-            lo, hi = max(lo, guess - slack), min(hi, guess + slack)
-            while lo < hi:  # the first window whose end is past token y
-                mid = (lo + hi) // 2
-                a, b = self.taken(epoch, k, min(begin + length, (mid + 1) * self.width))
-                if b - a > y:
-                    hi = mid
-                else:
-                    lo = mid + 1
-            from_t, to_t = max(begin, lo * self.width), min(begin + length, (lo + 1) * self.width)
-            a0, b0 = self.taken(epoch, k, from_t)
+            if lo is None:
+                lo = self._window(epoch, k, own, y)
+                from_t = max(begin, lo * self.width)
+                a0, b0 = self.taken(epoch, k, from_t)
+            else:  # the next one begins where the last one ended
+                lo, from_t, a0, b0 = lo + 1, to_t, a1, b1
+            to_t = min(begin + length, (lo + 1) * self.width)
             a1, b1 = self.taken(epoch, k, to_t)
+            if b1 - a1 <= y:  # it has none of the queue's
+                lo = None
+                continue
             n = min(last - x, b1 - a1 - y)
             yield x, n, lo, from_t - lo * self.width + (a1 - a0) + (y - (b0 - a0))
             x += n
 
+    def _window(self, epoch: tuple, k: int, own: int, y: int) -> int:
+        """The first window whose end is past token y of the own ones that queue k has in the epoch."""
+        begin, length, upper, _ = epoch
+        lo, hi = begin // self.width, (begin + length - 1) // self.width
+        guess = (begin + y * length // own) // self.width
+        slack = 2 + len(upper).bit_length() * length // (own * self.width)
+        lo, hi = max(lo, guess - slack), min(hi, guess + slack)
+        while lo < hi:
+            mid = (lo + hi) // 2
+            a, b = self.taken(epoch, k, min(begin + length, (mid + 1) * self.width))
+            if b - a > y:
+                hi = mid
+            else:
+                lo = mid + 1
+        return lo
+
     def placed(self, queue, first: int, last: int):
         """Of tokens [first, last) of a queue, the runs (first, length, place in the output)."""
         for x, n, window, offset in self.cut(queue, first, last):
@@ -350,11 +414,13 @@ def pack(docs: DataFrame, path: str | None = None, width: int = WIDTH, targets:
             flat = batch.column("spans").flatten()
             at = iter(zip(*(pc.struct_field(flat, c).to_pylist() for c in ("x", "begin", "n")), strict=True))
             counts = pc.list_value_length(batch.column("spans")).to_pylist()
-            for doc_id, queue, n, ids, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "queue", "doc_tokens", "ids")), counts, strict=True):
+            for doc_id, queue, n, coded, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "queue", "doc_tokens")), batch.column("ids"), counts, strict=True):
+                data = coded.as_buffer()
+                ids = memoryview(np.frombuffer(data, f"<u{len(data) // n}").astype("<u4"))
                 for past, first, size in islice(at, spans):
                     for x, length, window, offset in plan.cut(queue, first, first + size):
                         k = past + x - first
-                        for column, value in zip(out, (doc_id, k, length, zlib.crc32(ids[4 * k : 4 * (k + length)]), n, window, offset), strict=True):
+                        for column, value in zip(out, (doc_id, k, length, zlib.crc32(ids[k : k + length]), n, window, offset), strict=True):
                             column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
 
