@@ -317,6 +317,44 @@ def test_segments(spark):
         assert not mine
 
 
+def test_segments_of_trees_of_any_size(spark, monkeypatch):
+    """Trees walked in a task, by levels for their rows, and by levels for their segments: the same rows. Nodes below a missing one, and circles, give none."""
+    rng, ids = random.Random(13), [0]
+    nodes, refs, tops = flattened([tree(rng, 0, True, ids) for _ in range(60)])
+    n = len(nodes)
+    nodes += [(n + 1, n + 9, 0, "reference", 4, None), (n + 2, n + 3, 0, "concat", None, None), (n + 3, n + 2, 0, "concat", None, None)]
+    refs += [(9001, n + 1, 3, None, None, 1, 4), (9002, 1, 5, 0, 1, 1, 8), (9003, 1, 6, 0, 1, 1, 8)]
+    df, named = spark.createDataFrame(nodes, NODES).repartition(5), spark.createDataFrame(refs, REFS).repartition(3)
+    told, widths = [], []
+    for largest, most in ((200_000, 1_000_000), (0, 1_000_000), (200_000, 0), (6, 6)):
+        monkeypatch.setattr(trees, "LARGEST", largest)
+        monkeypatch.setattr(trees, "MOST", most)
+        pieces, wide = trees.sized_segments(df, named)
+        told.append(sorted(repr(sorted(r.asDict().items())) for r in pieces.collect()))
+        widths.append(sorted(map(repr, wide.select("root_id", "width").collect())))
+    assert told[0] == told[1] == told[2] == told[3] and len(told[0]) > 100
+    assert widths[0] == widths[1] == widths[2] == widths[3] and len(widths[0]) == len(tops)
+
+
+def test_segments_write_few_tables(spark, monkeypatch):
+    """Whole trees are walked in a task: a level is a table on the way down to find the roots, and no more."""
+    from wirespan.functions import tables
+
+    made = []
+    for module in (trees, running):
+        monkeypatch.setattr(module, "written", lambda df, **options: made.append(1) or tables.written(df, **options))
+    rng, ids = random.Random(14), [0]
+    nodes, refs, _ = flattened([tree(rng, 0, True, ids) for _ in range(60)])
+    depth, up = 0, {n[0]: n[1] for n in nodes}
+    for i in up:
+        k = 0
+        while (i := up[i]) is not None:
+            k += 1
+        depth = max(depth, k)
+    assert trees.segments(spark.createDataFrame(nodes, NODES), spark.createDataFrame(refs, REFS)).count() > 100
+    assert len(made) <= depth + 8
+
+
 def test_connections(spark):
     """Kinds, windows and exactness of each shape of actual; arrays and unequal widths lose both."""
     actuals = spark.createDataFrame(
